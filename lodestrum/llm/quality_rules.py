@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrum.llm.common import SPACE
+from lodestrum.llm.common import SPACE, stored
 
 WINDOW = 5
 #: Bounds of the sample on which costs and rejections are estimated: rows, and characters of each text.
@@ -88,10 +88,12 @@ def measures(df: DataFrame) -> DataFrame:
         lambda a, i: F.struct((a["sum"] + F.least(F.lit(WINDOW), i - a["last"]).cast("long")).alias("sum"), i.alias("last")),
         lambda a: a["sum"],
     )
+    # A nondeterministic column keeps a later filter above this step; pushed below, it would repeat the work for each word.
+    fence = F.coalesce(F.when(F.monotonically_increasing_id() < 0, F.lit(0).cast("long")), F.col("n_words"))
     return df.select(
         "doc_id",
         "text",
-        "n_words",
+        fence.alias("n_words"),
         F.length(F.regexp_replace("text", gaps, "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace("text", rf"[^{SYMBOLS}]+", "")).cast("long").alias("n_symbols"),
         F.size("lines").cast("long").alias("n_lines"),
@@ -142,5 +144,5 @@ def quality_rules(df: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str =
 
 def keep_good(df: DataFrame, **how) -> DataFrame:
     """The rows of df that every rule lets pass, with all their columns; ids must be unique."""
-    kept = quality_rules(df, **how).where("kept").select(F.col("doc_id").alias("_kept_id"))
+    kept = stored(quality_rules(df, **how).select(F.col("doc_id").alias("_kept_id"), "kept"), "verdicts").where("kept")
     return df.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
