@@ -96,14 +96,15 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.sum(F.size("members").cast("long")).over(group).alias("salt_size"),
     )
     whole = Window.partitionBy("digest", "norm")
-    winners = salted.where("place = 1").select(
+    # Both uses of the salted step ask for the same columns, so that its shuffle, the larger part of the work, is made once.
+    winners = salted.where("place = 1 and size(members) > 0").select(
         "digest", "salt_id",
         F.first("salt_id").over(whole.orderBy(F.desc("rep_points"), F.asc_nulls_last("salt_id"))).alias("keep_id"),
         F.sum("salt_size").over(whole).alias("group_size"),
     )
     pointers = winners.select(F.col("digest").alias("w_digest"), F.col("salt_id").alias("w_id"), "keep_id", "group_size")
-    rows = salted.select("digest", "salt_id", "place", "members")
-    met = rows.join(pointers, (F.col("digest") == F.col("w_digest")) & F.col("salt_id").eqNullSafe(F.col("w_id")))
+    rows = salted.select("digest", "salt_id", "place", "members", "salt_size")
+    met = rows.join(pointers, (F.col("digest") == F.col("w_digest")) & F.col("salt_id").eqNullSafe(F.col("w_id")) & (F.col("salt_size") <= F.col("group_size")))
     return met.select("digest", "salt_id", "place", "keep_id", "group_size", F.posexplode("members").alias("pos", "doc_id")).select(
         "doc_id",
         "keep_id",
