@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lodestrum.llm.bpe import encode_digests
 from lodestrum.llm.common import table
 from lodestrum.llm.exact_dedup import exact_groups
+from lodestrum.llm.near_dedup import near_groups
 from lodestrum.llm.packing import pack
 from lodestrum.llm.quality_rules import quality_rules
 from lodestrum.llm.sharding import ring_shards
@@ -45,7 +46,11 @@ def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_quality_rules, op3_bpe, op5_token_counts, op6_ring_shards, op9_pack)}
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_quality_rules, op3_bpe, op5_token_counts, op6_ring_shards, op9_pack, op10_near_dedup)}
 
 ORACLES = {
     "op1_exact_dedup": r"""
