@@ -6,26 +6,33 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lodestrum.llm import exact_dedup, near_dedup, quality_cnn, quality_rules
 from lodestrum.llm.common import shared_folder, table
-from lodestrum.llm.exact_dedup import keep_first
 from lodestrum.llm.packing import pack
-from lodestrum.llm.quality_rules import keep_good
 from lodestrum.llm.queries import vocabulary
 
 
 def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return keep_good(docs)
+    return quality_rules.keep_good(docs)
+
+
+def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality_cnn.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return keep_first(docs)
+    return exact_dedup.keep_first(docs)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dedup.keep_first(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack(docs, vocabulary("byte_bpe_50k.json"))
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("quality_rules", rules_stage), ("exact_dedup", exact_stage), ("packing", packing_stage)]
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("quality_rules", rules_stage), ("quality_classifier", classifier_stage), ("exact_dedup", exact_stage), ("near_dedup", near_stage), ("packing", packing_stage)]
 
 #: SQL can't express the trained classifier, the sketches or the packing; tests compare with brute force.
 ORACLE_SQL: str | None = None

@@ -9,11 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from lodestrum.llm.bpe import encode_digests
 from lodestrum.llm.common import table
 from lodestrum.llm.exact_dedup import exact_groups
+from lodestrum.llm.html_tree import main_text
 from lodestrum.llm.near_dedup import near_groups
 from lodestrum.llm.packing import pack
+from lodestrum.llm.quality_cnn import quality_scores
 from lodestrum.llm.quality_rules import quality_rules
 from lodestrum.llm.sharding import ring_shards
 from lodestrum.llm.token_counts import token_counts
+from lodestrum.llm.toxicity import toxicity_scores
 
 
 def vocabulary(name: str) -> str:
@@ -34,6 +37,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
@@ -42,6 +49,14 @@ def op6_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ring_shards(table(spark, sf_dir, "documents"))
 
 
+def op7_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -50,7 +65,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_quality_rules, op3_bpe, op5_token_counts, op6_ring_shards, op9_pack, op10_near_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_quality_rules, op3_bpe, op4_toxicity, op5_token_counts, op6_ring_shards, op7_quality_cnn, op8_html_extract, op9_pack, op10_near_dedup)}
 
 ORACLES = {
     "op1_exact_dedup": r"""
