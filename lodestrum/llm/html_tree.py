@@ -230,7 +230,7 @@ class Maker:
 
     def __init__(self, seed: int) -> None:
         self.r = random.Random(seed)
-        self.stops = 0.15  # how often a word ends with a stop; some pages have none
+        self.stops = 0.15  # how often a word ends with a stop
 
     def words(self, few: int, many: int) -> str:
         r = self.r
@@ -247,8 +247,9 @@ class Maker:
         return "".join(f'<{tag}><a href="/{k}">{self.words(1, 4)}</a></{tag}>' for k in range(self.r.randint(2, 8)))
 
     def prose(self) -> str:
-        short = self.r.random() < 0.25
-        text = self.MARK + self.words(*((1, 6) if short else (8, 90)))
+        r = self.r
+        short = r.random() < 0.25
+        text = self.MARK + self.words(*((1, 6) if short else (8, r.choice((60, 90, 90, 800)))))
         if self.r.random() < 0.2:
             text += f' <a href="#">{self.words(1, 3)}</a> {self.words(1, 9)}'
         return text
@@ -291,10 +292,12 @@ class Maker:
 
     def page(self) -> str:
         r = self.r
-        self.stops = r.choice((0.15, 0.15, 0.15, 0.0, 0.02))
+        plain = r.random() < 0.35  # content without any stops beside other parts that have them
         inner = [f"<h1>{self.MARK}{self.words(2, 12)}</h1>"] if r.random() < 0.85 else []
         for _ in range(r.randint(1, 12)):
+            self.stops = 0.0 if plain else 0.15
             inner.append(self.content_block())
+            self.stops = 0.15
             if r.random() < 0.08:
                 inner.append(self.junk())
         tag, names = self.pick("article", "article", "article", "main", "div", "div", "section"), ""
