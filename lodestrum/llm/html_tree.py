@@ -231,6 +231,7 @@ class Maker:
     def __init__(self, seed: int) -> None:
         self.r = random.Random(seed)
         self.stops = 0.15  # how often a word ends with a stop
+        self.terse = 0.25  # how often a block of prose is a few words
 
     def words(self, few: int, many: int) -> str:
         r = self.r
@@ -248,7 +249,7 @@ class Maker:
 
     def prose(self) -> str:
         r = self.r
-        short = r.random() < 0.25
+        short = r.random() < self.terse
         text = self.MARK + self.words(*((1, 6) if short else (8, r.choice((60, 90, 90, 800)))))
         if self.r.random() < 0.2:
             text += f' <a href="#">{self.words(1, 3)}</a> {self.words(1, 9)}'
@@ -292,9 +293,10 @@ class Maker:
 
     def page(self) -> str:
         r = self.r
-        plain = r.random() < 0.35  # content without any stops beside other parts that have them
+        plain = r.random() < 0.2  # content without any stops beside other parts that have them
         inner = [f"<h1>{self.MARK}{self.words(2, 12)}</h1>"] if r.random() < 0.85 else []
-        for _ in range(r.randint(1, 12)):
+        self.terse = r.choice((0.1, 0.25, 0.25, 0.95))
+        for _ in range(r.randint(1, r.choice((12, 12, 40)))):
             self.stops = 0.0 if plain else 0.15
             inner.append(self.content_block())
             self.stops = 0.15
