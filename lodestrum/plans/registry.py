@@ -9,3 +9,21 @@ from pyspark.sql import DataFrame, SparkSession
 FLAGSHIP = "q_hybrid"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None):
+    """Registers a function (spark, sf_dir) under its name, with its SQL."""
+
+    def add(f):
+        key = name or f.__name__
+        QUERIES[key] = f
+        if sql is not None:
+            ORACLES[key] = sql
+        return f
+
+    return add
+
+
+def load() -> None:
+    """Import the modules that register queries."""
+    from lodestrum.plans import catalog, changes, echo, edits, events, search, series, shelves, vectors  # noqa: F401
