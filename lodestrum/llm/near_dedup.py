@@ -32,8 +32,10 @@ BANDS, ROWS = 50, 5
 REGISTERS = BANDS * ROWS
 BASE, TOP = 1.02, 2000
 #: A pair is left out if a similarity at the threshold or above is so much less likely than the best estimate, as a
-#: difference of log-likelihoods: five standard deviations.
-DOUBT = 12.5
+#: difference of log-likelihoods: four standard deviations.
+DOUBT = 8.0
+#: Rows on each side of a block of one bucket, when components of a bucket are compared.
+BLOCK = 1 << 14
 PART = 1 << 21  # bytes whose words are hashed together
 
 _rng = np.random.default_rng(20_240_229)
@@ -173,13 +175,79 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _across(best_only: bool):
+    """Pairs of one block that may be linked: the left rows, which come first, against all right rows of other components.
+
+    A pair is given in the first band that it shares, so in one bucket only. With best_only, of each left row and other
+    component only the pair that agrees in most registers.
+    """
+
+    def against(left: list[tuple], right: pa.RecordBatch, bucket: int) -> pa.RecordBatch | None:
+        regs = np.frombuffer(b"".join(right.column("registers").to_pylist()), "<u2").reshape(-1, REGISTERS)
+        ids, comps, sizes = (right.column(c).to_numpy() for c in ("id", "component", "n"))
+        bands = regs.reshape(-1, BANDS, ROWS)
+        out = []
+        for x, comp, n, own in left:
+            same = regs == own
+            shared = (bands == own.reshape(BANDS, ROWS)).all(2)
+            # The band of this bucket is the first that they share, for a pair whose buckets agree there.
+            rows = np.flatnonzero((comps != comp) & (band_keys(own[None])[0][shared.argmax(1)] == bucket) & shared.any(1))
+            if not len(rows):
+                continue
+            rows = rows[plausible(np.broadcast_to(own, (len(rows), REGISTERS)), regs[rows], np.full(len(rows), n), sizes[rows])]
+            if best_only and len(rows):
+                order = rows[np.argsort(-same[rows].sum(1), kind="stable")]
+                rows = order[np.unique(comps[order], return_index=True)[1]]
+            out += [(min(x, int(ids[k])), max(x, int(ids[k])), x, int(comps[k]), int(same[k].sum())) for k in rows]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b", "x", "other", "agree"]) if out else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, left = None, []
+        for b in batches:
+            keys = list(zip(b.column("bucket").to_pylist(), b.column("down").to_pylist(), b.column("over").to_pylist(), strict=True))
+            sides = b.column("side").to_pylist()
+            start = 0
+            for at in range(1, len(keys) + 1):
+                if at < len(keys) and keys[at] == keys[start] and sides[at] == sides[start]:
+                    continue
+                if keys[start] != key:
+                    key, left = keys[start], []
+                part = b.slice(start, at - start)
+                if sides[start] == 0:
+                    regs = np.frombuffer(b"".join(part.column("registers").to_pylist()), "<u2").reshape(-1, REGISTERS)
+                    left += list(zip(part.column("id").to_pylist(), part.column("component").to_pylist(), part.column("n").to_pylist(), regs, strict=True))
+                elif left and (found := against(left, part, key[0])) is not None:
+                    yield found
+                start = at
+
+    return run
+
+
+def across(placed: DataFrame, reps: DataFrame, best_only: bool) -> DataFrame:
+    """Pairs (a, b) of different components that may be linked, from (bucket, id, component) of buckets with several.
+
+    The members outside a bucket's largest component are compared with all its members. Both sides are dealt in blocks of
+    about BLOCK rows, so a bucket of any size is spread over tasks and none of them holds more than a block.
+    """
+    counts = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    main = counts.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("all_n"))
+    main = main.select(F.col("bucket").alias("m_bucket"), F.col("most.component").alias("main"), F.ceil(F.col("all_n") / BLOCK).cast("int").alias("rights"), F.ceil((F.col("all_n") - F.col("most.n")) / BLOCK).cast("int").alias("lefts"))
+    rows = placed.join(main, F.col("bucket") == F.col("m_bucket")).join(reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "registers"), "id")
+    spot = F.xxhash64("id")
+    columns = ["bucket", "down", "over", "side", "id", "component", "n", "registers"]
+    left = rows.where("component <> main").withColumn("side", F.lit(0)).withColumn("down", F.pmod(spot, F.col("lefts")).cast("int")).withColumn("over", F.explode(F.sequence(F.lit(0), F.col("rights") - 1)))
+    right = rows.withColumn("side", F.lit(1)).withColumn("over", F.pmod(spot, F.col("rights")).cast("int")).withColumn("down", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)))
+    blocks = left.select(*columns).union(right.select(*columns))
+    parts = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = blocks.repartition(parts, "bucket", "down", "over").sortWithinPartitions("bucket", "down", "over", "side")
+    return dealt.mapInArrow(_across(best_only), "a long, b long, x long, other long, agree long")
+
+
 def confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of the distinct pairs (a, b) whose sets are linked; reps has the registers, docs the texts. Written once."""
+    """Those of the distinct pairs (a, b) whose sets are linked; reps has the registers, docs the texts that may be asked for. Written once."""
     side = lambda c: reps.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"{c}_n"), F.col("registers").alias(f"{c}_registers"))
     likely = stored(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_n", "b_n", "a_registers", "b_registers").mapInArrow(_likely, "a long, b long"), "likely")
-    asked = likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct()
-    found = stored(docs.join(asked, "doc_id", "left_semi"), "texts")
-    text = lambda c: found.select(F.col("doc_id").alias(c), F.col("text").alias(f"{c}_text"))
+    text = lambda c: docs.select(F.col("doc_id").alias(c), F.col("text").alias(f"{c}_text"))
     met = likely.join(text("b"), "b").join(text("a"), "a").select("a", "b", "a_text", "b_text")
     return stored(met.mapInArrow(_confirmed, "a long, b long"), "links")
 
@@ -197,23 +265,31 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     classes = base.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"))
     firsts = classes.where("rep is not null").select(F.col("rep").alias("doc_id"))
     reps = stored(base.where("set_key is not null").select("doc_id", "n_shingles", "registers").join(firsts, "doc_id", "left_semi"), "reps")
-    buckets = stored(reps.select("doc_id", "registers").mapInArrow(_bands, "id long, bucket long"), "buckets")
+    buckets = reps.select("doc_id", "registers").mapInArrow(_bands, "id long, bucket long")
+    several = buckets.groupBy("bucket").count().where("count > 1").select("bucket")
+    shared = stored(buckets.join(several, "bucket", "left_semi"), "shared")
+    docs = stored(docs.join(shared.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
 
-    pivots = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("id", "bucket").alias("h"), "id")).alias("least")).where("n > 1")
-    stars = buckets.join(pivots.select("bucket", F.col("least.id").alias("pivot")), "bucket").where("id <> pivot")
+    pivots = shared.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("id", "bucket").alias("h"), "id")).alias("least"))
+    stars = shared.join(pivots.select("bucket", F.col("least.id").alias("pivot")), "bucket").where("id <> pivot")
     order = (F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     tried = stored(stars.select(F.col("pivot").alias("x"), F.col("id").alias("y")).select(*order).distinct(), "stars")
     links = confirm(tried, reps, docs)
     found = components(links)
 
-    placed = buckets.join(pivots.select("bucket"), "bucket", "left_semi").join(found, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-    placed = stored(placed.join(mixed, "bucket", "left_semi"), "mixed")
-    other = placed.select("bucket", F.col("id").alias("y"), F.col("component").alias("other"))
-    across = placed.withColumnRenamed("id", "x").join(other, "bucket").where("component < other").select(*order).distinct().join(tried, ["a", "b"], "left_anti")
-    more = confirm(across, reps, docs)
-    if not more.isEmpty():
-        found = components(links.union(more))
+    for best_only in (True, False):  # the likeliest links first: what they join needs no more comparing
+        placed = shared.join(found, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
+        mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
+        placed = stored(placed.join(mixed, "bucket", "left_semi"), "mixed")
+        pairs = across(placed, reps, best_only)
+        if best_only:
+            pairs = pairs.groupBy("x", "other").agg(F.max_by(F.struct("a", "b"), "agree").alias("p")).select("p.a", "p.b")
+        pairs = stored(pairs.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "across")
+        more = confirm(pairs, reps, docs)
+        tried = tried.union(pairs)
+        if not more.isEmpty():
+            links = links.union(more)
+            found = components(links)
 
     of_class = classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").select(F.col("set_key").alias("c_key"), F.coalesce("component", "rep").alias("c_id"))
     out = base.select("doc_id", "n_shingles", "set_key").join(of_class, F.col("set_key") == F.col("c_key"), "left")
