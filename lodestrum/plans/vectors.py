@@ -1 +1,233 @@
-"""Queries of this family."""
+"""Queries over vectors: neighbours, suggestions, centroids, concepts and briefs."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from lodestrum.functions.vector import blend, dot, rounded, unit
+from lodestrum.operators import similar as op
+from lodestrum.plans.registry import query
+from lodestrum.sources.tables import entries, sql, vectors
+
+CENT = """dims as (select label, d, avg(x) as m from (select label, unnest(range(1, 65)) as d, unnest(vec) as x from vectors) group by label, d),
+means as (select label, list(m order by d) as mean from dims group by label),
+cents as (select label, list_transform(mean, lambda x: x / sqrt(list_dot_product(mean, mean))) as cvec from means)"""
+
+
+@query(sql("vectors", "select label, list_transform(cvec, lambda x: round(x, 6)) as vec from cents", CENT))
+def agg_centroid(spark, sf):
+    return op.centroid(vectors(spark, sf), "label").select("label", rounded(F.col("vec")).alias("vec"))
+
+
+@query(sql("vectors", """select label, round(list_dot_product(a, a), 6) as length, round(a[1], 6) as first from (
+ select label, list_transform(s, lambda x: x / sqrt(list_dot_product(s, s))) as a from (select label, list(t order by d) as s from (
+   select label, d, sum(x) as t from (select label, unnest(range(1, 65)) as d, unnest(vec) as x from vectors) group by label, d) group by label))"""))
+def agg_meanpool(spark, sf):
+    c = op.centroid(vectors(spark, sf).withColumn("vec", unit(F.col("vec"))), "label")
+    return c.select("label", F.round(dot(F.col("vec"), F.col("vec")), 6).alias("length"), F.round(F.col("vec")[0], 6).alias("first"))
+
+
+@query(sql("vectors", "select a.id as qid, b.id, round(list_dot_product(a.vec, b.vec), 6) as score, row_number() over (partition by a.id order by list_dot_product(a.vec, b.vec) desc, b.id) as rank from vectors a join vectors b on a.id <> b.id where a.id % 5 = 0 qualify rank <= 10"))
+def q_knn_all_pairs(spark, sf):
+    v = vectors(spark, sf)
+    return op.knn(v.where("id % 5 = 0").select("id", "vec"), v, 10).select("qid", "id", F.round("score", 6).alias("score"), "rank")
+
+
+def q_knn_approximate(spark, sf):
+    v = vectors(spark, sf)
+    return op.knn_approximate(v.where("id % 50 = 0"), v, 10).select("qid", "id", F.round("score", 6).alias("score"), "rank")
+
+
+query()(q_knn_approximate)
+
+
+@query(sql("vectors entries", """select id, round(score, 6) as score, round(greatest(0, least(1, (score - 0.80) / 0.20)), 6) as confidence, score < 0.85 as weak, score >= 0.9995 as identical
+from (select b.id, list_dot_product(a.vec, b.vec) as score from vectors a join vectors b on a.id = 3 and b.id <> 3) order by identical desc, score desc, id limit 30"""))
+def q_knn_file(spark, sf):
+    v = vectors(spark, sf)
+    q = v.where("id = 3").select(F.col("id").alias("qid"), F.col("vec").alias("qvec"))
+    s = v.join(F.broadcast(q)).where("id <> qid").select("id", dot(F.col("vec"), F.col("qvec")).alias("score"))
+    s = s.withColumns({"identical": F.col("score") >= 0.9995, "weak": F.col("score") < 0.85, "confidence": F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("score") - 0.80) / 0.20)), 6)})
+    return s.orderBy(F.desc("identical"), F.desc("score"), "id").limit(30).select("id", F.round("score", 6).alias("score"), "confidence", "weak", "identical")
+
+
+SUGGEST = """members as (select id, vec, row_number() over (order by id) - 1 as i, count(*) over () as n from vectors where label = 2 and id % 3 = 0),
+sample_ as (select vec from members where n <= 16 or list_contains(list_transform(range(0, 16), lambda k: (k * n) // 16), i)),
+mid_ as (select list(m order by d) as mean from (select d, avg(x) as m from (select unnest(range(1, 65)) as d, unnest(vec) as x from members) group by d)),
+cen_ as (select list_transform(mean, lambda x: x / sqrt(list_dot_product(mean, mean))) as cvec from mid_),
+best_ as (select v.id, any_value(v.vec) as vec, max(list_dot_product(v.vec, s.vec)) as best from vectors v, sample_ s where v.id not in (select id from members) group by v.id),
+sug as (select id, 0.7 * greatest(best, 0) + 0.3 * list_dot_product(vec, cvec) as score from best_, cen_ where best <= 0.9995)"""
+
+
+@query(sql("vectors", "select id, round(score, 6) as score from sug order by sug.score desc, id limit 24", SUGGEST))
+def q_suggest(spark, sf):
+    v = vectors(spark, sf)
+    return op.suggest_scores(v, v.where("label = 2 and id % 3 = 0")).orderBy(F.desc("score"), "id").limit(24).select("id", F.round("score", 6).alias("score"))
+
+
+@query(sql("vectors", "select id, round(score, 6) as score from (select * from sug where id % 2 = 1 order by sug.score desc, id limit 16)", SUGGEST))
+def q_more(spark, sf):
+    v = vectors(spark, sf)
+    found = op.suggest_scores(v, v.where("label = 2 and id % 3 = 0"))
+    held = v.where("id % 2 = 0").select("id")
+    return found.join(held, "id", "left_anti").orderBy(F.desc("score"), "id").limit(16).select("id", F.round("score", 6).alias("score"))
+
+
+@query(sql("vectors", "select a.id, b.id as other, round(list_dot_product(a.vec, b.vec), 6) as score from vectors a join vectors b on a.label = b.label and a.id < b.id where list_dot_product(a.vec, b.vec) > 0.45"))
+def join_self_sim(spark, sf):
+    a = vectors(spark, sf)
+    b = a.select(F.col("id").alias("other"), F.col("vec").alias("ovec"), "label")
+    s = a.join(b, "label").where("id < other").select("id", "other", dot(F.col("vec"), F.col("ovec")).alias("score"))
+    return s.where("score > 0.45").select("id", "other", F.round("score", 6).alias("score"))
+
+
+@query(sql("vectors", "select id, label, round(list_dot_product(vec, qvec), 6) as score from vectors, (select vec as qvec from vectors where id = 1)"))
+def join_broadcast(spark, sf):
+    v = vectors(spark, sf)
+    return v.join(F.broadcast(v.where("id = 1").select(F.col("vec").alias("qvec")))).select("id", "label", F.round(dot(F.col("vec"), F.col("qvec")), 6).alias("score"))
+
+
+@query(sql("vectors", "select id, round(list_dot_product(vec, vec), 6) as dot, round(sqrt(list_dot_product(vec, vec)), 6) as norm from vectors"))
+def fn_dot(spark, sf):
+    v = F.col("vec")
+    return vectors(spark, sf).select("id", F.round(dot(v, v), 6).alias("dot"), F.round(F.sqrt(dot(v, v)), 6).alias("norm"))
+
+
+BLEND = "select id, list_transform(b, lambda x: round(x / sqrt(list_dot_product(b, b)), 6)) as vec from (select id, list_transform(list_zip(vec, qvec), lambda z: z[1] + {w} * z[2]) as b from vectors, (select vec as qvec from vectors where id = 0))"
+
+
+def _blended(spark, sf, weight):
+    v = vectors(spark, sf)
+    q = v.where("id = 0").select(F.col("vec").alias("qvec"))
+    return v.join(F.broadcast(q)).select("id", rounded(blend(F.col("vec"), F.col("qvec"), weight)).alias("vec"))
+
+
+@query(sql("vectors", BLEND.format(w="0.5")))
+def fn_query_blend(spark, sf):
+    return _blended(spark, sf, 0.5)
+
+
+@query(sql("vectors", BLEND.format(w="0.2")))
+def fn_context_blend(spark, sf):
+    return _blended(spark, sf, 0.2)
+
+
+@query(sql("vectors", "select id, list_transform(vec, lambda x: case when m > 0 then floor(x / (m / 127) + 0.5)::bigint else 0 end) as q, round(m / 127, 9) as scale from (select id, vec, list_max(list_transform(vec, lambda x: abs(x))) as m from vectors)"))
+def fn_int8_quant(spark, sf):
+    v = vectors(spark, sf).withColumn("m", F.array_max(F.transform("vec", F.abs)))
+    return v.select("id", F.transform("vec", lambda x: F.when(F.col("m") > 0, F.floor(x / (F.col("m") / 127) + 0.5)).otherwise(0).cast("long")).alias("q"), F.round(F.col("m") / 127, 9).alias("scale"))
+
+
+ZS = """sims as (select v.id, c.label as concept, list_dot_product(v.vec, c.cvec) as s from vectors v, cents c),
+zs as (select *, (s - avg(s) over (partition by id)) / stddev_pop(s) over (partition by id) as z from sims)"""
+
+
+def _z(spark, sf):
+    v = vectors(spark, sf)
+    c = op.centroid(v, "label").select(F.col("label").alias("concept"), F.col("vec").alias("cvec"))
+    s = v.join(F.broadcast(c)).select("id", "concept", dot(F.col("vec"), F.col("cvec")).alias("s"))  # a centroid for each label: ten
+    w = Window.partitionBy("id")
+    return s.withColumn("z", (F.col("s") - F.avg("s").over(w)) / F.stddev_pop("s").over(w))
+
+
+@query(sql("vectors", "select id, concept, round(z, 6) as z from zs", CENT, ZS))
+def agg_zscore(spark, sf):
+    return _z(spark, sf).select("id", "concept", F.round("z", 6).alias("z"))
+
+
+@query(sql("vectors", "select id // 4 as image, concept, round(max(z), 6) as z from zs group by all having max(z) >= 1.5", CENT, ZS))
+def q_concepts(spark, sf):
+    best = _z(spark, sf).groupBy(F.floor(F.col("id") / 4).alias("image"), "concept").agg(F.max("z").alias("z"))
+    return best.where("z >= 1.5").select("image", "concept", F.round("z", 6).alias("z"))
+
+
+@query(sql("vectors", "select concept % 5 as cat, id, arg_max(concept, z) as term, round(max(z), 6) as z from zs group by all", CENT, ZS))
+def agg_best_evidence(spark, sf):
+    return _z(spark, sf).groupBy((F.col("concept") % 5).alias("cat"), "id").agg(F.max_by("concept", "z").alias("term"), F.round(F.max("z"), 6).alias("z"))
+
+
+@query(sql("vectors", "select id, concept, k from (select *, row_number() over (partition by id, concept % 2 order by z desc, concept) as k from zs) where k <= 2", CENT, ZS))
+def win_per_cat_cap(spark, sf):
+    w = Window.partitionBy("id", F.col("concept") % 2).orderBy(F.desc("z"), "concept")
+    return _z(spark, sf).withColumn("k", F.row_number().over(w).cast("long")).where("k <= 2").select("id", "concept", "k")
+
+
+@query(sql("vectors", "select id, concept, round(case when hi <= 0.1 then 1 else (s - 0.1) / (hi - 0.1) end, 6) as scaled from (select *, max(s) over (partition by concept) as hi from sims) where s >= 0.1", CENT, ZS.split(",\nzs")[0]))
+def win_rescale(spark, sf):
+    s = _z(spark, sf).withColumn("hi", F.max("s").over(Window.partitionBy("concept")))
+    return s.where("s >= 0.1").select("id", "concept", F.round(F.when(F.col("hi") <= 0.1, 1.0).otherwise((F.col("s") - 0.1) / (F.col("hi") - 0.1)), 6).alias("scaled"))
+
+
+@query(sql("vectors", "select id, concept from sims qualify row_number() over (partition by id order by s * (1 - concept * 0.01) desc, concept) = 1", CENT, ZS.split(",\nzs")[0]))
+def win_home(spark, sf):
+    w = Window.partitionBy("id").orderBy(F.desc(F.col("s") * (1 - F.col("concept") * 0.01)), "concept")
+    return _z(spark, sf).withColumn("k", F.row_number().over(w)).where("k = 1").select("id", "concept")
+
+
+TOP8 = "tops as (select concept, id, s, row_number() over (partition by concept order by s desc, id) as k from sims)"
+
+
+def _tops(spark, sf):
+    w = Window.partitionBy("concept").orderBy(F.desc("s"), "id")
+    return _z(spark, sf).withColumn("k", F.row_number().over(w))
+
+
+@query(sql("vectors", "select concept, round(avg(s), 6) as strength from tops where k <= 8 group by concept", CENT, ZS.split(",\nzs")[0], TOP8))
+def agg_strength(spark, sf):
+    return _tops(spark, sf).where("k <= 8").groupBy("concept").agg(F.round(F.avg("s"), 6).alias("strength"))
+
+
+@query(sql("vectors", "select concept, label, n from (select concept, v.label, count(*) as n, row_number() over (partition by concept order by count(*) desc, v.label) as r from tops join vectors v using (id) where k <= 24 group by concept, v.label) where r = 1", CENT, ZS.split(",\nzs")[0], TOP8))
+def agg_votes(spark, sf):
+    votes = _tops(spark, sf).where("k <= 24").join(vectors(spark, sf).select("id", "label"), "id").groupBy("concept", "label").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("concept").orderBy(F.desc("n"), "label")
+    return votes.withColumn("r", F.row_number().over(w)).where("r = 1").select("concept", "label", "n")
+
+
+@query(sql("vectors", "select concept, count(*) as hits, count(*) filter (id % 4 = 0) as named, round(avg(s) filter (k <= 8), 6) as strength, count(*) >= 5 and (count(*) filter (id % 4 = 0) >= 5 or avg(s) filter (k <= 8) >= 0.58) as good from tops where s >= 0.2 group by concept", CENT, ZS.split(",\nzs")[0], TOP8))
+def q_brief_gates(spark, sf):
+    t = _tops(spark, sf).where("s >= 0.2").groupBy("concept")
+    named, strength = F.count_if(F.col("id") % 4 == 0), F.avg(F.when(F.col("k") <= 8, F.col("s")))
+    out = t.agg(F.count("*").alias("hits"), named.alias("named"), strength.alias("st"))
+    good = (F.col("hits") >= 5) & ((F.col("named") >= 5) | (F.col("st") >= 0.58))
+    return out.select("concept", "hits", "named", F.round("st", 6).alias("strength"), F.coalesce(good, F.lit(False)).alias("good"))
+
+
+@query(sql("vectors", "select concept, count(*) filter (id % 4 = 0) as named from tops where k <= 40 group by concept", CENT, ZS.split(",\nzs")[0], TOP8))
+def agg_named(spark, sf):
+    return _tops(spark, sf).where("k <= 40").groupBy("concept").agg(F.count_if(F.col("id") % 4 == 0).alias("named"))
+
+
+@query(sql("vectors", "select concept, strength, round((case when concept % 3 = 0 then 10 else 0 end) + 0.7 * (0.5 + strength), 6) as key from (select concept, round(avg(s), 6) as strength from tops where k <= 8 group by concept)", CENT, ZS.split(",\nzs")[0], TOP8))
+def sort_order_key(spark, sf):
+    t = _tops(spark, sf).where("k <= 8").groupBy("concept").agg(F.round(F.avg("s"), 6).alias("strength"))
+    return t.withColumn("key", F.round(F.when(F.col("concept") % 3 == 0, 10).otherwise(0) + 0.7 * (0.5 + F.col("strength")), 6))
+
+
+def q_mmr(spark, sf):
+    """Diverse picks for each label from its best 160: greedy, so without SQL."""
+    pool = _tops(spark, sf).where("k <= 160").join(vectors(spark, sf).select("id", "vec"), "id")
+    names = entries(spark, sf).select("id", "dir")
+    pool = pool.join(names, "id", "left").select(F.col("concept").alias("card"), "id", F.coalesce("dir", F.lit("")).alias("dir"), F.col("s").alias("score"), "vec")
+    return op.mmr(pool, 20)
+
+
+query()(q_mmr)
+
+
+@query(sql("vectors", "select label, id from (select label, id, row_number() over (partition by label order by id) - 1 as i, count(*) over (partition by label) as n from vectors) where n <= 16 or list_contains(list_transform(range(0, 16), lambda k: (k * n) // 16), i)"))
+def win_sample_spread(spark, sf):
+    by = Window.partitionBy("label")
+    v = vectors(spark, sf).select("label", "id").withColumns({"i": F.row_number().over(by.orderBy("id")) - 1, "n": F.count("*").over(by)})
+    places = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: F.floor(k * F.col("n") / 16))
+    return v.where((F.col("n") <= 16) | F.array_contains(places, F.col("i").cast("long"))).select("label", "id")
+
+
+COPIES = "x as (select id, case when id % 3 = 0 then null else md5((id % 40)::varchar) end as h, id * 7 % 101 as r from vectors)"
+
+
+@query(sql("vectors", "select first(id order by r, id) as id, min(r)::bigint as rank, list_sort(list(id order by r, id)[2:]) as copies from x group by coalesce('h:' || h, 'id:' || id)", COPIES))
+def agg_collapse_dups(spark, sf):
+    v = vectors(spark, sf).select("id", F.when(F.col("id") % 3 != 0, F.md5((F.col("id") % 40).cast("string"))).alias("h"), (F.col("id") * 7 % 101).alias("r"))
+    return op.collapse(v, F.col("h"), F.col("r"))
