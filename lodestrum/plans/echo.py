@@ -1 +1,96 @@
-"""Queries of this family."""
+"""Queries of fingerprint search: coarse candidates, calibration, collapsing."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from lodestrum.functions.vector import dot
+from lodestrum.operators import series as op
+from lodestrum.plans.registry import query
+from lodestrum.plans.series import STATS, SUMS, ZF
+from lodestrum.sources.tables import frames, sql, table
+
+MEANS = """zm as (select series, [{m}] as mean from (select series, {a} from zf group by series)),
+atk as (select series, arg_max(z, (f0, -w)) as attack from (select zf.series, zf.w, z, f0 from zf join frames f on f.series = zf.series and f.w = zf.w) group by series),
+q as (select m.mean as qm, a.attack as qa from zm m join atk a using (series) where series = (select min(series) from zm)),
+sc as (select series, list_dot_product(mean, qm) as sm, list_dot_product(attack, qa) as sa from zm join atk using (series), q)""".format(m=", ".join(f"a{d}" for d in range(4)), a=", ".join(f"avg(z[{d + 1}]) as a{d}" for d in range(4)))
+
+
+def _coarse(spark, sf):
+    """Each series' likeness to the first one, by mean frame and by loudest frame."""
+    f = frames(spark, sf)
+    z = op.z_frames(f, op.final_stats(op.partial_sums(f)))
+    z = z.join(f.select("series", "w", "f0"), ["series", "w"])
+    s = z.groupBy("series").agg(F.array(*(F.avg(F.col("z")[d]) for d in range(op.DIMS))).alias("mean"), F.max_by("z", F.struct("f0", -F.col("w"))).alias("attack"))
+    q = s.orderBy("series").limit(1).select(F.col("mean").alias("qm"), F.col("attack").alias("qa"))
+    return s.join(F.broadcast(q)).select("series", dot(F.col("mean"), F.col("qm")).alias("sm"), dot(F.col("attack"), F.col("qa")).alias("sa"))
+
+
+TOPS = "tm as (select series from sc order by round(sm, 9) desc, series limit 25),\nta as (select series from sc order by round(sa, 9) desc, series limit 25)"
+
+
+@query(sql("frames", "select series, round(sm, 6) as sm, round(sa, 6) as sa from sc where series in (select series from tm union select series from ta)", SUMS, STATS, ZF, MEANS, TOPS))
+def q_echo_coarse(spark, sf):
+    s = _coarse(spark, sf)
+    top = lambda c: s.orderBy(F.desc(F.round(c, 9)), "series").limit(25).select("series")
+    return s.join(top("sm").union(top("sa")).distinct(), "series", "left_semi").select("series", F.round("sm", 6).alias("sm"), F.round("sa", 6).alias("sa"))
+
+
+@query(sql("frames", "select series from tm union select series from ta", SUMS, STATS, ZF, MEANS, TOPS))
+def set_union_cands(spark, sf):
+    s = _coarse(spark, sf)
+    top = lambda c: s.orderBy(F.desc(F.round(c, 9)), "series").limit(25).select("series")
+    return top("sm").union(top("sa")).distinct()
+
+
+def sql_tau(ms: str) -> str:
+    parts = [f"when {ms} <= {op.TAU[0][0]} then {op.TAU[0][1]}"]
+    parts += [f"when {ms} <= {m1} then {t0} + ({t1} - {t0}) * (ln({ms}) - ln({m0})) / (ln({m1}) - ln({m0}))" for (m0, t0), (m1, t1) in zip(op.TAU, op.TAU[1:], strict=False)]
+    return f"(case {' '.join(parts)} else {op.TAU[-1][1]} end)::double"
+
+
+@query(f"select event_id as id, round({sql_tau('ms')}, 6) as tau, round(greatest(0, least(1, (0.93 - {sql_tau('ms')}) / (1 - {sql_tau('ms')}))), 6) as confidence from (select event_id, value * 100 + 1 as ms from events)")
+def fn_confidence(spark, sf):
+    ms = F.col("value") * 100 + 1
+    return table(spark, sf, "events").select(F.col("event_id").alias("id"), F.round(op.tau(ms), 6).alias("tau"), F.round(op.confidence(F.lit(0.93), ms), 6).alias("confidence"))
+
+
+@query("select event_id as id, round(greatest(0, least(1, ((value % 1) - 0.80) / 0.20)), 6) as confidence from events")
+def fn_file_confidence(spark, sf):
+    c = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("value") % 1 - 0.80) / 0.20))
+    return table(spark, sf, "events").select(F.col("event_id").alias("id"), F.round(c, 6).alias("confidence"))
+
+
+@query("select event_id as id, case when s is null then 0 when s >= 0.555 then 4 when s >= 0.455 then 3 when s >= 0.365 then 2 else 1 end::bigint as bars from (select event_id, case when event_id % 9 = 0 then null else value % 1 end as s from events)")
+def fn_bars(spark, sf):
+    s = F.when(F.col("event_id") % 9 != 0, F.col("value") % 1)
+    return table(spark, sf, "events").select(F.col("event_id").alias("id"), F.when(s.isNull(), 0).when(s >= 0.555, 4).when(s >= 0.455, 3).when(s >= 0.365, 2).otherwise(1).cast("long").alias("bars"))
+
+
+@query("select event_id as id, list_transform(case when d <= 10.5 then [0.0::double] when d <= 30 then list_transform(range(0, 3), lambda k: (d - 10) * k / 2) else list_transform(range(0, 5), lambda k: (d - 10) * k / 4) end, lambda x: round(x, 6)) as starts from (select event_id, value as d from events)")
+def fn_clap_offsets(spark, sf):
+    d = F.col("value")
+    some = lambda n: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.round((d - 10) * k / (n - 1), 6))
+    return table(spark, sf, "events").select(F.col("event_id").alias("id"), F.when(d <= 10.5, F.array(F.lit(0.0))).when(d <= 30, some(3)).otherwise(some(5)).alias("starts"))
+
+
+@query("select user_id as id, case when i % 4 = 0 then true when i % 5 = 0 then true when least(v * 1000, 30000) - s > 1500 then true else false end as needs from (select user_id, max(event_id) as i, max(value) as v, min(value) * 100 as s from events group by user_id)")
+def cdc_echo_needs(spark, sf):
+    u = table(spark, sf, "events").groupBy("user_id").agg(F.max("event_id").alias("i"), F.max("value").alias("v"), (F.min("value") * 100).alias("s"))
+    missing, changed = F.col("i") % 4 == 0, F.col("i") % 5 == 0
+    return u.select(F.col("user_id").alias("id"), (missing | changed | (F.least(F.col("v") * 1000, F.lit(30000.0)) - F.col("s") > 1500)).alias("needs"))
+
+
+@query("select user_id as id, abs(n - old) >= case when old >= 20 then greatest(20, floor(old * 0.01 + 0.5)) else 1 end as again from (select user_id, count(*) * 3 as n, min(event_id) % 60 as old from events group by user_id)")
+def cdc_resnapshot(spark, sf):
+    u = table(spark, sf, "events").groupBy("user_id").agg((F.count("*") * 3).alias("n"), (F.min("event_id") % 60).alias("old"))
+    need = F.when(F.col("old") >= 20, F.greatest(F.lit(20), F.floor(F.col("old") * 0.01 + 0.5))).otherwise(1)
+    return u.select(F.col("user_id").alias("id"), (F.abs(F.col("n") - F.col("old")) >= need).alias("again"))
+
+
+@query("select k, kind, n from (select event_type as kind, count(*) as n, row_number() over (order by count(*) desc, event_type) as k from events group by event_type) where k <= 6")
+def agg_palette_rr(spark, sf):
+    g = table(spark, sf, "events").groupBy(F.col("event_type").alias("kind")).agg(F.count("*").alias("n"))
+    w = Window.orderBy(F.desc("n"), "kind")  # over the few kinds only
+    return g.withColumn("k", F.row_number().over(w).cast("long")).where("k <= 6").select("k", "kind", "n")

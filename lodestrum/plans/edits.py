@@ -1 +1,137 @@
-"""Queries of this family."""
+"""Queries of edit arithmetic and of formatting."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lodestrum.operators import edits as op
+from lodestrum.plans.registry import query
+from lodestrum.sources.tables import samples, sql, table
+
+E = "e as (select event_id as id, value / 10 as d, (event_id % 17) / 8.0::double - 0.2 as a, value / 10 - (event_id % 13) / 9.0::double as b, (event_id % 7) / 3.0::double as c, value / 20 as f from events)"
+
+
+def sql_clamp(x, lo, hi):
+    return f"case when {x} < {lo} then {lo} when {x} > {hi} then {hi} else {x} end"
+
+
+EDIT = f"""e1 as (select *, least(0.005, d) as m from e), e2 as (select *, {sql_clamp('a', '0', '(d - m)')} as cs from e1), e3 as (select *, {sql_clamp('b', '(cs + m)', 'd')} as ce from e2),
+e4 as (select *, {sql_clamp('c', 'cs', 'ce')} as fi from e3), e5 as (select *, {sql_clamp('f', 'fi', 'ce')} as fo from e4)"""
+
+
+def _edits(spark, sf):
+    i, v = F.col("event_id"), F.col("value")
+    return table(spark, sf, "events").select(i.alias("id"), (v / 10).alias("d"), ((i % 17) / F.lit(8.0) - 0.2).alias("a"), (v / 10 - (i % 13) / F.lit(9.0)).alias("b"), ((i % 7) / F.lit(3.0)).alias("c"), (v / 20).alias("f"))
+
+
+def _normal(spark, sf):
+    return _edits(spark, sf).withColumns(op.normalize(*(F.col(c) for c in "dabcf")))
+
+
+@query(f"with {E}, {EDIT} select id, round(cs, 6) as crop_start, round(ce, 6) as crop_end, round(fi, 6) as fade_in_end, round(fo, 6) as fade_out_start from e5")
+def fn_normalize_edit(spark, sf):
+    return _normal(spark, sf).select("id", *(F.round(c, 6).alias(c) for c in ("crop_start", "crop_end", "fade_in_end", "fade_out_start")))
+
+
+@query(f"with {E}, {EDIT} select id, round(cs + s, 6) as crop_start, round(ce + s, 6) as crop_end from (select *, {sql_clamp('0.25', '-cs', '(d - ce)')} as s from e5)")
+def fn_slip_edit(spark, sf):
+    n = _normal(spark, sf).withColumn("s", op.clamp(F.lit(0.25), -F.col("crop_start"), F.col("d") - F.col("crop_end")))
+    return n.select("id", F.round(F.col("crop_start") + F.col("s"), 6).alias("crop_start"), F.round(F.col("crop_end") + F.col("s"), 6).alias("crop_end"))
+
+
+T = "(event_id % 101) / 100.0::double"
+
+
+def sql_fade(t, shape, k):
+    if shape == "scurve":
+        a = 2 * 4.0**k
+        body = f"pow({t}, {a!r}) / (pow({t}, {a!r}) + pow(1 - {t}, {a!r}))"
+    else:
+        w = f"pow({t}, {10.0 ** k!r})" if k else t
+        body = f"sin({w} * pi() / 2)" if shape == "equal" else w
+    return f"case when not {t} > 0 then 0 when {t} >= 1 then 1 else {body} end"
+
+
+@query(f"select event_id as id, round({sql_fade(T, 'power', 0.3)}, 6) as power, round({sql_fade(T, 'scurve', -0.4)}, 6) as scurve, round({sql_fade(T, 'equal', 0)}, 6) as equal_power from events")
+def fn_fade(spark, sf):
+    t = (F.col("event_id") % 101) / F.lit(100.0)
+    return table(spark, sf, "events").select(F.col("event_id").alias("id"), F.round(op.fade_gain(t, "power", 0.3), 6).alias("power"), F.round(op.fade_gain(t, "scurve", -0.4), 6).alias("scurve"), F.round(op.fade_gain(t, "equal", 0.0), 6).alias("equal_power"))
+
+
+@query("select distinct user_id as id, round(log10(ln(g) / ln(0.5)), 5) as tension from (select user_id, 0.02 + (user_id % 83) / 100.0::double as g from events)")
+def fn_tension_inverse(spark, sf):
+    g = 0.02 + (F.col("user_id") % 83) / F.lit(100.0)
+    return table(spark, sf, "events").select("user_id").distinct().select(F.col("user_id").alias("id"), F.round(op.bisect(g), 5).alias("tension"))
+
+
+@query(sql("samples", "select series, n - 1 - i as i, round(x * 0.5 * case when i < 4 then i / 4.0::double else 1 end, 8) as y from samples join sizes using (series) where i >= 2 and i < n", "sizes as (select series, count(*) as n from samples group by series)"))
+def fn_render(spark, sf):
+    """Crop two samples, fade in to the fourth, halve, reverse."""
+    x = samples(spark, sf)
+    n = x.groupBy("series").agg(F.count("*").alias("n"))
+    gain = op.fade_gain(F.col("i") / F.lit(4.0), "power", 0.0) * 0.5
+    return x.where("i >= 2").join(n, "series").select("series", (F.col("n") - 1 - F.col("i")).alias("i"), F.round(F.col("x") * gain, 8).alias("y"))
+
+
+@query("select event_id as id, case when s < 0.1 then greatest(1, floor(s * 1000 + 0.5))::bigint::varchar || ' ms' when s < 60 then floor(s + 0.5)::bigint::varchar || ' s' when t >= 3600 then (t // 3600)::varchar || ':' || lpad((t % 3600 // 60)::varchar, 2, '0') || ':' || lpad((t % 60)::varchar, 2, '0') else (t // 60)::varchar || ':' || lpad((t % 60)::varchar, 2, '0') end as shown from (select *, floor(s + 0.5)::bigint as t from (select event_id, case event_id % 3 when 0 then value / 10000 when 1 then 10 + value / 12 else value * 31 + 60 end as s from events))")
+def fn_format_duration(spark, sf):
+    k, v = F.col("event_id") % 3, F.col("value")
+    d = table(spark, sf, "events").select(F.col("event_id").alias("id"), F.when(k == 0, v / 10000).when(k == 1, 10 + v / 12).otherwise(v * 31 + 60).alias("s"))
+    s, t = F.col("s"), F.floor(F.col("s") + 0.5)
+    two = lambda x: F.lpad(x.cast("string"), 2, "0")
+    whole = lambda x: F.floor(x).cast("string")
+    shown = F.when(s < 0.1, F.concat(F.greatest(F.lit(1), F.floor(s * 1000 + 0.5)).cast("string"), F.lit(" ms"))).when(s < 60, F.concat(t.cast("string"), F.lit(" s")))
+    shown = shown.when(t >= 3600, F.concat_ws(":", whole(t / 3600), two(F.floor(t % 3600 / 60)), two(t % 60))).otherwise(F.concat_ws(":", whole(t / 60), two(t % 60)))
+    return d.select("id", shown.alias("shown"))
+
+
+@query("select doc_id as id, case when n < 1024 then n::varchar || ' B' when n < 1048576 then floor(n / 1024.0::double + 0.5)::bigint::varchar || ' KB' else floor(n / 1048576.0::double + 0.5)::bigint::varchar || ' MB' end as shown from (select doc_id, n_chars * (1 + (doc_id % 5) * 700) as n from documents)")
+def fn_format_bytes(spark, sf):
+    n = F.col("n")
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), (F.col("n_chars") * (1 + F.col("doc_id") % 5 * 700)).alias("n"))
+    part = lambda size, unit: F.concat(F.floor(n / F.lit(float(size)) + 0.5).cast("string"), F.lit(unit))
+    return d.select("id", F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1048576, part(1024, " KB")).otherwise(part(1048576, " MB")).alias("shown"))
+
+
+@query("select distinct user_id as id, array_to_string(list_filter([(case when r % 1000 = 0 then (r // 1000)::varchar else (r // 1000)::varchar || '.' || (r % 1000 // 100)::varchar end) || ' kHz', case when b = 0 then '' when f = 3 then b::varchar || '-bit float' else b::varchar || '-bit' end, case c when 1 then 'Mono' when 2 then 'Stereo' when 0 then '' else c::varchar || ' ch' end], lambda x: x <> ''), ' · ') as shown from (select user_id, [44100, 48000, 96000, 22500][user_id % 4 + 1] as r, [0, 16, 24, 32][user_id % 3 + 1] as b, user_id % 4 as f, user_id % 5 as c from events)")
+def fn_format_format(spark, sf):
+    u = F.col("user_id")
+    pick = lambda xs, k: F.element_at(F.array(*map(F.lit, xs)), (u % k + 1).cast("int"))
+    d = table(spark, sf, "events").select("user_id").distinct().select(u.alias("id"), pick((44100, 48000, 96000, 22500), 4).alias("r"), pick((0, 16, 24, 32), 3).alias("b"), (u % 4).alias("f"), (u % 5).alias("c"))
+    text = lambda c: c.cast("string")
+    r, b, c = F.col("r"), F.col("b"), F.col("c")
+    khz = F.concat(F.when(r % 1000 == 0, text(F.floor(r / 1000))).otherwise(F.concat(text(F.floor(r / 1000)), F.lit("."), text(F.floor(r % 1000 / 100)))), F.lit(" kHz"))
+    bits = F.when(b == 0, "").when(F.col("f") == 3, F.concat(text(b), F.lit("-bit float"))).otherwise(F.concat(text(b), F.lit("-bit")))
+    ch = F.when(c == 1, "Mono").when(c == 2, "Stereo").when(c == 0, "").otherwise(F.concat(text(c), F.lit(" ch")))
+    return d.select("id", F.array_join(F.filter(F.array(khz, bits, ch), lambda x: x != ""), " · ").alias("shown"))
+
+
+ERRORS = "case doc_id % 5 when 0 then 'x: Invalid data found when processing input' when 1 then 'Not yet implemented in FFmpeg' when 2 then 'ENOENT: no such file' when 3 then 'EBUSY: locked' else 'other' end"
+
+
+@query(f"select doc_id as id, case when regexp_matches(lower(e), 'invalid data found when processing input|does not contain any stream|error opening output file') then 'unreadable' when regexp_matches(lower(e), 'not yet implemented in ffmpeg') then 'variant' when e like '%ENOENT%' then 'missing' when regexp_matches(e, 'EBUSY|EPERM|EACCES') then 'locked' else e end as reason from (select doc_id, {ERRORS} as e from documents)")
+def fn_plain_error(spark, sf):
+    e = F.col("e")
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.expr(ERRORS).alias("e"))
+    return d.select("id", F.when(e.rlike("(?i)invalid data found when processing input|does not contain any stream|error opening output file"), "unreadable").when(e.rlike("(?i)not yet implemented in ffmpeg"), "variant").when(e.contains("ENOENT"), "missing").when(e.rlike("EBUSY|EPERM|EACCES"), "locked").otherwise(e).alias("reason"))
+
+
+@query("select item_id as id, list_filter(list_transform(string_split_regex(text, '[,\n;]'), lambda x: substr(trim(regexp_replace(x, ' +', ' ', 'g')), 1, 60)), lambda x: x <> '') as words from benchmark")
+def fn_split_words(spark, sf):
+    parts = F.transform(F.split("text", "[,\n;]"), lambda x: F.substring(F.trim(F.regexp_replace(x, " +", " ")), 1, 60))
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.filter(parts, lambda x: x != "").alias("words"))
+
+
+@query("select distinct user_id as id, list_transform(range(0, 44), lambda d: case when d < 13 then 1.0::double + (user_id % 3) when d < 39 then 0.5::double else 0.25::double * (user_id % 2) end) as weights from events")
+def fn_axis_weights(spark, sf):
+    u = F.col("user_id")
+    w = F.transform(F.sequence(F.lit(0), F.lit(43)), lambda d: F.when(d < 13, 1.0 + u % 3).when(d < 39, 0.5).otherwise(0.25 * (u % 2)))
+    return table(spark, sf, "events").select("user_id").distinct().select(u.alias("id"), w.alias("weights"))
+
+
+@query("select doc_id as id, list_reduce(list_prepend(2166136261::ubigint, list_transform(range(1, 33), lambda k: ascii(substr(h, k, 1))::ubigint)), lambda a, c: (xor(a, c) * 16777619) % 4294967296)::bigint as fnv from (select doc_id, md5(text) as h from documents)")
+def fn_fnv_key(spark, sf):
+    h = F.md5("text")
+    codes = F.transform(F.sequence(F.lit(1), F.lit(32)), lambda k: F.ascii(F.substring(h, k, F.lit(1))).cast("long"))
+    fnv = F.aggregate(codes, F.lit(2166136261).cast("long"), lambda a, c: (a.bitwiseXOR(c) * F.lit(16777619).cast("long")).bitwiseAND(F.lit(4294967295).cast("long")))
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), fnv.alias("fnv"))

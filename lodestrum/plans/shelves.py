@@ -1 +1,148 @@
-"""Queries of this family."""
+"""Queries over vaults and their collections."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from lodestrum.operators.catalog import natural_key
+from lodestrum.plans.registry import query
+from lodestrum.sources.tables import entries, shelves, sql, table
+
+
+@query(sql("entries shelves", "select vault, count(distinct collection) as collections, count(*) as sounds from shelves group by vault"))
+def agg_vault_counts(spark, sf):
+    # Two plain levels instead of a distinct count: collections belong to one vault each.
+    per = shelves(spark, sf).groupBy("vault", "collection").agg(F.count("*").alias("n"))
+    return per.groupBy("vault").agg(F.count("*").alias("collections"), F.sum("n").alias("sounds"))
+
+
+@query(sql("entries shelves", "select vault, collection, count(*) as n, 'c' || lpad(collection::varchar, 12, '0') as key from shelves group by vault, collection"))
+def agg_collection_counts(spark, sf):
+    g = shelves(spark, sf).groupBy("vault", "collection").agg(F.count("*").alias("n"))
+    return g.withColumn("key", natural_key(F.concat(F.lit("c"), F.col("collection").cast("string"))))
+
+
+@query(sql("entries shelves", "select vault, path from shelves group by vault, path"))
+def set_vault_paths(spark, sf):
+    return shelves(spark, sf).select("vault", "path").distinct()
+
+
+@query(sql("entries shelves", "select distinct path from shelves"))
+def distinct(spark, sf):
+    return shelves(spark, sf).select("path").distinct()
+
+
+@query(sql("entries shelves", "select path from entries where path not in (select path from shelves where vault % 300 = 0)"))
+def set_difference(spark, sf):
+    return entries(spark, sf).select("path").join(shelves(spark, sf).where("vault % 300 = 0").select("path"), "path", "left_anti")
+
+
+@query(sql("entries shelves", "select e.id from entries e where not exists (select 1 from shelves s where s.path = e.path and s.collection % 50 = 0)"))
+def set_orphans(spark, sf):
+    return entries(spark, sf).join(shelves(spark, sf).where("collection % 50 = 0").select("path"), "path", "left_anti").select("id")
+
+
+@query(sql("entries shelves", "select collection, pos, case when e.id is not null then 'sound' when s.path like 'missing/%' then 'missing' else 'external' end as kind from (select vault, collection, pos, case when pos = 3 then 'outside/' || path when pos = 5 then 'missing/' || path else path end as path from shelves) s left join entries e on e.path = s.path"))
+def filt_missing(spark, sf):
+    s = shelves(spark, sf).withColumn("path", F.expr("case when pos = 3 then 'outside/' || path when pos = 5 then 'missing/' || path else path end"))
+    j = s.join(entries(spark, sf).select("path", "id"), "path", "left")
+    return j.select("collection", "pos", F.when(F.col("id").isNotNull(), "sound").when(F.col("path").startswith("missing/"), "missing").otherwise("external").alias("kind"))
+
+
+@query(sql("entries shelves", "select collection, path, k from (select s.collection, s.path, row_number() over (partition by s.collection order by s.pos, s.path) as k from shelves s join entries e using (path) where s.pos <= 200) where k <= 4"))
+def win_preview(spark, sf):
+    s = shelves(spark, sf).where("pos <= 200").join(entries(spark, sf).select("path"), "path", "left_semi")
+    k = F.row_number().over(Window.partitionBy("collection").orderBy("pos", "path"))
+    return s.withColumn("k", k.cast("long")).where("k <= 4").select("collection", "path", "k")
+
+
+@query(sql("entries shelves", "select collection, path, min(pos) as pos from (select collection, pos, path from shelves union all select collection, pos + 100, path from shelves where vault % 2 = 0) group by collection, path"))
+def dml_collection_add(spark, sf):
+    s = shelves(spark, sf)
+    more = s.where("vault % 2 = 0").withColumn("pos", F.col("pos") + 100)
+    return s.unionByName(more).groupBy("collection", "path").agg(F.min("pos").alias("pos"))
+
+
+@query(sql("entries shelves", "select collection, pos, path from shelves where not (collection % 4 = 0 and pos = 1)"))
+def dml_collection_remove(spark, sf):
+    s = shelves(spark, sf)
+    drop = s.where("collection % 4 = 0 and pos = 1").select("collection", "pos")
+    return s.join(drop, ["collection", "pos"], "left_anti").select("collection", "pos", "path")
+
+
+@query("select o_orderkey as collection, case when row_number() over (partition by o_custkey, lower(o_orderpriority) order by o_orderkey) = 1 then 'created' else 'exists' end as result from orders")
+def dml_collection_create(spark, sf):
+    k = F.row_number().over(Window.partitionBy("o_custkey", F.lower("o_orderpriority")).orderBy("o_orderkey"))
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("collection"), F.when(k == 1, "created").otherwise("exists").alias("result"))
+
+
+@query("select o_orderkey as collection, case when o_orderkey % 5 = 0 then 'renamed ' || o_orderpriority else o_orderpriority end as name, case when o_orderkey % 7 = 0 then '#ff0000' end as color from orders where o_orderkey % 11 <> 0")
+def dml_collection_rename(spark, sf):
+    o = table(spark, sf, "orders").where("o_orderkey % 11 <> 0")
+    return o.select(F.col("o_orderkey").alias("collection"), F.expr("case when o_orderkey % 5 = 0 then concat('renamed ', o_orderpriority) else o_orderpriority end").alias("name"), F.expr("case when o_orderkey % 7 = 0 then '#ff0000' end").alias("color"))
+
+
+@query("select o_custkey as vault, list_sort(list_distinct(list(lower(o_orderpriority)))) as words from orders where o_orderkey % 6 <> 0 group by o_custkey")
+def fn_strlist(spark, sf):
+    o = table(spark, sf, "orders").where("o_orderkey % 6 <> 0")
+    return o.groupBy(F.col("o_custkey").alias("vault")).agg(F.sort_array(F.collect_set(F.lower("o_orderpriority"))).alias("words"))
+
+
+BRIEF = "select o_custkey as vault, o_orderpriority as k, max(o_orderkey) as v from orders where o_orderkey % 2 = {0} group by all"
+
+
+@query(f"select coalesce(a.vault, b.vault) as vault, coalesce(a.k, b.k) as k, coalesce(b.v, a.v) as v from ({BRIEF.format(0)}) a full join ({BRIEF.format(1)}) b on a.vault = b.vault and a.k = b.k where coalesce(b.v, a.v) % 5 <> 1")
+def dml_brief_update(spark, sf):
+    o = table(spark, sf, "orders")
+    part = lambda r: o.where(f"o_orderkey % 2 = {r}").groupBy(F.col("o_custkey").alias("vault"), F.col("o_orderpriority").alias("k")).agg(F.max("o_orderkey").alias("v"))
+    a = part(0).groupBy("vault").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("old"))
+    b = part(1).groupBy("vault").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("new"))
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<bigint>"))
+    j = a.join(b, "vault", "full_outer").select("vault", F.coalesce("old", none).alias("old"), F.coalesce("new", none).alias("new"))
+    merged = F.map_zip_with("old", "new", lambda _, x, y: F.coalesce(y, x))
+    return j.select("vault", F.explode(F.map_filter(merged, lambda _, v: v % 5 != 1)).alias("k", "v"))
+
+
+@query("select word, min(o) as first from (select lower(o_orderpriority) as word, o_orderkey as o from orders where o_orderkey % 9 <> 0) where word not in (select lower(o_orderpriority) from orders where o_orderkey = 977) group by word")
+def filt_unmatched_open(spark, sf):
+    o = table(spark, sf, "orders")
+    w = o.where("o_orderkey % 9 <> 0").select(F.lower("o_orderpriority").alias("word"), "o_orderkey")
+    done = o.where("o_orderkey = 977").select(F.lower("o_orderpriority").alias("word"))
+    return w.join(done, "word", "left_anti").groupBy("word").agg(F.min("o_orderkey").alias("first"))
+
+
+@query("select word, count(distinct id) as used from (select unnest(string_split(p_name, ' ')) as word, p_partkey as id from part) group by word")
+def agg_syn_use(spark, sf):
+    w = table(spark, sf, "part").select(F.explode(F.array_distinct(F.split("p_name", " "))).alias("word"))  # one row for each word of a name
+    return w.groupBy("word").agg(F.count("*").alias("used"))
+
+
+@query("select word, list_sort(list_distinct(list(p_size::bigint))) as cats from (select unnest(string_split(p_name, ' ')) as word, p_size from part) group by word")
+def agg_idx_lists(spark, sf):
+    w = table(spark, sf, "part").select(F.explode(F.split("p_name", " ")).alias("word"), F.col("p_size").cast("long").alias("size"))
+    return w.groupBy("word").agg(F.sort_array(F.collect_set("size")).alias("cats"))
+
+
+@query("select distinct w, case when w like '%es' and list_contains(v, left(w, -2)) then left(w, -2) when w like '%s' then left(w, -1) when w like '%a' then left(w, -1) || 'o' else w end as base from (select unnest(string_split(p_name, ' ')) || (['', 's', 'es', 'a'])[p_partkey % 4 + 1] as w from part), (select list(distinct x) as v from (select unnest(string_split(p_name, ' ')) as x from part))")
+def fn_lookup_inflect(spark, sf):
+    words = table(spark, sf, "part").select(F.explode(F.split("p_name", " ")).alias("x"), F.element_at(F.array(*map(F.lit, ("", "s", "es", "a"))), (F.col("p_partkey") % 4 + 1).cast("int")).alias("end"))
+    w = words.select(F.concat("x", "end").alias("w")).distinct().withColumn("short", F.expr("substring(w, 1, length(w) - 2)"))
+    known = words.select(F.col("x").alias("short"), F.lit(True).alias("known")).distinct()
+    one = F.expr("substring(w, 1, length(w) - 1)")
+    c = F.col("w")
+    return w.join(known, "short", "left").select("w", F.when(c.endswith("es") & F.col("known"), F.col("short")).when(c.endswith("s"), one).when(c.endswith("a"), F.concat(one, F.lit("o"))).otherwise(c).alias("base"))
+
+
+@query("select o_custkey as vault, kind, n from (select o_custkey, 'word' as kind, count(*) as n from orders where o_orderkey % 3 = 0 group by all union all select o_custkey, 'concept', count(*) from orders where o_orderkey % 3 = 1 and o_orderkey % 5 <> 0 group by all union all select o_custkey, 'sound', count(*) from orders where o_orderkey % 3 = 2 group by all)")
+def q_brief_queries(spark, sf):
+    o = table(spark, sf, "orders")
+    kind = F.when(F.col("o_orderkey") % 3 == 0, "word").when(F.col("o_orderkey") % 3 == 1, "concept").otherwise("sound")
+    keep = ~((F.col("o_orderkey") % 3 == 1) & (F.col("o_orderkey") % 5 == 0))
+    return o.where(keep).groupBy(F.col("o_custkey").alias("vault"), kind.alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query("select distinct key, id from (select p_partkey as id, unnest([lower(p_brand), lower(p_type), lower(p_name)]) as key from part)")
+def q_concept_names(spark, sf):
+    p = table(spark, sf, "part")
+    return p.select(F.explode(F.array(F.lower("p_brand"), F.lower("p_type"), F.lower("p_name"))).alias("key"), F.col("p_partkey").alias("id")).distinct()
