@@ -30,6 +30,10 @@ FOLDS, HELD = 5, 0
 MINED_TEXTS, MINED_LIFT, MINED_VARIETY = 8, 10.0, 0.6
 VOCABULARY, LONE_WORDS = 20_000, 150
 TOXIC, CLEAN, ABSTAIN = 0, 1, 2
+#: Voters whose votes correlate more than this count as one.
+ALIKE = 0.9
+#: A correlation given the label up to this much is left to chance and to the fit's own error.
+CHANCE = 0.2
 
 
 def words_of(text: str) -> list[str]:
@@ -54,7 +58,7 @@ class Voters:
     def __init__(self, lexicon: list[str]) -> None:
         self.lexicon = lexicon
         self.place = {w: i for i, w in enumerate(lexicon)}
-        self.names = [*(f"word:{w}" for w in lexicon), "several", "dense", "addressed", "none", "plain"]
+        self.names = [*(f"word:{w}" for w in lexicon), "several", "dense", "addressed", "none"]
 
     def votes(self, text: str, words: list[str]) -> np.ndarray:
         out = np.full(len(self.names), ABSTAIN, np.int8)
@@ -73,8 +77,6 @@ class Voters:
             out[at + 2] = TOXIC
         if not hits:
             out[at + 3] = CLEAN
-            if not re.search(r"!{2,}|\b\w*[*#]{2,}\w*", text):
-                out[at + 4] = CLEAN
         return out
 
 
@@ -86,8 +88,13 @@ class LabelModel:
         self.prior = min(max(prior, 1e-3), 1 - 1e-3)
         one = np.stack([votes == v for v in (TOXIC, CLEAN, ABSTAIN)], 2).astype(float)  # text, voter, vote
         signed = (votes == TOXIC).astype(float) - (votes == CLEAN)
-        self.weights = np.ones(m)
-        toxic = np.clip(0.5 + 0.45 * np.sign(signed.sum(1)), 0.02, 0.98)
+        # Voters that vote alike nearly always are one voter, or they would pass for the hidden label itself.
+        centred = signed - signed.mean(0)
+        size = np.sqrt((centred**2).mean(0)) + 1e-9
+        alike = ((centred / size).T @ (centred / size) / max(n, 1) > ALIKE) | np.eye(m, dtype=bool)
+        own = 1 / alike.sum(1)
+        self.weights = own.copy()
+        toxic = np.clip(0.5 + 0.45 * np.sign(signed @ own), 0.02, 0.98)
         for _ in range(rounds):
             mass = np.stack([toxic, 1 - toxic], 1)
             # A voter is taken to be right oftener than not: the prior counts say so.
@@ -100,7 +107,7 @@ class LabelModel:
             scale = np.sqrt((rest**2).mean(0)) + 1e-6
             self.correlation = (rest / scale).T @ (rest / scale) / max(n, 1)
             np.fill_diagonal(self.correlation, 0)
-            self.weights = 1 / (1 + np.clip(self.correlation, 0, None).sum(1))
+            self.weights = own / (1 + np.where(alike, 0, np.clip(self.correlation - CHANCE, 0, None)).sum(1))
             toxic = self.posterior(votes)
         self.accuracy = self.table[0, :, TOXIC] / (self.table[0, :, TOXIC] + self.table[1, :, TOXIC])
         return self
