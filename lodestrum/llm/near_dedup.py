@@ -36,6 +36,8 @@ BASE, TOP = 1.02, 2000
 DOUBT = 8.0
 #: Rows on each side of a block of one bucket, when components of a bucket are compared.
 BLOCK = 1 << 14
+#: Members of a set that go with a row of a block, by the least hashes: sets up to this size are compared whole there.
+MEMBERS = 256
 PART = 1 << 21  # bytes whose words are hashed together
 
 _rng = np.random.default_rng(20_240_229)
@@ -175,6 +177,27 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        found = [np.unique((shingle_hashes(word_hashes(t.encode().lower())) & np.uint64(0xFFFFFFFF)).astype("<u4"))[:MEMBERS].tobytes() for t in b.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(found, pa.binary())], ["id", "members"])
+
+
+def overlapping(x: np.ndarray, y: np.ndarray, n_x: int, n_y: int, similarity: int = SIMILARITY) -> bool:
+    """May sets of these sizes be linked, by their least members? Exact for sets that are whole here, but for one hash that
+    two members may share; for larger ones the likelihood of so many common ones among the least of the union."""
+    both = np.intersect1d(x, y, assume_unique=True)
+    if n_x <= MEMBERS and n_y <= MEMBERS:
+        common = len(both) + 1
+        return 100 * common >= similarity * (n_x + n_y - common)
+    least = np.union1d(x, y)[:MEMBERS]
+    k, hits, at = len(least), int((both <= least[-1]).sum()), similarity / 100
+    if hits >= at * k:
+        return True
+    j = min(max(hits / k, 1e-6), 1 - 1e-6)
+    return hits * np.log(j / at) + (k - hits) * np.log((1 - j) / (1 - at)) <= DOUBT
+
+
 def _across(best_only: bool):
     """Pairs of one block that may be linked: the left rows, which come first, against all right rows of other components.
 
@@ -185,9 +208,10 @@ def _across(best_only: bool):
     def against(left: list[tuple], right: pa.RecordBatch, bucket: int) -> pa.RecordBatch | None:
         regs = np.frombuffer(b"".join(right.column("registers").to_pylist()), "<u2").reshape(-1, REGISTERS)
         ids, comps, sizes = (right.column(c).to_numpy() for c in ("id", "component", "n"))
+        members = [np.frombuffer(m, "<u4") for m in right.column("members").to_pylist()]
         bands = regs.reshape(-1, BANDS, ROWS)
         out = []
-        for x, comp, n, own in left:
+        for x, comp, n, own_members, own in left:
             same = regs == own
             shared = (bands == own.reshape(BANDS, ROWS)).all(2)
             # The band of this bucket is the first that they share, for a pair whose buckets agree there.
@@ -195,6 +219,7 @@ def _across(best_only: bool):
             if not len(rows):
                 continue
             rows = rows[plausible(np.broadcast_to(own, (len(rows), REGISTERS)), regs[rows], np.full(len(rows), n), sizes[rows])]
+            rows = np.array([k for k in rows.tolist() if overlapping(own_members, members[k], n, int(sizes[k]))], int)
             if best_only and len(rows):
                 order = rows[np.argsort(-same[rows].sum(1), kind="stable")]
                 rows = order[np.unique(comps[order], return_index=True)[1]]
@@ -215,7 +240,7 @@ def _across(best_only: bool):
                 part = b.slice(start, at - start)
                 if sides[start] == 0:
                     regs = np.frombuffer(b"".join(part.column("registers").to_pylist()), "<u2").reshape(-1, REGISTERS)
-                    left += list(zip(part.column("id").to_pylist(), part.column("component").to_pylist(), part.column("n").to_pylist(), regs, strict=True))
+                    left += list(zip(part.column("id").to_pylist(), part.column("component").to_pylist(), part.column("n").to_pylist(), [np.frombuffer(m, "<u4") for m in part.column("members").to_pylist()], regs, strict=True))
                 elif left and (found := against(left, part, key[0])) is not None:
                     yield found
                 start = at
@@ -223,7 +248,7 @@ def _across(best_only: bool):
     return run
 
 
-def across(placed: DataFrame, reps: DataFrame, best_only: bool) -> DataFrame:
+def across(placed: DataFrame, reps: DataFrame, docs: DataFrame, best_only: bool) -> DataFrame:
     """Pairs (a, b) of different components that may be linked, from (bucket, id, component) of buckets with several.
 
     The members outside a bucket's largest component are compared with all its members. Both sides are dealt in blocks of
@@ -233,8 +258,10 @@ def across(placed: DataFrame, reps: DataFrame, best_only: bool) -> DataFrame:
     main = counts.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("all_n"))
     main = main.select(F.col("bucket").alias("m_bucket"), F.col("most.component").alias("main"), F.ceil(F.col("all_n") / BLOCK).cast("int").alias("rights"), F.ceil((F.col("all_n") - F.col("most.n")) / BLOCK).cast("int").alias("lefts"))
     rows = placed.join(main, F.col("bucket") == F.col("m_bucket")).join(reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "registers"), "id")
+    asked = placed.select(F.col("id").alias("doc_id")).distinct()
+    rows = rows.join(docs.join(asked, "doc_id", "left_semi").mapInArrow(_members, "id long, members binary"), "id")
     spot = F.xxhash64("id")
-    columns = ["bucket", "down", "over", "side", "id", "component", "n", "registers"]
+    columns = ["bucket", "down", "over", "side", "id", "component", "n", "registers", "members"]
     left = rows.where("component <> main").withColumn("side", F.lit(0)).withColumn("down", F.pmod(spot, F.col("lefts")).cast("int")).withColumn("over", F.explode(F.sequence(F.lit(0), F.col("rights") - 1)))
     right = rows.withColumn("side", F.lit(1)).withColumn("over", F.pmod(spot, F.col("rights")).cast("int")).withColumn("down", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)))
     blocks = left.select(*columns).union(right.select(*columns))
@@ -281,7 +308,7 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         placed = shared.join(found, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
         mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
         placed = stored(placed.join(mixed, "bucket", "left_semi"), "mixed")
-        pairs = across(placed, reps, best_only)
+        pairs = across(placed, reps, docs, best_only)
         if best_only:
             pairs = pairs.groupBy("x", "other").agg(F.max_by(F.struct("a", "b"), "agree").alias("p")).select("p.a", "p.b")
         pairs = stored(pairs.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "across")
