@@ -12,8 +12,27 @@ from pyspark.sql import functions as F
 #: Words that a query doesn't need, and groups of words that stand for each other, by stem.
 STOP = set("a an the of on in at to for with and or by from into onto sound sounds sfx fx".split())
 ALIAS_GROUPS = [
-    g.split(",")
-    for g in "impact,impt;whoosh,whsh,swoosh;explosion,expl,explo;ambience,ambient,amb,ambi,atmos,atmo;designed,dsgn;weapon,wpn;vehicle,veh;creature,crea,creat;metal,mtl,metallic;water,wtr;voice,vox,vocal;footstep,fs,ftsp;gunshot,gun;foley,foly;user interface,ui,gui;electric,elec;mechanical,mech;magic,mgc;destruction,dstr,destr;glass,gls;scifi,sci".split(";")
+    ["impact", "impt"],
+    ["whoosh", "whsh", "swoosh"],
+    ["explosion", "expl", "explo"],
+    ["ambience", "ambient", "amb", "ambi", "atmos", "atmo"],
+    ["designed", "dsgn"],
+    ["weapon", "wpn"],
+    ["vehicle", "veh"],
+    ["creature", "crea", "creat"],
+    ["metal", "mtl", "metallic"],
+    ["water", "wtr"],
+    ["voice", "vox", "vocal"],
+    ["footstep", "fs", "ftsp"],
+    ["gunshot", "gun"],
+    ["foley", "foly"],
+    ["user interface", "ui", "gui"],
+    ["electric", "elec"],
+    ["mechanical", "mech"],
+    ["magic", "mgc"],
+    ["destruction", "dstr", "destr"],
+    ["glass", "gls"],
+    ["scifi", "sci"],
 ]
 #: Weights of the ways to match, and of the fields.
 EXACT, ALIAS, PREFIX, TAIL = 3, 2, 2, 1
@@ -71,9 +90,17 @@ def spaced(text: Column) -> Column:
     return text
 
 
+def plain_tokens(text: Column) -> Column:
+    return F.array_distinct(F.concat(tokenize(text), tokenize(spaced(text))))
+
+
+def with_stems(tokens: Column) -> Column:
+    """Tokens and their stems; give it a column of tokens, not an expression, which would be worked out twice."""
+    return F.array_distinct(F.concat(tokens, F.transform(tokens, stem)))
+
+
 def doc_tokens(text: Column) -> Column:
-    plain = F.array_distinct(F.concat(tokenize(text), tokenize(spaced(text))))
-    return F.array_distinct(F.concat(plain, F.transform(plain, stem)))
+    return with_stems(plain_tokens(text))
 
 
 # queries, on the driver

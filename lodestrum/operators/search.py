@@ -16,8 +16,15 @@ FLOOR, NEAR, FAR = 0.30, 0.05, 0.25
 
 
 def indexed(rows: DataFrame) -> DataFrame:
-    """Rows with the token sets of their fields; store this as a table to index once."""
-    return rows.withColumns({"name_tokens": tx.doc_tokens(F.col("name")), "folder_tokens": tx.doc_tokens(F.col("dir")), "top_tokens": tx.doc_tokens(F.col("top_level"))})
+    """Rows with the token sets of their fields; store this as a table to index once.
+
+    Folders are few beside files, so their tokens are made once for each folder and joined back.
+    """
+    names = rows.withColumn("name_plain", tx.plain_tokens(F.col("name"))).withColumn("name_tokens", tx.with_stems(F.col("name_plain"))).drop("name_plain")
+    folders = rows.select("dir", "top_level").distinct()
+    folders = folders.withColumns({"f": tx.plain_tokens(F.col("dir")), "t": tx.plain_tokens(F.col("top_level"))})
+    folders = folders.select(F.col("dir").alias("_dir"), F.col("top_level").alias("_top"), tx.with_stems(F.col("f")).alias("folder_tokens"), tx.with_stems(F.col("t")).alias("top_tokens"))
+    return names.join(folders, names.dir.eqNullSafe(folders._dir) & names.top_level.eqNullSafe(folders._top)).drop("_dir", "_top")
 
 
 def scored(rows: DataFrame, text: str) -> DataFrame:
@@ -26,8 +33,10 @@ def scored(rows: DataFrame, text: str) -> DataFrame:
     fields = {f: F.col(f"{f}_tokens") for f in tx.FIELDS}
     if not terms:
         return rows.where(F.lit(False)).withColumns({"score": F.lit(0), "matched": F.lit(0), "full": F.lit(False)})
-    for i, t in enumerate(terms):
-        rows = rows.withColumn(f"s{i}", tx.term_score(t, fields))
+    # Each match is looked for once; its score is a second step.
+    rows = rows.withColumns({f"m{i}_{f}": tx.match_weight(t, tokens) for i, t in enumerate(terms) for f, tokens in fields.items()})
+    best = lambda i: F.greatest(*(F.when(F.col(f"m{i}_{f}") > 0, F.col(f"m{i}_{f}") + w).otherwise(0) for f, w in tx.FIELDS.items()))
+    rows = rows.withColumns({f"s{i}": best(i) for i in range(len(terms))}).drop(*(f"m{i}_{f}" for i in range(len(terms)) for f in fields))
     each = [F.col(f"s{i}") for i in range(len(terms))]
     matched = sum(((c > 0).cast("int") for c in each), F.lit(0))
     rows = rows.withColumns({"score": sum(each, F.lit(0)), "matched": matched}).drop(*(f"s{i}" for i in range(len(terms))))
