@@ -26,4 +26,4 @@ def query(sql: str | None = None, name: str | None = None):
 
 def load() -> None:
     """Import the modules that register queries."""
-    from lodestrum.plans import catalog, changes, echo, edits, events, search, series, shelves, vectors  # noqa: F401
+    from lodestrum.plans import catalog, changes, echo, edits, events, library, search, series, shelves, vectors  # noqa: F401

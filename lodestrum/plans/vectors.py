@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from lodestrum.functions.vector import blend, dot, rounded, unit
 from lodestrum.operators import similar as op
 from lodestrum.plans.registry import query
+from lodestrum.session import ship
 from lodestrum.sources.tables import entries, sql, vectors
 
 CENT = """dims as (select label, d, avg(x) as m from (select label, unnest(range(1, 65)) as d, unnest(vec) as x from vectors) group by label, d),
@@ -30,11 +31,13 @@ def agg_meanpool(spark, sf):
 
 @query(sql("vectors", "select a.id as qid, b.id, round(list_dot_product(a.vec, b.vec), 6) as score, row_number() over (partition by a.id order by list_dot_product(a.vec, b.vec) desc, b.id) as rank from vectors a join vectors b on a.id <> b.id where a.id % 5 = 0 qualify rank <= 10"))
 def q_knn_all_pairs(spark, sf):
+    ship(spark)
     v = vectors(spark, sf)
     return op.knn(v.where("id % 5 = 0").select("id", "vec"), v, 10).select("qid", "id", F.round("score", 6).alias("score"), "rank")
 
 
 def q_knn_approximate(spark, sf):
+    ship(spark)
     v = vectors(spark, sf)
     return op.knn_approximate(v.where("id % 50 = 0"), v, 10).select("qid", "id", F.round("score", 6).alias("score"), "rank")
 
@@ -207,6 +210,7 @@ def sort_order_key(spark, sf):
 
 def q_mmr(spark, sf):
     """Diverse picks for each label from its best 160: greedy, so without SQL."""
+    ship(spark)
     pool = _tops(spark, sf).where("k <= 160").join(vectors(spark, sf).select("id", "vec"), "id")
     names = entries(spark, sf).select("id", "dir")
     pool = pool.join(names, "id", "left").select(F.col("concept").alias("card"), "id", F.coalesce("dir", F.lit("")).alias("dir"), F.col("s").alias("score"), "vec")

@@ -17,3 +17,16 @@ def session(master: str | None = None, **more: str) -> SparkSession:
     if master:
         builder = builder.master(master)
     return builder.config(map=SETTINGS | more).getOrCreate()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the Python workers, once for each context, unless it already came in an archive."""
+    import shutil
+    import tempfile
+    from pathlib import Path
+
+    sc, home = spark.sparkContext, Path(__file__).resolve().parent
+    if getattr(sc, "_lodestrum_shipped", False) or not home.is_dir():
+        return
+    sc.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp()}/lodestrum_package", "zip", home.parent, home.name))
+    sc._lodestrum_shipped = True

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrum.operators.catalog import has_ignored_dir, is_audio
+from lodestrum.session import ship
 
 HEADER = "rate int, channels int, bits int, format int, data_at long, data_bytes long, frames long"
 FIELDS = ["rate", "channels", "bits", "format", "data_at", "data_bytes", "frames"]
@@ -107,6 +108,7 @@ def headers(files: DataFrame) -> DataFrame:
             types = [pa.int32()] * 4 + [pa.int64()] * 3
             yield pa.RecordBatch.from_arrays([b.column("path"), *(pa.array([r[f] for r in rows], t) for f, t in zip(FIELDS, types, strict=True))], ["path", *FIELDS])
 
+    ship(files.sparkSession)
     return files.mapInArrow(run, f"path string, {HEADER}")
 
 
@@ -118,4 +120,5 @@ def samples(files: DataFrame) -> DataFrame:
             found = [decode(c) for c in b.column("content").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("path"), pa.array([f and f[0] for f in found], pa.int32()), pa.array([None if f is None else mono(f[1]) for f in found], pa.list_(pa.float64()))], ["path", "rate", "samples"])
 
+    ship(files.sparkSession)
     return files.mapInArrow(run, "path string, rate int, samples array<double>")
