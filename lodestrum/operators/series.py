@@ -81,23 +81,27 @@ def final_stats(parts: DataFrame) -> DataFrame:
     return total.select(*out)
 
 
-def z_frames(frames: DataFrame, stats: DataFrame) -> DataFrame:
-    """Frames in standard units at length one: series, w, z (array)."""
+def z_frames(frames: DataFrame, stats: DataFrame, *keep: str) -> DataFrame:
+    """Frames in standard units at length one: series, w, z (array), and columns to keep."""
     z = frames.join(F.broadcast(stats))  # stats is one row
-    values = [((F.col(f"f{d}") - F.col(f"m{d}")) / F.col(f"t{d}")) for d in range(DIMS)]
-    z = z.select("series", "w", F.array(*values).alias("v"))
-    n = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    return z.select("series", "w", F.transform("v", lambda x: F.when(n > 0, x / n).otherwise(0.0)).alias("z"))
+    # Plain columns, not array functions, so that all of it is compiled.
+    z = z.select("series", "w", *keep, *(((F.col(f"f{d}") - F.col(f"m{d}")) / F.col(f"t{d}")).alias(f"v{d}") for d in range(DIMS)))
+    n = F.sqrt(sum((F.col(f"v{d}") * F.col(f"v{d}") for d in range(DIMS)), F.lit(0.0)))
+    z = z.withColumn("n", n)
+    return z.select("series", "w", *keep, F.array(*(F.when(F.col("n") > 0, F.col(f"v{d}") / F.col("n")).otherwise(0.0) for d in range(DIMS))).alias("z"))
+
+
+def dot_fixed(a: Column, b: Column) -> Column:
+    """The dot product of two vectors of DIMS elements, compiled."""
+    return sum((a[d] * b[d] for d in range(DIMS)), F.lit(0.0))
 
 
 def slide(query: DataFrame, candidates: DataFrame) -> DataFrame:
     """The best mean similarity over all alignments of a short query (w, z) inside each candidate: series, off, score."""
-    from lodestrum.functions.vector import dot
-
     q = query.select(F.col("w").alias("qw"), F.col("z").alias("qz"))
     size = q.agg(F.max("qw").alias("last"), F.count("*").alias("qn"))
     pairs = candidates.join(F.broadcast(q))  # the query has a fixed, small number of frames
-    scored = pairs.select("series", (F.col("w") - F.col("qw")).alias("off"), dot(F.col("z"), F.col("qz")).alias("s"))
+    scored = pairs.select("series", (F.col("w") - F.col("qw")).alias("off"), dot_fixed(F.col("z"), F.col("qz")).alias("s"))
     sums = scored.groupBy("series", "off").agg(F.sum("s").alias("s"), F.count("*").alias("n")).join(F.broadcast(size)).where("n = qn")
     best = sums.groupBy("series").agg(F.max(F.struct(F.round(F.col("s") / F.col("qn"), 9).alias("score"), (-F.col("off")).alias("neg"))).alias("b"))
     return best.select("series", (-F.col("b.neg")).alias("off"), F.col("b.score").alias("score"))

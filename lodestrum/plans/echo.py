@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestrum.functions.vector import dot
 from lodestrum.operators import series as op
 from lodestrum.plans.registry import query
 from lodestrum.plans.series import STATS, SUMS, ZF
@@ -20,11 +19,10 @@ sc as (select series, list_dot_product(mean, qm) as sm, list_dot_product(attack,
 def _coarse(spark, sf):
     """Each series' likeness to the first one, by mean frame and by loudest frame."""
     f = frames(spark, sf)
-    z = op.z_frames(f, op.final_stats(op.partial_sums(f)))
-    z = z.join(f.select("series", "w", "f0"), ["series", "w"])
+    z = op.z_frames(f, op.final_stats(op.partial_sums(f)), "f0")
     s = z.groupBy("series").agg(F.array(*(F.avg(F.col("z")[d]) for d in range(op.DIMS))).alias("mean"), F.max_by("z", F.struct("f0", -F.col("w"))).alias("attack"))
     q = s.orderBy("series").limit(1).select(F.col("mean").alias("qm"), F.col("attack").alias("qa"))
-    return s.join(F.broadcast(q)).select("series", dot(F.col("mean"), F.col("qm")).alias("sm"), dot(F.col("attack"), F.col("qa")).alias("sa"))
+    return s.join(F.broadcast(q)).select("series", op.dot_fixed(F.col("mean"), F.col("qm")).alias("sm"), op.dot_fixed(F.col("attack"), F.col("qa")).alias("sa"))
 
 
 TOPS = "tm as (select series from sc order by round(sm, 9) desc, series limit 25),\nta as (select series from sc order by round(sa, 9) desc, series limit 25)"
