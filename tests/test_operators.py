@@ -88,3 +88,14 @@ def test_moves_take_the_longest_folder(spark):
     rows = spark.createDataFrame([("a/b/c.wav",), ("a/x.wav",), ("ab/y.wav",)], "path string")
     moves = spark.createDataFrame([("a", "n"), ("a/b", "m")], "src string, dst string")
     assert {r["path"]: r["new_path"] for r in changes.remap(rows, moves).collect()} == {"a/b/c.wav": "m/c.wav", "a/x.wav": "n/x.wav", "ab/y.wav": "ab/y.wav"}
+
+
+def test_a_sound_is_on_one_card_at_most(spark):
+    from lodestrum.operators import brief
+
+    v, d = vectors(spark, 300)
+    q = spark.createDataFrame([(k, v[i].tolist(), 1.0 - k / 100) for k, i in enumerate((0, 1, 2, 3, 0))], "card long, qvec array<double>, weight double")
+    names = spark.createDataFrame([(i, f"d{i % 3}") for i in range(300)], "id long, dir string")
+    got = brief.cards(d, q, names).collect()
+    ids = [r["id"] for r in got]
+    assert len(ids) == len(set(ids)) and 4 not in {r["card"] for r in got}  # the last query is a twin of the first
