@@ -79,13 +79,25 @@ def collection_name_error(name: Column) -> Column:
     return F.when(name.isNull() | (t == ""), "required").when(t == "__colors", "reserved").when(F.length(t) > 80, "long")
 
 
+#: Value ranges in which ranks are counted; their counts are all that is ordered in one place.
+RANK_RANGES = 1024
+
+
+def numbered(rows: DataFrame, by: str, name: str) -> DataFrame:
+    """Rows numbered from 0 in the order of a distinct whole number, without one task that sorts them all: ranks within
+    value ranges, each range beginning after the rows of those before it."""
+    span = rows.agg(F.min(by).alias("_lo"), (F.max(by) - F.min(by) + 1).alias("_span"))
+    dealt = rows.join(F.broadcast(span)).withColumn("_range", F.floor((F.col(by) - F.col("_lo")) * F.lit(float(RANK_RANGES)) / F.col("_span")))
+    sizes = dealt.groupBy("_range").agg(F.count("*").alias("_n"))  # RANK_RANGES rows at most
+    starts = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_start"))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(by)) - 1
+    return dealt.withColumn("_own", own).join(F.broadcast(starts), "_range").withColumn(name, F.col("_start") + F.col("_own")).drop("_range", "_lo", "_span", "_start", "_own")
+
+
 def pack(listing: DataFrame) -> DataFrame:
     """Columns with folders replaced by numbers in order of first use: id order decides."""
     first = listing.groupBy("dir").agg(F.min("id").alias("first"))
-    # Folders are numbered by rank within ranges, without one task that sorts them all.
-    coded = first.select("dir", "first")
-    ranked = coded.join(coded.select(F.col("first").alias("other")), F.col("other") < F.col("first"), "left").groupBy("dir").agg(F.count("other").alias("code"))
-    return listing.join(ranked, "dir").select("id", "name", F.col("code").alias("dir_code"))
+    return listing.join(numbered(first, "first", "dir_code").drop("first"), "dir").select("id", "name", "dir_code")
 
 
 def unique_names(rows: DataFrame, key: str = "name", order: str = "id") -> DataFrame:
