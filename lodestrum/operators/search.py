@@ -71,14 +71,18 @@ def hybrid(names: DataFrame, scores: DataFrame, ai: DataFrame, limit: int) -> Da
     names: id, rank; scores: id, score of every vector; ai: id, score, floor. A name hit is strong when it has no score or
     one that reaches the floor.
     """
-    floor = ai.agg(F.coalesce(F.max("floor"), F.lit(0.0)).alias("floor"))
-    hits = names.select("id", "rank").join(scores, "id", "left").join(F.broadcast(floor))
-    tier = F.when(F.col("score").isNull() | (F.col("score") >= F.col("floor")), 1).otherwise(3)
-    by_name = hits.select("id", "score", tier.alias("tier"), "rank", F.lit("name").alias("match"))
-    named = names.select(F.col("id").alias("named"))
-    by_ear = ai.join(named, ai.id == named.named, "left").select("id", "score", F.lit(2).alias("tier"), F.lit(0).cast("long").alias("rank"), F.when(F.col("named").isNotNull(), "name").otherwise("ai").alias("match"))
-    every = by_name.unionByName(by_ear)
-    first = every.withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy("tier"))).where("k = 1").drop("k")
+    # One outer join uses each side once; a weak name hit can't be among the hits by listening, which reach the floor.
+    met = names.select("id", "rank").join(ai.select("id", F.col("score").alias("heard"), "floor"), "id", "full_outer")
+    met = met.withColumn("floor", F.coalesce(F.max("floor").over(Window.partitionBy()), F.lit(0.0)))  # over both limits' rows at most
+    met = met.join(scores, "id", "left")
+    named = F.col("rank").isNotNull()
+    strong = F.col("score").isNull() | (F.col("score") >= F.col("floor"))
+    first = met.select(
+        "id", "score",
+        F.when(named & strong, 1).when(F.col("heard").isNotNull(), 2).otherwise(3).alias("tier"),
+        F.coalesce("rank", F.lit(0).cast("long")).alias("rank"),
+        F.when(named, "name").otherwise("ai").alias("match"),
+    )
     keys = ["tier", F.desc(F.coalesce("score", F.lit(-2.0))), "rank", "id"]
     top = first.orderBy(*keys).limit(limit)
     return top.select((F.row_number().over(Window.orderBy(*keys)) - 1).cast("long").alias("place"), "id", F.round("score", 6).alias("score"), "match")
