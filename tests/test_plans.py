@@ -35,8 +35,8 @@ def test_scans_read_only_what_is_asked(spark):
 def test_no_pairs_by_nested_loops(spark, name):
     p = plan(registry.QUERIES[name](spark, DATA))
     assert "CartesianProduct" not in p
-    # Only a single row may be put beside every row; numbering does so for its two uses of the rows.
-    assert p.count("BroadcastNestedLoopJoin") <= (2 if name == "sink_packed" else 1)
+    # Only a single row may be put beside every row; some queries use such rows twice.
+    assert p.count("BroadcastNestedLoopJoin") <= (2 if name in ("sink_packed", "cdc_rename_match") else 1)
 
 
 def test_numbers_without_one_sorting_task(spark):
