@@ -145,3 +145,58 @@ def collapse(rows: DataFrame, key: Column, rank: Column) -> DataFrame:
     own = F.when(key.isNull(), F.concat(F.lit("id:"), F.col("id").cast("string"))).otherwise(F.concat(F.lit("h:"), key))
     best = rows.withColumns({"_k": own, "_r": rank}).groupBy("_k").agg(F.min(F.struct("_r", "id")).alias("b"), F.collect_list("id").alias("all"))
     return best.select(F.col("b.id").alias("id"), F.col("b._r").alias("rank"), F.sort_array(F.filter("all", lambda x: x != F.col("b.id"))).alias("copies"))
+
+
+def palettes(pixels: DataFrame, k: int, steps: int = 12) -> DataFrame:
+    """signal.palette of every group by aggregates over all pixels (g, id, a, b, c): g, k, r, g_, b_ and n by size.
+
+    Seeding and each Lloyd step are one pass with partial aggregates, so a group of any size is spread over tasks. The
+    driver holds k centres a group. Of equally near or far pixels the one with the least id counts; pixels with a missing
+    component are none.
+    """
+    spark, kind = pixels.sparkSession, pixels.schema["g"].dataType.simpleString()
+    pixels = pixels.select("g", "id", "a", "b", "c").dropna(subset=["a", "b", "c"])
+    spot = F.struct("a", "b", "c")
+
+    def measured(centres: dict) -> DataFrame:
+        """The pixels of these groups with d, the squared distances to the group's centres."""
+        table = spark.createDataFrame([(g, [list(map(float, c)) for c in cs]) for g, cs in centres.items()], f"_g {kind}, cs array<array<double>>")
+        away = F.transform("cs", lambda c: sum(((F.col(x) - c[i]) * (F.col(x) - c[i]) for i, x in enumerate("abc")), F.lit(0.0)))
+        return pixels.join(F.broadcast(table), F.col("g").eqNullSafe(F.col("_g"))).withColumn("d", away)  # one row a group
+
+    def assigned(centres: dict) -> dict:
+        own = (F.array_position("d", F.array_min("d")) - 1).cast("int").alias("own")
+        got = measured(centres).groupBy("g", own).agg(F.avg("a").alias("a"), F.avg("b").alias("b"), F.avg("c").alias("c"), F.count("*").alias("n"))
+        return {(r["g"], r["own"]): (np.array([r["a"], r["b"], r["c"]]), r["n"]) for r in got.collect()}
+
+    means = {r["g"]: [(r["a"], r["b"], r["c"])] for r in pixels.groupBy("g").agg(F.avg("a").alias("a"), F.avg("b").alias("b"), F.avg("c").alias("c")).collect()}
+    centres = {}
+    if means:
+        first = measured(means).groupBy("g").agg(F.min_by(spot, F.struct(F.col("d")[0], F.col("id"))).alias("p"))
+        centres = {r["g"]: [np.array(tuple(r["p"]))] for r in first.collect()}
+    open_ = set(centres) if k > 1 else set()
+    while open_:
+        far = measured({g: centres[g] for g in open_}).groupBy("g").agg(F.max_by(F.struct(F.array_min("d").alias("m"), spot.alias("p")), F.struct(F.array_min("d"), -F.col("id"))).alias("far"))
+        for r in far.collect():
+            if r["far"]["m"] > 0:
+                centres[r["g"]].append(np.array(tuple(r["far"]["p"])))
+            if r["far"]["m"] <= 0 or len(centres[r["g"]]) == k:
+                open_.discard(r["g"])
+    open_ = set(centres)
+    for _ in range(steps):
+        if not open_:
+            break
+        got = assigned({g: centres[g] for g in open_})
+        for g in list(open_):
+            new = [got[g, j][0] if (g, j) in got else c for j, c in enumerate(centres[g])]
+            if np.allclose(new, centres[g]):
+                open_.discard(g)
+            else:
+                centres[g] = new
+    sizes = assigned(centres) if centres else {}
+    out = []
+    for g, cs in centres.items():
+        counts = [sizes[g, j][1] if (g, j) in sizes else 0 for j in range(len(cs))]
+        kept = sorted((j for j in range(len(cs)) if counts[j] >= max(2, 0.008 * sum(counts))), key=lambda j: -counts[j])
+        out += [(g, at, *map(float, cs[j]), counts[j]) for at, j in enumerate(kept)]
+    return spark.createDataFrame(out, f"g {kind}, k long, r double, g_ double, b_ double, n long")

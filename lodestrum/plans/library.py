@@ -226,16 +226,10 @@ query()(fn_resample_sinc)
 
 
 def agg_kmeans(spark, sf):
-    """Colour clusters of each brand's parts, pixels made of size, price and key."""
-    ship(spark)
-
-    def make(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = signal.palette(pdf.sort_values("p_partkey")[["a", "b", "c"]].to_numpy(), 4)
-        return pd.DataFrame([{"brand": pdf["p_brand"].iloc[0], "k": k, "r": float(c[0]), "g": float(c[1]), "b": float(c[2]), "n": n} for k, (c, n) in enumerate(found)], columns=["brand", "k", "r", "g", "b", "n"])
-
-    p = table(spark, sf, "part").where("p_partkey < 20000")  # an image's pixels: a bounded group by nature
-    p = p.select("p_brand", "p_partkey", (F.col("p_size") * 5.0).alias("a"), (F.col("p_retailprice") % 256).alias("b"), (F.col("p_partkey") % 256).cast("double").alias("c"))
-    return p.groupBy("p_brand").applyInPandas(make, "brand string, k long, r double, g double, b double, n long")
+    """Colour clusters of each brand's parts, pixels made of size, price and key: iterative, so without SQL."""
+    p = table(spark, sf, "part")
+    p = p.select(F.col("p_brand").alias("g"), F.col("p_partkey").alias("id"), (F.col("p_size") * 5.0).alias("a"), (F.col("p_retailprice") % 256).alias("b"), (F.col("p_partkey") % 256).cast("double").alias("c"))
+    return similar.palettes(p, 4).select(F.col("g").alias("brand"), "k", "r", F.col("g_").alias("g"), F.col("b_").alias("b"), "n")
 
 
 query()(agg_kmeans)
