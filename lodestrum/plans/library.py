@@ -13,7 +13,7 @@ from lodestrum.functions import text as tx
 from lodestrum.functions.translate import translate
 from lodestrum.operators import brief, search, similar
 from lodestrum.operators import series as op
-from lodestrum.plans.echo import MEANS, TOPS, _coarse
+from lodestrum.plans.echo import CANDIDATES, MEANS, TOPS, _coarse
 from lodestrum.plans.registry import query
 from lodestrum.plans.search import TOKENS, _index, sql_lexical
 from lodestrum.plans.series import STATS, SUMS, ZF
@@ -286,7 +286,7 @@ sl as (select series, max(round(s, 9)) as score from al group by series)"""
 def q_echo(spark, sf):
     """Coarse candidates by mean and loudest frame, then the best alignment of the query inside each."""
     s = _coarse(spark, sf)
-    top = lambda c: s.orderBy(F.desc(F.round(c, 9)), "series").limit(25).select("series")
+    top = lambda c: s.orderBy(F.desc(F.round(c, 9)), "series").limit(CANDIDATES).select("series")
     cand = top("sm").union(top("sa")).distinct()
     f = frames(spark, sf)
     z = op.z_frames(f, op.final_stats(op.partial_sums(f)))

@@ -2,6 +2,7 @@
 
 from pathlib import Path
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -9,6 +10,7 @@ from lodestrum.functions import signal
 from lodestrum.plans import registry
 
 registry.load()
+MORE = "/root/testdata/sf0.01"
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(DATA).exists(), reason="no test tables")
 
@@ -23,3 +25,23 @@ def test_kmeans_reads_every_part(spark, tmp_path):
     got = {(r["brand"], r["k"]): (r["r"], r["g"], r["b"], r["n"]) for r in registry.QUERIES["agg_kmeans"](spark, str(tmp_path)).collect()}
     assert got.keys() == want.keys()
     assert all(np.allclose(got[x], want[x]) for x in want)
+
+
+def whole(name: str, sf: str, *swaps: tuple[str, str]):
+    """What the query's SQL gives once the bounds that cut it are taken out of it."""
+    sql = registry.ORACLES[name]
+    for old, new in swaps:
+        assert old in sql
+        sql = sql.replace(old, new)
+    con = duckdb.connect()
+    for path in Path(sf).glob("*.parquet"):
+        con.sql(f"create view {path.stem} as select * from '{path}'")
+    return con.sql(sql).fetchall()
+
+
+@pytest.mark.parametrize("name", ["q_echo", "q_echo_coarse", "set_union_cands"])
+def test_echo_takes_the_references_candidates(spark, name):
+    want = {r[0]: r[1:] for r in whole(name, MORE, ("limit 25)", "limit 250)"))}
+    got = {r[0]: tuple(r)[1:] for r in registry.QUERIES[name](spark, MORE).collect()}
+    assert got.keys() == want.keys() and len(got) > 50
+    assert all(np.allclose(got[s], want[s], atol=2e-6) for s in want)
