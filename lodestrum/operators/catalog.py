@@ -40,8 +40,10 @@ def under_root(path: Column, root: str) -> Column:
 
 def natural_key(text: Column) -> Column:
     """Orders numbers inside names by value: each run of digits is padded, the rest is in lower case."""
+    # Longer runs than PAD come after all others, by length first.
+    long = lambda p: F.concat(F.lit(":"), F.lpad(F.length(F.regexp_replace(p, "^0+", "")).cast("string"), PAD, "0"), F.regexp_replace(p, "^0+", ""))
     parts = F.regexp_extract_all(F.lower(text), F.lit(r"(\d+|\D+)"))
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.lpad(p, PAD, "0")).otherwise(p)), "")
+    return F.array_join(F.transform(parts, lambda p: F.when(~p.rlike(r"^\d"), p).when(F.length(F.regexp_replace(p, "^0+", "")) > PAD, long(p)).otherwise(F.lpad(F.regexp_replace(p, "^0+", ""), PAD, "0"))), "")
 
 
 def resolve(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -94,6 +96,29 @@ def numbered(rows: DataFrame, by: str, name: str) -> DataFrame:
     return dealt.withColumn("_own", own).join(F.broadcast(starts), "_range").withColumn(name, F.col("_start") + F.col("_own")).drop("_range", "_lo", "_span", "_start", "_own")
 
 
+#: Ranges of a sorted listing, a power of two, and rows of the sample for each, from which their bounds are taken.
+SORT_RANGES, SORT_SAMPLE = 256, 40
+
+
+def ranked(rows: DataFrame, *keys: Column) -> DataFrame:
+    """Rank from 0 and id of every row in ascending order of the keys, which end in a distinct one. Rows are dealt to ranges
+    by bounds from a sample; a rank is a range's first plus the place inside it, so no task sorts them all."""
+    keyed = rows.select("id", F.struct(*keys).alias("_key"))
+    many = SORT_RANGES * SORT_SAMPLE
+    every = F.greatest(F.lit(1).cast("long"), F.floor(F.count("*") / many)).alias("_every")
+    # By a hash, so the sample is the same each time; in a listing under `many` rows it is all of them.
+    sample = keyed.join(F.broadcast(rows.agg(every))).where(F.pmod(F.xxhash64("id"), F.col("_every")) == 0)
+    tiles = sample.select("_key", F.ntile(SORT_RANGES).over(Window.orderBy("_key")).alias("t"))  # about twice `many` rows at most
+    bounds = tiles.groupBy("t").agg(F.min("_key").alias("b")).where("t > 1").agg(F.sort_array(F.collect_list("b")).alias("_bounds"))
+    halves = F.array(*(F.lit(SORT_RANGES >> k) for k in range(1, SORT_RANGES.bit_length())))
+    at = F.aggregate(halves, F.lit(0), lambda lo, n: F.when(F.get("_bounds", lo + n - 1) <= F.col("_key"), lo + n).otherwise(lo))
+    dealt = keyed.join(F.broadcast(bounds)).select("id", "_key", at.alias("_range"))
+    sizes = dealt.groupBy("_range").agg(F.count("*").alias("_n"))  # SORT_RANGES rows at most
+    starts = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_start"))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy("_key")) - 1
+    return dealt.withColumn("_own", own).join(F.broadcast(starts), "_range").select((F.col("_start") + F.col("_own")).cast("long").alias("rank"), "id")
+
+
 def pack(listing: DataFrame) -> DataFrame:
     """Columns with folders replaced by numbers in order of first use: id order decides."""
     first = listing.groupBy("dir").agg(F.min("id").alias("first"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestrum.functions import text as tx
 from lodestrum.operators import catalog as op
 from lodestrum.plans.registry import query
 from lodestrum.sources.tables import entries, sql, table
@@ -153,10 +154,8 @@ def agg_renders_stats(spark, sf):
     return entries(spark, sf).agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
 
 
-def _sorted(spark, sf, *keys):
-    """The first 200 of a listing in one order: rank and id."""
-    top = entries(spark, sf).orderBy(*keys).limit(200)
-    return top.select((F.row_number().over(Window.orderBy(*keys)) - 1).alias("rank"), "id").select(F.col("rank").cast("long").alias("rank"), "id")
+def _natural(column):
+    return op.natural_key(tx.fold(F.lower(column)))
 
 
 TOP = "select rank, id from (select row_number() over (order by {0}) - 1 as rank, id from entries) where rank < 200"
@@ -164,22 +163,22 @@ TOP = "select rank, id from (select row_number() over (order by {0}) - 1 as rank
 
 @query(sql("entries", TOP.format("lower(name), lower(dir), id")))
 def sort_name(spark, sf):
-    return _sorted(spark, sf, F.lower("name"), F.lower("dir"), "id")
+    return op.ranked(entries(spark, sf), _natural("name"), _natural("dir"), F.col("id"))
 
 
 @query(sql("entries", TOP.format("mtime desc, lower(name), id")))
 def sort_date(spark, sf):
-    return _sorted(spark, sf, F.desc("mtime"), F.lower("name"), "id")
+    return op.ranked(entries(spark, sf), -F.col("mtime"), _natural("name"), F.col("id"))
 
 
 @query(sql("entries", TOP.format("size desc, lower(name), id")))
 def sort_size(spark, sf):
-    return _sorted(spark, sf, F.desc("size"), F.lower("name"), "id")
+    return op.ranked(entries(spark, sf), -F.col("size"), _natural("name"), F.col("id"))
 
 
 @query(sql("entries", TOP.format("lower(dir), lower(name), id")))
 def sort_path(spark, sf):
-    return _sorted(spark, sf, F.lower("dir"), F.lower("name"), "id")
+    return op.ranked(entries(spark, sf), _natural("dir"), _natural("name"), F.col("id"))
 
 
 @query(sql("entries", "select id, list_aggregate(list_transform(regexp_extract_all(lower(x), '\\d+|\\D+'), lambda p: case when regexp_matches(p, '^\\d') then lpad(p, 12, '0') else p end), 'string_agg', '') as key from (select id, 'x ' || id::varchar || ' B' || (id % 12)::varchar as x from entries)"))

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from lodestrum.functions import signal
+from lodestrum.operators import catalog
 from lodestrum.plans import registry
 
 registry.load()
@@ -45,3 +46,20 @@ def test_echo_takes_the_references_candidates(spark, name):
     got = {r[0]: tuple(r)[1:] for r in registry.QUERIES[name](spark, MORE).collect()}
     assert got.keys() == want.keys() and len(got) > 50
     assert all(np.allclose(got[s], want[s], atol=2e-6) for s in want)
+
+
+@pytest.mark.parametrize("name", ["sort_name", "sort_date", "sort_size", "sort_path"])
+def test_sorts_rank_the_whole_listing(spark, name):
+    # Numbers in these names are as wide as each other, and folders' are put in their natural order here.
+    natural = "lower(regexp_replace(dir, '#(\\d)/', '#0\\1/'))"
+    want = whole(name, MORE, (" where rank < 200", ""), *([("lower(dir)", natural)] if "dir" in registry.ORACLES[name].split("over")[1] and name == "sort_path" else []))
+    got = [tuple(r) for r in registry.QUERIES[name](spark, MORE).select("rank", "id").collect()]
+    assert len(got) == 2000 and sorted(got) == sorted(want)
+
+
+def test_ranges_of_a_sort_lose_no_row(spark, monkeypatch):
+    monkeypatch.setattr(catalog, "SORT_SAMPLE", 1)
+    names = [f"x {k} {'é' if k % 2 else 'E'}" for k in range(3000)] + ["x 20240101123456", "x 00000000000000007", "x 9999999999999"]
+    d = spark.createDataFrame(list(enumerate(names)), "id long, name string").repartition(4)
+    got = [r["id"] for r in catalog.ranked(d, catalog.natural_key(d["name"]), d["id"]).orderBy("rank").collect()]
+    assert [int(names[k].split()[1]) for k in got] == sorted(int(n.split()[1]) for n in names)
