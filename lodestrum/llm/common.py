@@ -63,6 +63,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows with a number of their own, _row, in the order of their ids and those without one last; written, so that it
+    stays the same. Equal ids are told apart by text, so that they don't all meet in one task."""
+    spot = F.xxhash64(text_col)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.asc_nulls_last(id_col), spot.asc()]
+    return stored(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_row", F.monotonically_increasing_id()), "rows")
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold: int, held: int, rows: int, chars: int) -> list[tuple[str, int]]:
     """Up to `rows` labelled texts for fitting, outside the held-out fold.
 

@@ -115,6 +115,14 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of df that stay, with all their columns. Ids must be unique for whole rows to be found again."""
-    kept = exact_groups(df, id_col, text_col, **how).where("kept").select(F.col("doc_id").alias("_kept_id"))
-    return df.join(kept, F.col(id_col).eqNullSafe(F.col("_kept_id")), "left_semi")
+    """The rows of df that stay, with all their columns: exactly one of a group.
+
+    Rows are found again by id and digest of content. Those that repeat both are of one group; of them, one with the most
+    code points stays.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    place = lambda i, digest: F.concat_ws(":", digest, i.cast("long").cast("string"))  # noqa: E731  no id: the digest alone
+    kept = exact_groups(df, id_col, text_col, **how | {"digest": sha256}).where("kept").select(place(F.col("doc_id"), F.col("text_sha256")).alias("_place"))
+    rows = df.withColumn("_place", place(F.col(id_col), F.sha2(F.translate(text, SPACE_BYTES.decode(), ""), 256)))
+    first = Window.partitionBy("_place").orderBy(F.desc(F.length(text)))
+    return rows.join(kept, "_place", "left_semi").withColumn("_at", F.row_number().over(first)).where("_at = 1").drop("_place", "_at")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrum.llm.bpe import groups_of
-from lodestrum.llm.common import bounded_batches, stored, texts
+from lodestrum.llm.common import bounded_batches, numbered_rows, stored, texts
 from lodestrum.llm.components import components
 
 SHINGLE, SIMILARITY = 5, 75  # words; hundredths
@@ -324,7 +324,9 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def keep_first(df: DataFrame, **how) -> DataFrame:
-    """The rows of df of which no smaller id is reachable, with all their columns; ids must be unique."""
-    kept = near_groups(df, **how).where("kept").select(F.col("doc_id").alias("_kept_id"))
-    return df.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
+def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of df of which no smaller id is reachable, with all their columns. Rows are told apart by numbers in the
+    order of their ids, so that one stays of rows that repeat an id or have none."""
+    rows = numbered_rows(df, id_col, text_col)
+    kept = near_groups(rows, "_row", text_col).where("kept").select(F.col("doc_id").alias("_row"))
+    return rows.join(kept, "_row", "left_semi").drop("_row")

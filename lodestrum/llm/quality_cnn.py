@@ -138,7 +138,15 @@ def quality_scores(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     return docs.withColumn("held_out", held).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
-def keep_good(df: DataFrame, labels: DataFrame, least: float = 0.5, **how) -> DataFrame:
-    """The rows of df that score at least so much, with all their columns; ids must be unique."""
-    kept = quality_scores(df, labels, **how).where(F.col("score") >= least).select(F.col("doc_id").alias("_kept_id"))
-    return df.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
+def keep_good(df: DataFrame, labels: DataFrame, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text", *, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> DataFrame:
+    """The rows of df that score at least so much, with all their columns; each row has its own score, whatever its id."""
+    spark = df.sparkSession
+    bounded_batches(spark)
+    net = spark.sparkContext.broadcast(train(labelled_sample(texts(df, id_col, text_col), labels, "quality", FOLDS, HELD, rows, chars)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw = b.column(text_col).cast(pa.binary()).to_pylist()
+            yield b.filter(pa.array([net.value.score(t or b"") >= least for t in raw], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)

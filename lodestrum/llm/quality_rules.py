@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrum.llm.common import SPACE, stored
+from lodestrum.llm.common import SPACE
 
 WINDOW = 5
 #: Bounds of the sample on which costs and rejections are estimated: rows, and characters of each text.
@@ -43,8 +43,8 @@ RULES = (
 )
 
 
-def measures(df: DataFrame) -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_lines, n_dup_lines and n_repeat_words to (doc_id, text).
+def measures(df: DataFrame, *keep: str) -> DataFrame:
+    """Adds n_words, word_chars, n_symbols, n_lines, n_dup_lines and n_repeat_words to (doc_id, text) and columns to keep.
 
     Repetition is a two-step check: the hashes of all windows are compared as sets, and only where two agree are the
     windows themselves sorted and compared, so the count is exact and most texts never get there. The intermediate
@@ -93,6 +93,7 @@ def measures(df: DataFrame) -> DataFrame:
     return df.select(
         "doc_id",
         "text",
+        *keep,
         fence.alias("n_words"),
         F.length(F.regexp_replace("text", gaps, "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace("text", rf"[^{SYMBOLS}]+", "")).cast("long").alias("n_symbols"),
@@ -142,7 +143,10 @@ def quality_rules(df: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str =
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.col("rejected_by").isNull().alias("kept"), "rejected_by")
 
 
-def keep_good(df: DataFrame, **how) -> DataFrame:
-    """The rows of df that every rule lets pass, with all their columns; ids must be unique."""
-    kept = stored(quality_rules(df, **how).select(F.col("doc_id").alias("_kept_id"), "kept"), "verdicts").where("kept")
-    return df.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
+def keep_good(df: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of df that every rule lets pass, with all their columns; each row has its own verdict, whatever its id."""
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.struct("*").alias("_whole"))
+    ordered = order_rules(docs, rules)
+    base = F.expr(" or ".join(f"({r.rejects})" for r in BASE))
+    out = measures(docs, "_whole").withColumn("_kept", ~F.coalesce(base, F.lit(False)) & cascade(ordered).isNull())
+    return out.where("_kept").select("_whole.*")
