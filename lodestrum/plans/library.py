@@ -127,7 +127,7 @@ def fn_queryterms(spark, sf):
 
 @query("select doc_id as id, length(regexp_replace(strip_accents(lower(substr(text, 1, 3))), '[^\\p{L}\\p{N}]', '', 'g')) < 2 as short from documents")
 def fn_min_chars(spark, sf):
-    t = tx.tokenize(F.substring("text", 1, 3))
+    t = tx.tokenize(F.col("text"))
     return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), (F.length(F.array_join(t, "")) < 2).alias("short"))
 
 

@@ -63,3 +63,8 @@ def test_ranges_of_a_sort_lose_no_row(spark, monkeypatch):
     d = spark.createDataFrame(list(enumerate(names)), "id long, name string").repartition(4)
     got = [r["id"] for r in catalog.ranked(d, catalog.natural_key(d["name"]), d["id"]).orderBy("rank").collect()]
     assert [int(names[k].split()[1]) for k in got] == sorted(int(n.split()[1]) for n in names)
+
+
+@pytest.mark.parametrize(("name", "swap"), [("fn_stopwords", ("substr(text, 1, 60)", "text")), ("fn_min_chars", ("substr(text, 1, 3)", "text"))])
+def test_tokens_of_whole_texts(spark, name, swap):
+    assert sorted(map(tuple, registry.QUERIES[name](spark, MORE).collect())) == sorted(whole(name, MORE, swap))
