@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from lodestrum.plans.registry import query
 from lodestrum.sources.tables import table
+from lodestrum.streaming.changes import without_repeats
 
 GAP = "1 hour"
 
@@ -44,12 +45,10 @@ def ext_asof(spark, sf):
     return ev.withColumn("before", last).where("event_type = 'error'").select(F.col("event_id").alias("id"), "before")
 
 
+@query("select event_id, ts, user_id, event_type, value, props from events qualify row_number() over (partition by user_id, event_type order by ts, event_id) = 1")
 def str_dedupe(spark, sf):
-    """Distinct users by sketch, near the exact count."""
-    return table(spark, sf, "events").groupBy("event_type").agg(F.approx_count_distinct("user_id", 0.02).alias("users"))
-
-
-query()(str_dedupe)
+    """The first event of each user and type; the later ones repeat its job."""
+    return without_repeats(table(spark, sf, "events"), by=("user_id", "event_type"))
 
 
 @query("select user_id, n, m, round(s, 6) as s from (select user_id, count(*) as n, round(avg(value), 6) as m, stddev_pop(value) as s from events where event_type <> 'view' group by user_id)")

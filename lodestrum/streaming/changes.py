@@ -25,8 +25,12 @@ def tumbling(events: DataFrame, width: str = "1 day", late: str = "1 day") -> Da
     return g.agg(F.count("*").alias("n"), F.sum("value").alias("total")).select("event_type", F.col("w.start").alias("start"), "n", "total")
 
 
-def without_repeats(events: DataFrame, late: str = "1 day") -> DataFrame:
-    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
+def without_repeats(events: DataFrame, late: str = "1 day", by: tuple[str, ...] = ("event_id",)) -> DataFrame:
+    """One event of each key: in a stream the first to come, within the watermark; in a table the first by time and id."""
+    if events.isStreaming:
+        return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(list(by))
+    first = events.groupBy(*by).agg(F.min_by(F.struct(*events.columns), F.struct("ts", "event_id")).alias("_first"))
+    return first.select("_first.*")
 
 
 def running_stats(events: DataFrame) -> DataFrame:

@@ -68,3 +68,12 @@ def test_ranges_of_a_sort_lose_no_row(spark, monkeypatch):
 @pytest.mark.parametrize(("name", "swap"), [("fn_stopwords", ("substr(text, 1, 60)", "text")), ("fn_min_chars", ("substr(text, 1, 3)", "text"))])
 def test_tokens_of_whole_texts(spark, name, swap):
     assert sorted(map(tuple, registry.QUERIES[name](spark, MORE).collect())) == sorted(whole(name, MORE, swap))
+
+
+def test_repeats_go_exactly(spark):
+    events = spark.read.parquet(f"{MORE}/events.parquet")
+    want = {}
+    for r in sorted(events.collect(), key=lambda r: (r["ts"], r["event_id"])):
+        want.setdefault((r["user_id"], r["event_type"]), tuple(r))
+    got = [tuple(r) for r in registry.QUERIES["str_dedupe"](spark, MORE).collect()]
+    assert sorted(got) == sorted(want.values()) and len(got) < events.count()
