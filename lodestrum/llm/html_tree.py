@@ -1,9 +1,9 @@
 """Main text of web pages by a graphical model on the document tree.
 
-A page becomes a tree of its block elements with its runs of text as leaves. Each node has a hidden label, content or not.
-Unary potentials come from the tag, the words of class, id and role, and the amount and linking of text; pairwise
-potentials connect each child with its parent, by the kind of child. Sum-product messages go up and then down the tree, so
-every leaf gets its exact marginal. Weights are fitted by the likelihood of labelled pages, with expected counts from the
+A page becomes a tree of its block elements with its runs of text, below which stand the inline elements of the run. Each
+node has a hidden label, content or not. Unary potentials come from the tag, the words of class, id and role, and the
+amount and linking of text; pairwise potentials connect each child with its parent, by the kind of child. Sum-product messages go up and then down the tree, so
+every run gets its exact marginal. Weights are fitted by the likelihood of labelled pages, with expected counts from the
 same messages. The pages table has no labels, so the labelled pages are made here: varied layouts in which each part's
 role is known.
 """
@@ -23,10 +23,12 @@ from pyspark.sql import functions as F
 
 from lodestrum.llm.common import bounded_batches
 
-#: Fixed values of the HTML standard: elements without content, elements whose content isn't text of the page, inline elements.
+#: Fixed values of the HTML standard: elements without content, elements whose content is no text of the page (scripts,
+#: styles, form controls, titles and what is inert), inline elements, and those that hold a language of their own.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea noscript template iframe select svg math canvas audio video object xmp noframes".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr input picture source".split())
+RAW = frozenset("script style title textarea template iframe select noframes".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr input picture source svg math canvas audio video object".split())
+FOREIGN = frozenset(["svg", "math"])
 #: An opening tag on the left closes an open element on the right.
 CLOSES = {t: frozenset(["p"]) for t in "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()}
 CLOSES |= {"li": frozenset(["p", "li"]), "dt": frozenset(["p", "dt", "dd"]), "dd": frozenset(["p", "dt", "dd"]), "tr": frozenset(["p", "tr", "td", "th"]), "td": frozenset(["p", "td", "th"]), "th": frozenset(["p", "td", "th"]), "tbody": frozenset(["tr", "td", "th", "thead"]), "option": frozenset(["option"])}
@@ -38,26 +40,67 @@ NAMES = re.compile(r"[a-z]+")
 
 
 class Page:
-    """Parallel lists over the nodes, parents before children; leaves have texts, elements have None."""
+    """Parallel lists over the nodes, parents before children; runs have texts, elements have None. Of an inline element,
+    linked holds the characters inside it."""
 
     def __init__(self) -> None:
-        self.tags, self.parents, self.names, self.texts, self.linked = ["#root"], [-1], [()], [None], [0]
+        self.tags, self.parents, self.names, self.texts, self.linked, self.inline = ["#root"], [-1], [()], [None], [0], [False]
 
-    def add(self, tag: str, parent: int, names: tuple, text: str | None = None, linked: int = 0) -> int:
+    def add(self, tag: str, parent: int, names: tuple, text: str | None = None, linked: int = 0, inline: bool = False) -> int:
         self.tags.append(tag)
         self.parents.append(parent)
         self.names.append(names)
         self.texts.append(text)
         self.linked.append(linked)
+        self.inline.append(inline)
         return len(self.tags) - 1
 
 
+class _Open:
+    """The open elements, with counts that tell in one step whether a tag can be closed."""
+
+    def __init__(self) -> None:
+        self.nodes, self.tags = [0], ["#root"]
+        self.count: dict[str, int] = defaultdict(int)
+        self.scopes: list[dict[str, int]] = [defaultdict(int)]  # tags since each wall, that wall among them
+
+    def push(self, node: int, tag: str) -> None:
+        if tag in WALLS:
+            self.scopes.append(defaultdict(int))
+        self.nodes.append(node)
+        self.tags.append(tag)
+        self.count[tag] += 1
+        self.scopes[-1][tag] += 1
+
+    def pop(self) -> str:
+        self.nodes.pop()
+        tag = self.tags.pop()
+        self.count[tag] -= 1
+        self.scopes[-1][tag] -= 1
+        if tag in WALLS:
+            self.scopes.pop()
+        return tag
+
+    def close(self, tag: str) -> None:
+        """An end tag: all up to the innermost such element, through whatever stands between."""
+        while self.pop() != tag:
+            pass
+
+    def close_for(self, opening: str) -> None:
+        """What an opening tag closes, as far as no wall stands between."""
+        closing = CLOSES.get(opening, ())
+        while any(self.scopes[-1][t] for t in closing):
+            while self.pop() not in closing:
+                pass
+
+
 def parse(source: str) -> Page:
-    """A tree of any text, however broken; what no element closes ends with the page."""
-    page = Page()
-    open_nodes = [0]
+    """A tree of any text, however broken, in time proportional to its length; what no element closes ends with the page."""
+    page, held = Page(), _Open()
     run: list[str] = []
-    links = linked = at = 0
+    inside: list[list] = []  # inline elements of the run: tag, names, the one around, characters
+    around: list[int] = []  # those that are open, as places in `inside`
+    links = linked = foreign = at = 0
     n = len(source)
 
     def flush() -> None:
@@ -66,8 +109,16 @@ def parse(source: str) -> Page:
             text = " ".join(html.unescape("".join(run)).split())
             run.clear()
             if text:
-                page.add("#text", open_nodes[-1], (), text, linked)
+                top = page.add("#text", held.nodes[-1], (), text, linked)
+                first = len(page.tags)
+                for tag, names, parent, size in inside:
+                    page.add(tag, top if parent < 0 else first + parent, names, None, size, True)
             linked = 0
+        inside.clear()
+        around.clear()
+
+    def names_of(attributes: str) -> tuple:
+        return tuple(sorted({w for a in ATTRS.finditer(attributes) for w in NAMES.findall((a[1] or a[2] or a[3] or "").lower())})) if attributes else ()
 
     while at < n:
         m = TOKEN.search(source, at)
@@ -76,51 +127,55 @@ def parse(source: str) -> Page:
             run.append(chunk)
             if links:
                 linked += len(chunk)
+            if around:
+                inside[around[-1]][3] += len(chunk)
         if not m:
             break
         at = m.end()
         if m[1]:
             tag = m[1].lower()
+            if tag in CLOSES:
+                foreign = 0
             if tag in RAW and not m[2].endswith("/"):
                 end = re.compile(rf"</{re.escape(tag)}[^>]*>", re.I).search(source, at)
                 at = end.end() if end else n
-                if tag not in INLINE:
-                    run.append(" ")
-            elif tag in INLINE:
+                run.append(" ")
+            elif foreign or tag in INLINE:
+                empty = tag in VOID or m[2].endswith("/")
+                if tag in FOREIGN and not empty:
+                    foreign += 1
                 if tag == "a":
                     links += 1
                 elif tag in VOID:
                     run.append(" ")
+                if not empty:
+                    inside.append([tag, names_of(m[2]), around[-1] if around else -1, 0])
+                    around.append(len(inside) - 1)
             else:
                 flush()
                 links = 0
-                closing = CLOSES.get(tag, ())
-                for k in range(len(open_nodes) - 1, 0, -1):
-                    if (other := page.tags[open_nodes[k]]) in closing:
-                        del open_nodes[k:]
-                    elif other in WALLS or other == tag:
-                        break
-                names = tuple(sorted({w for a in ATTRS.finditer(m[2]) for w in NAMES.findall((a[1] or a[2] or a[3] or "").lower())})) if m[2] else ()
-                node = page.add(tag, open_nodes[-1], names)
+                held.close_for(tag)
+                node = page.add(tag, held.nodes[-1], names_of(m[2]))
                 if tag not in VOID and not m[2].endswith("/"):
-                    open_nodes.append(node)
+                    held.push(node, tag)
         elif m[3]:
             tag = m[3].lower()
-            if tag in INLINE:
+            if foreign or tag in INLINE:
                 links = max(0, links - 1) if tag == "a" else links
-            else:
-                for k in range(len(open_nodes) - 1, 0, -1):
-                    if page.tags[open_nodes[k]] == tag:
-                        flush()
-                        links = 0
-                        del open_nodes[k:]
-                        break
+                foreign = max(0, foreign - 1) if tag in FOREIGN else foreign
+                if around and inside[around[-1]][0] == tag:
+                    around.pop()
+            elif held.count[tag]:
+                flush()
+                links = 0
+                held.close(tag)
     flush()
     return page
 
 
 KINDS = {t: k for k, ts in enumerate(["#text", "p blockquote pre dd dt figcaption td th", "h1 h2 h3 h4 h5 h6", "ul ol li dl menu", "table tbody thead tr", "nav header footer aside form fieldset button dialog address"]) for t in ts.split()}
-OTHER = 6
+KINDS |= dict.fromkeys(sorted(INLINE - VOID), 6)
+OTHER = 7
 
 
 def size_step(n: int) -> int:
@@ -130,10 +185,11 @@ def size_step(n: int) -> int:
 def features(page: Page) -> list[list[str]]:
     """Names of the unary features of each node."""
     n = len(page.tags)
-    total, link = [0] * n, [0] * n
+    total, link, kids = [0] * n, [0] * n, [0] * n
     for i in range(n - 1, 0, -1):
         if page.texts[i] is not None:
             total[i], link[i] = len(page.texts[i]), min(page.linked[i], len(page.texts[i]))
+        kids[page.parents[i]] += not page.inline[i]
         total[page.parents[i]] += total[i]
         link[page.parents[i]] += link[i]
     out = []
@@ -142,9 +198,12 @@ def features(page: Page) -> list[list[str]]:
         if page.texts[i] is not None:
             t, up = page.texts[i], page.parents[i]
             stops = t.count(". ") + t.count(", ") + (t[-1] in ".!?")
-            out.append([f"in:{page.tags[up]}", f"text:{size_step(len(t))}", f"links:{share}", f"stops:{min(stops, 3)}", *(f"own:{w}" for w in page.names[up])])
+            out.append([f"in:{page.tags[up]}", f"text:{size_step(len(t))}", f"links:{share}", f"stops:{min(stops, 3)}", f"around:{size_step(kids[page.parents[up]])}", *(f"own:{w}" for w in page.names[up])])
+        elif page.inline[i]:
+            # Its kind alone tells little: bold words are content and names of commenters alike.
+            out.append([f"inner:{w}" for w in page.names[i]])
         else:
-            out.append([f"tag:{page.tags[i]}", f"sum:{size_step(total[i])}", f"share:{share}", *(f"name:{w}" for w in page.names[i])])
+            out.append([f"tag:{page.tags[i]}", f"sum:{size_step(total[i])}", f"share:{share}", f"among:{size_step(kids[page.parents[i]])}", f"kids:{size_step(kids[i])}", *(f"name:{w}" for w in page.names[i])])
     return out
 
 
@@ -252,7 +311,8 @@ class Maker:
         short = r.random() < self.terse
         text = self.MARK + self.words(*((1, 6) if short else (8, r.choice((60, 90, 90, 800)))))
         if self.r.random() < 0.2:
-            text += f' <a href="#">{self.words(1, 3)}</a> {self.words(1, 9)}'
+            t = self.pick("a", "a", "em", "b", "code", "span", "svg")
+            text += f' <{t}{self.pick(""," href=#"," class=x")}>{self.words(1, 3)}</{t}> {self.words(1, 9)}'
         return text
 
     def content_block(self) -> str:
@@ -274,12 +334,14 @@ class Maker:
         return f"<figure><img src=x><figcaption>{self.prose()}</figcaption></figure>"
 
     def junk(self) -> str:
-        kind = self.pick("ad", "ad", "side", "notice", "form", "share", "menu", "comments")
+        kind = self.pick("ad", "ad", "side", "notice", "form", "share", "menu", "comments", "noscript")
         say = lambda: self.pick(self.words(2, 12), f"<p>{self.words(2, 40)}</p>", f"<p>{self.words(2, 9)}</p>")
         if kind == "ad":
             return f'<{(t := self.pick("div", "div", "aside", "section"))} {self.pick("class", "id", "class")}="{self.pick("ad", "ads", "advert", "advertisement", "sponsored", "banner", "promo", "ad-slot", "sponsor")}">{say()}{self.some(0.3, say)}</{t}>'
         if kind == "side":
             return f'<{(t := self.pick("aside", "div", "section"))}{self.pick("", " class=sidebar", " id=sidebar", " class=related", " class=widget", " role=complementary", " class=recommended") if t == "aside" else self.pick(" class=sidebar", " id=sidebar", " class=related-posts", " class=widget", " class=side", " class=trending")}>{self.pick(f"<h3>{self.words(1, 4)}</h3>", "")}{self.pick(f"<ul>{self.links()}</ul>", say())}{self.some(0.4, say)}</{t}>'
+        if kind == "noscript":
+            return f"<noscript>{say()}</noscript>"
         if kind == "notice":
             return f'<div {self.pick("class", "id")}="{self.pick("cookie", "cookie-notice", "notice", "alert", "consent", "gdpr-banner", "popup", "modal", "cookie-banner", "newsletter", "subscribe", "paywall")}"{self.some(0.2, lambda: " role=alert")}>{say()}{self.some(0.4, lambda: f"<button>{self.words(1, 3)}</button>")}</div>'
         if kind == "form":
@@ -325,6 +387,9 @@ class Maker:
                 page.texts[i] = page.texts[i].replace(self.MARK, "")
             if labels[i]:
                 labels[page.parents[i]] = 1
+        for i, inline in enumerate(page.inline):  # an inline element goes with its run
+            if inline:
+                labels[i] = labels[page.parents[i]]
         return page, labels
 
 
@@ -345,7 +410,8 @@ def main_text(df: DataFrame, model: TreeModel | None = None, id_col: str = "page
     """page_id, url, text and n_chars of every page.
 
     A null page is an empty one and has an empty text, as has a page without content. Ids and addresses may be null or
-    repeat; each page is read by itself. An empty table gives no rows; further columns are ignored.
+    repeat; each page is read by itself and whole, in time proportional to its length. A run that is as likely content as
+    not is kept. An empty table gives no rows; further columns are ignored.
     """
     spark = df.sparkSession
     bounded_batches(spark)
