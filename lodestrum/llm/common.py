@@ -1,18 +1,22 @@
-"""What the text operators share: table reading, Arrow limits and the labelled sample."""
+"""What the text operators share: table reading, Arrow limits, the shared folder and the labelled sample."""
 
 from __future__ import annotations
 
+import contextlib
+import uuid
+from collections.abc import Iterator
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestrum.session import ship
 
 #: Bytes of one Arrow batch; a batch always holds one row at least.
 BATCH_BYTES = 16 << 20
-#: ASCII white space of the contracts, as the text of a regular expression class.
+#: ASCII white space of the contracts, as the text of a regular expression class and as letters.
 SPACE = r"\x20\x09-\x0D"
+SPACE_LETTERS = " \t\n\v\f\r"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,52 +40,118 @@ def file_bytes(path: str) -> bytes:
     return Path(path).read_bytes()
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+# the shared folder
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder under spark.checkpoint.dir, which all executors share; a local one only where that is unset."""
-    import uuid
+    """A fresh folder under spark.checkpoint.dir, which all executors share; it goes when the session's process ends.
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    Where the setting is absent, a local temporary folder will do for a local session, whose tasks are all on this
+    machine; on a cluster there is none, and an error says so.
+    """
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         import tempfile
 
         base = f"file://{tempfile.gettempdir()}/lodestrum-shared"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(sc._jsc.hadoopConfiguration())
+    fs.mkdirs(at)  # only what exists can be marked
+    fs.deleteOnExit(at)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder and all in it, if it's there."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+_scopes: list[list[Store]] = []
+
+
+class Store:
+    """Tables that one call of an operator writes in the shared folder, so that later steps read files and not a long plan.
+
+    A table goes when the operator drops it; what its result still reads goes with the scope around the call, or else
+    when the session's process ends.
+    """
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.base = spark, shared_folder(spark, name)
+        self.tables: list[tuple[DataFrame, str]] = []
+        if _scopes:
+            _scopes[-1].append(self)
+
+    def put(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.base}/{len(self.tables)}-{name}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.tables.append((out, path))
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that put() gave and that nothing reads any more."""
+        for df, path in self.tables:
+            if any(df is t for t in tables):
+                remove(self.spark, path)
+
+    def clear(self) -> None:
+        remove(self.spark, self.base)
+
+
+@contextlib.contextmanager
+def scope() -> Iterator[None]:
+    """Deletes at its end all that operators called inside it have stored; their results must have been written by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for store in _scopes.pop():
+            store.clear()
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a reliable checkpoint in the shared folder."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(shared_folder(df.sparkSession, "checkpoints"))
-    return df.checkpoint()
+def numbered_rows(store: Store, df: DataFrame) -> tuple[DataFrame, str]:
+    """The rows with a number of their own, and that column's name. They are written, so that the numbers stay the same."""
+    name = free_name(df, "_row")
+    return store.put(df.withColumn(name, F.monotonically_increasing_id()), "rows"), name
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read again: later steps read files, not a long plan."""
-    path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+# labelled rows
 
 
-def numbered_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The rows with a number of their own, _row, in the order of their ids and those without one last; written, so that it
-    stays the same. Equal ids are told apart by text, so that they don't all meet in one task."""
-    spot = F.xxhash64(text_col)
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = [F.asc_nulls_last(id_col), spot.asc()]
-    return stored(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_row", F.monotonically_increasing_id()), "rows")
+def label_counts(labels: DataFrame, label: str) -> DataFrame:
+    """(doc_id, y) of the documents that have a label; one whose rows contradict each other has none."""
+    lab = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
+    return lab.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("_y")).where("y = _y").drop("_y")
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold: int, held: int, rows: int, chars: int) -> list[tuple[str, int]]:
-    """Up to `rows` labelled texts for fitting, outside the held-out fold.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold: int, held: int, rows: int, chars: int) -> tuple[list[tuple[str, int]], float]:
+    """Up to `rows` labelled texts for fitting, outside the held-out fold, each whole; and label 1's share of all such rows.
 
-    A row is held out if crc32(doc_id as text) mod `fold` is `held`. Those of the least md5(doc_id) are taken, half of
-    each label where there are enough, so the choice doesn't depend on order or partitions. Texts are cut to `chars`
-    here only: the bound of what a fit reads. Rows without text, id or label teach nothing and are left out.
+    A row is held out if crc32(doc_id as text) mod `fold` is `held`. Those of the least md5(doc_id) are drawn, half of each
+    label where there are enough, so the choice doesn't depend on order or partitions. To bound the driver's memory, only
+    texts of up to an eighth of `chars` characters are drawn, and drawing ends before all together exceed `chars`. Rows
+    without text, id or label teach nothing and are left out, as are documents with contradicting labels.
     """
-    lab = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)").dropDuplicates(["doc_id"])
-    lab = lab.where(F.crc32(F.col("doc_id").cast("string")) % fold != held).withColumn("h", F.md5(F.col("doc_id").cast("string")))
+    lab = label_counts(labels, label).where(F.crc32(F.col("doc_id").cast("string")) % fold != held)
+    share = lab.agg(F.avg("y").alias("share")).first()["share"]
+    lab = lab.withColumn("h", F.md5(F.col("doc_id").cast("string")))
     pick = lab.where("y = 0").orderBy("h").limit(rows // 2).union(lab.where("y = 1").orderBy("h").limit(rows // 2))
-    got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.substring("text", 1, chars).alias("text")).where("text is not null")
-    out = got.join(F.broadcast(pick), "doc_id").select("h", "text", "y").toArrow()
-    return [(t, y) for _, t, y in sorted(set(zip(*(out.column(c).to_pylist() for c in ("h", "text", "y")), strict=True)))]
+    got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").withColumn("n", F.length("text")).where(F.col("n") <= chars // 8)
+    met = got.join(F.broadcast(pick), "doc_id").dropDuplicates(["doc_id", "text"])
+    # The window has `rows` documents at most; a document with several texts counts with each.
+    out = met.withColumn("sum", F.sum("n").over(Window.orderBy("h", "text"))).where(F.col("sum") <= chars).select("h", "text", "y").toArrow()
+    return [(t, y) for _, t, y in sorted(zip(*(out.column(c).to_pylist() for c in ("h", "text", "y")), strict=True))], 0.5 if share is None else share

@@ -3,7 +3,8 @@
 Three combining steps, each comparing whole contents and not only digests:
 
 1. local: a task groups the rows it reads and sends one representative with the ids of its copies;
-2. salted: representatives of a digest meet by (digest, salt), so a group of any size is spread over `salts` tasks;
+2. salted: representatives of a digest meet by (digest, salt). The salt tells which task sent them, so a group of any
+   size is spread over `salts` tasks, whatever its ids;
 3. global: the winners of the salts, at most `salts` for each group, meet by digest.
 
 Only representatives carry text through a shuffle. Copies carry their id, whatever the size of the group.
@@ -16,17 +17,18 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestrum.llm.common import bounded_batches, texts
+from lodestrum.llm.common import SPACE_LETTERS, bounded_batches, free_name, texts
 
 #: The characters that normalisation deletes; all are single bytes in UTF-8.
-SPACE_BYTES = b" \t\n\v\f\r"
+SPACE_BYTES = SPACE_LETTERS.encode()
 SALTS = 256
 #: A task sends its groups on when they hold so many bytes or rows; groups cut apart so meet again in the salted step.
 LOCAL_BYTES, LOCAL_ROWS = 48 << 20, 100_000
-LOCAL_SCHEMA = "digest binary, rep_id long, rep_points long, norm binary, members array<long>"
+LOCAL_SCHEMA = "digest binary, salt int, rep_id long, rep_points long, norm binary, members array<long>"
 
 
 def sha256(norm: bytes) -> bytes:
@@ -40,17 +42,24 @@ def _before(points: int, doc_id: int | None, group: list) -> bool:
     return doc_id is not None and (group[2] is None or doc_id < group[2])
 
 
-def _local(digest: Callable[[bytes], bytes], most_bytes: int, most_rows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def send(found: dict[bytes, list[list]]) -> pa.RecordBatch:
-        rows = [(d, *g) for d, groups in found.items() for g in groups]
-        cols = list(zip(*rows, strict=True))
-        types = (pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
-        picked = (cols[0], cols[3], cols[2], cols[1], cols[4])
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(picked, types, strict=True)], ["digest", "rep_id", "rep_points", "norm", "members"])
+def _salts(salts: int) -> Iterator[int]:
+    """The salts of what this task sends, one after the other: by its number, so that a task run again gives the same."""
+    at = TaskContext.get().partitionId()
+    while True:
+        yield at % salts
+        at += 7919
+
+
+def _local(digest: Callable[[bytes], bytes], salts: int, most_bytes: int, most_rows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def send(found: dict[bytes, list[list]], salt: int) -> pa.RecordBatch:
+        rows = [(d, salt, g[2], g[1], g[0], g[3]) for d, groups in found.items() for g in groups]
+        types = (pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["digest", "salt", "rep_id", "rep_points", "norm", "members"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[bytes, list[list]] = {}  # digest: [content, points, id, members with the representative first]
         held = rows = 0
+        salt = _salts(salts)
         for batch in batches:
             points = pc.utf8_length(batch.column(1)).to_pylist()
             for doc_id, text, n in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), points, strict=True):
@@ -68,10 +77,10 @@ def _local(digest: Callable[[bytes], bytes], most_bytes: int, most_rows: int) ->
                 else:
                     group[3].append(doc_id)
                 if held >= most_bytes or rows >= most_rows:
-                    yield send(found)
+                    yield send(found, next(salt))
                     found, held, rows = {}, 0, 0
         if found:
-            yield send(found)
+            yield send(found, next(salt))
 
     return run
 
@@ -84,45 +93,79 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     id comes last. Of rows that repeat both, exactly one stays. An empty table gives no rows; other columns are ignored.
     """
     bounded_batches(df.sparkSession)
-    reps = texts(df, id_col, text_col).mapInArrow(_local(digest, local_bytes, local_rows), LOCAL_SCHEMA)
-    reps = reps.withColumn("salt", F.pmod(F.xxhash64("rep_id"), F.lit(salts)).cast("int"))
+    reps = texts(df, id_col, text_col).mapInArrow(_local(digest, salts, local_bytes, local_rows), LOCAL_SCHEMA)
     best = [F.desc("rep_points"), F.asc_nulls_last("rep_id")]
     group = Window.partitionBy("digest", "salt", "norm")
-    first = group.orderBy(*best)
+    # Contents of one digest and salt are told apart by a number from here on, so that text goes no further than it must.
     salted = reps.select(
-        "digest", "norm", "rep_points", "members",
-        F.first("rep_id").over(first).alias("salt_id"),
-        F.row_number().over(first).alias("place"),
+        "digest", "salt", "norm", "rep_points", "rep_id", "members",
+        F.dense_rank().over(Window.partitionBy("digest", "salt").orderBy("norm")).alias("content"),
+        F.row_number().over(group.orderBy(*best)).alias("place"),
         F.sum(F.size("members").cast("long")).over(group).alias("salt_size"),
     )
     whole = Window.partitionBy("digest", "norm")
+    first = whole.orderBy(*best, "salt")
     # Both uses of the salted step ask for the same columns, so that its shuffle, the larger part of the work, is made once.
     winners = salted.where("place = 1 and size(members) > 0").select(
-        "digest", "salt_id",
-        F.first("salt_id").over(whole.orderBy(F.desc("rep_points"), F.asc_nulls_last("salt_id"))).alias("keep_id"),
+        F.col("digest").alias("w_digest"), F.col("salt").alias("w_salt"), F.col("content").alias("w_content"),
+        F.first("rep_id").over(first).alias("keep_id"), F.first("salt").over(first).alias("keep_salt"),
         F.sum("salt_size").over(whole).alias("group_size"),
     )
-    pointers = winners.select(F.col("digest").alias("w_digest"), F.col("salt_id").alias("w_id"), "keep_id", "group_size")
-    rows = salted.select("digest", "salt_id", "place", "members", "salt_size")
-    met = rows.join(pointers, (F.col("digest") == F.col("w_digest")) & F.col("salt_id").eqNullSafe(F.col("w_id")) & (F.col("salt_size") <= F.col("group_size")))
-    return met.select("digest", "salt_id", "place", "keep_id", "group_size", F.posexplode("members").alias("pos", "doc_id")).select(
+    rows = salted.select("digest", "salt", "content", "place", "members", "rep_points", "rep_id", "salt_size")
+    same = (F.col("digest") == F.col("w_digest")) & (F.col("salt") == F.col("w_salt")) & (F.col("content") == F.col("w_content")) & (F.col("salt_size") <= F.col("group_size"))
+    met = rows.join(winners, same)
+    kept = (F.col("place") == 1) & (F.col("salt") == F.col("keep_salt"))
+    return met.select("digest", "keep_id", "group_size", kept.alias("first"), F.posexplode("members").alias("pos", "doc_id")).select(
         "doc_id",
         "keep_id",
         "group_size",
-        ((F.col("pos") == 0) & (F.col("place") == 1) & F.col("salt_id").eqNullSafe(F.col("keep_id"))).alias("kept"),
+        ((F.col("pos") == 0) & F.col("first")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
 
 
-def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of df that stay, with all their columns: exactly one of a group.
+def _best_rows(id_at: str, text_at: str, digest_at: str, salt_at: str, salts: int, most_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of what a task reads, so many bytes at a time: the best row of each content, whole, with digest and salt."""
+
+    def best(held: list[pa.RecordBatch], salt: int) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(held)
+        ids, column = rows.column(id_at).cast(pa.int64()).to_pylist(), pc.coalesce(rows.column(text_at), "")
+        found: dict[bytes, tuple] = {}  # a content's (points, id, row)
+        for k, (text, n, doc_id) in enumerate(zip(column.cast(pa.binary()).to_pylist(), pc.utf8_length(column).to_pylist(), ids, strict=True)):
+            norm = text.translate(None, SPACE_BYTES)
+            if (last := found.get(norm)) is None or _before(n, doc_id, [norm, *last]):
+                found[norm] = (n, doc_id, k)
+        taken = rows.take(pa.array([k for _, _, k in found.values()], pa.int64()))
+        taken = taken.append_column(digest_at, pa.array([sha256(norm) for norm in found], pa.binary())).append_column(salt_at, pa.array([salt] * len(found), pa.int32()))
+        yield from taken.to_batches(max_chunksize=2000)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, salt = [], 0, _salts(salts)
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+                size += b.nbytes
+            if size >= most_bytes:
+                yield from best(held, next(salt))
+                held, size = [], 0
+        if held:
+            yield from best(held, next(salt))
+
+    return run
+
 
-    Rows are found again by id and digest of content. Those that repeat both are of one group; of them, one with the most
-    code points stays.
+def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, salts: int = SALTS, local_bytes: int = LOCAL_BYTES) -> DataFrame:
+    """The rows of df that stay, with all their columns: exactly one of a group, by the rule of exact_groups.
+
+    The three steps are those of exact_groups, but the rows themselves travel, so that none has to be found again and ids
+    may repeat or be null: the best row of a task, then of a salt, then of all. Of rows that tie in both, one stays.
     """
+    bounded_batches(df.sparkSession)
+    digest, salt, place = (free_name(df, c) for c in ("_digest", "_salt", "_place"))
+    local = df.mapInArrow(_best_rows(id_col, text_col, digest, salt, salts, local_bytes), df.withColumns({digest: F.lit(b""), salt: F.lit(0)}).schema)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    place = lambda i, digest: F.concat_ws(":", digest, i.cast("long").cast("string"))  # noqa: E731  no id: the digest alone
-    kept = exact_groups(df, id_col, text_col, **how | {"digest": sha256}).where("kept").select(place(F.col("doc_id"), F.col("text_sha256")).alias("_place"))
-    rows = df.withColumn("_place", place(F.col(id_col), F.sha2(F.translate(text, SPACE_BYTES.decode(), ""), 256)))
-    first = Window.partitionBy("_place").orderBy(F.desc(F.length(text)))
-    return rows.join(kept, "_place", "left_semi").withColumn("_at", F.row_number().over(first)).where("_at = 1").drop("_place", "_at")
+    order = [F.desc(F.length(text)), F.asc_nulls_last(F.col(id_col).cast("long"))]
+    for by in ([digest, salt], [digest]):
+        content = Window.partitionBy(*by, F.translate(text, SPACE_LETTERS, "")).orderBy(*order)
+        local = local.withColumn(place, F.row_number().over(content)).where(F.col(place) == 1).drop(place)
+    return local.drop(digest, salt)

@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from lodestrum.llm.common import bounded_batches, labelled_sample, texts
 
 WIDTH, FILTERS, CHUNK = 6, 16, 1 << 14
-#: The bound of the training sample: labelled rows, and characters of each.
-SAMPLE_ROWS, SAMPLE_CHARS = 2400, 3000
+#: The bound of the training sample: labelled rows, and characters of all their texts together.
+SAMPLE_ROWS, SAMPLE_CHARS = 2400, 16_000_000
 EPOCHS, RATE, CROPPED = 8, 0.02, 0.3
 FOLDS, HELD = 3, 1
 
@@ -61,6 +61,32 @@ class ByteCNN:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
+def _forward(net: ByteCNN, a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all windows of a text, read by chunks: each filter's maximum, where it stands, its rectified mean, and the number
+    of windows that it is on at."""
+    n = len(a) - WIDTH + 1
+    most, where = np.full(FILTERS, -np.inf, np.float32), np.zeros(FILTERS, int)
+    total, on = np.zeros(FILTERS), np.zeros(FILTERS)
+    for at in range(0, n, CHUNK):
+        v = _windows(net, a, np.arange(at, min(n, at + CHUNK)))
+        best = v.argmax(axis=0)
+        value = v[best, np.arange(FILTERS)]
+        better = value > most
+        most, where = np.where(better, value, most), np.where(better, at + best, where)
+        on += (v > 0).sum(axis=0)
+        total += np.maximum(v, 0, out=v).sum(axis=0)
+    return most, where, (total / n).astype(np.float32), on
+
+
+def _windows(net: ByteCNN, a: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Each filter's value at these places."""
+    v = net.table[0].take(a[at], axis=0)
+    for k in range(1, WIDTH):
+        v += net.table[k].take(a[at + k], axis=0)
+    v += net.bias
+    return v
+
+
 def train(sample: list[tuple[str, int]], epochs: int = EPOCHS, seed: int = 7) -> ByteCNN:
     """Gradient descent with adaptive steps, one text at a time, classes weighted equally. Without both labels the net stays
     untrained but for its constant, and gives the share of label 1."""
@@ -85,14 +111,8 @@ def train(sample: list[tuple[str, int]], epochs: int = EPOCHS, seed: int = 7) ->
                 at = int(rng.integers(0, len(a) - size))
                 a = a[at : at + size]
             n = len(a) - WIDTH + 1
-            v = net.table[0].take(a[:n], axis=0)
-            for k in range(1, WIDTH):
-                v += net.table[k].take(a[k : k + n], axis=0)
-            v += net.bias
-            where = v.argmax(axis=0)
-            most = np.maximum(v[where, np.arange(FILTERS)], 0)
-            on = v > 0
-            mean = (v * on).mean(axis=0)
+            most, where, mean, on = _forward(net, a)
+            most = np.maximum(most, 0)
             features = np.concatenate([most, mean])
             p = 1 / (1 + np.exp(-np.clip(features @ net.top + net.out, -30, 30)))
             g = np.float32((p - y) * weight[y])
@@ -104,10 +124,10 @@ def train(sample: list[tuple[str, int]], epochs: int = EPOCHS, seed: int = 7) ->
                 table[offsets, a[where[f] + offsets], f] += to_max[f]
             # The mean's gradient: how often each byte stands at each offset of a window that is on.
             some = rng.integers(0, n, min(n, 256))
-            scale = to_mean * (n / len(some)) * on[some]
+            scale = to_mean * (n / len(some)) * (_windows(net, a, some) > 0)
             for k in range(WIDTH):
                 np.add.at(table[k], a[some + k], scale)
-            bias = to_max + to_mean * on.sum(axis=0)
+            bias = to_max + to_mean * on
             for param, grad, square in zip((net.table, net.bias, net.top), (table, bias, g * features), squares, strict=True):
                 square *= 0.99
                 square += 0.01 * grad * grad
@@ -120,14 +140,15 @@ def train(sample: list[tuple[str, int]], epochs: int = EPOCHS, seed: int = 7) ->
 def quality_scores(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> DataFrame:
     """doc_id, held_out, score and predicted for every row's whole text.
 
-    The fit reads at most `rows` labelled texts outside the held-out fold. A null text is scored as an empty one. A null
-    id is never held out; repeated rows get the same score. An empty table gives no rows; without labels every score is
-    one half. Further columns are ignored.
+    The fit reads at most `rows` labelled texts outside the held-out fold, whole ones, of at most `chars` characters
+    together; documents whose labels contradict each other teach nothing. Texts of any length are scored whole, a null one
+    as an empty one. A null id is never held out; repeated rows get the same score. An empty table gives no rows; without
+    labels every score is one half. Further columns are ignored.
     """
     spark = df.sparkSession
     bounded_batches(spark)
     docs = texts(df, id_col, text_col)
-    net = spark.sparkContext.broadcast(train(labelled_sample(docs, labels, "quality", FOLDS, HELD, rows, chars)))
+    net = spark.sparkContext.broadcast(train(labelled_sample(docs, labels, "quality", FOLDS, HELD, rows, chars)[0]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -139,10 +160,13 @@ def quality_scores(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 
 
 def keep_good(df: DataFrame, labels: DataFrame, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text", *, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> DataFrame:
-    """The rows of df that score at least so much, with all their columns; each row has its own score, whatever its id."""
+    """The rows of df that score at least so much, with all their columns; each row has its own score, whatever its id.
+
+    Null and empty texts are scored as empty ones. Without labels every score is one half.
+    """
     spark = df.sparkSession
     bounded_batches(spark)
-    net = spark.sparkContext.broadcast(train(labelled_sample(texts(df, id_col, text_col), labels, "quality", FOLDS, HELD, rows, chars)))
+    net = spark.sparkContext.broadcast(train(labelled_sample(texts(df, id_col, text_col), labels, "quality", FOLDS, HELD, rows, chars)[0]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

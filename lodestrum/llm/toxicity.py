@@ -1,7 +1,8 @@
 """Toxicity by weak supervision.
 
-Many voters look at a text: one for each word of a lexicon, which is a seed list and words mined from the training rows,
-and some for patterns. A generative label model takes their votes as noisy readings of a hidden label. It estimates each
+Many voters look at a text: one for each word of a lexicon, which is a seed list and words mined from the training rows;
+some for how the lexicon's words stand in the text; and some for patterns that know nothing of the lexicon, as shouting,
+frames of insults, masked letters or beginnings of words that toxic training texts share in many forms. A generative label model takes their votes as noisy readings of a hidden label. It estimates each
 voter's accuracy and abstention by expectation maximisation, and the correlations that remain between voters given the
 label, which lower the weight of voters that say the same. Its posterior labels train a linear classifier on words and
 votes; the classifier alone scores the corpus.
@@ -23,12 +24,23 @@ from lodestrum.llm.common import bounded_batches, labelled_sample, texts
 #: Common insults that seed the lexicon.
 SEEDS = "idiot moron stupid loser scum trash worthless pathetic disgusting clown dumb fool jerk filth garbage imbecile cretin vermin".split()
 WORD = re.compile(r"[^\W\d_]+")
-#: The bound of the training sample: labelled rows, and characters of each.
-SAMPLE_ROWS, SAMPLE_CHARS = 4000, 12_000
+#: Patterns of voters that don't know the lexicon.
+PATTERNS = {
+    "shouting": re.compile(r"\b[^\W\d_a-z]{2,}(?:[^\w\n]+[^\W\d_a-z]{2,}){2}\b"),
+    "exclaiming": re.compile(r"[!?]{2}"),
+    "framed": re.compile(r"(?i)\b(?:you(?: are|'re)|you) (?:a |an |such |so |all )+\w+|\bshut up\b|\b(?:i|we) (?:hate|despise) you\b|\bgo to hell\b|\bwhat an? \w+!"),
+    "masked": re.compile(r"\b[^\W\d_]+[*@#$]+[^\W\d_]+"),
+    "drawn_out": re.compile(r"([^\W\d_])\1{3}"),
+}
+YOU = re.compile(r"(?i)\b(you|your|you're|du|tu|eres)\b")
+#: The bound of the training sample: labelled rows, and characters of all their texts together.
+SAMPLE_ROWS, SAMPLE_CHARS = 4000, 16_000_000
 FOLDS, HELD = 5, 0
 #: A mined word occurs in so many toxic texts, so much oftener than in others, in so varied surroundings.
 MINED_TEXTS, MINED_LIFT, MINED_VARIETY = 8, 10.0, 0.6
-VOCABULARY, LONE_WORDS = 20_000, 150
+#: Lengths of beginnings of words, and forms in which a mined one occurs.
+STEMS, MINED_FORMS = (4, 5, 6, 7), 4
+VOCABULARY = 20_000
 TOXIC, CLEAN, ABSTAIN = 0, 1, 2
 #: Voters whose votes correlate more than this count as one.
 ALIKE = 0.9
@@ -54,36 +66,79 @@ def mine(sample: list[tuple[list[str], int]]) -> list[str]:
     return sorted(w for w, k in seen[1].items() if k >= MINED_TEXTS and lift(w) >= MINED_LIFT and len(around[w]) >= MINED_VARIETY * k)
 
 
+def beginnings(words: list[str]) -> set[str]:
+    """What words begin with, in STEMS lengths and with something after it."""
+    return {w[:n] for w in set(words) for n in STEMS if len(w) > n}
+
+
+def mine_stems(sample: list[tuple[list[str], int]]) -> list[str]:
+    """Beginnings of words that mark toxic training texts in various forms: an insult has endings. Of beginnings that contain
+    each other the shortest counts."""
+    seen: tuple[Counter, Counter] = (Counter(), Counter())
+    forms: dict[str, set[str]] = defaultdict(set)
+    for words, y in sample:
+        seen[y].update(beginnings(words))
+        if y:
+            for w in set(words):
+                for n in STEMS:
+                    if len(w) > n:
+                        forms[w[:n]].add(w)
+    n = [1 + sum(1 for _, y in sample if y == k) for k in (0, 1)]
+    lift = lambda w: (seen[1][w] / n[1]) / ((seen[0][w] + 0.5) / n[0])
+    good = [w for w, k in seen[1].items() if k >= MINED_TEXTS and lift(w) >= MINED_LIFT and len(forms[w]) >= MINED_FORMS]
+    out: list[str] = []
+    for w in sorted(good, key=lambda w: (len(w), w)):
+        if not any(w.startswith(x) for x in out):
+            out.append(w)
+    return sorted(out)
+
+
 class Voters:
-    def __init__(self, lexicon: list[str]) -> None:
-        self.lexicon = lexicon
+    def __init__(self, lexicon: list[str], stems: list[str] = []) -> None:  # noqa: B006  never changed
+        self.lexicon, self.stems = lexicon, stems
+        self.stem_place = {w: i for i, w in enumerate(stems)}
         self.place = {w: i for i, w in enumerate(lexicon)}
-        self.names = [*(f"word:{w}" for w in lexicon), "several", "dense", "addressed", "none"]
+        self.seeds = frozenset(SEEDS)
+        self.names = [*(f"word:{w}" for w in lexicon), "several", "dense", "addressed", "lone", "none", *PATTERNS, "composed", *(f"stem:{w}" for w in stems), "stems"]
 
     def votes(self, text: str, words: list[str]) -> np.ndarray:
         out = np.full(len(self.names), ABSTAIN, np.int8)
-        hits = [w for w in words if w in self.place]
-        mined = [w for w in hits if w not in SEEDS]
-        if len(mined) == 1 and len(words) > LONE_WORDS:  # one mined word in a long text is there by chance
-            hits = [w for w in hits if w in SEEDS]
-        for w in set(hits):
-            out[self.place[w]] = TOXIC
-        at = len(self.lexicon)
+        several, dense, addressed, lone, none, pattern = range(len(self.lexicon), len(self.lexicon) + 6)
+        stem = pattern + len(PATTERNS) + 1
+        hits, begun = [], set()
+        for w, n in Counter(words).items():
+            if (k := self.place.get(w)) is not None:
+                out[k] = TOXIC
+                hits += [w] * n
+            for size in STEMS if self.stems else ():
+                if len(w) > size and (k := self.stem_place.get(w[:size])) is not None:
+                    begun.add(k)
+        for k in begun:
+            out[stem + k] = TOXIC
+        if len(begun) >= 2:
+            out[-1] = TOXIC
         if len(set(hits)) >= 2:
-            out[at] = TOXIC
-        if len(hits) * 200 >= len(words) and hits:
-            out[at + 1] = TOXIC
-        if hits and re.search(r"(?i)\b(you|your|you're|du|tu|eres)\b", text):
-            out[at + 2] = TOXIC
-        if not hits:
-            out[at + 3] = CLEAN
+            out[several] = TOXIC
+        if hits and len(hits) * 200 >= len(words):
+            out[dense] = TOXIC
+        if hits and YOU.search(text):
+            out[addressed] = TOXIC
+        if len(hits) == 1 and hits[0] not in self.seeds:  # one mined word may be there by chance: how often, the model learns
+            out[lone] = CLEAN
+        if not hits and not begun:
+            out[none] = CLEAN
+        seen = [p.search(text) is not None for p in PATTERNS.values()]
+        out[pattern : pattern + len(seen)][seen] = TOXIC
+        if not any(seen):
+            out[pattern + len(seen)] = CLEAN
         return out
 
 
 class LabelModel:
     """Class-conditional vote tables, class balance, and weights that correlations lower."""
 
-    def fit(self, votes: np.ndarray, prior: float, rounds: int = 25) -> LabelModel:
+    def fit(self, votes: np.ndarray, prior: float, rounds: int = 25, known: np.ndarray | None = None) -> LabelModel:
+        """known: for voters that were mined from labelled texts, in how many texts of each label (toxic, clean) they vote."""
         n, m = votes.shape
         self.prior = min(max(prior, 1e-3), 1 - 1e-3)
         one = np.stack([votes == v for v in (TOXIC, CLEAN, ABSTAIN)], 2).astype(float)  # text, voter, vote
@@ -98,7 +153,9 @@ class LabelModel:
         for _ in range(rounds):
             mass = np.stack([toxic, 1 - toxic], 1)
             # A voter is taken to be right oftener than not: the prior counts say so.
-            lean = np.array([[2.0, 0.2, 1.0], [0.2, 2.0, 1.0]])[:, None, :]
+            lean = np.array([[2.0, 0.2, 1.0], [0.2, 2.0, 1.0]])[:, None, :].repeat(m, 1)
+            if known is not None:
+                lean[:, :, TOXIC] += known.T
             table = np.einsum("nk,nmv->kmv", mass, one) + lean
             self.table = table / table.sum(2, keepdims=True)
             # Correlations given the label: of what a vote has beyond its expectation.
@@ -114,6 +171,7 @@ class LabelModel:
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
         logs = np.log(self.table[0] / self.table[1])
+        logs[:, ABSTAIN] = 0  # who doesn't vote says nothing: a text in one language lacks all insults of the others
         z = np.log(self.prior / (1 - self.prior)) + sum(self.weights[j] * logs[j, votes[:, j]] for j in range(votes.shape[1]))
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
@@ -121,9 +179,10 @@ class LabelModel:
 class ToxicityModel:
     """The linear classifier: a weight for each known word's presence and each vote, and a constant."""
 
-    def __init__(self, sample: list[tuple[str, int]], epochs: int = 12, rate: float = 0.1, decay: float = 1e-4, seed: int = 3) -> None:
+    def __init__(self, sample: list[tuple[str, int]], prior: float = 0.5, epochs: int = 12, rate: float = 0.1, decay: float = 1e-4, seed: int = 3) -> None:
         read = [(words_of(t), y) for t, y in sample]
-        self.voters = Voters(sorted({*SEEDS, *mine(read)}))
+        lexicon = sorted({*SEEDS, *mine(read)})
+        self.voters = Voters(lexicon, mine_stems(read))
         self.label_model: LabelModel | None = None
         common = Counter(w for words, _ in read for w in set(words))
         kept = [w for w, n in sorted(common.items(), key=lambda x: (-x[1], x[0])) if n >= 3][:VOCABULARY]
@@ -132,7 +191,7 @@ class ToxicityModel:
         if not sample:
             return
         votes = np.stack([self.voters.votes(t, words) for (t, _), (words, _) in zip(sample, read, strict=True)])
-        self.label_model = LabelModel().fit(votes, float(np.mean([y for _, y in sample])))
+        self.label_model = LabelModel().fit(votes, prior, known=self.evidence(votes, np.array([y for _, y in sample])))
         soft = self.label_model.posterior(votes)
         fired = (votes == TOXIC).astype(float) - (votes == CLEAN)
         ids = [np.array([self.lexical[w] for w in set(words) if w in self.lexical], int) for words, _ in read]
@@ -151,6 +210,12 @@ class ToxicityModel:
                 self.v -= rate * gv / np.sqrt(sv)
                 self.c -= rate * g / np.sqrt(sc)
 
+    def evidence(self, votes: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """For mined voters, the texts of each label in which they vote; seeds and patterns know nothing of labels."""
+        mined = np.array([n.startswith("stem") or n.startswith("word:") and n[5:] not in self.voters.seeds for n in self.voters.names])
+        fires = (votes == TOXIC) & mined
+        return np.stack([fires[y == 1].sum(0), fires[y == 0].sum(0)], 1).astype(float)
+
     def score(self, text: str) -> float:
         words = words_of(text)
         known = [i for w in set(words) if (i := self.lexical.get(w)) is not None]
@@ -163,14 +228,15 @@ class ToxicityModel:
 def toxicity_scores(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> DataFrame:
     """doc_id, held_out, score and predicted for every row's whole text.
 
-    The fit reads at most `rows` labelled texts outside the held-out fold. A null text is scored as an empty one. A null
-    id is never held out; repeated rows get the same score. An empty table gives no rows; without labels every score is
-    one half. Further columns are ignored.
+    The fit reads at most `rows` labelled texts outside the held-out fold, whole ones, of at most `chars` characters
+    together; documents whose labels contradict each other teach nothing. Texts of any length are scored whole, a null one
+    as an empty one. A null id is never held out; repeated rows get the same score. An empty table gives no rows; without
+    labels every score is one half. Further columns are ignored.
     """
     spark = df.sparkSession
     bounded_batches(spark)
     docs = texts(df, id_col, text_col)
-    model = spark.sparkContext.broadcast(ToxicityModel(labelled_sample(docs, labels, "toxic", FOLDS, HELD, rows, chars)))
+    model = spark.sparkContext.broadcast(ToxicityModel(*labelled_sample(docs, labels, "toxic", FOLDS, HELD, rows, chars)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
