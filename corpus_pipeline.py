@@ -1,4 +1,8 @@
-"""The corpus pipeline: five stages over documents, each written as Parquet and read again by the next."""
+"""The corpus pipeline: five stages over documents, each written as Parquet and read again by the next.
+
+Every stage judges rows, not ids: rows may repeat an id or have none. A null text counts as an empty one. All stages read
+whole texts, take an empty table for what it is, and keep columns of any further names; none depends on the order of rows.
+"""
 
 from __future__ import annotations
 
@@ -7,28 +11,37 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestrum.llm import exact_dedup, near_dedup, quality_cnn, quality_rules
-from lodestrum.llm.common import shared_folder, table
+from lodestrum.llm.common import Store, scope, table
 from lodestrum.llm.packing import pack
 from lodestrum.llm.queries import vocabulary
 
 
 def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows that no quality rule rejects. Rows without words go; repeated rows share their verdict."""
     return quality_rules.keep_good(docs)
 
 
 def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows that the byte network scores one half or more, fitted on those rows of docs that labels of sf_dir cover.
+    Without labels, or with those of one kind only, all rows stay or go alike. Repeated rows share their score."""
     return quality_cnn.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Exactly one row of each text that is the same without white space: the one with the most code points, then the
+    smallest id, a null id last; of rows that tie in both, one. Null and empty texts are one group."""
     return exact_dedup.keep_first(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Exactly one row of each group of near copies, the one with the smallest id, a null id last; of equal ids the first
+    row. Rows without words are near to nothing and stay."""
     return near_dedup.keep_first(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all rows in sequences of 2,048 tokens. A row without a text is its end token alone; rows that repeat are
+    packed each for itself."""
     return pack(docs, vocabulary("byte_bpe_50k.json"))
 
 
@@ -39,11 +52,12 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for at, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if at < len(STAGES) - 1:
-            path = shared_folder(spark, name)
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
-    return docs
+    """The packed pieces of what all stages keep. What a stage has stored goes once its result is written, and a result once
+    the next one is."""
+    docs, store = table(spark, sf_dir, "documents"), Store(spark, "pipeline")
+    for name, stage in STAGES[:-1]:
+        with scope():
+            result = store.put(stage(spark, docs, sf_dir), name)
+        store.drop(docs)
+        docs = result
+    return STAGES[-1][1](spark, docs, sf_dir)
