@@ -99,6 +99,7 @@ class Store:
         path = f"{self.base}/{len(self.tables)}-{name}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
+        self.spark._jvm.System.gc()  # plans of many steps leave garbage on the driver; collected now, its heap needn't grow
         self.tables.append((out, path))
         return out
 

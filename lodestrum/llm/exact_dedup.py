@@ -28,6 +28,8 @@ SPACE_BYTES = SPACE_LETTERS.encode()
 SALTS = 256
 #: A task sends its groups on when they hold so many bytes or rows; groups cut apart so meet again in the salted step.
 LOCAL_BYTES, LOCAL_ROWS = 48 << 20, 100_000
+#: Representatives of one digest that one task takes as they are.
+HOT = 100_000
 LOCAL_SCHEMA = "digest binary, salt int, rep_id long, rep_points long, norm binary, members array<long>"
 
 
@@ -154,18 +156,27 @@ def _best_rows(id_at: str, text_at: str, digest_at: str, salt_at: str, salts: in
     return run
 
 
-def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, salts: int = SALTS, local_bytes: int = LOCAL_BYTES) -> DataFrame:
+def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, salts: int = SALTS, local_bytes: int = LOCAL_BYTES, hot: int = HOT) -> DataFrame:
     """The rows of df that stay, with all their columns: exactly one of a group, by the rule of exact_groups.
 
     The three steps are those of exact_groups, but the rows themselves travel, so that none has to be found again and ids
-    may repeat or be null: the best row of a task, then of a salt, then of all. Of rows that tie in both, one stays.
+    may repeat or be null: the best row of a task, then of a salt, then of all. Digests are counted first: where none has
+    more than `hot` representatives, one salt holds any group, and its winners are those of all. Of rows that tie in both
+    length and id, one stays.
     """
     bounded_batches(df.sparkSession)
-    digest, salt, place = (free_name(df, c) for c in ("_digest", "_salt", "_place"))
+    digest, salt = free_name(df, "_digest"), free_name(df, "_salt")
     local = df.mapInArrow(_best_rows(id_col, text_col, digest, salt, salts, local_bytes), df.withColumns({digest: F.lit(b""), salt: F.lit(0)}).schema)
     text = F.coalesce(F.col(text_col), F.lit(""))
     order = [F.desc(F.length(text)), F.asc_nulls_last(F.col(id_col).cast("long"))]
-    for by in ([digest, salt], [digest]):
+
+    def winners(rows: DataFrame, *by: str) -> DataFrame:
         content = Window.partitionBy(*by, F.translate(text, SPACE_LETTERS, "")).orderBy(*order)
-        local = local.withColumn(place, F.row_number().over(content)).where(F.col(place) == 1).drop(place)
+        before = free_name(rows, "_before")  # null in a content's first row; unlike a rank, it isn't looked for before the shuffle too
+        return rows.withColumn(before, F.lag(F.lit(1)).over(content)).where(F.col(before).isNull()).drop(before)
+
+    many = local.groupBy(digest).count().where(F.col("count") > hot)
+    steps = [(digest,)] if many.isEmpty() else [(digest, salt), (digest,)]
+    for by in steps:
+        local = winners(local, *by)
     return local.drop(digest, salt)

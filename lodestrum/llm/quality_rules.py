@@ -20,7 +20,7 @@ from lodestrum.llm.common import SPACE
 WINDOW = 5
 #: The sample on which costs and rejections are estimated: rows, the characters beyond which a text isn't drawn, one row
 #: of how many is, and how often the sample is repeated to tell its cost from a job's own.
-SAMPLE_ROWS, SAMPLE_CHARS, SAMPLE_OF, REPEATS = 200, 1 << 18, 16, 3
+SAMPLE_ROWS, SAMPLE_CHARS, SAMPLE_OF, REPEATS = 200, 1 << 18, 16, 4
 SYMBOLS = "#*$%&|<>"
 
 
@@ -119,8 +119,8 @@ def measured(df: DataFrame, names: tuple[str, ...], only: Column | None = None)
 def order_rules(docs: DataFrame, rules: tuple[Rule, ...], given: tuple[str, ...] = ("n_words",), rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS, of: int = SAMPLE_OF) -> list[Rule]:
     """Rules by rejections per second on a sample of whole texts, drawn by hash; without rows, the order given.
 
-    `given` are measures that every row has anyway and that cost a rule nothing. The cost is what repeating the sample
-    adds to a rule's run, so that the time of starting a job isn't in it.
+    `given` are measures that every row has anyway and that cost a rule nothing. A rule is run over the sample several
+    times over; its cost is what it takes beyond a rule that does nothing, so that the time of starting a job isn't in it.
     """
     spark = docs.sparkSession
     drawn = docs.where((F.pmod(F.xxhash64("doc_id", "text"), F.lit(of)) == 0) & (F.length("text") <= chars))
@@ -135,13 +135,13 @@ def order_rules(docs: DataFrame, rules: tuple[Rule, ...], given: tuple[str, ...]
         n = measured(again, rule.needs).agg(F.count_if(F.expr(rule.rejects))).first()[0]
         return time.perf_counter() - began, n
 
-    known.count()
+    nothing = Rule("nothing", "n_words < 0")
+    run(nothing, REPEATS)
+    idle = run(nothing, REPEATS)[0]
     rates = []
     for at, rule in enumerate(rules):
-        run(rule, 1)  # compiles
-        once, rejected = run(rule, 1)
-        often, _ = run(rule, 1 + REPEATS)
-        rates.append((-rejected / max((often - once) / REPEATS, 1e-5), at))
+        seconds, rejected = min(run(rule, REPEATS) for _ in range(2))  # the first one compiles
+        rates.append((-rejected / max(seconds - idle, 1e-3), at))
     known.unpersist()
     return [rules[at] for _, at in sorted(rates)]
 
