@@ -28,6 +28,8 @@ SPACE_BYTES = SPACE_LETTERS.encode()
 SALTS = 256
 #: A task sends its groups on when they hold so many bytes or rows; groups cut apart so meet again in the salted step.
 LOCAL_BYTES, LOCAL_ROWS = 48 << 20, 100_000
+#: The same where whole rows travel, which a task holds in several forms at a time.
+ROW_BYTES = 12 << 20
 #: Representatives of one digest that one task takes as they are.
 HOT = 100_000
 LOCAL_SCHEMA = "digest binary, salt int, rep_id long, rep_points long, norm binary, members array<long>"
@@ -148,15 +150,15 @@ def _best_rows(id_at: str, text_at: str, digest_at: str, salt_at: str, salts: in
                 held.append(b)
                 size += b.nbytes
             if size >= most_bytes:
-                yield from best(held, next(salt))
-                held, size = [], 0
+                rows, held, size = held, [], 0
+                yield from best(rows, next(salt))
         if held:
             yield from best(held, next(salt))
 
     return run
 
 
-def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, salts: int = SALTS, local_bytes: int = LOCAL_BYTES, hot: int = HOT) -> DataFrame:
+def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, salts: int = SALTS, local_bytes: int = ROW_BYTES, hot: int = HOT) -> DataFrame:
     """The rows of df that stay, with all their columns: exactly one of a group, by the rule of exact_groups.
 
     The three steps are those of exact_groups, but the rows themselves travel, so that none has to be found again and ids
