@@ -21,6 +21,51 @@ def mel_bank(rate: int = RATE, size: int = SIZE, bands: int = MELS) -> np.ndarra
     return np.maximum(0, np.minimum((hz - lo) / (mid - lo), (hi - hz) / (hi - mid)))
 
 
+def slaney(hz: np.ndarray | float) -> np.ndarray:
+    """The mel scale that is linear up to 1,000 Hz and logarithmic beyond."""
+    hz = np.asarray(hz, float)
+    return np.where(hz < 1000, hz * 3 / 200, 15 + 27 * np.log(np.maximum(hz, 1e-9) / 1000) / np.log(6.4))
+
+
+def slaney_hz(mels: np.ndarray) -> np.ndarray:
+    return np.where(mels < 15, mels * 200 / 3, 1000 * np.exp((mels - 15) * np.log(6.4) / 27))
+
+
+def log_mel(x: np.ndarray, rate: int = RATE, size: int = 1024, hop: int = 480, bands: int = 64, low: float = 50.0, high: float = 14_000.0) -> np.ndarray:
+    """Log power in mel bands, (frames, bands) in decibels: ends reflected, bands of equal area on the Slaney scale, a floor of
+    1e-10."""
+    half = (size - 1) // 2 + 1
+    x = np.asarray(x, float)
+    padded = np.pad(x, half, mode="reflect") if len(x) > 1 else np.pad(x, half)
+    frames = np.lib.stride_tricks.sliding_window_view(padded, size)[::hop]
+    window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(size) / size)
+    power = np.abs(np.fft.rfft(frames * window, axis=1)) ** 2
+    edges = slaney_hz(np.linspace(slaney(low), slaney(high), bands + 2))
+    hz = np.fft.rfftfreq(size, 1 / rate)[None, :]
+    below, middle, above = edges[:-2, None], edges[1:-1, None], edges[2:, None]
+    bank = np.maximum(0, np.minimum((hz - below) / (middle - below), (above - hz) / (above - middle))) * 2 / (above - below)
+    return 10 * np.log10(np.maximum(power @ bank.T, 1e-10))
+
+
+def polyphase(x: np.ndarray, rate: int, wanted: int, zeros: int = 12, beta: float = 8.0, roll_off: float = 0.9) -> np.ndarray:
+    """A signal at another rate, by a Kaiser-windowed sinc with one set of weights for each phase that occurs."""
+    x = np.asarray(x, float)
+    common = int(np.gcd(rate, wanted))
+    up, down = wanted // common, rate // common
+    scale = min(1.0, wanted / rate) * roll_off
+    reach = int(np.ceil(zeros / scale))
+    taps = np.arange(-reach, reach + 1)
+    phase = np.arange(up) / up  # where between two samples an output can lie
+    at = taps[None, :] - phase[:, None]
+    inside = np.clip(1 - (at * scale / zeros) ** 2, 0, None)
+    weights = np.sinc(at * scale) * np.i0(beta * np.sqrt(inside)) / np.i0(beta) * (np.abs(at * scale) <= zeros)
+    weights /= weights.sum(1, keepdims=True)
+    n = int(np.ceil(len(x) * up / down))
+    base, own = np.divmod(np.arange(n) * down, up)
+    padded = np.pad(x, reach + 1)
+    return (padded[base[:, None] + taps[None, :] + reach + 1] * weights[own]).sum(1)
+
+
 def dct(n_in: int, n_out: int) -> np.ndarray:
     k, m = np.arange(n_out)[:, None], np.arange(n_in)[None, :]
     return np.cos(np.pi * k * (m + 0.5) / n_in) * np.sqrt(2 / n_in)
@@ -41,7 +86,7 @@ def slopes(m: np.ndarray) -> np.ndarray:
 
 
 def frame_features(x: np.ndarray, rate: int = RATE) -> np.ndarray:
-    """44 numbers for each frame: cepstra with first and second slopes, then centroid, bandwidth, flatness, log RMS, zero crossings."""
+    """44 numbers for each frame: cepstra with first and second slopes, then centroid, flatness, bandwidth, log RMS, zero crossings."""
     w = framed(np.asarray(x, float))
     magnitude = np.abs(np.fft.rfft(w * np.hanning(SIZE), axis=1))
     hz = np.fft.rfftfreq(SIZE, 1 / rate)
@@ -54,7 +99,7 @@ def frame_features(x: np.ndarray, rate: int = RATE) -> np.ndarray:
     crossings = (np.diff(np.signbit(w), axis=1)).mean(1)
     cepstra = np.log(power @ mel_bank(rate).T + 1e-10) @ dct(MELS, CEPSTRA).T
     first = slopes(cepstra)
-    stats = np.stack([centroid / (rate / 2), bandwidth / (rate / 2), flatness, rms, crossings], 1)
+    stats = np.stack([centroid / (rate / 2), flatness, bandwidth / (rate / 2), rms, crossings], 1)
     return np.hstack([cepstra, first, slopes(first), stats])
 
 

@@ -26,6 +26,21 @@ def scan(spark: SparkSession, root: str) -> DataFrame:
     return kept.where(is_audio(F.col("name")) & ~has_ignored_dir(F.col("path")))
 
 
+def probe(spark: SparkSession, root: str, seconds: float = 4.0) -> bool:
+    """Is a root there? No answer in time is a no: a disc that sleeps or a share that is gone must not hold up a scan."""
+    import concurrent.futures
+
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    pool = concurrent.futures.ThreadPoolExecutor(1)
+    asked = pool.submit(lambda: bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)))
+    try:
+        return asked.result(seconds)
+    except Exception:  # noqa: BLE001  whatever keeps it from being read
+        return False
+    finally:
+        pool.shutdown(wait=False)
+
+
 def contents(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.[wW][aA][vV]").load(root).select("path", "content")
 
@@ -52,7 +67,7 @@ def read_header(data: bytes) -> dict | None:
             if big is not None and size == 0xFFFFFFFF:
                 size = big
             size = min(size, len(data) - body)
-            if tag not in (PCM, FLOAT) or not channels or bits not in (8, 16, 24, 32, 64) or not rate:
+            if bits not in {PCM: (8, 16, 24, 32), FLOAT: (32, 64)}.get(tag, ()) or not channels or not rate:
                 return None
             return {"rate": rate, "channels": channels, "bits": bits, "format": tag, "data_at": body, "data_bytes": size, "frames": size // (channels * bits // 8)}
         at = body + size + (size & 1)
@@ -66,7 +81,8 @@ def decode(data: bytes) -> tuple[int, np.ndarray] | None:
         return None
     raw = data[h["data_at"] : h["data_at"] + h["frames"] * h["channels"] * h["bits"] // 8]
     if h["format"] == FLOAT:
-        x = np.nan_to_num(np.frombuffer(raw, "<f4" if h["bits"] == 32 else "<f8").astype(np.float64), nan=0.0, posinf=0.0, neginf=0.0)
+        x = np.frombuffer(raw, "<f4" if h["bits"] == 32 else "<f8").astype(np.float64)
+        x = np.where(np.isnan(x), 0.0, x)
     elif h["bits"] == 8:
         x = (np.frombuffer(raw, np.uint8).astype(np.float64) - 128) / 128
     elif h["bits"] == 24:
@@ -79,26 +95,40 @@ def decode(data: bytes) -> tuple[int, np.ndarray] | None:
 
 
 def mono(x: np.ndarray) -> np.ndarray:
-    """One channel as it is, two weighted by the root of a half, more averaged."""
-    n = x.shape[1]
-    return x.sum(1) * {1: 1.0, 2: 0.5**0.5}.get(n, 1 / n)
+    """One channel as it is, n of them added and weighted by the root of 1 / n, which keeps their power."""
+    return x.sum(1) / x.shape[1] ** 0.5
 
 
-def encode(x: np.ndarray, rate: int, bits: int = 16) -> bytes:
-    """A WAV file of (frames, channels): 16 or 24 bit integers, or 32 bit floats. Clamped; what isn't a number is silent."""
-    x = np.clip(np.nan_to_num(np.atleast_2d(np.asarray(x, float).T).T, nan=0.0), -1, 1)
-    if bits == 32:
+def encode(x: np.ndarray, rate: int, bits: int = 16, floating: bool | None = None) -> bytes:
+    """A WAV file of (frames, channels): integers of 16, 24 or 32 bits, or floats of 32, which are what 32 bits mean unless
+    floating is False. Integers are clamped, floats keep what goes beyond one; what isn't a number is silent."""
+    floating = bits == 32 if floating is None else floating
+    x = np.atleast_2d(np.asarray(x, float).T).T
+    x = np.where(np.isnan(x), 0.0, x)
+    if floating:
         tag, raw = FLOAT, x.astype("<f4").tobytes()
     else:
-        top = 2 ** (bits - 1)
-        v = np.floor(np.where(x < 0, x * top, x * (top - 1)) + 0.5).astype("<i4")
-        tag, raw = PCM, v.astype("<i2").tobytes() if bits == 16 else v.reshape(-1, 1).view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+        x, top = np.clip(x, -1, 1), 2 ** (bits - 1)
+        v = np.floor(np.where(x < 0, x * top, x * (top - 1)) + 0.5).astype("<i8")
+        tag, raw = PCM, v.reshape(-1, 1).view(np.uint8).reshape(-1, 8)[:, : bits // 8].tobytes()
     block = x.shape[1] * bits // 8
     head = struct.pack("<HHIIHH", tag, x.shape[1], rate, rate * block, block, bits)
     body = b"WAVEfmt " + struct.pack("<I", 16) + head + b"data" + struct.pack("<I", len(raw)) + raw + b"\0" * (len(raw) & 1)
     return b"RIFF" + struct.pack("<I", len(body)) + body
 
 
+def encoded(signals: DataFrame, rate: int, bits: int = 16) -> DataFrame:
+    """(path, xs) to (path, content): a WAV file of one channel for each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            files = [encode(np.asarray(xs.values, float).reshape(-1, 1), rate, bits) for xs in b.column("xs")]
+            yield pa.RecordBatch.from_arrays([b.column("path"), pa.array(files, pa.binary())], ["path", "content"])
+
+    ship(signals.sparkSession)
+    return signals.select("path", "xs").mapInArrow(run, "path string, content binary")
+
+
 def headers(files: DataFrame) -> DataFrame:
     """(path, content) to path and HEADER; all null for what can't be read."""
 
