@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,6 +14,8 @@ from pyspark.sql.window import Window
 TAU = ((50, 0.975), (150, 0.904), (400, 0.900), (1000, 0.866), (3000, 0.830), (30000, 0.80))
 SILENCE = 1e-4
 DIMS = 4
+#: The loudness that level stands for in f0, the dimension of a frame that holds it; and the step from frame to frame in ms.
+QUIET, HOP_MS = SILENCE * 12345.6, 25
 
 
 def peaks(x: DataFrame, buckets: int) -> DataFrame:
@@ -65,8 +71,34 @@ def delta(rows: DataFrame, value: str, order: str = "w", name: str = "d") -> Dat
 
 
 def partial_sums(frames: DataFrame) -> DataFrame:
-    """Count, sums and sums of squares of each series: partial aggregates that add up and can be taken away again."""
-    return frames.groupBy("series").agg(F.count("*").alias("counted"), *(F.sum(f"f{d}").alias(f"s{d}") for d in range(DIMS)), *(F.sum(F.col(f"f{d}") * F.col(f"f{d}")).alias(f"q{d}") for d in range(DIMS)))
+    """Count, sums and sums of squares over the audible frames of each series, partial aggregates that add up and can be taken
+    away again, and its loudest frame, the first of equals (`attack`)."""
+    of = lambda x: F.coalesce(F.sum(F.when(F.col("f0") >= QUIET, x)), F.lit(0.0))
+    sums = [of(F.col(f"f{d}")).alias(f"s{d}") for d in range(DIMS)] + [of(F.col(f"f{d}") * F.col(f"f{d}")).alias(f"q{d}") for d in range(DIMS)]
+    attack = F.max_by(F.array(*(f"f{d}" for d in range(DIMS))), F.struct("f0", -F.col("w")))
+    return frames.groupBy("series").agg(F.count_if(F.col("f0") >= QUIET).alias("counted"), *sums, attack.alias("attack"))
+
+
+def z_unit(values: list[Column]) -> Column:
+    """A raw frame in standard units at length one, in a row that has the statistics m0, t0, ..."""
+    z = [(v - F.col(f"m{d}")) / F.col(f"t{d}") for d, v in enumerate(values)]
+    n = F.sqrt(sum((x * x for x in z), F.lit(0.0)))
+    return F.array(*(F.when(n > 0, x / n).otherwise(0.0) for x in z))
+
+
+def coarse_vectors(sums: DataFrame, stats: DataFrame) -> DataFrame:
+    """series, mean (of its audible frames; zeros where there are none) and attack, both in standard units at length one."""
+    means = [F.col(f"s{d}") / F.col("counted") for d in range(DIMS)]
+    joined = sums.join(F.broadcast(stats))  # stats is one row
+    nothing = F.array(*(F.lit(0.0) for _ in range(DIMS)))
+    return joined.select("series", F.when(F.col("counted") > 0, z_unit(means)).otherwise(nothing).alias("mean"), z_unit([F.col("attack")[d] for d in range(DIMS)]).alias("attack"))
+
+
+def whole_series(frames: DataFrame) -> DataFrame:
+    """series, span (frames) and all its frames in one flat array, in order: a series is a file's, so a file bounds it."""
+    one = F.array_sort(F.collect_list(F.struct("w", *(f"f{d}" for d in range(DIMS)))))
+    g = frames.groupBy("series").agg(one.alias("rows"))
+    return g.select("series", F.size("rows").cast("long").alias("span"), F.flatten(F.transform("rows", lambda r: F.array(*(r[f"f{d}"] for d in range(DIMS))))).alias("flat"))
 
 
 def final_stats(parts: DataFrame) -> DataFrame:
@@ -96,15 +128,64 @@ def dot_fixed(a: Column, b: Column) -> Column:
     return sum((a[d] * b[d] for d in range(DIMS)), F.lit(0.0))
 
 
-def slide(query: DataFrame, candidates: DataFrame) -> DataFrame:
-    """The best mean similarity over all alignments of a short query (w, z) inside each candidate: series, off, score."""
-    q = query.select(F.col("w").alias("qw"), F.col("z").alias("qz"))
-    size = q.agg(F.max("qw").alias("last"), F.count("*").alias("qn"))
-    pairs = candidates.join(F.broadcast(q))  # the query has a fixed, small number of frames
-    scored = pairs.select("series", (F.col("w") - F.col("qw")).alias("off"), dot_fixed(F.col("z"), F.col("qz")).alias("s"))
-    sums = scored.groupBy("series", "off").agg(F.sum("s").alias("s"), F.count("*").alias("n")).join(F.broadcast(size)).where("n = qn")
-    best = sums.groupBy("series").agg(F.max(F.struct(F.round(F.col("s") / F.col("qn"), 9).alias("score"), (-F.col("off")).alias("neg"))).alias("b"))
-    return best.select("series", (-F.col("b.neg")).alias("off"), F.col("b.score").alias("score"))
+def best_alignment(query: np.ndarray, loud: np.ndarray, other: np.ndarray) -> tuple[float, int]:
+    """The best mean product over all places of a shorter matrix of unit frames inside a longer one, and that place. Only
+    the audible frames of the shorter one count; without any the score is -1. Of equal places the first."""
+    at = np.flatnonzero(loud)
+    if not len(at):
+        return -1.0, 0
+    products = other @ query[at].T  # frame of the longer one, audible frame of the shorter one
+    places = np.arange(len(other) - len(query) + 1)
+    means = np.round(products[places[:, None] + at[None, :], np.arange(len(at))[None, :]].mean(1), 9)
+    best = int(means.argmax())
+    return float(means[best]), best
+
+
+def slide(query: DataFrame, candidates: DataFrame, stats: DataFrame, best: int | None = None) -> DataFrame:
+    """How well a query (one row: flat) is found in each of candidates (series, span, flat): series, off, score, swapped, span.
+
+    Frames are put in standard units by stats (one row). A candidate that is shorter than the query slides over it instead,
+    and its score is scaled by the share of the query that it covers. Every series is one call of a kernel, in the task
+    that holds it; the query and the statistics are broadcast. With `best` a task gives only so many, the best of all that it
+    has seen so far, so that a top-k over the result shuffles no more.
+    """
+    known = [F.array(*(F.col(f"{k}{d}") for d in range(DIMS))).alias(n) for k, n in (("m", "means"), ("t", "spreads"))]
+    shared = query.select(F.col("flat").alias("query")).join(stats.select(*known))  # two single rows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matrix = lambda x: np.asarray(x, float).reshape(-1, DIMS)
+
+        def prepared(raw: np.ndarray, mean: np.ndarray, spread: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            z = (raw - mean) / spread
+            n = np.sqrt((z * z).sum(1, keepdims=True))
+            return np.divide(z, n, out=np.zeros_like(z), where=n > 0), raw[:, 0] >= QUIET
+
+        top: pa.Table | None = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            known = [np.asarray(b.column(c)[0].as_py(), float) for c in ("means", "spreads")]
+            q, q_loud = prepared(matrix(b.column("query")[0].as_py()), *known)
+            out = []
+            for flat in b.column("flat"):
+                c, c_loud = prepared(matrix(flat.values.to_numpy(zero_copy_only=False)), *known)
+                if len(q) <= len(c):
+                    score, off = best_alignment(q, q_loud, c)
+                    out.append((off, score, False))
+                else:
+                    score, _ = best_alignment(c, c_loud, q)
+                    out.append((0, score * len(c) / len(q), True))
+            columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.float64(), pa.bool_()), strict=True)]
+            done = pa.RecordBatch.from_arrays([b.column("series"), *columns, b.column("span")], ["series", "off", "score", "swapped", "span"])
+            if best is None:
+                yield done
+            else:
+                seen = pa.Table.from_batches([done]) if top is None else pa.concat_tables([top, pa.Table.from_batches([done])])
+                top = seen.sort_by([("score", "descending"), ("series", "ascending")]).slice(0, best)
+        if top is not None:
+            yield from top.combine_chunks().to_batches()
+
+    return candidates.join(F.broadcast(shared)).mapInArrow(run, "series long, off long, score double, swapped boolean, span long")
 
 
 def tau(ms: Column) -> Column:
@@ -117,3 +198,11 @@ def tau(ms: Column) -> Column:
 def confidence(score: Column, ms: Column) -> Column:
     t = tau(ms)
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (score - t) / (1 - t)))
+
+
+def round_robin(colours: DataFrame, most: int) -> DataFrame:
+    """brief, place and colour: of palettes (brief, image, k, colour) the first of every image, then the second and so on, each
+    colour once, ignoring case, `most` of a brief. First places combine before the shuffle; distinct colours are few."""
+    first = colours.groupBy("brief", F.lower("colour").alias("_c")).agg(F.min(F.struct("k", "image", "colour")).alias("_f"))
+    place = F.row_number().over(Window.partitionBy("brief").orderBy("_f"))
+    return first.select("brief", place.cast("long").alias("place"), F.col("_f.colour").alias("colour")).where(F.col("place") <= most)

@@ -7,42 +7,46 @@ from pyspark.sql.window import Window
 
 from lodestrum.operators import series as op
 from lodestrum.plans.registry import query
-from lodestrum.plans.series import STATS, SUMS, ZF
+from lodestrum.plans.series import STATS, SUMS, summaries
 from lodestrum.sources.tables import frames, sql, table
 
 #: Candidates of each coarse list for a query under 2.5 s, as in the reference.
 CANDIDATES = 250
 
-MEANS = """zm as (select series, [{m}] as mean from (select series, {a} from zf group by series)),
-atk as (select series, arg_max(z, (f0, -w)) as attack from (select zf.series, zf.w, z, f0 from zf join frames f on f.series = zf.series and f.w = zf.w) group by series),
-q as (select m.mean as qm, a.attack as qa from zm m join atk a using (series) where series = (select min(series) from zm)),
-sc as (select series, list_dot_product(mean, qm) as sm, list_dot_product(attack, qa) as sa from zm join atk using (series), q)""".format(m=", ".join(f"a{d}" for d in range(4)), a=", ".join(f"avg(z[{d + 1}]) as a{d}" for d in range(4)))
+def _z(values: str) -> str:
+    """A raw frame in standard units at length one, as SQL over an expression for each dimension."""
+    v = "[" + ", ".join(f"({values.format(d=d)} - m{d}) / t{d}" for d in range(op.DIMS)) + "]"
+    return f"list_transform({v}, lambda x: case when list_dot_product({v}, {v}) > 0 then x / sqrt(list_dot_product({v}, {v})) else 0 end)"
 
 
-def _coarse(spark, sf):
-    """Each series' likeness to the first one, by mean frame and by loudest frame."""
-    f = frames(spark, sf)
-    z = op.z_frames(f, op.final_stats(op.partial_sums(f)), "f0")
-    s = z.groupBy("series").agg(F.array(*(F.avg(F.col("z")[d]) for d in range(op.DIMS))).alias("mean"), F.max_by("z", F.struct("f0", -F.col("w"))).alias("attack"))
+COARSE = f"""vecs as (select series, case when counted > 0 then {_z("s{d} / nullif(counted, 0)")} else [0.0, 0.0, 0.0, 0.0]::double[] end as mean, {_z("attack[{d} + 1]")} as attack from sums, stats),
+q as (select mean as qm, attack as qa from vecs where series = (select min(series) from vecs)),
+sc as (select series, list_dot_product(mean, qm) as sm, list_dot_product(attack, qa) as sa from vecs, q)"""
+TOPS = f"tm as (select series from sc order by round(sm, 9) desc, series limit {CANDIDATES}),\nta as (select series from sc order by round(sa, 9) desc, series limit {CANDIDATES})"
+
+
+def coarse(f):
+    """Each series' likeness to the first one, by mean frame and by loudest frame, and the statistics over all."""
+    sums, stats = summaries(f)
+    s = op.coarse_vectors(sums, stats)
     q = s.orderBy("series").limit(1).select(F.col("mean").alias("qm"), F.col("attack").alias("qa"))
-    return s.join(F.broadcast(q)).select("series", op.dot_fixed(F.col("mean"), F.col("qm")).alias("sm"), op.dot_fixed(F.col("attack"), F.col("qa")).alias("sa"))
+    return s.join(F.broadcast(q)).select("series", op.dot_fixed(F.col("mean"), F.col("qm")).alias("sm"), op.dot_fixed(F.col("attack"), F.col("qa")).alias("sa")), stats
 
 
-TOPS = "tm as (select series from sc order by round(sm, 9) desc, series limit 25),\nta as (select series from sc order by round(sa, 9) desc, series limit 25)"
+def candidates(s):
+    top = lambda c: s.orderBy(F.desc(F.round(c, 9)), "series").limit(CANDIDATES).select("series")
+    return top("sm").union(top("sa")).distinct()
 
 
-@query(sql("frames", "select series, round(sm, 6) as sm, round(sa, 6) as sa from sc where series in (select series from tm union select series from ta)", SUMS, STATS, ZF, MEANS, TOPS))
+@query(sql("frames", "select series, round(sm, 6) as sm, round(sa, 6) as sa from sc where series in (select series from tm union select series from ta)", SUMS, STATS, COARSE, TOPS))
 def q_echo_coarse(spark, sf):
-    s = _coarse(spark, sf)
-    top = lambda c: s.orderBy(F.desc(F.round(c, 9)), "series").limit(CANDIDATES).select("series")
-    return s.join(top("sm").union(top("sa")).distinct(), "series", "left_semi").select("series", F.round("sm", 6).alias("sm"), F.round("sa", 6).alias("sa"))
+    s, _ = coarse(frames(spark, sf))
+    return s.join(candidates(s), "series", "left_semi").select("series", F.round("sm", 6).alias("sm"), F.round("sa", 6).alias("sa"))
 
 
-@query(sql("frames", "select series from tm union select series from ta", SUMS, STATS, ZF, MEANS, TOPS))
+@query(sql("frames", "select series from tm union select series from ta", SUMS, STATS, COARSE, TOPS))
 def set_union_cands(spark, sf):
-    s = _coarse(spark, sf)
-    top = lambda c: s.orderBy(F.desc(F.round(c, 9)), "series").limit(CANDIDATES).select("series")
-    return top("sm").union(top("sa")).distinct()
+    return candidates(coarse(frames(spark, sf))[0])
 
 
 def sql_tau(ms: str) -> str:
@@ -90,8 +94,14 @@ def cdc_resnapshot(spark, sf):
     return u.select(F.col("user_id").alias("id"), (F.abs(F.col("n") - F.col("old")) >= need).alias("again"))
 
 
-@query("select k, kind, n from (select event_type as kind, count(*) as n, row_number() over (order by count(*) desc, event_type) as k from events group by event_type) where k <= 6")
+PALETTE = """pal as (select p_brand as brief, p_partkey as image, unnest([0, 1, 2]) as k, unnest([upper(split_part(p_name, ' ', 1)), split_part(p_name, ' ', 2), lower(p_type)]) as colour from part),
+once as (select brief, lower(colour) as c, min((k, image, colour)) as first from pal group by all)"""
+
+
+@query(f"with {PALETTE} select brief, row_number() over (partition by brief order by first) as place, first[3] as colour from once qualify place <= 6")
 def agg_palette_rr(spark, sf):
-    g = table(spark, sf, "events").groupBy(F.col("event_type").alias("kind")).agg(F.count("*").alias("n"))
-    w = Window.orderBy(F.desc("n"), "kind")  # over the few kinds only
-    return g.withColumn("k", F.row_number().over(w).cast("long")).where("k <= 6").select("k", "kind", "n")
+    """Six colours of each brief: the first of each image, then the second, each colour once whatever its letters' case."""
+    p = table(spark, sf, "part")
+    words = F.split("p_name", " ")
+    colours = p.select(F.col("p_brand").alias("brief"), F.col("p_partkey").alias("image"), F.posexplode(F.array(F.upper(words[0]), words[1], F.lower("p_type"))).alias("k", "colour"))
+    return op.round_robin(colours, 6)

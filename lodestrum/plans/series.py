@@ -7,6 +7,8 @@ from pyspark.sql.window import Window
 
 from lodestrum.operators import series as op
 from lodestrum.plans.registry import query
+from lodestrum.session import ship
+from lodestrum.sources import wav
 from lodestrum.sources.tables import frames, samples, sql, table
 
 B = 16
@@ -55,9 +57,10 @@ def win_deltadelta(spark, sf):
     return op.delta(op.delta(frames(spark, sf), "f0"), "d", name="dd").select("series", "w", F.round("dd", 6).alias("dd"))
 
 
-SUMS = "sums as (select series, count(*) as counted, " + ", ".join(f"sum(f{d}) as s{d}, sum(f{d} * f{d}) as q{d}" for d in range(4)) + " from frames group by series)"
+LOUD = f"f0 >= {op.QUIET}"
+SUMS = f"sums as (select series, count(*) filter ({LOUD}) as counted, " + ", ".join(f"coalesce(sum(f{d}) filter ({LOUD}), 0) as s{d}, coalesce(sum(f{d} * f{d}) filter ({LOUD}), 0) as q{d}" for d in range(4)) + ", arg_max([f0, f1, f2, f3], (f0, -w)) as attack from frames group by series)"
 STATS = "tot as (select sum(counted) as n, " + ", ".join(f"sum(s{d}) as s{d}, sum(q{d}) as q{d}" for d in range(4)) + " from sums where counted >= 2),\nstats as (select " + ", ".join(f"s{d} / n as m{d}, case when sqrt(greatest(0, q{d} / n - (s{d} / n) * (s{d} / n))) <= 1e-6 then 1 else sqrt(greatest(0, q{d} / n - (s{d} / n) * (s{d} / n))) end as t{d}" for d in range(4)) + " from tot)"
-ZF = "zraw as (select series, w, [" + ", ".join(f"(f{d} - m{d}) / t{d}" for d in range(4)) + "] as v from frames, stats),\nzf as (select series, w, list_transform(v, lambda x: case when list_dot_product(v, v) > 0 then x / sqrt(list_dot_product(v, v)) else 0 end) as z from zraw)"
+ZF = "zraw as (select series, w, f0, [" + ", ".join(f"(f{d} - m{d}) / t{d}" for d in range(4)) + "] as v from frames, stats),\nzf as (select series, w, f0, list_transform(v, lambda x: case when list_dot_product(v, v) > 0 then x / sqrt(list_dot_product(v, v)) else 0 end) as z from zraw)"
 
 
 @query(sql("frames", "select series, counted, round(s0, 6) as s0, round(q0, 6) as q0, round(s1, 6) as s1, round(q1, 6) as q1 from sums", SUMS))
@@ -95,29 +98,81 @@ def win_zspace(spark, sf):
     return op.z_frames(f, op.final_stats(op.partial_sums(f))).select("series", "w", F.transform("z", lambda x: F.round(x, 6)).alias("z"))
 
 
-SLIDE = """qf as (select w as qw, z as qz from zf where series = (select min(series) from zf) and w < 4),
-al as (select c.series, c.w - qw as off_, sum(list_dot_product(c.z, qz)) / 4 as s, count(*) as k from zf c, qf group by all having count(*) = 4),
-sl as (select series, off_ as off, round(s, 9) as score from al qualify row_number() over (partition by series order by round(s, 9) desc, off_) = 1)"""
+def sql_slide(frames_of_query: int) -> str:
+    """sl(series, off, score, swapped, span): the first series' first frames, looked for in every series."""
+    return f"""qf as (select w as qw, z as qz, {LOUD} as loud from zf where series = (select min(series) from zf) and w < {frames_of_query}),
+qn as (select count(*) as qn, count(*) filter (loud) as ql from qf),
+cn as (select series, count(*) as n, count(*) filter ({LOUD}) as cl from zf group by series),
+al as (select c.series, c.w - qw as off_, sum(list_dot_product(c.z, qz)) / any_value(ql) as s from zf c join cn using (series), qf, qn where n >= qn and loud and c.w - qw between 0 and n - qn group by all
+  union all select c.series, qw - c.w as off_, sum(list_dot_product(c.z, qz)) / any_value(cl) as s from zf c join cn using (series), qf, qn where n < qn and c.{LOUD} and qw - c.w between 0 and qn - n group by all),
+ba as (select series, off_, round(s, 9) as s from al qualify row_number() over (partition by series order by round(s, 9) desc, off_) = 1),
+sl as (select series, case when n < qn then 0 else coalesce(off_, 0) end as off, coalesce(s, -1) * case when n < qn then n / qn::double else 1 end as score, n < qn as swapped, n as span from cn left join ba using (series), qn)"""
 
 
-def _slide(spark, sf):
-    f = frames(spark, sf)
-    z = op.z_frames(f, op.final_stats(op.partial_sums(f)))
-    first = z.agg(F.min("series").alias("series"))
-    return op.slide(z.where("w < 4").join(F.broadcast(first), "series"), z)
+def summaries(f):
+    """Partial sums of every series and the statistics over all. Each frame's place is asked for in both uses of the frames, so
+    that the planner makes their shuffle once."""
+    sums = op.partial_sums(f)
+    return sums, op.final_stats(sums)
+
 
+def _slide(spark, sf, length):
+    f = frames(spark, sf).where("w >= 0")
+    sums, stats = summaries(f)
+    rows = op.whole_series(f)
+    query = rows.orderBy("series").limit(1).select(F.slice("flat", 1, length * op.DIMS).alias("flat"))
+    return op.slide(query, rows, stats)
 
-@query(sql("frames", "select series, round(score, 6) as score from sl", SUMS, STATS, ZF, SLIDE))
+
+@query(sql("frames", "select series, off, round(score, 6) as score, swapped from sl", SUMS, STATS, ZF, sql_slide(60)))
 def win_sliding_match(spark, sf):
-    return _slide(spark, sf).select("series", F.round("score", 6).alias("score"))
+    """Sixty frames: some series are shorter, and slide over them."""
+    return _slide(spark, sf, 60).select("series", "off", F.round("score", 6).alias("score"), "swapped")
 
 
-@query(sql("frames", "select series, round(score, 6) as score, round(greatest(0, least(1, (score - 0.904) / (1 - 0.904))), 6) as confidence from sl order by sl.score desc, series limit 20", SUMS, STATS, ZF, SLIDE))
+@query(sql("frames", "select series, round(score, 6) as score, round(greatest(0, least(1, (score - 0.904) / (1 - 0.904))), 6) as confidence from sl order by sl.score desc, series limit 20", SUMS, STATS, ZF, sql_slide(4)))
 def q_echo_fine(spark, sf):
-    top = _slide(spark, sf).orderBy(F.desc("score"), "series").limit(20)
+    top = _slide(spark, sf, 4).orderBy(F.desc("score"), "series").limit(20)
     return top.select("series", F.round("score", 6).alias("score"), F.round(op.confidence(F.col("score"), F.lit(150.0)), 6).alias("confidence"))
 
 
+@query(sql("frames", "select series, off, round(score, 6) as score from sl order by sl.score desc, series limit 12", SUMS, STATS, ZF, sql_slide(20)))
+def topk_running(spark, sf):
+    """The best twelve, of which each task keeps its own while it reads."""
+    f = frames(spark, sf).where("w >= 0")
+    _, stats = summaries(f)
+    rows = op.whole_series(f)
+    query = rows.orderBy("series").limit(1).select(F.slice("flat", 1, 20 * op.DIMS).alias("flat"))
+    return op.slide(query, rows, stats, best=12).orderBy(F.desc("score"), "series").limit(12).select("series", "off", F.round("score", 6).alias("score"))
+
+
+PCM = "pcm as (select series, i, case when x >= 1 then 32767 when x <= -1 then -32768 when x < 0 then floor(x * 32768 + 0.5) else floor(x * 32767 + 0.5) end / 32768 as y from samples)"
+
+
+def _files(spark, sf):
+    """A WAV file of each signal: path, content."""
+    ship(spark)
+    one = F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"])
+    rows = samples(spark, sf).groupBy("series").agg(one.alias("xs")).select(F.col("series").cast("string").alias("path"), "xs")
+    return wav.encoded(rows, 8000)
+
+
+@query(sql("samples", "select series::varchar as path, 44 + 2 * count(*) as bytes from samples group by series"))
+def sink_wav(spark, sf):
+    return _files(spark, sf).select("path", F.octet_length("content").cast("long").alias("bytes"))
+
+
+@query(sql("samples", "select series::varchar as path, 8000::int as rate, 1::int as channels, 16::int as bits, 1::int as format, 44::bigint as data_at, 2 * count(*) as data_bytes, count(*) as frames from samples group by series"))
+def scan_wav_header(spark, sf):
+    return wav.headers(_files(spark, sf))
+
+
+@query(sql("samples", "select series::varchar as path, i, round(y, 6) as y from pcm", PCM))
+def scan_wav_pcm(spark, sf):
+    d = wav.samples(_files(spark, sf)).select("path", F.posexplode("samples").alias("i", "y"))
+    return d.select("path", F.col("i").cast("long").alias("i"), F.round("y", 6).alias("y"))
+
+
 @query(sql("samples", "select series, round(count(*) filter (x >= 0 and p < 0 or x < 0 and p >= 0)::double / (count(*) - 1), 6) as zcr from (select series, x, lag(x) over (partition by series order by i) as p from samples) group by series having count(*) > 1"))
 def win_zcr(spark, sf):
     w = Window.partitionBy("series").orderBy("i")
@@ -134,7 +189,7 @@ def win_zero_cross(spark, sf):
     return x.groupBy("series").agg(near, F.min(F.struct(F.abs("x").alias("a"), "i")).alias("quiet")).select("series", F.coalesce("near.i", "quiet.i").alias("at"))
 
 
-@query(sql("frames", "select series, count(*) filter (f0 >= 1.23456) as audible from frames group by series"))
+@query(sql("frames", f"select series, count(*) filter ({LOUD}) as audible from frames group by series"))
 def filt_silence(spark, sf):
     loud = F.log(F.col("f0") / 12345.6) >= F.log(F.lit(op.SILENCE))
     return frames(spark, sf).groupBy("series").agg(F.count_if(F.coalesce(loud, F.lit(False))).alias("audible"))
