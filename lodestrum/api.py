@@ -5,6 +5,8 @@ What can't be answered comes back as a row-less result or an `error` value, not
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,9 +14,8 @@ from lodestrum.functions.translate import translate
 from lodestrum.operators import catalog, search, similar
 from lodestrum.sources.wav import scan
 
-#: Bounds and defaults of limits, and the row count from which neighbours are looked up approximately.
+#: Bounds and defaults of limits.
 LEXICAL, AI, SUGGEST = (1, 5000, 2000), (1, 2000, 500), (1, 100, 24)
-APPROXIMATE_FROM = 20_000
 
 
 def clamp(n: int | None, bounds: tuple[int, int, int]) -> int:
@@ -32,7 +33,9 @@ class Catalog:
     def of_folder(cls, spark, root: str) -> Catalog:
         """All audio files below a root; the path's hash is the id."""
         found = scan(spark, root)
-        rel = F.regexp_replace(F.regexp_replace("path", "^file:", ""), f"^{root.rstrip('/')}/", "")
+        below = re.sub("^file:/*(?=/)", "", root).rstrip("/") + "/"
+        plain = F.regexp_replace("path", "^file:/*(?=/)", "")
+        rel = F.when(F.startswith(plain, F.lit(below)), F.substring(plain, len(below) + 1, 1 << 30)).otherwise(plain)
         e = found.withColumn("path", rel).withColumn("id", F.xxhash64("path"))
         name, folder, top = catalog.split_path(F.col("path"))
         return cls(e.select("id", name, folder, top, "size", "mtime", "path"))
@@ -71,7 +74,7 @@ class Catalog:
         if self.vectors is None:
             return {"error": "notReady"}
         n = clamp(limit, AI)
-        names = search.lexical(self.index, text[:300].strip(), LEXICAL[1], partial=False).where("not partial")
+        names = search.lexical(self.index, text.strip(), LEXICAL[1], partial=False).where("not partial")
         ai = search.vector_top(self.vectors, query, n).join(self.entries.select("id"), "id", "left_semi")
         scores = self.vectors.join(F.broadcast(query)).select("id", search.dot(F.col("vec"), F.col("qvec")).alias("score"))
         return search.hybrid(names, scores, ai, n)
@@ -81,13 +84,16 @@ class Catalog:
         if self.vectors is None:
             return {"error": "notReady"}
         members = self.vectors.join(member_ids.select("id").distinct(), "id", "left_semi")
-        return similar.suggest_scores(self.vectors, members).orderBy(F.desc("score"), "id").limit(clamp(k, SUGGEST))
+        return similar.suggest(self.vectors, members, clamp(k, SUGGEST))
 
-    def neighbours(self, ids: DataFrame, k: int = 10, exact: bool | None = None) -> DataFrame | dict:
-        """The nearest of each id: exactly below APPROXIMATE_FROM rows or on demand, else by the index."""
+    def neighbours(self, ids: DataFrame, k: int = 10, approximate: bool = False) -> DataFrame | dict:
+        """The nearest of each id: exactly, or on demand by an index whose recall it measures for itself."""
         if self.vectors is None:
             return {"error": "notReady"}
         q = self.vectors.join(ids.select("id").distinct(), "id", "left_semi")
-        if exact is None:
-            exact = self.vectors.count() < APPROXIMATE_FROM
-        return similar.knn(q, self.vectors, k) if exact else similar.knn_approximate(q, self.vectors, k)
+        return similar.knn_approximate(q, self.vectors, k) if approximate else similar.knn(q, self.vectors, k)
+
+
+def effective_scope(scope: str, mode: str, offered: list[str]) -> str:
+    """The scope of a search: the one asked for if it's offered, else what the mode has by default."""
+    return scope if scope != "auto" and scope in offered else "vault" if mode == "vault" else "library"

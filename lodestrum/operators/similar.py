@@ -6,14 +6,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestrum.functions.vector import dot, norm
+from lodestrum.functions.vector import norm
+from lodestrum.operators.catalog import numbered
 
 #: Vectors on the query side that one task holds at a time.
 BLOCK = 4096
+#: Fixed value: the likeness above which two vectors are the same sound.
+SAME = 0.9995
 
 
 def centroid(rows: DataFrame, *by: str) -> DataFrame:
@@ -24,67 +27,151 @@ def centroid(rows: DataFrame, *by: str) -> DataFrame:
     return means.withColumn("vec", F.transform("mean", lambda x: F.when(n > 0, x / n).otherwise(0.0))).drop("mean")
 
 
+def best_of(qids: np.ndarray, matrix: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int, held: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Scores and ids of the k best vectors for each query, together with those held already; an id isn't its own neighbour."""
+    s = matrix @ vectors.T
+    s[qids[:, None] == ids[None, :]] = -np.inf
+    i = np.broadcast_to(ids, s.shape)
+    if held is not None:
+        s, i = np.hstack([held[0], s]), np.hstack([held[1], i])
+    order = np.lexsort((i, -np.round(s, 12)))[:, :k]
+    return np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
+
+
+def _found(qids: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> pa.Table:
+    keep = np.isfinite(scores)
+    owner = np.broadcast_to(qids[:, None], scores.shape)
+    return pa.table({"qid": pa.array(owner[keep], pa.int64()), "id": pa.array(ids[keep], pa.int64()), "score": pa.array(scores[keep], pa.float64())})
+
+
+def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    n = len(column)
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1) if n else np.zeros((0, 0))
+
+
+def ranked_pairs(found: DataFrame, k: int) -> DataFrame:
+    w = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
+    return found.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+
+
 def knn(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     """The k nearest rows of each query by dot product, an id not being its own neighbour: qid, id, score, rank.
 
-    Queries (id, vec) are dealt in blocks; every partition of rows is scored against each block by one matrix product and
-    sends k candidates per query at most, so what is shuffled grows with queries times partitions, not with pairs.
+    Up to BLOCK queries (id, vec) are broadcast, which is checked: every partition of rows is scored against them by one
+    matrix product and sends k candidates per query at most. More queries meet the rows in blocks, so that neither side
+    passes through the driver and no task holds more than a block of each.
     """
-    size = max(1, queries.count())
-    blocks = -(-size // BLOCK)
     q = queries.select(F.col("id").alias("qid"), F.col("vec").alias("qvec"))
-    if blocks == 1:
-        found = _against(q.toArrow(), rows, k)
-    else:
-        found = None
-        for b in range(blocks):  # each block is bounded, whatever the number of queries
-            part = _against(q.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b).toArrow(), rows, k)
-            found = part if found is None else found.union(part)
-    w = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
-    return found.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+    first = q.limit(BLOCK + 1).toArrow()
+    if len(first) <= BLOCK:
+        return ranked_pairs(_against(first, rows, k), k)
+    everywhere = lambda d: d.withColumn("list", F.lit(0))
+    return ranked_pairs(in_blocks(everywhere(q), everywhere(rows.select("id", "vec")), k), k)
 
 
 def _against(block: pa.Table, rows: DataFrame, k: int) -> DataFrame:
     qids = block.column("qid").to_numpy()
-    matrix = np.array(block.column("qvec").to_pylist(), dtype=np.float64).reshape(len(qids), -1)
-    shared = rows.sparkSession.sparkContext.broadcast((qids, matrix))
+    shared = rows.sparkSession.sparkContext.broadcast((qids, _matrix(block.column("qvec"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-        import pyarrow as pa
-
         qids, matrix = shared.value
-        best_s, best_i = np.full((len(qids), 0), 0.0), np.zeros((len(qids), 0), np.int64)
+        held = None
         for b in batches:
-            if not b.num_rows:
-                continue
-            ids = b.column("id").to_numpy()
-            flat = b.column("vec").flatten().to_numpy()
-            s = matrix @ flat.reshape(len(ids), -1).T
-            s[qids[:, None] == ids[None, :]] = -np.inf
-            best_s, best_i = np.hstack([best_s, s]), np.hstack([best_i, np.broadcast_to(ids, s.shape)])
-            order = np.lexsort((best_i, -np.round(best_s, 12)))[:, :k]
-            best_s, best_i = np.take_along_axis(best_s, order, 1), np.take_along_axis(best_i, order, 1)
-        keep = np.isfinite(best_s)
-        owner = np.broadcast_to(qids[:, None], best_s.shape)
-        yield pa.RecordBatch.from_arrays([pa.array(owner[keep]), pa.array(best_i[keep]), pa.array(best_s[keep])], ["qid", "id", "score"])
+            if b.num_rows and len(qids):
+                held = best_of(qids, matrix, b.column("id").to_numpy(), _matrix(b.column("vec")), k, held)
+        if held is not None:
+            yield from _found(qids, *held).to_batches()
 
     return rows.select("id", "vec").mapInArrow(run, "qid long, id long, score double")
 
 
-def suggest_scores(rows: DataFrame, members: DataFrame) -> DataFrame:
-    """Rows that aren't members, scored by the nearest of a spread sample of 16 members and by the members' centroid."""
-    spread = Window.orderBy("id")
+def in_blocks(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """Candidates (qid, id, score) among rows (id, vec, list) for queries (qid, qvec, list) of the same list, k for each query
+    and block at most. Lists are dealt in blocks of BLOCK rows or queries on each side, whatever their size."""
+    sizes = lambda d, n: d.groupBy(F.col("list").alias("_list")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(n))
+    both = sizes(rows, "downs").join(sizes(queries, "overs"), "_list")  # one row a list
+    spread = lambda d, own, other, at, key: d.join(F.broadcast(both), F.col("list") == F.col("_list")).select(
+        "list", F.pmod(F.xxhash64(key), F.col(own)).alias("down" if at else "over"), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias("over" if at else "down"), key, "vec" if at else "qvec"
+    )
+    left, right = spread(queries, "overs", "downs", False, "qid"), spread(rows, "downs", "overs", True, "id")
+
+    def run(q: pa.Table, r: pa.Table) -> pa.Table:
+        qids = q.column("qid").to_numpy()
+        if not len(q) or not len(r):
+            return _found(qids[:0], np.zeros((0, 0)), np.zeros((0, 0), np.int64))
+        return _found(qids, *best_of(qids, _matrix(q.column("qvec")), r.column("id").to_numpy(), _matrix(r.column("vec")), k))
+
+    keys = ["list", "down", "over"]
+    cast = lambda d: d.withColumns({c: F.col(c).cast("long") for c in keys})
+    return cast(left).groupBy(*keys).cogroup(cast(right).groupBy(*keys)).applyInArrow(run, "qid long, id long, score double")
+
+
+def spread_sample(members: DataFrame, n: int = 16) -> list[list[float]]:
+    """Vectors of up to n members, evenly spread over their order by id: they are numbered without a task that holds all."""
+    count = members.count()
+    if count <= n:
+        return [r["vec"] for r in members.orderBy("id").collect()]
+    places = [k * count // n for k in range(n)]
+    picked = numbered(members.select("id"), "id", "_place").where(F.col("_place").isin(places))
+    return [r["vec"] for r in members.join(F.broadcast(picked.select("id")), "id").orderBy("id").collect()]
+
+
+def suggest(rows: DataFrame, members: DataFrame, k: int) -> DataFrame:
+    """Up to k rows like those of a set, best first: id, score.
+
+    Candidates are the nearest to the members' centroid and to each of a spread sample of 16. A candidate's score is 0.7 of
+    the nearest sampled member and 0.3 of the centroid. What is SAME as any member, or as a better suggestion, is left out.
+    """
+    spark = rows.sparkSession
+    sample = spread_sample(members)
+    schema = "id long, score double"
+    if not sample:
+        return spark.createDataFrame([], schema)
     n = members.count()
-    pick = members.withColumn("i", F.row_number().over(spread) - 1)
-    if n > 16:
-        pick = pick.where(F.col("i").isin([k * n // 16 for k in range(16)]))
-    sample = pick.agg(F.collect_list("vec").alias("sample"))  # 16 at most
-    middle = centroid(members.withColumn("g", F.lit(0)), "g").select(F.col("vec").alias("centre"))
-    others = rows.join(members.select("id"), "id", "left_anti").join(F.broadcast(sample)).join(F.broadcast(middle))
-    best = F.array_max(F.transform("sample", lambda m: dot(F.col("vec"), m)))
-    near = F.exists("sample", lambda m: dot(F.col("vec"), m) > 0.9995)
-    return others.where(~near).select("id", (0.7 * F.greatest(best, F.lit(0.0)) + 0.3 * dot(F.col("vec"), F.col("centre"))).alias("score"))
+    middle = centroid(members.withColumn("g", F.lit(0)), "g").first()["vec"]
+    asked = [(-1, middle)] + [(-2 - i, v) for i, v in enumerate(sample)] * (len(sample) > 1)
+    queries = spark.createDataFrame(asked, "qid long, qvec array<double>").toArrow()
+    near = ranked_pairs(_against(queries, rows, 3 * k + n), 3 * k + n)  # members are among them
+    picked = near.where((F.col("qid") == -1) | (F.col("rank") <= k + n)).select("id").distinct().join(members.select("id"), "id", "left_anti")
+    known = spark.sparkContext.broadcast((np.array(sample), np.array(middle)))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                v, (sample, middle) = _matrix(b.column("vec")), known.value
+                scores = 0.7 * np.maximum((v @ sample.T).max(1), 0) + 0.3 * (v @ middle)
+                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(np.round(scores, 12)), b.column("vec")], ["id", "score", "vec"])
+
+    best = rows.join(picked, "id", "left_semi").select("id", "vec").mapInArrow(score, "id long, score double, vec array<double>").orderBy(F.desc("score"), "id")
+    page = 4 * k + 64
+    while True:  # most often one page will do; only sounds that are the same as others ask for more
+        table = best.limit(page).toArrow()
+        ids, v, scores = table.column("id").to_numpy(), _matrix(table.column("vec")), table.column("score").to_pylist()
+        same = _same_as_members(members, ids, v) if len(ids) else set()
+        out, kept = [], []
+        for i in range(len(ids)):
+            if len(out) < k and int(ids[i]) not in same and not (kept and (v[kept] @ v[i] > SAME).any()):
+                kept.append(i)
+                out.append((int(ids[i]), scores[i]))
+        if len(out) == k or len(ids) < page:
+            return spark.createDataFrame(out, schema).orderBy(F.desc("score"), "id")
+        page *= 4
+
+
+def _same_as_members(members: DataFrame, ids: np.ndarray, v: np.ndarray) -> set[int]:
+    """Which candidates are the same as any member: all members are compared, in their tasks."""
+    shared = members.sparkSession.sparkContext.broadcast((ids, v))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, v = shared.value
+        hit = np.zeros(len(ids), bool)
+        for b in batches:
+            if b.num_rows:
+                hit |= (v @ _matrix(b.column("vec")).T > SAME).any(1)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[hit], pa.int64())], ["id"])
+
+    return {r["id"] for r in members.select("vec").mapInArrow(run, "id long").distinct().collect()}
 
 
 def mmr(pool: DataFrame, k: int, own: float = 0.72, other: float = 0.28, crowd: float = 0.06, same: float = 0.985) -> DataFrame:
@@ -113,40 +200,122 @@ def mmr(pool: DataFrame, k: int, own: float = 0.72, other: float = 0.28, crowd:
     return pool.groupBy("card").applyInPandas(pick, "card long, id long, place long")
 
 
-def lsh_buckets(rows: DataFrame, tables: int = 24, bits: int = 7, dims: int = 64, seed: int = 9) -> DataFrame:
-    """(table, bucket, id, vec): sign patterns of random directions, every row in every table."""
-    planes = np.random.default_rng(seed).normal(size=(tables * bits, dims))
+def unit_means(v: np.ndarray, lists: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
+    """Centres of lists at length one, by Lloyd's steps on the sphere."""
+    c = v[rng.choice(len(v), min(lists, len(v)), replace=False)].copy()
+    for _ in range(rounds):
+        own = (v @ c.T).argmax(1)
+        sums = np.zeros_like(c)
+        np.add.at(sums, own, v)
+        n = np.linalg.norm(sums, axis=1, keepdims=True)
+        c = np.where(n > 0, sums / np.where(n > 0, n, 1), c)
+    return c
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            v = b.column("vec").flatten().to_numpy().reshape(b.num_rows, -1)
-            signs = (v @ planes.T > 0).reshape(-1, tables, bits)
-            codes = (signs << np.arange(bits)).sum(2)
-            at = np.repeat(np.arange(b.num_rows), tables)
-            taken = b.take(pa.array(at))
-            yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(tables), b.num_rows), pa.int64()), pa.array(codes.ravel(), pa.int64()), taken.column("id"), taken.column("vec")], ["table", "bucket", "id", "vec"])
 
-    return rows.select("id", "vec").mapInArrow(run, "table long, bucket long, id long, vec array<double>")
+class InvertedLists:
+    """An index of vectors for approximate neighbours: every row is in the list of its nearest centre, and a query reads the
+    lists nearest to it.
+
+    Centres are fitted on a sample of at most `sample` rows, drawn by hash. On the same sample the number of lists to read is
+    chosen: the least with which queries find `target` of their true neighbours, measured by brute force. Vectors without
+    structure need many lists, clustered ones few; the target holds for either. Any dimension will do.
+    """
+
+    def __init__(self, rows: DataFrame, k: int = 10, target: float = 0.97, sample: int = 8192, asked: int = 512, seed: int = 9) -> None:
+        drawn = rows.select("id", "vec").orderBy(F.xxhash64("id"), "id").limit(sample).toArrow()
+        v = _matrix(drawn.column("vec"))
+        n = len(v)
+        self.lists, rng = max(1, int(n**0.5)), np.random.default_rng(seed)
+        self.centres = unit_means(v, self.lists, 10, rng) if n else np.zeros((1, 1))
+        self.probes = self.lists
+        if n > k + 1:
+            at = rng.choice(n, min(asked, n), replace=False)
+            _, near = best_of(at, v[at], np.arange(n), v, k)
+            own = (v @ self.centres.T).argmax(1)
+            place = np.argsort(np.argsort(-(v[at] @ self.centres.T), axis=1, kind="stable"), axis=1)  # of each list for a query
+            needed = np.sort(np.take_along_axis(place, own[near], 1).ravel()) + 1
+            self.probes = int(needed[min(len(needed) - 1, int(np.ceil(target * len(needed))) - 1)])
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Keep the centres, a table of a fixed size; Spark's own commit makes it whole or nothing."""
+        rows = [(k, self.probes, c.tolist()) for k, c in enumerate(self.centres)]
+        spark.createDataFrame(rows, "list int, probes int, centre array<double>").coalesce(1).write.mode("overwrite").parquet(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> InvertedLists:
+        rows = spark.read.parquet(path).orderBy("list").collect()
+        index = cls.__new__(cls)
+        index.centres, index.lists, index.probes = np.array([r["centre"] for r in rows]), len(rows), rows[0]["probes"]
+        return index
+
+    def nearest_lists(self, df: DataFrame, id_col: str, vec_col: str, n: int) -> DataFrame:
+        """The rows with each of the n lists nearest to them."""
+        centres = df.sparkSession.sparkContext.broadcast(self.centres)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows:
+                    v = _matrix(b.column(vec_col))
+                    order = np.argsort(-(v @ centres.value.T), axis=1, kind="stable")[:, :n]
+                    at = np.repeat(np.arange(b.num_rows), order.shape[1])
+                    taken = b.take(pa.array(at))
+                    yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(order.ravel(), pa.int32())], [id_col, vec_col, "list"])
+
+        return df.select(id_col, vec_col).mapInArrow(run, f"{id_col} long, {vec_col} array<double>, list int")
+
+    def search(self, queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+        """qid, id, score and rank of up to k neighbours of each query (id, vec) among the rows that the index was made for."""
+        q = self.nearest_lists(queries.select(F.col("id").alias("qid"), F.col("vec").alias("qvec")), "qid", "qvec", self.probes)
+        return ranked_pairs(in_blocks(q, self.nearest_lists(rows, "id", "vec", 1), k), k)
 
 
 def knn_approximate(queries: DataFrame, rows: DataFrame, k: int, **how) -> DataFrame:
-    """Neighbours among rows that share a bucket with a query; every row is indexed. Recall is measured in the tests."""
-    index = lsh_buckets(rows, **how)
-    q = lsh_buckets(queries, **how).select("table", "bucket", F.col("id").alias("qid"), F.col("vec").alias("qvec"))
-    pairs = q.join(index, ["table", "bucket"]).where("qid <> id").dropDuplicates(["qid", "id"])
-    s = pairs.select("qid", "id", dot(F.col("vec"), F.col("qvec")).alias("score"))
-    return s.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "id")).cast("long")).where(F.col("rank") <= k)
+    """Neighbours by an index over all rows, with a recall that the index measures for itself."""
+    return InvertedLists(rows, k, **how).search(queries, rows, k)
 
 
 def collapse(rows: DataFrame, key: Column, rank: Column) -> DataFrame:
-    """The best row of each content, with its other ids as copies; rows without a content stand alone."""
+    """The best row of each content, with its other ids as copies; rows without a content stand alone. For a list of results,
+    which a limit bounds; representatives() is for tables."""
     own = F.when(key.isNull(), F.concat(F.lit("id:"), F.col("id").cast("string"))).otherwise(F.concat(F.lit("h:"), key))
     best = rows.withColumns({"_k": own, "_r": rank}).groupBy("_k").agg(F.min(F.struct("_r", "id")).alias("b"), F.collect_list("id").alias("all"))
     return best.select(F.col("b.id").alias("id"), F.col("b._r").alias("rank"), F.sort_array(F.filter("all", lambda x: x != F.col("b.id"))).alias("copies"))
 
 
+def similar_pairs(rows: DataFrame, least: float) -> DataFrame:
+    """Pairs (id, other, score), id < other, of the same list (id, vec, list) whose dot product exceeds `least`. Lists are
+    compared block by block, by matrix products; only pairs that are similar enough leave a block."""
+    sizes = rows.groupBy(F.col("list").alias("_list")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))  # one row a list
+    dealt = rows.join(F.broadcast(sizes), F.col("list") == F.col("_list")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    keys = ["list", "low", "high"]
+    # Each pair of blocks meets once, the lower one on the left.
+    left = dealt.withColumn("_o", others).where("own <= _o").select("list", F.col("own").alias("low"), F.col("_o").alias("high"), "id", "vec")
+    right = dealt.withColumn("_o", others).where("_o <= own").select("list", F.col("_o").alias("low"), F.col("own").alias("high"), "id", "vec").toDF("r_list", "r_low", "r_high", "r_id", "r_vec")
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not len(a) or not len(b):
+            return pa.table({"id": pa.array([], pa.int64()), "other": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        x, y = a.column("id").to_numpy(), b.column("r_id").to_numpy()
+        s = _matrix(a.column("vec")) @ _matrix(b.column("r_vec")).T
+        i, j = np.nonzero(s > least)
+        # In a block against itself each pair comes twice; elsewhere once, in either order of ids.
+        keep = x[i] < y[j] if a.column("low")[0] == a.column("high")[0] else x[i] != y[j]
+        i, j = i[keep], j[keep]
+        return pa.table({"id": pa.array(np.minimum(x[i], y[j]), pa.int64()), "other": pa.array(np.maximum(x[i], y[j]), pa.int64()), "score": pa.array(s[i, j])})
+
+    return left.groupBy(*keys).cogroup(right.groupBy(*(f"r_{c}" for c in keys))).applyInArrow(run, "id long, other long, score double")
+
+
+def representatives(rows: DataFrame, key: Column, rank: Column) -> DataFrame:
+    """id and representative, the best row of the same content, for every row; rows without a content stand for themselves.
+    No list of copies is made, however many there are."""
+    own = F.when(key.isNull(), F.concat(F.lit("id:"), F.col("id").cast("string"))).otherwise(F.concat(F.lit("h:"), key))
+    keyed = rows.select("id", own.alias("_k"), F.struct(rank.alias("r"), "id").alias("_r"))
+    best = keyed.groupBy("_k").agg(F.min("_r").alias("_b"))
+    return keyed.join(best, "_k").select("id", F.col("_b.id").alias("representative"), F.col("_b.r").alias("rank"))
+
+
 def palettes(pixels: DataFrame, k: int, steps: int = 12) -> DataFrame:
     """signal.palette of every group by aggregates over all pixels (g, id, a, b, c): g, k, r, g_, b_ and n by size.
 
