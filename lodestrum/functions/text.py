@@ -119,17 +119,20 @@ def py_undouble(t: str) -> str:
 
 
 def py_stem(t: str) -> str:
-    rules = (
-        (lambda: len(t) <= 3 or any(c.isdigit() for c in t), lambda: t),
-        (lambda: len(t) > 5 and t.endswith("ing"), lambda: py_undouble(t[:-3])),
-        (lambda: len(t) > 4 and t.endswith("ied"), lambda: t[:-3] + "y"),
-        (lambda: len(t) > 4 and t.endswith("ed") and not t.endswith("eed"), lambda: py_undouble(t[:-2])),
-        (lambda: len(t) > 4 and t.endswith("ies"), lambda: t[:-3] + "y"),
-        (lambda: t.endswith(("ss", "us", "is")), lambda: t),
-        (lambda: t.endswith(("shes", "ches", "xes", "zes", "sses")), lambda: t[:-2]),
-        (lambda: t.endswith("s"), lambda: t[:-1]),
-    )
-    return next((out() for when, out in rules if when()), t)
+    """As stem(): the first ending that applies goes."""
+    if len(t) <= 3 or any(c.isdigit() for c in t):
+        return t
+    if len(t) > 5 and t.endswith("ing"):
+        return py_undouble(t[:-3])
+    if len(t) > 4 and t.endswith(("ied", "ies")):
+        return t[:-3] + "y"
+    if len(t) > 4 and t.endswith("ed") and not t.endswith("eed"):
+        return py_undouble(t[:-2])
+    if t.endswith(("ss", "us", "is")):
+        return t
+    if t.endswith(("shes", "ches", "xes", "zes", "sses")):
+        return t[:-2]
+    return t[:-1] if t.endswith("s") else t
 
 
 @dataclass(frozen=True)
@@ -153,6 +156,13 @@ def query_terms(text: str) -> list[Term]:
     return [Term(w, s := py_stem(w), aliases(s) or aliases(w), w[:-1] if len(w) >= 5 and w.endswith("e") else None) for w in words]
 
 
+def necessary(term: Term) -> list[str]:
+    """Texts of which one is in any folded field that the term can match: each way to match has one of its forms begin or end
+    a token, and stemming changes no more than a token's last letter once its ending is gone."""
+    forms = {term.word, term.stem, *term.alternates, *([term.bare] if term.bare else [])}
+    return sorted({f[:-1] for f in forms})
+
+
 def match_weight(term: Term, tokens: Column) -> Column:
     begins = lambda p: F.exists(tokens, lambda x: x.startswith(p))
     out = F.when(F.array_contains(tokens, term.word) | F.array_contains(tokens, term.stem), EXACT)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestrum.functions.text import fold
+
 #: Folders that a scan leaves out, and names that one system reserves.
 IGNORED_DIRS = ["node_modules", ".git", "$recycle.bin", "system volume information"]
 RESERVED = r"(?i)^(con|prn|aux|nul|com[1-9]|lpt[1-9])(\..*)?$"
@@ -39,10 +41,11 @@ def under_root(path: Column, root: str) -> Column:
 
 
 def natural_key(text: Column) -> Column:
-    """Orders numbers inside names by value: each run of digits is padded, the rest is in lower case."""
+    """Orders numbers inside names by value and letters by their base: each run of digits is padded, the rest is in lower
+    case and without accents."""
     # Longer runs than PAD come after all others, by length first.
     long = lambda p: F.concat(F.lit(":"), F.lpad(F.length(F.regexp_replace(p, "^0+", "")).cast("string"), PAD, "0"), F.regexp_replace(p, "^0+", ""))
-    parts = F.regexp_extract_all(F.lower(text), F.lit(r"(\d+|\D+)"))
+    parts = F.regexp_extract_all(fold(F.lower(text)), F.lit(r"(\d+|\D+)"))
     return F.array_join(F.transform(parts, lambda p: F.when(~p.rlike(r"^\d"), p).when(F.length(F.regexp_replace(p, "^0+", "")) > PAD, long(p)).otherwise(F.lpad(F.regexp_replace(p, "^0+", ""), PAD, "0"))), "")
 
 
@@ -81,19 +84,27 @@ def collection_name_error(name: Column) -> Column:
     return F.when(name.isNull() | (t == ""), "required").when(t == "__colors", "reserved").when(F.length(t) > 80, "long")
 
 
-#: Value ranges in which ranks are counted; their counts are all that is ordered in one place.
+#: Value ranges in which ranks are counted, a power of two; their counts are all that is ordered in one place.
 RANK_RANGES = 1024
 
 
+def _range_of(bounds: Column, key: Column, ranges: int) -> Column:
+    """How many of the sorted bounds a key reaches, by halving."""
+    halves = F.array(*(F.lit(ranges >> k) for k in range(1, ranges.bit_length())))
+    return F.aggregate(halves, F.lit(0), lambda lo, n: F.when(F.get(bounds, lo + n - 1) <= key, lo + n).otherwise(lo))
+
+
 def numbered(rows: DataFrame, by: str, name: str) -> DataFrame:
     """Rows numbered from 0 in the order of a distinct whole number, without one task that sorts them all: ranks within
-    value ranges, each range beginning after the rows of those before it."""
-    span = rows.agg(F.min(by).alias("_lo"), (F.max(by) - F.min(by) + 1).alias("_span"))
-    dealt = rows.join(F.broadcast(span)).withColumn("_range", F.floor((F.col(by) - F.col("_lo")) * F.lit(float(RANK_RANGES)) / F.col("_span")))
+    ranges that quantiles bound, so that they're about equal however values are spread, each range beginning after the rows
+    of those before it."""
+    shares = [k / RANK_RANGES for k in range(1, RANK_RANGES)]
+    bounds = rows.agg(F.percentile_approx(by, shares, 10 * RANK_RANGES).alias("_bounds"))  # one row
+    dealt = rows.join(F.broadcast(bounds)).withColumn("_range", _range_of(F.col("_bounds"), F.col(by), RANK_RANGES)).drop("_bounds")
     sizes = dealt.groupBy("_range").agg(F.count("*").alias("_n"))  # RANK_RANGES rows at most
     starts = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_start"))
     own = F.row_number().over(Window.partitionBy("_range").orderBy(by)) - 1
-    return dealt.withColumn("_own", own).join(F.broadcast(starts), "_range").withColumn(name, F.col("_start") + F.col("_own")).drop("_range", "_lo", "_span", "_start", "_own")
+    return dealt.withColumn("_own", own).join(F.broadcast(starts), "_range").withColumn(name, F.col("_start") + F.col("_own")).drop("_range", "_start", "_own")
 
 
 #: Ranges of a sorted listing, a power of two, and rows of the sample for each, from which their bounds are taken.
@@ -110,8 +121,7 @@ def ranked(rows: DataFrame, *keys: Column) -> DataFrame:
     sample = keyed.join(F.broadcast(rows.agg(every))).where(F.pmod(F.xxhash64("id"), F.col("_every")) == 0)
     tiles = sample.select("_key", F.ntile(SORT_RANGES).over(Window.orderBy("_key")).alias("t"))  # about twice `many` rows at most
     bounds = tiles.groupBy("t").agg(F.min("_key").alias("b")).where("t > 1").agg(F.sort_array(F.collect_list("b")).alias("_bounds"))
-    halves = F.array(*(F.lit(SORT_RANGES >> k) for k in range(1, SORT_RANGES.bit_length())))
-    at = F.aggregate(halves, F.lit(0), lambda lo, n: F.when(F.get("_bounds", lo + n - 1) <= F.col("_key"), lo + n).otherwise(lo))
+    at = _range_of(F.col("_bounds"), F.col("_key"), SORT_RANGES)
     dealt = keyed.join(F.broadcast(bounds)).select("id", "_key", at.alias("_range"))
     sizes = dealt.groupBy("_range").agg(F.count("*").alias("_n"))  # SORT_RANGES rows at most
     starts = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_start"))

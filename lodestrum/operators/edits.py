@@ -26,16 +26,19 @@ def normalize(duration: Column, crop_start: Column, crop_end: Column, fade_in: C
     return {"crop_start": start, "crop_end": end, "fade_in_end": fi, "fade_out_start": clamp(fade_out, fi, end)}
 
 
-def fade_gain(t: Column, shape: str, tension: float) -> Column:
-    k = max(-1.0, min(1.0, tension))
+def fade_gain(progress: Column, shape: str, tension: float) -> Column:
+    """The gain of a fade in at a place in 0..1. Tension bends it: as an exponent of ten to the tension for a power fade and for
+    the quarter sine of an equal-power one; an s-curve is the odds of the place raised to twice four to the tension."""
+    bend = min(1.0, max(-1.0, tension))
     if shape == "scurve":
-        a = 2 * 4.0**k
-        p, q = F.pow(t, F.lit(a)), F.pow(1 - t, F.lit(a))
-        body = p / (p + q)
+        power = F.lit(2 * 4.0**bend)
+        rising, falling = F.pow(progress, power), F.pow(1 - progress, power)
+        inside = rising / (rising + falling)
     else:
-        w = F.pow(t, F.lit(10.0**k)) if k else t
-        body = F.sin(w * (math.pi / 2)) if shape == "equal" else w
-    return F.when(~(t > 0), 0.0).when(t >= 1, 1.0).otherwise(body)
+        inside = progress if bend == 0 else F.pow(progress, F.lit(10.0**bend))
+        if shape == "equal":
+            inside = F.sin(inside * (math.pi / 2))
+    return F.when(progress >= 1, 1.0).when(progress > 0, inside).otherwise(0.0)
 
 
 def bisect(goal: Column, steps: int = 40) -> Column:
@@ -48,3 +51,92 @@ def bisect(goal: Column, steps: int = 40) -> Column:
         return F.struct(F.when(low, mid).otherwise(s["lo"]).alias("lo"), F.when(low, s["hi"]).otherwise(mid).alias("hi"))
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), half, step, lambda s: (s["lo"] + s["hi"]) / 2)
+
+
+#: Fixed values of keys: the version of the arithmetic, and of each lane the number it begins with and its multiplier.
+DSP_VERSION = 1
+LANES = ((0x811C9DC5, 0x01000193), (0x01000193 ^ 0x5BD1E995, 0x01000197))
+#: Parameters of an edit in the order of its signature; shapes are texts, the last one is a yes or no.
+PARAMETERS = ("duration", "crop_start", "crop_end", "fade_in_end", "fade_out_start", "fade_in_shape", "fade_in_tension", "fade_out_shape", "fade_out_tension", "gain_db", "semitones", "reverse")
+
+
+def shown_number(x: Column) -> Column:
+    """A number to six places, halves up, as JSON writes it: no point without decimals, no zeros at the end, no minus zero."""
+    fixed = (F.floor(x * 1e6 + 0.5) / 1e6).cast("decimal(30,6)").cast("string")
+    plain = F.regexp_replace(fixed, r"\.?0+$", "")
+    return F.when(plain == "-0", "0").otherwise(plain)
+
+
+def signature(edit: dict[str, Column]) -> Column:
+    """The rounded parameters of an edit as a JSON list, the same whatever noise its numbers carry."""
+    parts = [F.lit(str(DSP_VERSION))]
+    for name in PARAMETERS:
+        if name == "reverse":
+            parts.append(F.when(edit[name], "1").otherwise("0"))
+        elif name.endswith("shape"):
+            parts.append(F.concat(F.lit('"'), edit[name], F.lit('"')))
+        else:
+            parts.append(shown_number(edit[name]))
+    return F.concat(F.lit("["), F.concat_ws(",", *parts), F.lit("]"))
+
+
+def hash_key(text: Column) -> Column:
+    """A key of a plain text: two 32-bit lanes of the FNV-1a hash, as sixteen hex digits."""
+    codes = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
+    low = F.lit(0xFFFFFFFF).cast("long")
+
+    def lane(start: int, prime: int) -> Column:
+        # A lane of 32 bits times the multiplier fits in 64.
+        end = F.aggregate(codes, F.lit(start).cast("long"), lambda h, c: (h.bitwiseXOR(c) * F.lit(prime).cast("long")).bitwiseAND(low))
+        return F.lower(F.lpad(F.hex(end), 8, "0"))
+
+    return F.concat(*(lane(*x) for x in LANES))
+
+
+#: Dimensions of a fingerprint that belong to an axis, and what the second differences count of it.
+CEPSTRAL, SECOND = 13, 0.7
+
+
+def axis_weights(timbre: Column, brightness: Column, texture: Column, energy: Column, transient: Column) -> Column:
+    """44 weights from five axes: 13 cepstral values, their differences and second differences, then centroid, flatness,
+    bandwidth, loudness and zero crossings. The first of each cepstral block is loudness itself."""
+    some = lambda first, rest: [first, *[rest] * (CEPSTRAL - 1)]
+    blocks = some(energy, timbre) + some(energy, transient) + some(energy * SECOND, transient * SECOND)
+    return F.array(*blocks, brightness, texture, brightness, energy, transient)
+
+
+# colours
+
+
+def hsl(r: Column, g: Column, b: Column) -> list[Column]:
+    """Hue in degrees, saturation and lightness in 0..1 of components in 0..1; a grey has hue and saturation 0."""
+    top, low = F.greatest(r, g, b), F.least(r, g, b)
+    span, light = top - low, (top + low) / 2
+    hue = F.when(top == r, F.pmod((g - b) / span, F.lit(6.0))).when(top == g, (b - r) / span + 2).otherwise((r - g) / span + 4) * 60
+    return [F.when(span > 0, hue).otherwise(0.0), F.when(span > 0, span / (1 - F.abs(2 * light - 1))).otherwise(0.0), light]
+
+
+def linear(c: Column) -> Column:
+    """A component without the gamma of sRGB."""
+    return F.when(c <= 0.04045, c / 12.92).otherwise(F.pow((c + 0.055) / 1.055, F.lit(2.4)))
+
+
+#: Fixed values of the OKLab space: cone responses from linear components, and coordinates from their cube roots.
+CONES = ((0.4122214708, 0.5363325363, 0.0514459929), (0.2119034982, 0.6806995451, 0.1073969566), (0.0883024619, 0.2817188376, 0.6299787005))
+COORDINATES = ((0.2104542553, 0.793617785, -0.0040720468), (1.9779984951, -2.428592205, 0.4505937099), (0.0259040371, 0.7827717662, -0.808675766))
+
+
+def oklab(r: Column, g: Column, b: Column) -> list[Column]:
+    """Lightness and two opponent coordinates of components in 0..1."""
+    row = lambda ws, xs: sum((w * x for w, x in zip(ws, xs, strict=True)), F.lit(0.0))
+    cones = [F.cbrt(row(ws, [linear(c) for c in (r, g, b)])) for ws in CONES]
+    return [row(ws, cones) for ws in COORDINATES]
+
+
+def luminance(r: Column, g: Column, b: Column) -> Column:
+    return 0.2126 * linear(r) + 0.7152 * linear(g) + 0.0722 * linear(b)
+
+
+def contrast(one: Column, other: Column) -> Column:
+    """The contrast of two luminances, 1 to 21."""
+    return (F.greatest(one, other) + 0.05) / (F.least(one, other) + 0.05)

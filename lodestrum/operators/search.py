@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +33,13 @@ def scored(rows: DataFrame, text: str) -> DataFrame:
     """Rows that match every word, or half of the words at least: matched, score, full."""
     terms = tx.query_terms(text)
     fields = {f: F.col(f"{f}_tokens") for f in tx.FIELDS}
+    need = math.ceil(len(terms) / 2) if len(terms) > 1 else len(terms)
+    if terms and {"name", "dir", "top_level"} <= set(rows.columns):
+        # Only rows that hold a necessary part of words enough can match. The planner takes this test down to the listing,
+        # before its tokens are made, where they aren't stored.
+        whole = tx.fold(F.lower(F.concat_ws("/", "name", "dir", "top_level")))
+        possible = sum((reduce(or_, (F.contains(whole, F.lit(p)) for p in tx.necessary(t))).cast("int") for t in terms), F.lit(0))
+        rows = rows.where(possible >= need)
     if not terms:
         return rows.where(F.lit(False)).withColumns({"score": F.lit(0), "matched": F.lit(0), "full": F.lit(False)})
     # Each match is looked for once; its score is a second step.
@@ -40,7 +49,6 @@ def scored(rows: DataFrame, text: str) -> DataFrame:
     each = [F.col(f"s{i}") for i in range(len(terms))]
     matched = sum(((c > 0).cast("int") for c in each), F.lit(0))
     rows = rows.withColumns({"score": sum(each, F.lit(0)), "matched": matched}).drop(*(f"s{i}" for i in range(len(terms))))
-    need = math.ceil(len(terms) / 2) if len(terms) > 1 else len(terms)
     return rows.where(F.col("matched") >= need).withColumn("full", F.col("matched") == len(terms))
 
 

@@ -154,31 +154,31 @@ def agg_renders_stats(spark, sf):
     return entries(spark, sf).agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
 
 
-def _natural(column):
-    return op.natural_key(tx.fold(F.lower(column)))
+def sql_natural(x: str) -> str:
+    return f"list_aggregate(list_transform(regexp_extract_all(strip_accents(lower({x})), '\\d+|\\D+'), lambda p: case when regexp_matches(p, '^\\d') then lpad(p, 12, '0') else p end), 'string_agg', '')"
 
 
-TOP = "select rank, id from (select row_number() over (order by {0}) - 1 as rank, id from entries) where rank < 200"
+RANKED = "select row_number() over (order by {0}) - 1 as rank, id from entries"
 
 
-@query(sql("entries", TOP.format("lower(name), lower(dir), id")))
+@query(sql("entries", RANKED.format(f"{sql_natural('name')}, {sql_natural('dir')}, id")))
 def sort_name(spark, sf):
-    return op.ranked(entries(spark, sf), _natural("name"), _natural("dir"), F.col("id"))
+    return op.ranked(entries(spark, sf), op.natural_key(F.col("name")), op.natural_key(F.col("dir")), F.col("id"))
 
 
-@query(sql("entries", TOP.format("mtime desc, lower(name), id")))
+@query(sql("entries", RANKED.format(f"mtime desc, {sql_natural('name')}, id")))
 def sort_date(spark, sf):
-    return op.ranked(entries(spark, sf), -F.col("mtime"), _natural("name"), F.col("id"))
+    return op.ranked(entries(spark, sf), -F.col("mtime"), op.natural_key(F.col("name")), F.col("id"))
 
 
-@query(sql("entries", TOP.format("size desc, lower(name), id")))
+@query(sql("entries", RANKED.format(f"size desc, {sql_natural('name')}, id")))
 def sort_size(spark, sf):
-    return op.ranked(entries(spark, sf), -F.col("size"), _natural("name"), F.col("id"))
+    return op.ranked(entries(spark, sf), -F.col("size"), op.natural_key(F.col("name")), F.col("id"))
 
 
-@query(sql("entries", TOP.format("lower(dir), lower(name), id")))
+@query(sql("entries", RANKED.format(f"{sql_natural('dir')}, {sql_natural('name')}, id")))
 def sort_path(spark, sf):
-    return op.ranked(entries(spark, sf), _natural("dir"), _natural("name"), F.col("id"))
+    return op.ranked(entries(spark, sf), op.natural_key(F.col("dir")), op.natural_key(F.col("name")), F.col("id"))
 
 
 @query(sql("entries", "select id, list_aggregate(list_transform(regexp_extract_all(lower(x), '\\d+|\\D+'), lambda p: case when regexp_matches(p, '^\\d') then lpad(p, 12, '0') else p end), 'string_agg', '') as key from (select id, 'x ' || id::varchar || ' B' || (id % 12)::varchar as x from entries)"))
@@ -187,7 +187,7 @@ def sort_natural(spark, sf):
     return entries(spark, sf).select("id", op.natural_key(x).alias("key"))
 
 
-@query(sql("entries", TOP.replace("200", "50").format("size desc, mtime desc, name")))
+@query(sql("entries", f"select rank, id from ({RANKED.format('size desc, mtime desc, name')}) where rank < 50"))
 def topk_heap(spark, sf):
     keys = (F.desc("size"), F.desc("mtime"), "name")
     top = entries(spark, sf).orderBy(*keys).limit(50)

@@ -10,21 +10,21 @@ from lodestrum.plans.registry import query
 from lodestrum.sources.tables import entries, snapshots, sql, table, vectors
 
 DIFF = """failed as (select path, mtime from entries where id % 19 = 0),
-diff_ as (select coalesce(b.path, n.path) as path, b.size as b_size, b.mtime as b_mtime, n.size as n_size, n.mtime as n_mtime,
+diff_ as (select coalesce(n.path, b.path) as path, coalesce(n.path <> b.path, false) as respelled, b.size as b_size, b.mtime as b_mtime, n.size as n_size, n.mtime as n_mtime,
   case when n.mtime is null then 'removed' when f.mtime = n.mtime then 'failed' when b.mtime is null then 'added' when b.mtime <> n.mtime then 'changed' else 'same' end as kind
-  from before b full join now_ n on b.path = n.path left join failed f on f.path = coalesce(b.path, n.path)),
+  from before b full join now_ n on lower(b.path) = lower(n.path) left join failed f on f.path = coalesce(n.path, b.path)),
 gone as (select b_size as size, b_mtime as mtime, min(path) as old from diff_ where kind = 'removed' group by all having count(*) = 1),
 come as (select n_size as size, n_mtime as mtime, min(path) as new from diff_ where kind = 'added' group by all having count(*) = 1)"""
 
 
 def _diff(spark, sf):
     before, now = snapshots(spark, sf)
-    return op.diff(before, now, entries(spark, sf).where("id % 19 = 0").select("path", "mtime"))
+    return op.diff(before, now, entries(spark, sf).where("id % 19 = 0").select("path", "mtime"), fold_case=True)
 
 
-@query(sql("entries snapshots", "select path, kind from diff_", DIFF))
+@query(sql("entries snapshots", "select path, kind, respelled from diff_", DIFF))
 def cdc_diff(spark, sf):
-    return _diff(spark, sf).select("path", "kind")
+    return _diff(spark, sf).select("path", "kind", "respelled")
 
 
 @query(sql("entries snapshots", "select kind, count(*) as n from diff_ group by kind", DIFF))
@@ -62,25 +62,26 @@ def filt_retry(spark, sf):
 
 
 RELINK = """rows_ as (select name as rel, case when id % 4 = 0 then null else size end as size, mtime from entries where id % 3 <> 0),
-list_ as (select name as rel, case when id % 10 = 1 then size + 1 else size end as size, mtime + (id % 5) * 900 as mtime from entries),
-met as (select rel, l.mtime from rows_ r join list_ l using (rel) where (r.size is null or r.size = l.size) and abs(r.mtime - l.mtime) <= 2000)"""
+list_ as (select name as rel, case when id % 10 = 1 then size + 1 when id % 10 = 2 then null else size end as size, mtime + (id % 5) * 900 as mtime from entries),
+met as (select rel, r.mtime as own, l.mtime as listed, coalesce(r.mtime <> 0 and l.mtime <> 0 and r.mtime <> l.mtime and abs(r.mtime - l.mtime) <= 2000, false) as adopted
+  from rows_ r join list_ l using (rel) where coalesce(r.size, 0) = 0 or coalesce(l.size, 0) = 0 or r.size = l.size)"""
 
 
 def _relink(spark, sf):
     e = entries(spark, sf)
     rows = e.where("id % 3 <> 0").select(F.col("name").alias("rel"), F.expr("case when id % 4 = 0 then null else size end").alias("size"), "mtime")
-    listing = e.select(F.col("name").alias("rel"), F.expr("case when id % 10 = 1 then size + 1 else size end").alias("size"), F.expr("mtime + (id % 5) * 900").alias("mtime"))
+    listing = e.select(F.col("name").alias("rel"), F.expr("case when id % 10 = 1 then size + 1 when id % 10 = 2 then null else size end").alias("size"), F.expr("mtime + (id % 5) * 900").alias("mtime"))
     return op.relink(rows, listing)
 
 
-@query(sql("entries", "select rel, mtime from met where (select count(*) from met) >= 0.3 * (select count(*) from rows_)", RELINK))
+@query(sql("entries", "select rel, case when adopted then listed else own end as mtime, adopted from met where (select count(*) from met) >= 0.3 * (select count(*) from rows_)", RELINK))
 def cdc_relink(spark, sf):
     return _relink(spark, sf)
 
 
-@query(sql("entries", "select rel, mtime - 900 as earlier from met", RELINK))
+@query(sql("entries", "select rel, listed as mtime from met where adopted", RELINK))
 def join_tolerance(spark, sf):
-    return _relink(spark, sf).select("rel", (F.col("mtime") - 900).alias("earlier"))
+    return _relink(spark, sf).where("adopted").select("rel", "mtime")
 
 
 @query("select user_id as key, event_type as op, event_id as seq from events qualify row_number() over (partition by user_id order by event_id desc) = 1")
@@ -102,17 +103,72 @@ def sort_job_path(spark, sf):
     return op.chunked(entries(spark, sf).select("path", lane.alias("lane")), 16)
 
 
-@query("select event_id as id, case when event_id % 4 <> 0 then 'ok' when event_id % 8 = 0 then 'retry' else 'failed' end as state from events where event_type = 'error'")
+@query("select user_id as path, event_id as seq, case when row_number() over (partition by user_id order by event_id) = 1 then 'retry' else 'failed' end as state from events where event_type = 'error'")
 def cdc_crash_retry(spark, sf):
-    i = F.col("event_id")
-    return table(spark, sf, "events").where("event_type = 'error'").select(i.alias("id"), F.when(i % 4 != 0, "ok").when(i % 8 == 0, "retry").otherwise("failed").alias("state"))
+    """Errors stand for crashes of the worker on a user's file."""
+    crashes = table(spark, sf, "events").where("event_type = 'error'").select(F.col("user_id").alias("path"), F.col("event_id").alias("seq"))
+    return op.after_crash(crashes)
 
 
-@query(sql("entries", "select id, path from entries where (id * 7) % 5 = (id * 3) % 5"))
+JOBS = """jobs as (select user_id as path, event_id as token from events where event_type in ('click', 'view')),
+asked as (select user_id as path, event_id as seq, event_type, max(case when event_type in ('click', 'view') then event_id end) over (partition by user_id order by event_id) as token from events),
+results as (select path, token, seq from asked where event_type not in ('click', 'view') and token is not null)"""
+
+
+def _jobs(spark, sf):
+    """Clicks and views ask for a job on a user's file; what comes after is an answer to the job that was asked for last then."""
+    ev, asks = table(spark, sf, "events"), F.col("event_type").isin("click", "view")
+    jobs = ev.where(asks).select(F.col("user_id").alias("path"), F.col("event_id").alias("token"))
+    token = F.max(F.when(asks, F.col("event_id"))).over(Window.partitionBy("user_id").orderBy("event_id"))
+    return jobs, ev.select(F.col("user_id").alias("path"), token.alias("token"), F.col("event_id").alias("seq"), "event_type").where(~asks & F.col("token").isNotNull()).drop("event_type")
+
+
+@query(f"with {JOBS} select r.path, r.token, min(seq) as seq from results r join (select path, max(token) as token from jobs group by path) using (path, token) group by all")
 def cdc_token(spark, sf):
+    jobs, results = _jobs(spark, sf)
+    return op.accepted(results, jobs).select("path", "token", "seq")
+
+
+@query(f"with {JOBS} select path, count(*) as asked, count(*) - 1 as superseded, max(token) as answered from jobs group by path")
+def str_supersede(spark, sf):
+    """A newer request cancels the older ones of its file: how many, and the one that is answered."""
+    jobs, _ = _jobs(spark, sf)
+    return jobs.groupBy("path").agg(F.count("*").alias("asked"), (F.count("*") - 1).alias("superseded"), F.max("token").alias("answered"))
+
+
+@query("select key, case when key = 'gen' then (value::bigint + 1)::varchar else value end as value from (select n_name as key, n_nationkey::varchar as value from nation union all select 'gen', (select count(*) from nation)::varchar)")
+def sql_gen_bump(spark, sf):
+    n = table(spark, sf, "nation")
+    meta = n.select(F.col("n_name").alias("key"), F.col("n_nationkey").cast("string").alias("value"))
+    return op.bump(meta.union(n.agg(F.count("*").cast("string").alias("value")).select(F.lit("gen"), "value")))
+
+
+@query(sql("entries", "select e.id, e.path, coalesce(n.size, e.size) as size, e.mtime from entries e left join (select path, case when id % 5 = 0 then null else size + 100 end as size, case when id % 2 = 0 then mtime else mtime + 1 end as mtime from entries where id % 3 = 0) n on n.path = e.path and n.mtime = e.mtime"))
+def sql_update_where(spark, sf):
+    """Sizes of files that are still as they were: only rows with the same path and time change."""
+    e = entries(spark, sf).select("id", "path", "size", "mtime")
+    news = e.where("id % 3 = 0").select("path", F.expr("case when id % 5 = 0 then null else size + 100 end").alias("size"), F.expr("case when id % 2 = 0 then mtime else mtime + 1 end").alias("mtime"))
+    return op.update_where(e, news, ["path", "mtime"], ["size"])
+
+
+INSERTS = """old_ as (select id % 50 as key, max(id) as v from entries where id % 2 = 0 group by all),
+new_ as (select id % 75 as key, id as v from entries where id % 3 = 0)"""
+
+
+def _inserts(spark, sf):
     e = entries(spark, sf)
-    wanted = e.select("path", F.expr("(id * 7) % 5").alias("token"))
-    return e.select("id", "path", F.expr("(id * 3) % 5").alias("token")).join(wanted, ["path", "token"]).select("id", "path")
+    old = e.where("id % 2 = 0").groupBy((F.col("id") % 50).alias("key")).agg(F.max("id").alias("v"))
+    return old, e.where("id % 3 = 0").select((F.col("id") % 75).alias("key"), F.col("id").alias("v"), F.col("id").alias("at"))
+
+
+@query(sql("entries", "select key, v from old_ union all select key, min(v) from new_ where key not in (select key from old_) group by key", INSERTS))
+def sql_insert_ignore(spark, sf):
+    return op.insert(*_inserts(spark, sf), "key", "at", replace=False)
+
+
+@query(sql("entries", "select key, max(v) as v from new_ group by key union all select key, v from old_ where key not in (select key from new_)", INSERTS))
+def sql_insert_replace(spark, sf):
+    return op.insert(*_inserts(spark, sf), "key", "at", replace=True)
 
 
 UP = """old_ as (select id, path, size, mtime from entries where id % 2 = 0),
@@ -126,6 +182,14 @@ def dml_upsert(spark, sf):
     return op.upsert(e.where("id % 2 = 0").select("id", "path", "size", "mtime"), news, "path", ["size"])
 
 
+@query(sql("entries", "select o.id, coalesce(o.path, n.path) as path, coalesce(n.size, o.size) as size, case when n.path is not null then n.mtime else o.mtime end as mtime, case when n.path is not null then (select max(id % 9) from old_) + 1 else o.id % 9 end as gen from old_ o full join new_ n on o.path = n.path", UP))
+def sink_vectors(spark, sf):
+    """A batch put in by path: one new generation for all of it."""
+    e = entries(spark, sf)
+    news = e.where("id % 3 = 0").select("path", F.expr("case when id % 5 = 0 then null else size + 1 end").alias("size"), F.expr("mtime + 5").alias("mtime"))
+    return op.write_batch(e.where("id % 2 = 0").select("id", "path", "size", "mtime", (F.col("id") % 9).alias("gen")), news, "path", ["size"])
+
+
 @query(sql("entries", "select id, path from entries where id % 6 <> 0"))
 def dml_delete(spark, sf):
     e = entries(spark, sf)
@@ -210,9 +274,20 @@ def q_status(spark, sf):
     return one.withColumn("phase", F.when(F.col("pending") == 0, "ready").otherwise("indexing"))
 
 
-@query(sql("entries", "select id, case when id % 3 = 0 then 'skip' when k = 1 then name else regexp_replace(name, '\\.wav$', '') || ' (' || k || ').wav' end as result from (select id, lower(split_part(name, ' ', 2)) || '.wav' as name, row_number() over (partition by split_part(name, ' ', 2), id % 3 = 0 order by id) as k from entries)"))
+IMPORT = """src as (select id, dir as folder, split_part(name, ' ', 2) || '.wav' as name, size from entries where id % 4 <> 0),
+lst as (select dir as folder, split_part(name, ' ', 2) || case id % 12 when 0 then '' when 4 then ' (2)' else ' (3)' end || '.wav' as name, min(size) as size, split_part(name, ' ', 2) as base, case id % 12 when 0 then 1 when 4 then 2 else 3 end as no from entries where id % 4 = 0 group by all),
+used as (select folder, base || '.wav' as name, list_sort(list(distinct no)) as taken from lst group by all),
+first_ as (select folder, name, arg_min(size, id) as first_size, min(id) as first_id from src group by all),
+met as (select s.*, l.size as l_size, coalesce(taken, []) as taken, not (l.size is null and s.id = first_id) and s.size = coalesce(l.size, first_size) as skip
+  from src s join first_ f using (folder, name) left join lst l on l.folder = s.folder and l.name = s.name left join used u on u.folder = s.folder and u.name = s.name),
+ranked as (select *, row_number() over (partition by folder, name, skip order by id) as r from met),
+placed as (select *, list_reduce(list_prepend(r, taken), lambda n, t: case when t <= n then n + 1 else n end) as no from ranked)"""
+
+
+@query(sql("entries", "select id, case when skip then 'skip' when no = 1 then name else replace(name, '.wav', ' (' || no || ').wav') end as result from placed", IMPORT))
 def dml_import(spark, sf):
-    same = F.col("id") % 3 == 0
-    e = entries(spark, sf).select("id", F.concat(F.lower(F.split("name", " ")[1]), F.lit(".wav")).alias("name"), same.alias("same"))
-    k = F.row_number().over(Window.partitionBy("name", "same").orderBy("id"))
-    return e.withColumn("k", k).select("id", F.when(F.col("same"), "skip").when(F.col("k") == 1, F.col("name")).otherwise(F.concat(F.regexp_replace("name", r"\.wav$", ""), F.lit(" ("), F.col("k").cast("string"), F.lit(").wav"))).alias("result"))
+    """Files that come into folders where some of their names and numbers are taken."""
+    e = entries(spark, sf).select("id", F.col("dir").alias("folder"), F.split("name", " ")[1].alias("base"), "size")
+    suffix = F.when(F.col("id") % 12 == 0, "").when(F.col("id") % 12 == 4, " (2)").otherwise(" (3)")
+    listing = e.where("id % 4 = 0").select("folder", F.concat("base", suffix, F.lit(".wav")).alias("name"), "size").groupBy("folder", "name").agg(F.min("size").alias("size"))
+    return op.imported(e.where("id % 4 <> 0").select("id", "folder", F.concat("base", F.lit(".wav")).alias("name"), "size"), listing)

@@ -122,16 +122,90 @@ def fn_split_words(spark, sf):
     return table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.filter(parts, lambda x: x != "").alias("words"))
 
 
-@query("select distinct user_id as id, list_transform(range(0, 44), lambda d: case when d < 13 then 1.0::double + (user_id % 3) when d < 39 then 0.5::double else 0.25::double * (user_id % 2) end) as weights from events")
+@query("select distinct user_id as id, list_concat([e], list_transform(range(0, 12), lambda d: t), [e], list_transform(range(0, 12), lambda d: r), [e * 0.7], list_transform(range(0, 12), lambda d: r * 0.7), [b, x, b, e, r]) as weights from (select user_id, 1.0::double + user_id % 3 as t, 0.5::double * (user_id % 5) as b, 0.25::double * (user_id % 7) as x, 0.5::double + user_id % 2 as e, 0.8::double * (user_id % 4) as r from events)")
 def fn_axis_weights(spark, sf):
-    u = F.col("user_id")
-    w = F.transform(F.sequence(F.lit(0), F.lit(43)), lambda d: F.when(d < 13, 1.0 + u % 3).when(d < 39, 0.5).otherwise(0.25 * (u % 2)))
-    return table(spark, sf, "events").select("user_id").distinct().select(u.alias("id"), w.alias("weights"))
+    u = table(spark, sf, "events").select("user_id").distinct()
+    k = lambda n: F.col("user_id") % n
+    w = op.axis_weights(timbre=1.0 + k(3), brightness=0.5 * k(5), texture=0.25 * k(7), energy=0.5 + k(2), transient=0.8 * k(4))
+    return u.select(F.col("user_id").alias("id"), w.alias("weights"))
+
+
+def sql_number(x: str) -> str:
+    fixed = f"regexp_replace(format('{{:.6f}}', floor({x} * 1e6 + 0.5) / 1e6), '\\.?0+$', '')"
+    return f"case when {fixed} = '-0' then '0' else {fixed} end"
+
+
+NUMBERS = {"duration": "d", "crop_start": "cs", "crop_end": "ce", "fade_in_end": "fi", "fade_out_start": "fo", "fade_in_tension": "((id % 9) / 4.0::double - 1)", "fade_out_tension": "(-(id % 5) / 7.0::double)", "gain_db": "((id % 31) * 0.1::double - 1.2)", "semitones": "((id % 25) - 12::double)"}
+SHAPES = ("power", "scurve", "equal")
+
+
+def _sql_part(name: str) -> str:
+    if name == "reverse":
+        return "case when id % 2 = 1 then '1' else '0' end"
+    if name.endswith("shape"):
+        return f"'\"' || (['power', 'scurve', 'equal'])[(id + {len(name)}) % 3 + 1] || '\"'"
+    return sql_number(NUMBERS[name])
+
 
+SIGNED = f"signed as (select id, '[{op.DSP_VERSION},' || " + " || ',' || ".join(_sql_part(n) for n in op.PARAMETERS) + " || ']' as signature from e5)"
 
-@query("select doc_id as id, list_reduce(list_prepend(2166136261::ubigint, list_transform(range(1, 33), lambda k: ascii(substr(h, k, 1))::ubigint)), lambda a, c: (xor(a, c) * 16777619) % 4294967296)::bigint as fnv from (select doc_id, md5(text) as h from documents)")
+
+def _signed(spark, sf):
+    n, i = _normal(spark, sf), F.col("id")
+    shape = lambda name: F.element_at(F.array(*map(F.lit, SHAPES)), ((i + len(name)) % 3 + 1).cast("int"))
+    e = {c: F.col(c) for c in ("crop_start", "crop_end", "fade_in_end", "fade_out_start")} | {"duration": F.col("d"), "reverse": i % 2 == 1}
+    e |= {"fade_in_tension": (i % 9) / F.lit(4.0) - 1, "fade_out_tension": -(i % 5) / F.lit(7.0), "gain_db": (i % 31) * F.lit(0.1) - 1.2, "semitones": (i % 25) - F.lit(12.0)}
+    e |= {name: shape(name) for name in ("fade_in_shape", "fade_out_shape")}
+    return n.select("id", op.signature(e).alias("signature"))
+
+
+@query(f"with {E}, {EDIT}, {SIGNED} select id, signature from signed")
+def fn_edit_signature(spark, sf):
+    return _signed(spark, sf)
+
+
+def sql_lane(text: str, start: int, prime: int) -> str:
+    return f"lpad(to_hex(list_reduce(list_prepend({start}::bigint, list_transform(range(1, length({text}) + 1), lambda k: ascii(substr({text}, k, 1))::bigint)), lambda h, c: (xor(h, c) * {prime}) & 4294967295)), 8, '0')"
+
+
+@query(f"with {E}, {EDIT}, {SIGNED} select id, lower({' || '.join(sql_lane('signature', *x) for x in op.LANES)}) as key from signed")
 def fn_fnv_key(spark, sf):
-    h = F.md5("text")
-    codes = F.transform(F.sequence(F.lit(1), F.lit(32)), lambda k: F.ascii(F.substring(h, k, F.lit(1))).cast("long"))
-    fnv = F.aggregate(codes, F.lit(2166136261).cast("long"), lambda a, c: (a.bitwiseXOR(c) * F.lit(16777619).cast("long")).bitwiseAND(F.lit(4294967295).cast("long")))
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), fnv.alias("fnv"))
+    """The key of an edit: two lanes over its signature."""
+    return _signed(spark, sf).select("id", op.hash_key(F.col("signature")).alias("key"))
+
+
+RGB = "rgb as (select p_partkey as id, (p_partkey % 256) / 255.0::double as r, (p_size * 5 % 256) / 255.0::double as g, (p_partkey * 7 % 256) / 255.0::double as b from part)"
+LINEAR = "case when {0} <= 0.04045 then {0} / 12.92 else pow(({0} + 0.055) / 1.055, 2.4) end"
+
+
+def _rgb(spark, sf):
+    c, k = (lambda x: (x % 256) / F.lit(255.0)), F.col("p_partkey")
+    return table(spark, sf, "part").select(k.alias("id"), c(k).alias("r"), c(F.col("p_size") * 5).alias("g"), c(k * 7).alias("b"))
+
+
+HSL = """select id, round(case when s = 0 then 0 when hi = r then 60 * (((g - b) / s) - 6 * floor(((g - b) / s) / 6)) when hi = g then 60 * ((b - r) / s + 2) else 60 * ((r - g) / s + 4) end, 6) as hue,
+ round(case when s = 0 then 0 else s / (1 - abs(hi + lo - 1)) end, 6) as saturation, round((hi + lo) / 2, 6) as light from (select *, hi - lo as s from (select *, greatest(r, g, b) as hi, least(r, g, b) as lo from rgb))"""
+
+
+@query(f"with {RGB} {HSL}")
+def fn_hsl(spark, sf):
+    h, s, light = op.hsl(*(F.col(c) for c in "rgb"))
+    return _rgb(spark, sf).select("id", F.round(h, 6).alias("hue"), F.round(s, 6).alias("saturation"), F.round(light, 6).alias("light"))
+
+
+def _sum(ws, xs):
+    return " + ".join(f"({w!r}) * {x}" for w, x in zip(ws, xs, strict=True))
+
+
+OKLAB = f"lin as (select id, {', '.join(LINEAR.format(c) + f' as l{c}' for c in 'rgb')} from rgb), cone as (select id, {', '.join(f'cbrt({_sum(ws, ("lr", "lg", "lb"))}) as c{k}' for k, ws in enumerate(op.CONES))} from lin)"
+
+
+@query(f"with {RGB}, {OKLAB} select id, {', '.join(f'round({_sum(ws, ("c0", "c1", "c2"))}, 6) as {n}' for n, ws in zip(('light', 'a', 'b'), op.COORDINATES, strict=True))} from cone")
+def fn_oklab(spark, sf):
+    light, a, b = op.oklab(*(F.col(c) for c in "rgb"))
+    return _rgb(spark, sf).select("id", F.round(light, 6).alias("light"), F.round(a, 6).alias("a"), F.round(b, 6).alias("b"))
+
+
+@query(f"with {RGB}, {OKLAB} select id, round((greatest(y, 0.2) + 0.05) / (least(y, 0.2) + 0.05), 6) as contrast from (select id, 0.2126 * lr + 0.7152 * lg + 0.0722 * lb as y from lin)")
+def fn_contrast(spark, sf):
+    return _rgb(spark, sf).select("id", F.round(op.contrast(op.luminance(*(F.col(c) for c in "rgb")), F.lit(0.2)), 6).alias("contrast"))

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,12 +10,12 @@ from pyspark.sql.window import Window
 from lodestrum.functions import signal
 from lodestrum.functions import text as tx
 from lodestrum.functions.translate import translate
-from lodestrum.operators import brief, search, similar
+from lodestrum.operators import brief, search, similar, vaults
 from lodestrum.operators import series as op
-from lodestrum.plans.echo import CANDIDATES, MEANS, TOPS, _coarse
+from lodestrum.plans.echo import COARSE, TOPS, candidates, coarse
 from lodestrum.plans.registry import query
 from lodestrum.plans.search import TOKENS, _index, sql_lexical
-from lodestrum.plans.series import STATS, SUMS, ZF
+from lodestrum.plans.series import STATS, SUMS, ZF, sql_slide
 from lodestrum.session import ship
 from lodestrum.sources.tables import entries, frames, samples, shelves, snapshots, sql, table, vectors
 
@@ -125,7 +124,7 @@ def fn_queryterms(spark, sf):
     return w.select("k", "word", tx.stem(F.col("word")).alias("stem"), F.when((F.length("word") >= 5) & F.col("word").endswith("e"), F.expr("substring(word, 1, length(word) - 1)")).alias("bare"))
 
 
-@query("select doc_id as id, length(regexp_replace(strip_accents(lower(substr(text, 1, 3))), '[^\\p{L}\\p{N}]', '', 'g')) < 2 as short from documents")
+@query("select doc_id as id, length(regexp_replace(strip_accents(lower(text)), '[^\\p{L}\\p{N}]', '', 'g')) < 2 as short from documents")
 def fn_min_chars(spark, sf):
     t = tx.tokenize(F.col("text"))
     return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), (F.length(F.array_join(t, "")) < 2).alias("short"))
@@ -235,22 +234,6 @@ def agg_kmeans(spark, sf):
 query()(agg_kmeans)
 
 
-@query("select p_partkey as id, round(0.2126 * pow(r, 2.2) + 0.7152 * pow(g, 2.2) + 0.0722 * pow(b, 2.2), 6) as luminance, round(greatest(r, g, b) - least(r, g, b), 6) as chroma from (select p_partkey, (p_partkey % 256) / 255.0::double as r, (p_size % 256) / 255.0::double as g, (p_partkey * 7 % 256) / 255.0::double as b from part)")
-def fn_colour(spark, sf):
-    part = lambda c: (c % 256) / F.lit(255.0)
-    k = F.col("p_partkey")
-    d = table(spark, sf, "part").select(k.alias("id"), part(k).alias("r"), part(F.col("p_size")).alias("g"), part(k * 7).alias("b"))
-    lum = 0.2126 * F.pow("r", F.lit(2.2)) + 0.7152 * F.pow("g", F.lit(2.2)) + 0.0722 * F.pow("b", F.lit(2.2))
-    return d.select("id", F.round(lum, 6).alias("luminance"), F.round(F.greatest("r", "g", "b") - F.least("r", "g", "b"), 6).alias("chroma"))
-
-
-@query("select event_id as id, md5(round(value / 10, 6)::varchar || '|' || (event_id % 17)::varchar) as sign from events where value > 10 and round(value / 10, 6) <> floor(value / 10)")
-def fn_edit_signature(spark, sf):
-    v = F.round(F.col("value") / 10, 6)
-    ev = table(spark, sf, "events").where((F.col("value") > 10) & (v != F.floor(F.col("value") / 10)))
-    return ev.select(F.col("event_id").alias("id"), F.md5(F.concat_ws("|", v.cast("string"), (F.col("event_id") % 17).cast("string"))).alias("sign"))
-
-
 @query("select event_id as id, list_transform(range(0, 5), lambda k: round(case when (k / 4.0::double) * d < d * 0.25 then (k / 4.0::double) / 0.25 else 1 end, 6)) as envelope from (select event_id, value + 1 as d from events)")
 def fn_envelope(spark, sf):
     d = F.col("value") + 1
@@ -266,50 +249,75 @@ def q_names_for(spark, sf):
 
 
 def q_brief(spark, sf):
-    """Cards for a brief whose queries are the labels' centroids: greedy, so without SQL."""
+    """Cards for a brief of words, concepts and a reference sound, made of the labels' centroids: greedy, so without SQL."""
     ship(spark)
     v = vectors(spark, sf)
-    q = similar.centroid(v, "label").select(F.col("label").alias("card"), F.col("vec").alias("qvec"), (1 - F.col("label") * 0.01).alias("weight"))
-    return brief.cards(v.select("id", "vec"), q, entries(spark, sf).select("id", "dir"))
+    kinds = ("word", "concept", "sound")
+    centres = {r["label"]: np.array(r["vec"]) for r in similar.centroid(v, "label").collect()}  # a row for each label
+    asked = [brief.Query(f"q:{k}", f"label {k}", kinds[k % 3], c, weight=0.7 - 0.01 * k, pinned=k == 4) for k, c in sorted(centres.items())]
+    names = v.where("id % 3 = 0").select(F.concat(F.lit("q:"), F.col("label").cast("string")).alias("key"), "id", (F.col("id") % 2 == 0).alias("exact"))
+    cards, _ = brief.suggest_cards(v.select("id", "vec"), asked, names, entries(spark, sf).select("id", "dir"))
+    rows = [(c.runs[0].query.key, k, i, round(float(s), 6)) for c in cards for k, (i, s) in enumerate(c.picks)]
+    return spark.createDataFrame(rows, "card string, place long, id long, score double")
 
 
 query()(q_brief)
 
 
-ECHO = """cand as (select series from tm union select series from ta),
-qf as (select w as qw, z as qz from zf where series = (select min(series) from zf) and w < 4),
-al as (select c.series, c.w - qw as off_, sum(list_dot_product(c.z, qz)) / 4 as s from zf c, qf where c.series in (select series from cand) group by all having count(*) = 4),
-sl as (select series, max(round(s, 9)) as score from al group by series)"""
+ECHO = f"""hashes as (select series, md5(string_agg(f1::bigint::varchar, ',' order by w)) as hash from frames group by series),
+hit as (select sl.*, hash, row_number() over (order by score desc, series) as r from sl join hashes using (series) where series in (select series from tm union select series from ta)),
+best as (select arg_min(series, r) as series, min(r) as r, list_sort(list(series order by r)[2:]) as copies from hit group by hash)"""
 
 
-@query(sql("frames", "select series, round(score, 6) as score, round(greatest(0, least(1, (score - 0.904) / (1 - 0.904))), 6) as confidence, score >= 0.97 as identical, score < 0.904 as weak from sl", SUMS, STATS, ZF, MEANS, TOPS, ECHO))
+@query(sql("frames", f"""select series, round(score, 6) as similarity, round(greatest(0, least(1, (score - 0.904) / (1 - 0.904))), 6) as confidence, score >= 0.97 as identical, score <= 0.904 as weak,
+  (case when swapped then 0 else off * {op.HOP_MS} end)::bigint as offset_ms, greatest(1, case when swapped then span * {op.HOP_MS} else least(150, (span - off) * {op.HOP_MS}) end)::bigint as duration_ms, copies
+from hit join best using (series) order by hit.r limit 50""", SUMS, STATS, ZF, COARSE, TOPS, sql_slide(4), ECHO))
 def q_echo(spark, sf):
-    """Coarse candidates by mean and loudest frame, then the best alignment of the query inside each."""
-    s = _coarse(spark, sf)
-    top = lambda c: s.orderBy(F.desc(F.round(c, 9)), "series").limit(CANDIDATES).select("series")
-    cand = top("sm").union(top("sa")).distinct()
-    f = frames(spark, sf)
-    z = op.z_frames(f, op.final_stats(op.partial_sums(f)))
-    q = z.where("w < 4").join(F.broadcast(z.agg(F.min("series").alias("series"))), "series")
-    best = op.slide(q, z.join(cand, "series", "left_semi"))
+    """Coarse candidates by mean and loudest frame, the best alignment of the query inside each, and one result for each
+    content with its copies."""
+    f = frames(spark, sf).where("w >= 0")
+    s, stats = coarse(f)
+    rows = op.whole_series(f)
+    query = rows.orderBy("series").limit(1).select(F.slice("flat", 1, 4 * op.DIMS).alias("flat"))
+    found = rows.join(candidates(s), "series", "left_semi")
+    # The content of a series goes by its second dimension, as in agg_hash.
+    hashed = found.select(F.col("series").alias("id"), F.md5(F.array_join(F.transform(F.filter("flat", lambda _, i: i % op.DIMS == 1), lambda x: x.cast("long").cast("string")), ",")).alias("hash"))
+    hits = op.slide(query, found, stats).join(hashed, F.col("series") == F.col("id"))
     c = F.col("score")
-    return best.select("series", F.round(c, 6).alias("score"), F.round(op.confidence(c, F.lit(150.0)), 6).alias("confidence"), (c >= 0.97).alias("identical"), (c < 0.904).alias("weak"))
+    best = similar.collapse(hits, F.col("hash"), F.struct(-c, "id")).select(F.col("id").alias("first"), "copies")
+    out = hits.join(best, F.col("id") == F.col("first")).orderBy(F.desc("score"), "id").limit(50)
+    swapped, conf = F.col("swapped"), op.confidence(c, F.lit(150.0))
+    length = F.when(swapped, F.col("span") * op.HOP_MS).otherwise(F.least(F.lit(150).cast("long"), (F.col("span") - F.col("off")) * op.HOP_MS))
+    return out.select(
+        "series", F.round(c, 6).alias("similarity"), F.round(conf, 6).alias("confidence"), (c >= 0.97).alias("identical"), (conf <= 0).alias("weak"),
+        F.when(swapped, 0).otherwise(F.col("off") * op.HOP_MS).cast("long").alias("offset_ms"), F.greatest(F.lit(1).cast("long"), length).alias("duration_ms"), "copies",
+    )
 
 
-@query(sql("frames", "select series, round(sm, 6) as score from sc where series <> (select min(series) from sc) order by round(sm, 9) desc, series limit 15", SUMS, STATS, ZF, MEANS))
+@query(sql("frames", "select series, round(sm, 6) as score from sc where series <> (select min(series) from sc) order by round(sm, 9) desc, series limit 15", SUMS, STATS, COARSE))
 def topk_echo(spark, sf):
-    s = _coarse(spark, sf)
+    s, _ = coarse(frames(spark, sf))
     first = s.agg(F.min("series").alias("skip"))
     return s.join(F.broadcast(first)).where("series <> skip").orderBy(F.desc(F.round("sm", 9)), "series").limit(15).select("series", F.round("sm", 6).alias("score"))
 
 
-@query("select o_custkey as vault, count(*) as collections, o_custkey = (select max(o_custkey) from orders) as current_ from orders where o_custkey % 5 <> 0 group by o_custkey")
+VAULTS = """v0 as (select c_custkey as id, c_name as name, c_mktsegment as color, c_custkey = (select min(c_custkey) from customer) as active from customer),
+v1 as (select * from v0 union all select -id, name || ' (copy)', color, false from v0 where id % 10 = 3),
+v2 as (select id, case when id % 7 = 0 then substr(trim(upper(name)), 1, 80) else name end as name, case when id % 7 = 0 and color = 'BUILDING' then '#a1b2c3' else color end as color, active from v1),
+v3 as (select id, name, color, id = (select max(id) from v2) as active from v2)"""
+
+
+@query(f"with {VAULTS} select id, name, color, case when (select active from v3 where id % 5 = 0 and active) then id = (select min(id) from v3 where id % 5 <> 0) else active end as active from v3 where id % 5 <> 0")
 def dml_vault(spark, sf):
-    """Vaults after some are deleted; the newest is the current one."""
-    o = table(spark, sf, "orders").select("o_custkey")
-    newest = o.agg(F.max("o_custkey").alias("newest"))
-    g = o.where("o_custkey % 5 <> 0").groupBy(F.col("o_custkey").alias("vault")).agg(F.count("*").alias("collections"))
-    return g.join(F.broadcast(newest)).select("vault", "collections", (F.col("vault") == F.col("newest")).alias("current_"))
+    """Vaults of which some are duplicated, some renamed or coloured anew, the last one is made active, and some deleted."""
+    c = table(spark, sf, "customer")
+    first = c.agg(F.min("c_custkey").alias("first"))
+    v = c.join(F.broadcast(first)).select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("color"), (F.col("c_custkey") == F.col("first")).alias("active"))
+    v = vaults.duplicated(v, v.where("id % 10 = 3").select("id", (-F.col("id")).alias("new_id")))
+    patches = v.where("id % 7 = 0").select("id", F.upper("name").alias("name"), F.when(F.col("color") == "BUILDING", "#a1b2c3").otherwise("no colour").alias("color"))
+    v = vaults.updated(v, patches)
+    v = vaults.switched(v, v.agg(F.max("id").alias("id")))
+    return vaults.deleted(v, v.where("id % 5 = 0").select("id"))
 
 
 @query(sql("entries", "select id, mtime // 1000 as gen from entries where mtime // 1000 > 60 and id % 4 <> 0"))
@@ -319,9 +327,19 @@ def str_replay(spark, sf):
     return e.where("gen > 60").join(e.where("id % 4 = 0").select("id"), "id", "left_anti")
 
 
-@query("select event_type, round(mag, 4) as mag from (select event_type, sqrt(pow(sum(value * cos(2 * pi() * k / 8)), 2) + pow(sum(value * sin(2 * pi() * k / 8)), 2)) as mag from (select event_type, value, event_id % 8 as k from events) group by event_type)")
-def fn_fft_bin(spark, sf):
-    """One Fourier coefficient of values folded to eight places."""
-    a = 2 * math.pi * (F.col("event_id") % 8) / 8
-    g = table(spark, sf, "events").groupBy("event_type").agg(F.sum(F.col("value") * F.cos(a)).alias("re"), F.sum(F.col("value") * F.sin(a)).alias("im"))
-    return g.select("event_type", F.round(F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im")), 4).alias("mag"))
+FFT = 32
+HANN = f"x * 0.5 * (1 - cos(2 * pi() * i / {FFT}))"
+
+
+@query(sql("samples", f"select series, k::bigint as k, round(sqrt(pow(sum(h * cos(2 * pi() * k * i / {FFT})), 2) + pow(sum(h * sin(2 * pi() * k * i / {FFT})), 2)), 6) as mag from (select series, i, {HANN} as h from samples where i < {FFT}), (select unnest(range(0, {FFT // 2 + 1})) as k) group by all"))
+def fn_fft(spark, sf):
+    """Magnitudes of the first frame of each signal under a Hann window."""
+    ship(spark)
+
+    def make(s, xs):
+        x = np.zeros(FFT)
+        x[: min(FFT, len(xs))] = xs[:FFT]
+        mag = np.abs(np.fft.rfft(x * 0.5 * (1 - np.cos(2 * np.pi * np.arange(FFT) / FFT))))
+        return pd.DataFrame({"series": s, "k": range(len(mag)), "mag": mag.round(6)})
+
+    return _per_series(samples(spark, sf), make, "series long, k long, mag double")

@@ -116,7 +116,7 @@ def fn_undouble(spark, sf):
 STOPS = sorted(tx.STOP)
 
 
-@query(f"select item_id as id, case when len(c) > 0 then array_to_string(c, ' ') else array_to_string(t, ' ') end as words from (select item_id, t, list_filter(t, lambda x: not list_contains({STOPS}, x)) as c from (select item_id, {tx.sql_tokens('substr(text, 1, 60)')} as t from benchmark))")
+@query(f"select item_id as id, case when len(c) > 0 then array_to_string(c, ' ') else array_to_string(t, ' ') end as words from (select item_id, t, list_filter(t, lambda x: not list_contains({STOPS}, x)) as c from (select item_id, {tx.sql_tokens('text')} as t from benchmark))")
 def fn_stopwords(spark, sf):
     d = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), tx.tokenize(F.col("text")).alias("t"))
     d = d.withColumn("c", F.filter("t", lambda x: ~x.isin(STOPS)))

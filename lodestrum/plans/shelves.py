@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestrum.operators.catalog import natural_key
+from lodestrum.operators import brief
 from lodestrum.plans.registry import query
 from lodestrum.sources.tables import entries, shelves, sql, table
 
@@ -134,15 +135,38 @@ def fn_lookup_inflect(spark, sf):
     return w.join(known, "short", "left").select("w", F.when(c.endswith("es") & F.col("known"), F.col("short")).when(c.endswith("s"), one).when(c.endswith("a"), F.concat(one, F.lit("o"))).otherwise(c).alias("base"))
 
 
-@query("select o_custkey as vault, kind, n from (select o_custkey, 'word' as kind, count(*) as n from orders where o_orderkey % 3 = 0 group by all union all select o_custkey, 'concept', count(*) from orders where o_orderkey % 3 = 1 and o_orderkey % 5 <> 0 group by all union all select o_custkey, 'sound', count(*) from orders where o_orderkey % 3 = 2 group by all)")
+BRIEFS = """b as (select o_custkey as vault, o_orderkey as k, o_orderkey % 3 as kind, lower(o_orderpriority) as word, (o_totalprice % 100) / 100 as score, o_orderkey % 10 = 0 as pinned, o_orderkey % 5 = 1 as removed from orders),
+q as (select vault, case kind when 0 then 'w:' || word when 1 then 'c:' || word else 's:' || k::varchar end as key, kind, k, score, pinned, removed from b),
+one as (select vault, key, (['word', 'concept', 'sound'])[kind + 1] as kind, arg_min(case kind when 0 then 0.6 when 1 then 0.3 + 0.7 * score else 0.7 end, k) as weight, arg_min(k, k) as first, bool_or(pinned) as pinned from q where not (kind = 1 and removed) group by all)"""
+
+
+@query(f"with {BRIEFS} select vault, key, kind, round(weight, 6) as weight, pinned, row_number() over (partition by vault order by case kind when 'word' then 0 when 'concept' then 1 else 2 end, first) as place from one qualify place <= 40")
 def q_brief_queries(spark, sf):
+    """The queries of each brief: words, then concepts of its pictures that weren't removed, then reference sounds; each key once,
+    weighted by its kind, forty at most."""
     o = table(spark, sf, "orders")
-    kind = F.when(F.col("o_orderkey") % 3 == 0, "word").when(F.col("o_orderkey") % 3 == 1, "concept").otherwise("sound")
-    keep = ~((F.col("o_orderkey") % 3 == 1) & (F.col("o_orderkey") % 5 == 0))
-    return o.where(keep).groupBy(F.col("o_custkey").alias("vault"), kind.alias("kind")).agg(F.count("*").alias("n"))
+    kind, word = F.col("o_orderkey") % 3, F.lower("o_orderpriority")
+    items = o.where("not (o_orderkey % 3 = 1 and o_orderkey % 5 = 1)").select(
+        F.col("o_custkey").alias("vault"),
+        F.when(kind == 0, "word").when(kind == 1, "concept").otherwise("sound").alias("kind"),
+        F.when(kind == 2, F.col("o_orderkey").cast("string")).otherwise(word).alias("name"),
+        F.col("o_orderkey").alias("pos"),
+        ((F.col("o_totalprice") % 100) / 100).alias("score"),
+        (F.col("o_orderkey") % 10 == 0).alias("pinned"),
+    )
+    return brief.queries(items, 40).withColumn("weight", F.round("weight", 6))
+
+
+NAMES = """item as (select p_type as key, min(lower(p_brand)) as label, list_sort(list(distinct split_part(p_name, ' ', 1))) as syn from part group by p_type),
+f as (select p_partkey as id, case when p_partkey % 6 = 0 then lower(p_type) || '_' || p_name else p_name || ' ' || lower(p_brand) end as name, string_split(p_name, ' ') as words from part)"""
 
 
-@query("select distinct key, id from (select p_partkey as id, unnest([lower(p_brand), lower(p_type), lower(p_name)]) as key from part)")
+@query(f"with {NAMES} select key, id, bool_or(exact) as exact from (select key, id, starts_with(lower(name), lower(key) || '_') or contains(lower(name), label) as exact, list_has_any(words, syn) as loose from item, f) where exact or loose group by all")
 def q_concept_names(spark, sf):
+    """Files named for each concept: exactly, by its key before an underscore or by its label, or loosely by a synonym."""
     p = table(spark, sf, "part")
-    return p.select(F.explode(F.array(F.lower("p_brand"), F.lower("p_type"), F.lower("p_name"))).alias("key"), F.col("p_partkey").alias("id")).distinct()
+    first = F.split("p_name", " ")[0]
+    items = p.groupBy(F.col("p_type").alias("key")).agg(F.min(F.lower("p_brand")).alias("label"), F.sort_array(F.collect_set(first)).alias("synonyms"))
+    name = F.when(F.col("p_partkey") % 6 == 0, F.concat(F.lower("p_type"), F.lit("_"), "p_name")).otherwise(F.concat("p_name", F.lit(" "), F.lower("p_brand")))
+    files = p.select(F.col("p_partkey").alias("id"), name.alias("name"), F.split("p_name", " ").alias("words"))
+    return brief.concept_names(items, files)

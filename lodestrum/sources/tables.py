@@ -33,11 +33,12 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """A former and a present listing (path, size, mtime): some files gone, some new, some touched, some renamed."""
+    """A former and a present listing (path, size, mtime): some files gone, some new, some touched, some renamed, some spelled
+    in other letters."""
     e = entries(spark, sf_dir)
     before = e.where("id % 7 <> 0").select("path", "size", "mtime")
     now = e.where("id % 11 <> 0").select(
-        F.when(F.expr("id % 17 = 0"), F.concat("dir", F.lit("/moved "), "name")).otherwise(F.col("path")).alias("path"),
+        F.when(F.expr("id % 17 = 0"), F.concat("dir", F.lit("/moved "), "name")).when(F.expr("id % 23 = 0"), F.concat("dir", F.lit("/"), F.upper("name"))).otherwise(F.col("path")).alias("path"),
         "size",
         F.expr("case when id % 13 = 0 then mtime + 1 else mtime end").alias("mtime"),
     )
@@ -84,7 +85,7 @@ CTES = {
          p_brand as top_level, p_size::bigint as size, p_partkey * 1000 as mtime from part))""",
     "vectors": "vectors as (select vec_id as id, embedding::double[] as vec, label::bigint as label from embeddings)",
     "snapshots": """before as (select path, size, mtime from entries where id % 7 <> 0),
-now_ as (select case when id % 17 = 0 then dir || '/moved ' || name else path end as path, size,
+now_ as (select case when id % 17 = 0 then dir || '/moved ' || name when id % 23 = 0 then dir || '/' || upper(name) else path end as path, size,
                case when id % 13 = 0 then mtime + 1 else mtime end as mtime from entries where id % 11 <> 0)""",
     "samples": """samples as (select user_id as series, row_number() over (partition by user_id order by ts, event_id) - 1 as i, (value - 20) / 100 as x from events)""",
     "frames": """frames as (select user_id as series, row_number() over (partition by user_id order by ts, event_id) - 1 as w, value as f0,
