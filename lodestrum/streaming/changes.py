@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestrum.operators.catalog import has_ignored_dir, is_audio
+
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
@@ -39,17 +41,64 @@ def running_stats(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id").agg(F.sum(k).alias("n"), F.sum(k * F.col("value")).alias("s1"), F.sum(k * F.col("value") * F.col("value")).alias("s2"))
 
 
-def apply_changes(target: str, key: str, order: str):
-    """A foreachBatch function that keeps a Parquet table of the last row of each key. Each batch writes a new version,
-    so that a batch that is run again replaces its own output; `current` tells the newest."""
-
-    def run(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        rest = [c for c in batch.columns if c != key]
-        news = batch.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("b")).select(key, "b.*")
-        if epoch > 0:
-            old = spark.read.schema(news.schema).parquet(f"{target}/v{epoch - 1}")
-            news = old.unionByName(news).groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("b")).select(key, "b.*")
-        news.write.mode("overwrite").parquet(f"{target}/v{epoch}")
-
-    return run
+def watch(spark: SparkSession, root: str, suppressed: DataFrame | None = None) -> DataFrame:
+    """New files below a root as they come: path, name, size, mtime. Ignored folders and other kinds are left out, as are paths
+    of `suppressed` (path, until): changes that the program has just made itself, until a time in ms. Contents aren't kept."""
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    files = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", True).load(root)
+    name = F.element_at(F.split("path", "/"), -1)
+    found = files.select("path", name.alias("name"), F.col("length").alias("size"), F.unix_millis("modificationTime").alias("mtime"))
+    found = found.where(is_audio(F.col("name")) & ~has_ignored_dir(F.col("path")))
+    if suppressed is None:
+        return found
+    quiet = suppressed.select(F.col("path").alias("_path"), "until")
+    return found.join(quiet, (F.col("path") == F.col("_path")) & (F.col("mtime") <= F.col("until")), "left_anti")
+
+
+#: Parts of a table of last changes, by the hash of the key: a batch rewrites only those that it touches.
+PARTS = 64
+
+
+class LastChanges:
+    """A Parquet table of the last row of each key, in PARTS parts, each in versions: `target/v<epoch>/part=<n>`.
+
+    A batch writes one folder with the parts it touches; a version counts once Spark has marked it complete, so a batch that
+    is run again replaces its own output and nothing else. Versions of a part older than the one before are deleted.
+    """
+
+    def __init__(self, spark: SparkSession, target: str, schema: str, key: str, order: str) -> None:
+        self.spark, self.target, self.schema, self.key, self.order = spark, target.rstrip("/"), schema, key, order
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.target).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _names(self, path: str) -> list[str]:
+        return [s.getPath().getName() for s in self._fs.listStatus(self._path(path))] if self._fs.exists(self._path(path)) else []
+
+    def versions(self, before: int | None = None) -> dict[int, list[int]]:
+        """Complete versions of each part, the oldest first."""
+        epochs = sorted(int(n[1:]) for n in self._names(self.target) if n[:1] == "v" and n[1:].isdigit())
+        out: dict[int, list[int]] = {}
+        for e in epochs:
+            inside = self._names(f"{self.target}/v{e}") if before is None or e < before else []
+            for n in inside if "_SUCCESS" in inside else []:
+                if n.startswith("part="):
+                    out.setdefault(int(n[5:]), []).append(e)
+        return out
+
+    def read(self, before: int | None = None, parts: set[int] | None = None) -> DataFrame:
+        """The table, as it was before a batch, or some of its parts."""
+        paths = [f"{self.target}/v{es[-1]}/part={p}" for p, es in self.versions(before).items() if parts is None or p in parts]
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
+
+    def apply(self, batch: DataFrame, epoch: int) -> None:
+        """A foreachBatch function."""
+        part = F.pmod(F.xxhash64(self.key), F.lit(PARTS))
+        rest = [c for c in batch.columns if c != self.key]
+        newest = lambda d: d.groupBy(self.key).agg(F.max_by(F.struct(*rest), self.order).alias("b")).select(self.key, "b.*")
+        news = newest(batch)
+        touched = {r["p"] for r in news.select(part.alias("p")).distinct().collect()}  # PARTS at most
+        both = newest(self.read(epoch, touched).unionByName(news)) if touched else news
+        both.withColumn("part", part).repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{self.target}/v{epoch}")
+        for p, es in self.versions().items():
+            for old in es[:-2]:
+                self._fs.delete(self._path(f"{self.target}/v{old}/part={p}"), True)

@@ -43,10 +43,28 @@ def test_windows_close(spark, folder):
 def test_table_of_last_changes(spark, folder, tmp_path):
     target = str(tmp_path / "table")
     events = changes.read_events(spark, folder).select("user_id", "event_id", "event_type")
-    q = events.writeStream.foreachBatch(changes.apply_changes(target, "user_id", "event_id")).option("checkpointLocation", str(tmp_path / "cp")).start()
+    table = changes.LastChanges(spark, target, "user_id long, event_id long, event_type string", "user_id", "event_id")
+    q = events.writeStream.foreachBatch(table.apply).option("checkpointLocation", str(tmp_path / "cp")).start()
     q.processAllAvailable()
     q.stop()
-    last = max(Path(target).iterdir(), key=lambda p: int(p.name[1:]))
-    got = spark.read.parquet(str(last))
+    got = table.read()
     want = spark.read.parquet(EVENTS).groupBy("user_id").agg({"event_id": "max"})
     assert {(r[0], r[1]) for r in got.select("user_id", "event_id").collect()} == {tuple(r) for r in want.collect()}
+    # A batch run again gives the same, a small one touches few parts.
+    one = spark.createDataFrame([(got.first()["user_id"], 10**9, "click")], "user_id long, event_id long, event_type string")
+    before = {p: es[-1] for p, es in table.versions().items()}
+    table.apply(one, 100)
+    table.apply(one, 100)
+    after = {p: es[-1] for p, es in table.versions().items()}
+    assert sum(before[p] != after[p] for p in before) == 1 and table.read().where("event_id = 1000000000").count() == 1
+    assert table.read().count() == len({r[0] for r in want.collect()})
+
+
+def test_watching_a_folder(spark, tmp_path):
+    for name in ("a/one.wav", "a/node_modules/two.wav", "three.WAV", "four.mp3", "~$five.wav", "six.wav"):
+        path = tmp_path / "root" / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(b"RIFF")
+    own = spark.createDataFrame([(f"file:{tmp_path}/root/six.wav", 1 << 60)], "path string, until long")
+    got = drain(changes.watch(spark, str(tmp_path / "root"), own), "append", "seen")
+    assert sorted(r["name"] for r in got.collect()) == ["one.wav", "three.WAV"]
