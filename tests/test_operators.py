@@ -90,12 +90,109 @@ def test_moves_take_the_longest_folder(spark):
     assert {r["path"]: r["new_path"] for r in changes.remap(rows, moves).collect()} == {"a/b/c.wav": "m/c.wav", "a/x.wav": "n/x.wav", "ab/y.wav": "ab/y.wav"}
 
 
-def test_a_sound_is_on_one_card_at_most(spark):
+def test_cards_of_a_brief(spark):
     from lodestrum.operators import brief
 
     v, d = vectors(spark, 300)
-    q = spark.createDataFrame([(k, v[i].tolist(), 1.0 - k / 100) for k, i in enumerate((0, 1, 2, 3, 0))], "card long, qvec array<double>, weight double")
-    names = spark.createDataFrame([(i, f"d{i % 3}") for i in range(300)], "id long, dir string")
-    got = brief.cards(d, q, names).collect()
-    ids = [r["id"] for r in got]
-    assert len(ids) == len(set(ids)) and 4 not in {r["card"] for r in got}  # the last query is a twin of the first
+    names = spark.createDataFrame([("w:1", i, True) for i in range(0, 300, 5)], "key string, id long, exact boolean")
+    folders = spark.createDataFrame([(i, f"d{i % 3}") for i in range(300)], "id long, dir string")
+    far = -v[:20].mean(0) / np.linalg.norm(v[:20].mean(0))
+    asked = [
+        brief.Query("w:0", "first", "word", v[0], 0.6),
+        brief.Query("w:1", "second", "word", v[1], 0.6, pinned=True),
+        brief.Query("c:2", "third", "concept", v[2], 0.9),
+        brief.Query("w:3", "twin of the first", "word", v[0], 0.5),
+        brief.Query("s:4", "like a sound", "sound", v[3], 0.7, path=3),
+        brief.Query("w:5", "nothing like it", "word", far, 0.6),
+    ]
+    cards, unmatched = brief.suggest_cards(d, asked, names, folders, hidden={7}, per_card=10, most=8)
+    ids = [i for c in cards for i, _ in c.picks]
+    assert cards and len(ids) == len(set(ids)) and not {3, 7} & set(ids)  # a sound on one card; none that is held or asked for
+    assert cards[0].pinned and [c.order for c in cards] == sorted((c.order for c in cards), reverse=True)
+    assert any("w:0" in c.reasons and "w:3" in c.reasons for c in cards) and all(len(c.picks) >= brief.FEWEST for c in cards)
+    assert set(unmatched) <= {"nothing like it", "third", "first", "twin of the first"}
+
+
+def test_what_a_query_is_worth():
+    from lodestrum.operators import brief
+
+    q = brief.Query("w", "w", "word", np.zeros(2))
+    found = [(i, 0.6 - i / 100) for i in range(50)]
+    run = brief.evaluated(q, q.vec, found, [], set())
+    assert [i for i, _ in run.hits] == [i for i, s in found if s >= 0.35] and run.hits[0][1] == 1 and run.good  # the best less 0.25
+    low = [(i, 0.4 - i / 100) for i in range(50)]
+    assert not brief.evaluated(q, q.vec, low, [], set()).good
+    named = brief.evaluated(q, q.vec, low, [(30, 0.35, True), (31, 0.34, True), (32, 0.33, True), (33, 0.1, True)], set())
+    assert named.good and {30, 31, 32} <= {i for i, _ in named.hits} and 33 not in {i for i, _ in named.hits}
+    assert brief.evaluated(brief.Query("c", "c", "concept", q.vec), q.vec, low, [(30, 0.35, True)] * 3, set()).good is False
+    sound = brief.evaluated(brief.Query("s", "s", "sound", q.vec, path=0), q.vec, [(0, 1.0), (1, 0.86), (2, 0.8)], [], {0})
+    assert [i for i, _ in sound.hits] == [1, 2]
+
+
+def test_what_a_picture_shows(spark):
+    from lodestrum.operators import concepts
+
+    items = {k: {"key": f"k{k}", "label": label, "cat": cat, "sub": sub} for k, (label, cat, sub) in enumerate([("plastic", "PLASTIC", "MISC"), ("plastic break", "PLASTIC", "BREAK"), ("wild cat", "ANIMALS", "CAT WILD"), ("dog", "ANIMALS", "DOG"), ("bird", "ANIMALS", "BIRD"), ("lake", "WATER", "LAKE"), ("bell bird", "BELLS", "BIRD"), ("old", "ARCHIVED", "OLD")])}
+    known = {"tiger", "tigers", "lakewater", "lake", "polypropylene", "dog", "finch"}
+    found = [(2, "tigers", 8.0), (1, "polypropylene", 7.0), (3, "dog", 6.0), (4, "finch", 5.9), (5, "lakewater", 5.5), (0, None, 4.9), (6, "dogs", 4.0)]
+    got = concepts.chosen(found, items, known)
+    assert [x[0] for x in got] == ["k2", "k0", "k3", "k5"] and got[0] == ("k2", "tiger", 0.875) and got[1][1] == "plastic"
+    rows = spark.createDataFrame([(k, *i.values()) for k, i in items.items()], "concept long, key string, label string, cat string, sub string")
+    cz = spark.createDataFrame([(1, 2, 2.0), (1, 3, 1.6), (1, 5, 1.4), (1, 4, 3.5), (1, 6, 9.0), (1, 7, 9.0)], "image long, concept long, z double")
+    tz = spark.createDataFrame([(1, "tiger", 4.2), (1, "animal", 5.0), (1, "lakewater", 6.0), (1, "dog", 3.9)], "image long, term string, z double")
+    terms = spark.createDataFrame([("tiger", 2), ("tiger", 3), *[("animal", k) for k in (2, 3, 4, 5)], ("lakewater", 5), ("dog", 3)], "term string, concept long")
+    got = {(r["concept"], r["term"], round(r["evidence"], 6)) for r in concepts.candidates(cz, tz, terms, rows).collect()}
+    # A general word needs a category that is clearly seen; bells of birds and archives can't be seen.
+    assert got == {(2, "tiger", 5.2), (4, "animal", 6.75)}
+
+
+def test_the_index_finds_neighbours_in_tables_without_structure(spark):
+    from pathlib import Path
+
+    import pytest
+
+    if not Path("/root/testdata/sf0.01").exists():
+        pytest.skip("no test tables")
+    d = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").selectExpr("vec_id as id", "cast(embedding as array<double>) as vec")
+    near = lambda df: {(r["qid"], r["id"]) for r in df.collect()}
+    want = near(similar.knn(d, d, 10))
+    assert len(near(similar.knn_approximate(d, d, 10)) & want) >= 0.95 * len(want)
+
+
+def test_the_index_takes_any_dimension_and_reads_few_lists_of_clusters(spark, tmp_path):
+    v, d = vectors(spark, 900, dims=512)
+    index = similar.InvertedLists(d)
+    q = d.where("id % 50 = 0")
+    near = lambda df: {(r["qid"], r["id"]) for r in df.collect()}
+    want = near(similar.knn(q, d, 10))
+    found = near(index.search(q, d, 10))
+    assert len(found & want) >= 0.95 * len(want) and index.probes <= index.lists / 2
+    index.save(spark, str(tmp_path / "index"))
+    assert near(similar.InvertedLists.load(spark, str(tmp_path / "index")).search(q, d, 10)) == found
+
+
+def test_blocks_lose_no_neighbour(spark, monkeypatch):
+    v, d = vectors(spark, 200)
+    near = lambda df: sorted((r["qid"], r["id"], r["rank"]) for r in df.collect())
+    want = near(similar.knn(d, d, 5))
+    listed = d.selectExpr("id", "vec", "id % 3 as list")
+    pairs = lambda df: sorted((r["id"], r["other"]) for r in df.collect())
+    alike = pairs(similar.similar_pairs(listed, 0.5))
+    assert alike == sorted((i, j) for i in range(200) for j in range(i + 1, 200) if i % 3 == j % 3 and v[i] @ v[j] > 0.5)
+    monkeypatch.setattr(similar, "BLOCK", 32)
+    assert near(similar.knn(d, d, 5)) == want and pairs(similar.similar_pairs(listed, 0.5)) == alike
+
+
+def test_suggestions_leave_out_what_is_the_same_as_any_member(spark):
+    v, _ = vectors(spark, 120)
+    rows = [(i, v[i].tolist()) for i in range(120)] + [(200, v[39].tolist()), (201, v[60].tolist()), (202, v[60].tolist())]
+    d = spark.createDataFrame(rows, "id long, vec array<double>")
+    members = d.where("id < 40")  # 39 isn't among the sampled sixteen
+    sample = np.array(similar.spread_sample(members))
+    assert np.allclose(sample, v[[k * 40 // 16 for k in range(16)]])
+    got = [r["id"] for r in similar.suggest(d, members, 83).collect()]
+    assert not set(got) & {*range(40), 200} and len({60, 201, 202} & set(got)) == 1
+    middle = v[:40].mean(0) / np.linalg.norm(v[:40].mean(0))
+    score = 0.7 * np.maximum((v @ sample.T).max(1), 0) + 0.3 * (v @ middle)
+    want = [i for i in np.argsort(-score, kind="stable").tolist() if i >= 40][:10]
+    assert [i for i in got if i < 200][:10] == want and similar.suggest(d, members.limit(0), 5).collect() == []
