@@ -18,7 +18,7 @@ def plan(df) -> str:
 
 
 @needs_data
-@pytest.mark.parametrize("name", ["q_vector", "q_lexical", "topk_heap", "sort_size", "topk_vector"])
+@pytest.mark.parametrize("name", ["q_vector", "q_lexical", "topk_heap", "topk_running", "topk_vector"])
 def test_top_k_never_sorts_everything(spark, name):
     assert "TakeOrderedAndProject" in plan(registry.QUERIES[name](spark, DATA))
 
