@@ -156,6 +156,12 @@ def query_terms(text: str) -> list[Term]:
     return [Term(w, s := py_stem(w), aliases(s) or aliases(w), w[:-1] if len(w) >= 5 and w.endswith("e") else None) for w in words]
 
 
+def marked(text: Column, words: list[str], left: str = "[", right: str = "]") -> Column:
+    """The text with signs around every place of any of the words, the longest first, whatever the case."""
+    any_of = "|".join(re.escape(w) for w in sorted({w for w in words if w}, key=lambda w: (-len(w), w)))
+    return F.regexp_replace(text, f"(?i)({any_of})", f"{left}$1{right}") if any_of else text
+
+
 def necessary(term: Term) -> list[str]:
     """Texts of which one is in any folded field that the term can match: each way to match has one of its forms begin or end
     a token, and stemming changes no more than a token's last letter once its ending is gone."""

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,14 +18,118 @@ def clamp(x: Column, lo, hi) -> Column:
     return F.when(x < lo, lo).when(x > hi, hi).otherwise(x)
 
 
-def normalize(duration: Column, crop_start: Column, crop_end: Column, fade_in: Column, fade_out: Column) -> dict[str, Column]:
-    """Handles in order from left to right, inside the region, with the least crop between them."""
+#: The handles of an edit, in the order that they keep; further keys of an edit are carried along.
+HANDLES = ("crop_start", "fade_in_end", "fade_out_start", "crop_end")
+
+
+def normalize(duration: Column, crop_start: Column, crop_end: Column, fade_in: Column, fade_out: Column, moved: str | None = None) -> dict[str, Column]:
+    """Handles in their order, inside the region, with the least crop between them.
+
+    They're put right from left to right, unless the end of the crop or the start of the fade-out is the handle that is being
+    moved: that one keeps its place as far as it can, and pushes those before it.
+    """
     d = F.greatest(F.lit(0.0), duration)
     least = F.least(F.lit(MIN_CROP), d)
-    start = clamp(crop_start, 0.0, d - least)
-    end = clamp(crop_end, start + least, d)
-    fi = clamp(fade_in, start, end)
-    return {"crop_start": start, "crop_end": end, "fade_in_end": fi, "fade_out_start": clamp(fade_out, fi, end)}
+    if moved == "crop_end":
+        end = clamp(crop_end, least, d)
+        start = clamp(crop_start, 0.0, end - least)
+    else:
+        start = clamp(crop_start, 0.0, d - least)
+        end = clamp(crop_end, start + least, d)
+    if moved in ("crop_end", "fade_out_start"):
+        out = clamp(fade_out, start, end)
+        return {"crop_start": start, "crop_end": end, "fade_in_end": clamp(fade_in, start, out), "fade_out_start": out}
+    into = clamp(fade_in, start, end)
+    return {"crop_start": start, "crop_end": end, "fade_in_end": into, "fade_out_start": clamp(fade_out, into, end)}
+
+
+def _with(edit: dict[str, Column], moved: str | None = None, **new: Column) -> dict[str, Column]:
+    """The edit with some handles or its duration changed, in order again."""
+    e = edit | new
+    return e | normalize(e["duration"], e["crop_start"], e["crop_end"], e["fade_in_end"], e["fade_out_start"], moved)
+
+
+def move(edit: dict[str, Column], handle: str, to: Column) -> dict[str, Column]:
+    """One handle moved; it pushes the others."""
+    return _with(edit, handle, **{handle: to})
+
+
+def slip(edit: dict[str, Column], by: Column) -> dict[str, Column]:
+    """The kept window with its fades moved over the audio, as far as the region goes."""
+    step = clamp(by, -edit["crop_start"], edit["duration"] - edit["crop_end"])
+    return _with(edit, **{h: edit[h] + step for h in HANDLES})
+
+
+def link(edit: dict[str, Column], side: str, by: Column) -> dict[str, Column]:
+    """One edge of the crop moved along with its fade, whose length stays; it stops at the other fade."""
+    gap = edit["fade_out_start"] - edit["fade_in_end"]
+    if side == "in":
+        step = clamp(by, -edit["crop_start"], gap)
+        return _with(edit, crop_start=edit["crop_start"] + step, fade_in_end=edit["fade_in_end"] + step)
+    step = clamp(by, -gap, edit["duration"] - edit["crop_end"])
+    return _with(edit, crop_end=edit["crop_end"] + step, fade_out_start=edit["fade_out_start"] + step)
+
+
+def fades(edit: dict[str, Column]) -> tuple[Column, Column]:
+    """Lengths of the fade-in and the fade-out."""
+    return edit["fade_in_end"] - edit["crop_start"], edit["crop_end"] - edit["fade_out_start"]
+
+
+def _framed(edit: dict[str, Column], start: Column, end: Column, **new: Column) -> dict[str, Column]:
+    """The edit with another crop and fades of the same lengths."""
+    into, out = fades(edit)
+    return _with(edit, crop_start=start, crop_end=end, fade_in_end=start + into, fade_out_start=end - out, **new)
+
+
+def reverse(edit: dict[str, Column]) -> dict[str, Column]:
+    """The same audio the other way round: the crop is mirrored, the fades stay at the edges of what is heard."""
+    d = edit["duration"]
+    return _framed(edit, d - edit["crop_end"], d - edit["crop_start"], reverse=~edit["reverse"])
+
+
+def source_range(edit: dict[str, Column]) -> tuple[Column, Column]:
+    """The kept part in the region's own time."""
+    d = edit["duration"]
+    return F.when(edit["reverse"], d - edit["crop_end"]).otherwise(edit["crop_start"]), F.when(edit["reverse"], d - edit["crop_start"]).otherwise(edit["crop_end"])
+
+
+def rebase(edit: dict[str, Column], old_start: Column, new_start: Column, new_end: Column) -> dict[str, Column]:
+    """The edit of another region of the file: what was kept stays where it is in the file, as far as the region reaches; if
+    nothing of it is left, all of the region is kept."""
+    d = F.greatest(F.lit(0.0), new_end - new_start)
+    low, high = (clamp(old_start + x - new_start, 0.0, d) for x in source_range(edit))
+    none = high - low < F.least(F.lit(MIN_CROP), d)
+    low, high = F.when(none, 0.0).otherwise(low), F.when(none, d).otherwise(high)
+    back = edit["reverse"]
+    return _framed(edit, F.when(back, d - high).otherwise(low), F.when(back, d - low).otherwise(high), duration=d)
+
+
+def trim(edit: dict[str, Column], start: Column) -> tuple[Column, Column, dict[str, Column]]:
+    """The region cut down to what is kept, as its new start and end in the file, and the edit of that region."""
+    low, high = source_range(edit)
+    d = high - low
+    return start + low, start + high, _framed(edit, F.lit(0.0), d, duration=d)
+
+
+def equal(a: dict[str, Column], b: dict[str, Column], within: float = 1e-9) -> Column:
+    """Are two edits the same but for noise in their numbers? Both have the same keys."""
+    plain = [a[k] == b[k] if k == "reverse" or k.endswith("shape") else F.abs(a[k] - b[k]) <= within for k in a]
+    return reduce(and_, plain)
+
+
+def envelope(edit: dict[str, Column], at: Column, shapes: tuple[str, str] = ("power", "power"), tensions: tuple[float, float] = (0.0, 0.0)) -> Column:
+    """The gain of both fades at a time of the region, 0 outside the crop."""
+    into, out = fades(edit)
+    rising = F.when((into > 0) & (at < edit["fade_in_end"]), fade_gain((at - edit["crop_start"]) / into, shapes[0], tensions[0])).otherwise(1.0)
+    falling = F.when((out > 0) & (at > edit["fade_out_start"]), fade_gain((edit["crop_end"] - at) / out, shapes[1], tensions[1])).otherwise(1.0)
+    return F.when((at < edit["crop_start"]) | (at > edit["crop_end"]), 0.0).otherwise(F.least(rising, falling))
+
+
+def envelope_max(edit: dict[str, Column], start: Column, end: Column, **how) -> Column:
+    """The greatest gain between two times: fades are monotonic, so it's at an edge unless there is a part without fades."""
+    low, high = F.greatest(start, edit["crop_start"]), F.least(end, edit["crop_end"])
+    inside = F.when((low <= edit["fade_out_start"]) & (high >= edit["fade_in_end"]), 1.0).otherwise(F.greatest(envelope(edit, low, **how), envelope(edit, high, **how)))
+    return F.when((end < edit["crop_start"]) | (start > edit["crop_end"]), 0.0).otherwise(inside)
 
 
 def fade_gain(progress: Column, shape: str, tension: float) -> Column:

@@ -200,6 +200,19 @@ def confidence(score: Column, ms: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (score - t) / (1 - t)))
 
 
+#: The version of fingerprints, the longest span in ms that they cover, and what may be missing of it.
+VERSION, SPAN_MS, SHORT_MS = 2, 120_000, 1500
+
+
+def needs_fingerprint(files: DataFrame, prints: DataFrame) -> DataFrame:
+    """(path, needs) of files (path, mtime, duration_ms): is a fingerprint (path, mtime, version, span_ms) missing, of another
+    time or version, or short of the file by more than SHORT_MS?"""
+    p = prints.select("path", F.col("mtime").alias("_mtime"), "version", "span_ms")
+    short = F.least(F.coalesce("duration_ms", F.lit(0)), F.lit(float(SPAN_MS))) - F.col("span_ms") > SHORT_MS
+    fresh = (F.col("_mtime") == F.col("mtime")) & (F.col("version") == VERSION) & ~short
+    return files.join(p, "path", "left").select("path", (~F.coalesce(fresh, F.lit(False))).alias("needs"))
+
+
 def round_robin(colours: DataFrame, most: int) -> DataFrame:
     """brief, place and colour: of palettes (brief, image, k, colour) the first of every image, then the second and so on, each
     colour once, ignoring case, `most` of a brief. First places combine before the shuffle; distinct colours are few."""

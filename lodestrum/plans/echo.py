@@ -80,11 +80,16 @@ def fn_clap_offsets(spark, sf):
     return table(spark, sf, "events").select(F.col("event_id").alias("id"), F.when(d <= 10.5, F.array(F.lit(0.0))).when(d <= 30, some(3)).otherwise(some(5)).alias("starts"))
 
 
-@query("select user_id as id, case when i % 4 = 0 then true when i % 5 = 0 then true when least(v * 1000, 30000) - s > 1500 then true else false end as needs from (select user_id, max(event_id) as i, max(value) as v, min(value) * 100 as s from events group by user_id)")
+PRINTS = """files as (select user_id as path, max(event_id) as mtime, max(value) * 1000 as duration_ms from events group by user_id),
+prints as (select user_id as path, max(event_id) + (user_id % 5 = 0)::int as mtime, 2 - (user_id % 7 = 0)::int as version, min(value) * 20000 as span_ms from events where user_id % 4 <> 0 group by user_id)"""
+
+
+@query(f"with {PRINTS} select f.path, coalesce(p.mtime is null or p.mtime <> f.mtime or p.version <> {op.VERSION} or least(f.duration_ms, {op.SPAN_MS}) - p.span_ms > {op.SHORT_MS}, true) as needs from files f left join prints p using (path)")
 def cdc_echo_needs(spark, sf):
-    u = table(spark, sf, "events").groupBy("user_id").agg(F.max("event_id").alias("i"), F.max("value").alias("v"), (F.min("value") * 100).alias("s"))
-    missing, changed = F.col("i") % 4 == 0, F.col("i") % 5 == 0
-    return u.select(F.col("user_id").alias("id"), (missing | changed | (F.least(F.col("v") * 1000, F.lit(30000.0)) - F.col("s") > 1500)).alias("needs"))
+    """Files whose fingerprint is missing, older, of another version or of too short a span."""
+    ev = table(spark, sf, "events").groupBy(F.col("user_id").alias("path")).agg(F.max("event_id").alias("mtime"), (F.max("value") * 1000).alias("duration_ms"), (F.min("value") * 20000).alias("span_ms"))
+    prints = ev.where("path % 4 <> 0").select("path", (F.col("mtime") + (F.col("path") % 5 == 0).cast("int")).alias("mtime"), (2 - (F.col("path") % 7 == 0).cast("int")).alias("version"), "span_ms")
+    return op.needs_fingerprint(ev.select("path", "mtime", "duration_ms"), prints)
 
 
 @query("select user_id as id, abs(n - old) >= case when old >= 20 then greatest(20, floor(old * 0.01 + 0.5)) else 1 end as again from (select user_id, count(*) * 3 as n, min(event_id) % 60 as old from events group by user_id)")

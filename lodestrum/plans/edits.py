@@ -33,10 +33,78 @@ def fn_normalize_edit(spark, sf):
     return _normal(spark, sf).select("id", *(F.round(c, 6).alias(c) for c in ("crop_start", "crop_end", "fade_in_end", "fade_out_start")))
 
 
+def sql_normal(source: str, name: str) -> str:
+    """The chain that puts handles a, b, c, f of a region d in order, as EDIT does, over any source."""
+    steps = [f"{name}1 as (select *, least(0.005, d) as m from {source})", f"{name}2 as (select *, {sql_clamp('a', '0', '(d - m)')} as cs from {name}1)", f"{name}3 as (select *, {sql_clamp('b', '(cs + m)', 'd')} as ce from {name}2)"]
+    steps += [f"{name}4 as (select *, {sql_clamp('c', 'cs', 'ce')} as fi from {name}3)", f"{name} as (select *, {sql_clamp('f', 'fi', 'ce')} as fo from {name}4)"]
+    return ", ".join(steps)
+
+
+SHOWN = "round(d, 6) as duration, round(cs, 6) as crop_start, round(fi, 6) as fade_in_end, round(fo, 6) as fade_out_start, round(ce, 6) as crop_end"
+
+
+def _edit(spark, sf):
+    """A normal edit of each event; the odd ones are reversed."""
+    n = _normal(spark, sf).withColumns({"duration": F.greatest(F.lit(0.0), "d"), "reverse": F.col("id") % 2 == 1})
+    return n, {c: F.col(c) for c in (*op.HANDLES, "duration", "reverse")}
+
+
+def _shown(rows, e, *more):
+    return rows.select("id", *(F.round(e[c], 6).alias(c) for c in ("duration", "crop_start", "fade_in_end", "fade_out_start", "crop_end")), *more)
+
+
+@query(f"with {E}, {EDIT}, l0 as (select id, d, cs + s as a, ce as b, fi + s as c, fo as f from (select *, {sql_clamp('0.3', '-cs', '(fo - fi)')} as s from e5)), {sql_normal('l0', 'l')} select id, {SHOWN} from l")
+def fn_link_edit(spark, sf):
+    rows, e = _edit(spark, sf)
+    return _shown(rows, op.link(e, "in", F.lit(0.3)))
+
+
+REVERSED = f"r0 as (select id, d, d - ce as a, d - cs as b, d - ce + fi - cs as c, d - cs - (ce - fo) as f from e5), {sql_normal('r0', 'r')}"
+
+
+@query(f"with {E}, {EDIT}, {REVERSED} select id, {SHOWN}, id % 2 = 0 as reverse from r")
+def fn_reverse_edit(spark, sf):
+    rows, e = _edit(spark, sf)
+    out = op.reverse(e)
+    return _shown(rows, out, out["reverse"].alias("reverse"))
+
+
+KEPT = "k0 as (select *, case when id % 2 = 1 then d - ce else cs end as lo, case when id % 2 = 1 then d - cs else ce end as hi from e5)"
+
+
+@query(f"with {E}, {EDIT}, {KEPT}, t0 as (select id, 10 + lo as s, 10 + hi as e, hi - lo as d, 0.0::double as a, hi - lo as b, fi - cs as c, hi - lo - (ce - fo) as f from (select * exclude (a, b, c, f, m) from k0)), {sql_normal('t0', 't')} select id, round(s, 6) as region_start, round(e, 6) as region_end, {SHOWN} from t")
+def fn_trim_edit(spark, sf):
+    rows, e = _edit(spark, sf)
+    start, end, out = op.trim(e, F.lit(10.0))
+    return _shown(rows, out, F.round(start, 6).alias("region_start"), F.round(end, 6).alias("region_end"))
+
+
+REBASED = f"""b0 as (select *, {sql_clamp('(10.0::double + lo - 10.4::double)', '0', 'nd')} as u0, {sql_clamp('(10.0::double + hi - 10.4::double)', '0', 'nd')} as u1 from (select *, greatest(0, 9.5::double + d - 10.4::double) as nd from k0)),
+b1 as (select *, u1 - u0 < least(0.005, nd) as none from b0), b2 as (select *, case when none then 0 else u0 end as v0, case when none then nd else u1 end as v1 from b1),
+b3 as (select *, case when id % 2 = 1 then nd - v1 else v0 end as x, case when id % 2 = 1 then nd - v0 else v1 end as y from b2),
+b4 as (select id, nd as d, x as a, y as b, x + fi - cs as c, y - (ce - fo) as f from (select * exclude (a, b, c, f, d, m) from b3)), {sql_normal('b4', 'bb')}"""
+
+
+@query(f"with {E}, {EDIT}, {KEPT}, {REBASED} select id, {SHOWN} from bb")
+def fn_rebase_edit(spark, sf):
+    """Of a region from 10 to 10 + d to one from 10.4 to 9.5 + d."""
+    rows, e = _edit(spark, sf)
+    return _shown(rows, op.rebase(e, F.lit(10.0), F.lit(10.4), F.lit(9.5) + e["duration"]))
+
+
+@query(f"with {E}, {EDIT}, v as (select *, k, d * k / 6.0::double as t from e5, (select unnest(range(0, 7)) as k)) select id, k, round(case when t < cs or t > ce then 0 else least(case when fi > cs and t < fi then (t - cs) / (fi - cs) else 1 end, case when ce > fo and t > fo then (ce - t) / (ce - fo) else 1 end) end, 7) as gain from v")
+def fn_envelope(spark, sf):
+    """Both fades of each edit at seven times of its region."""
+    rows, e = _edit(spark, sf)
+    d = rows.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(6).cast("long")))).withColumn("t", F.col("duration") * F.col("k") / 6)
+    return d.select("id", "k", F.round(op.envelope(e, F.col("t")), 7).alias("gain"))
+
+
 @query(f"with {E}, {EDIT} select id, round(cs + s, 6) as crop_start, round(ce + s, 6) as crop_end from (select *, {sql_clamp('0.25', '-cs', '(d - ce)')} as s from e5)")
 def fn_slip_edit(spark, sf):
-    n = _normal(spark, sf).withColumn("s", op.clamp(F.lit(0.25), -F.col("crop_start"), F.col("d") - F.col("crop_end")))
-    return n.select("id", F.round(F.col("crop_start") + F.col("s"), 6).alias("crop_start"), F.round(F.col("crop_end") + F.col("s"), 6).alias("crop_end"))
+    rows, e = _edit(spark, sf)
+    out = op.slip(e, F.lit(0.25))
+    return rows.select("id", F.round(out["crop_start"], 6).alias("crop_start"), F.round(out["crop_end"], 6).alias("crop_end"))
 
 
 T = "(event_id % 101) / 100.0::double"

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 from lodestrum.functions import signal
 from lodestrum.functions import text as tx
 from lodestrum.functions.translate import translate
-from lodestrum.operators import brief, search, similar, vaults
+from lodestrum.operators import brief, concepts, search, similar, vaults
 from lodestrum.operators import series as op
 from lodestrum.plans.echo import COARSE, TOPS, candidates, coarse
 from lodestrum.plans.registry import query
@@ -51,9 +51,17 @@ def filt_allowed(spark, sf):
     return entries(spark, sf).select("path").union(shelves(spark, sf).select("path")).distinct()
 
 
-@query("select p_partkey as id from part where p_type not in ('ECONOMY', 'PROMO') and not regexp_matches(p_name, '^(red|blue) ')")
+SEEN = """(['DESIGNED', 'ANIMALS', 'WATER', 'archived', 'VEHICLES', 'HUMAN'])[p_partkey % 6 + 1] as cat, (['SOURCE', 'BIRD', 'DROP', 'animal', 'MIX', 'GENERAL', 'IMPULSE RESPONSE'])[p_size % 7 + 1] as sub"""
+
+
+@query(f"select id, cat, sub from (select p_partkey as id, {SEEN} from part) where upper(cat) not in ('ARCHIVED', 'DESIGNED') and upper(sub) not in ('SOURCE', 'MIX', 'IMPULSE RESPONSE') and not (upper(sub) in ('BIRD', 'ANIMAL') and upper(cat) not in ('ANIMALS', 'HUMAN'))")
 def filt_visual(spark, sf):
-    return table(spark, sf, "part").where(~F.col("p_type").isin("ECONOMY", "PROMO") & ~F.col("p_name").rlike("^(red|blue) ")).select(F.col("p_partkey").alias("id"))
+    """Categories that a picture can show."""
+    pick = lambda names, k: F.element_at(F.array(*map(F.lit, names)), (k + 1).cast("int"))
+    cat = pick(("DESIGNED", "ANIMALS", "WATER", "archived", "VEHICLES", "HUMAN"), F.col("p_partkey") % 6)
+    sub = pick(("SOURCE", "BIRD", "DROP", "animal", "MIX", "GENERAL", "IMPULSE RESPONSE"), F.col("p_size") % 7)
+    items = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), cat.alias("cat"), sub.alias("sub"))
+    return items.where(concepts.visual(F.col("cat"), F.col("sub")))
 
 
 @query("select event_id as id, event_id % 10 = 0 as damaged from events")
@@ -151,9 +159,10 @@ def fn_safebase(spark, sf):
     return entries(spark, sf).select("id", F.trim(F.substring(F.regexp_replace(F.concat("name", F.lit(' / "x"?')), r'[<>:"/\\|?*]+', "_"), 1, 80)).alias("base"))
 
 
-@query(sql("entries", "select id, instr(lower(name), 'bolt') as at, case when instr(lower(name), 'bolt') > 0 then substr(name, 1, instr(lower(name), 'bolt') - 1) || '[' || substr(name, instr(lower(name), 'bolt'), 4) || ']' || substr(name, instr(lower(name), 'bolt') + 4) else name end as marked from entries"))
+@query(sql("entries", "select id, regexp_replace(name, '(bolt|red|w)', '[\\1]', 'gi') as marked, len(regexp_extract_all(lower(name), 'bolt|red|w')) as marks from entries"))
 def fn_highlight(spark, sf):
-    return entries(spark, sf).select("id", F.instr(F.lower("name"), "bolt").cast("long").alias("at"), F.regexp_replace("name", "(?i)^(.*?)(bolt)", "$1[$2]").alias("marked"))
+    """Every place of a query's words in a name."""
+    return entries(spark, sf).select("id", tx.marked(F.col("name"), ["w", "red", "bolt"]).alias("marked"), F.regexp_count(F.lower("name"), F.lit("bolt|red|w")).cast("long").alias("marks"))
 
 
 @query("select event_id as id, (s // 60)::varchar || ':' || lpad((s % 60)::varchar, 2, '0') as clock from (select event_id, floor(value * 7)::bigint + 600 as s from events)")
@@ -234,13 +243,6 @@ def agg_kmeans(spark, sf):
 query()(agg_kmeans)
 
 
-@query("select event_id as id, list_transform(range(0, 5), lambda k: round(case when (k / 4.0::double) * d < d * 0.25 then (k / 4.0::double) / 0.25 else 1 end, 6)) as envelope from (select event_id, value + 1 as d from events)")
-def fn_envelope(spark, sf):
-    d = F.col("value") + 1
-    at = lambda k: F.round(F.when(k / F.lit(4.0) * d < d * 0.25, k / F.lit(4.0) / 0.25).otherwise(1.0), 6)
-    return table(spark, sf, "events").select(F.col("event_id").alias("id"), F.transform(F.sequence(F.lit(0), F.lit(4)), at).alias("envelope"))
-
-
 @query(sql("entries", "select id, full_ from (select id, not partial as full_, count(*) filter (not partial) over () as n from lex) where full_ or n < 5", TOKENS, sql_lexical("red widget", 200)))
 def q_names_for(spark, sf):
     hits = search.lexical(_index(spark, sf), "red widget", 200)

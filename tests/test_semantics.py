@@ -251,3 +251,69 @@ def test_labels_of_categories():
     want = ["helicopter", "boat door", "vehicle door", "metal impact", "ceramic break", "antique vehicle", "interior rain", "rain on wood", "rain"]
     want += ["wild cat", "laser gun", "hand tool", "desert", "market ambience", "market crowd", "UI click", "beep click", "dirt and sand tonal or noise"]
     assert labels(given) == want
+
+
+def plain_edit(d, a, b, c, f, moved=None):
+    """Handles put in order by plain comparisons."""
+    d = max(0.0, d)
+    m = min(edits.MIN_CROP, d)
+    put = lambda x, lo, hi: lo if x < lo else hi if x > hi else x
+    if moved == "crop_end":
+        b = put(b, m, d)
+        a = put(a, 0.0, b - m)
+    else:
+        a = put(a, 0.0, d - m)
+        b = put(b, a + m, d)
+    if moved in ("crop_end", "fade_out_start"):
+        f = put(f, a, b)
+        return d, a, put(c, a, f), f, b
+    c = put(c, a, b)
+    return d, a, c, put(f, c, b), b
+
+
+def test_edits_against_plain_rules(spark):
+    rng = np.random.default_rng(12)
+    rows = [(k, *plain_edit(abs(x[0]), *x[1:5]), float(x[5]), bool(k % 2)) for k, x in enumerate(rng.normal(1.5, 2, (400, 6)).tolist())]
+    d = spark.createDataFrame(rows, "k long, duration double, crop_start double, fade_in_end double, fade_out_start double, crop_end double, by double, reverse boolean")
+    e = {c: F.col(c) for c in ("duration", *edits.HANDLES, "reverse")}
+    order = ("duration", "crop_start", "fade_in_end", "fade_out_start", "crop_end")
+
+    def check(made, plain):
+        got = {r["k"]: r for r in d.select("k", *(made[c].alias(c) for c in order)).collect()}
+        for k, dd, a, c, f, b, by, back in rows:
+            assert np.allclose([got[k][n] for n in order], plain(dd, a, c, f, b, by, back), atol=1e-9), (k, made)
+
+    put = lambda x, lo, hi: lo if x < lo else hi if x > hi else x
+    for h, at in (("crop_start", 1), ("crop_end", 4), ("fade_in_end", 2), ("fade_out_start", 3)):
+        def moved(dd, a, c, f, b, by, back, h=h, at=at):
+            v = [dd, a, c, f, b]
+            v[at] = by
+            return plain_edit(v[0], v[1], v[4], v[2], v[3], h)
+
+        check(edits.move(e, h, F.col("by")), moved)
+    step = lambda s, a, b, c, f, dd: plain_edit(dd, a + s, b + s, c + s, f + s)
+    check(edits.slip(e, F.col("by")), lambda dd, a, c, f, b, by, back: step(put(by, -a, dd - b), a, b, c, f, dd))
+    check(edits.link(e, "in", F.col("by")), lambda dd, a, c, f, b, by, back: plain_edit(dd, a + (s := put(by, -a, f - c)), b, c + s, f))
+    check(edits.link(e, "out", F.col("by")), lambda dd, a, c, f, b, by, back: plain_edit(dd, a, b + (s := put(by, c - f, dd - b)), c, f + s))
+    check(edits.reverse(e), lambda dd, a, c, f, b, by, back: plain_edit(dd, dd - b, dd - a, dd - b + c - a, dd - a - (b - f)))
+    twice = edits.reverse(edits.reverse(e))
+    assert d.where(~edits.equal(e, twice)).count() == 0 and d.where(edits.equal(e, edits.reverse(e))).count() == 0
+
+    def rebased(dd, a, c, f, b, by, back):
+        low, high = (dd - b, dd - a) if back else (a, b)
+        nd = max(0.0, dd + 0.3 - by)
+        low, high = put(5 + low - 5 - by, 0.0, nd), put(5 + high - 5 - by, 0.0, nd)
+        if high - low < min(edits.MIN_CROP, nd):
+            low, high = 0.0, nd
+        x, y = (nd - high, nd - low) if back else (low, high)
+        return plain_edit(nd, x, y, x + c - a, y - (b - f))
+
+    check(edits.rebase(e, F.lit(5.0), F.lit(5.0) + F.col("by"), F.lit(5.3) + F.col("duration")), rebased)
+    start, end, trimmed = edits.trim(e, F.lit(10.0))
+    check(trimmed, lambda dd, a, c, f, b, by, back: plain_edit(b - a, 0.0, b - a, c - a, b - a - (b - f)))
+    spans = d.select("k", start.alias("s"), end.alias("e")).collect()
+    assert all(abs(r["e"] - r["s"] - (rows[r["k"]][5] - rows[r["k"]][2])) < 1e-9 for r in spans)
+    # The greatest gain of an interval is that of many places in it.
+    places = [edits.envelope(e, F.col("crop_start") - 0.2 + (F.col("by") + 0.4) * (i / 50)) for i in range(51)]
+    for r in d.where("by > 0.1").select(edits.envelope_max(e, F.col("crop_start") - 0.2, F.col("crop_start") + F.col("by") + 0.2).alias("most"), F.greatest(*places).alias("seen")).collect():
+        assert r["most"] >= r["seen"] - 1e-9
