@@ -100,16 +100,18 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     reps = texts(df, id_col, text_col).mapInArrow(_local(digest, salts, local_bytes, local_rows), LOCAL_SCHEMA)
     best = [F.desc("rep_points"), F.asc_nulls_last("rep_id")]
     group = Window.partitionBy("digest", "salt", "norm")
-    # Contents of one digest and salt are told apart by a number from here on, so that text goes no further than it must.
-    salted = reps.select(
+    # Dealt once for all windows below, in both uses of the salted step: the filter, which no row fails, is one that the join
+    # asks of one use only, and would make another shuffle of it.
+    dealt = reps.where("digest is not null and salt is not null").repartition("digest", "salt")
+    salted = dealt.select(
         "digest", "salt", "norm", "rep_points", "rep_id", "members",
-        F.dense_rank().over(Window.partitionBy("digest", "salt").orderBy("norm")).alias("content"),
         F.row_number().over(group.orderBy(*best)).alias("place"),
         F.sum(F.size("members").cast("long")).over(group).alias("salt_size"),
     )
+    # Contents of one digest and salt are told apart by a number from here on, so that text goes no further than it must.
+    salted = salted.withColumn("content", F.dense_rank().over(Window.partitionBy("digest", "salt").orderBy("norm")))
     whole = Window.partitionBy("digest", "norm")
     first = whole.orderBy(*best, "salt")
-    # Both uses of the salted step ask for the same columns, so that its shuffle, the larger part of the work, is made once.
     winners = salted.where("place = 1 and size(members) > 0").select(
         F.col("digest").alias("w_digest"), F.col("salt").alias("w_salt"), F.col("content").alias("w_content"),
         F.first("rep_id").over(first).alias("keep_id"), F.first("salt").over(first).alias("keep_salt"),
