@@ -159,14 +159,16 @@ def quality_scores(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     return docs.withColumn("held_out", held).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
-def keep_good(df: DataFrame, labels: DataFrame, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text", *, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> DataFrame:
+def keep_good(df: DataFrame, labels: DataFrame, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text", *, taught_by: DataFrame | None = None, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> DataFrame:
     """The rows of df that score at least so much, with all their columns; each row has its own score, whatever its id.
 
-    Null and empty texts are scored as empty ones. Without labels every score is one half.
+    The fit reads labelled texts of `taught_by`, with the same names of id and text, or of df itself: where df has been
+    filtered before, what was bad is no longer there to learn from. Null and empty texts are scored as empty ones. Without
+    labels every score is one half.
     """
     spark = df.sparkSession
     bounded_batches(spark)
-    net = spark.sparkContext.broadcast(train(labelled_sample(texts(df, id_col, text_col), labels, "quality", FOLDS, HELD, rows, chars)[0]))
+    net = spark.sparkContext.broadcast(train(labelled_sample(texts(df if taught_by is None else taught_by, id_col, text_col), labels, "quality", FOLDS, HELD, rows, chars)[0]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
