@@ -22,9 +22,10 @@ def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows that the byte network scores one half or more, fitted on those rows of docs that labels of sf_dir cover.
-    Without labels, or with those of one kind only, all rows stay or go alike. Repeated rows share their score."""
-    return quality_cnn.keep_good(docs, table(spark, sf_dir, "labels"))
+    """The rows that the byte network scores one half or more, fitted on those documents of sf_dir that its labels cover, as
+    the rules have left few bad ones to learn from. Without labels, or with those of one kind only, all rows stay or go
+    alike. Repeated rows share their score."""
+    return quality_cnn.keep_good(docs, table(spark, sf_dir, "labels"), taught_by=table(spark, sf_dir, "documents"))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
