@@ -10,7 +10,6 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrum.functions.translate import translate
 from lodestrum.operators import catalog, search, similar
 from lodestrum.sources.wav import scan
 
@@ -59,15 +58,7 @@ class Catalog:
 
     def search(self, text: str, limit: int | None = None) -> DataFrame:
         """Names that match; a query in Spanish is also looked for in English, the original's hits first."""
-        n = clamp(limit, LEXICAL)
-        hits = search.lexical(self.index, text, n)
-        english, changed = translate(text)
-        if not changed:
-            return hits
-        more = search.lexical(self.index, english, n, partial=False)
-        both = hits.where("not partial").withColumn("src", F.lit(0)).unionByName(more.where("not partial").withColumn("src", F.lit(1)))
-        best = both.groupBy("id").agg(F.min(F.struct("src", "rank", "score", "partial")).alias("b"))
-        return best.select("id", "b.score", "b.rank", "b.partial", "b.src").orderBy("src", "rank").limit(n).drop("src")
+        return search.bilingual(self.index, text, clamp(limit, LEXICAL)).orderBy("rank").drop("src")
 
     def hybrid(self, text: str, query: DataFrame, limit: int | None = None) -> DataFrame | dict:
         """Names and sounds together, for a query text and its vector (qvec)."""

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestrum.functions import text as tx
+from lodestrum.functions.translate import translate
 from lodestrum.functions.vector import dot
 
 #: Fixed values of the adaptive floor: an absolute one, and distances below the best.
@@ -62,6 +63,25 @@ def lexical(rows: DataFrame, text: str, limit: int = 200, partial: bool = True)
     return kept.withColumn("rank", (F.row_number().over(Window.orderBy(*keys)) - 1).cast("long")).select("id", F.col("score").cast("long").alias("score"), "rank", (~F.col("full")).alias("partial"))
 
 
+def bilingual(rows: DataFrame, text: str, limit: int = 200) -> DataFrame:
+    """As lexical(), and for a query in Spanish also by its English: id, score, rank, partial, src (0: as asked, 1: in English).
+
+    Full matches of the query come first, then those of the translation that it hasn't got. Where there are none, partial
+    matches of the query, or else of the translation.
+    """
+    english, changed = translate(text)
+    found = lexical(rows, text, limit).withColumn("src", F.lit(0).cast("long"))
+    if not changed:
+        return found
+    both = found.unionByName(lexical(rows, english, limit).withColumn("src", F.lit(1).cast("long")))
+    all_ = Window.partitionBy()  # over two limits' rows at most
+    both = both.withColumns({"full": F.max(~F.col("partial")).over(all_), "first": F.min("src").over(all_)})
+    kept = both.where(F.when(F.col("full"), ~F.col("partial")).otherwise(F.col("src") == F.col("first")))
+    once = kept.groupBy("id").agg(F.min(F.struct("src", "rank", "score", "partial")).alias("b")).select("id", "b.*")
+    top = once.orderBy("src", "rank").limit(limit)
+    return top.select("id", "score", (F.row_number().over(Window.orderBy("src", "rank")) - 1).cast("long").alias("rank"), "partial", "src")
+
+
 def cutoff(top: Column) -> Column:
     return F.greatest(F.least(F.lit(FLOOR), top - NEAR), top - FAR)
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestrum.functions import text as tx
+from lodestrum.functions.translate import translate
 from lodestrum.functions.vector import dot
 from lodestrum.operators import search as op
 from lodestrum.plans.registry import query
@@ -52,25 +53,24 @@ def fn_fieldscore(spark, sf):
     return _index(spark, sf).select("id", tx.term_score(tx.query_terms("brand")[0], {f: F.col(f"{f}_tokens") for f in tx.FIELDS}).cast("long").alias("score"))
 
 
-def sql_bilingual(first: str, second: str, limit: int) -> str:
-    return f"""{sql_lexical(first, limit, 'l1')},
-{sql_lexical(second, limit, 'l2')},
-both_ as (select id, score, 0 as src, rank from l1 where not partial union all select id, score, 1, rank from l2 where not partial)"""
+def sql_bilingual(text: str, limit: int) -> str:
+    return f"""{sql_lexical(text, limit, 'l1')},
+{sql_lexical(translate(text)[0], limit, 'l2')},
+both_ as (select *, max(case when partial then 0 else 1 end) over () as any_full, min(src) over () as first_src from (select *, 0 as src from l1 union all select *, 1 from l2)),
+once as (select id, min((src, rank, score, partial)) as b from both_ where case when any_full = 1 then not partial else src = first_src end group by id),
+found as (select id, b[3] as score, row_number() over (order by b[1], b[2]) - 1 as rank, b[4] as partial, b[1]::bigint as src from once qualify rank < {limit})"""
 
 
-@query(sql("entries", "select id, score, src::bigint as src from both_ qualify row_number() over (partition by id order by src, rank) = 1", TOKENS, sql_bilingual("red", "blue", 300)))
+@query(sql("entries", "select id, score, rank, partial, src from found", TOKENS, sql_bilingual("anillo rojo", 300)))
 def q_lexical_bilingual(spark, sf):
-    idx = _index(spark, sf)
-    pick = lambda q, src: op.lexical(idx, q, 300, partial=False).where("not partial").select("id", "score", "rank", F.lit(src).cast("long").alias("src"))
-    both = pick("red", 0).union(pick("blue", 1))
-    return both.withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy("src", "rank"))).where("k = 1").select("id", "score", "src")
+    """A Spanish query over English names: only its translation finds them."""
+    return op.bilingual(_index(spark, sf), "anillo rojo", 300)
 
 
-@query(sql("entries", "select id, min(src)::bigint as src from both_ group by id", TOKENS, sql_bilingual("small", "ring", 300)))
+@query(sql("entries", "select id, src from found", TOKENS, sql_bilingual("red varilla", 300)))
 def set_lexical_union(spark, sf):
-    idx = _index(spark, sf)
-    pick = lambda q, src: op.lexical(idx, q, 300, partial=False).where("not partial").select("id", F.lit(src).cast("long").alias("src"))
-    return pick("small", 0).union(pick("ring", 1)).groupBy("id").agg(F.min("src").alias("src"))
+    """Half of the words are found as they are; the translation finds all of them, so partial matches don't count."""
+    return op.bilingual(_index(spark, sf), "red varilla", 300).select("id", "src")
 
 
 @query(sql("entries", "select id, name from entries where instr(lower(name), 'ed wi') > 0 or instr(lower(dir), 'ed wi') > 0 or instr(lower(top_level), 'ed wi') > 0"))
