@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestrum.operators.catalog import ranked
+
 #: The tolerance in ms within which a moved file is the same, and the share that a relink must find.
 TOLERANCE, RELINK_SHARE = 2000, 0.30
 
@@ -70,8 +72,15 @@ def last_of(changes: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def merge_queue(jobs: DataFrame) -> DataFrame:
-    """One job for each path: flags united, the most urgent lane, a first pass instead of a deep one."""
-    return jobs.groupBy("path").agg(F.bool_or("force").alias("force"), F.min("lane").alias("lane"), F.max(F.col("first").cast("int")).cast("boolean").alias("first"))
+    """One job for each path of requests (path, lane, names, sounds, seq): lanes hi and a ask for a first pass, b for a deep one.
+
+    First passes unite what they ask for and keep the lane of the first of them; they supersede deep ones, before or after.
+    Of deep ones alone the last counts.
+    """
+    first = F.col("lane") != "b"
+    asks = lambda c: F.coalesce(F.bool_or(F.when(first, F.col(c))), F.max_by(c, "seq")).alias(c)
+    lane = F.coalesce(F.min_by(F.when(first, F.col("lane")), F.when(first, F.col("seq"))), F.lit("b")).alias("lane")
+    return jobs.groupBy("path").agg(lane, asks("names"), asks("sounds"))
 
 
 def upsert(table: DataFrame, news: DataFrame, key: str, keep: list[str]) -> DataFrame:
@@ -118,9 +127,13 @@ def attempts(failures: DataFrame, news: DataFrame) -> DataFrame:
 
 
 def chunked(jobs: DataFrame, size: int) -> DataFrame:
-    """Chunks of at most `size` jobs of one lane, in path order."""
-    w = Window.partitionBy("lane").orderBy("path")
-    return jobs.withColumn("chunk", F.floor((F.row_number().over(w) - 1) / size))
+    """Chunks of at most `size` jobs of one lane, in path order. Lanes are few and long, so places are those of the whole queue,
+    which no task sorts alone, less those of the lanes before; paths are distinct."""
+    places = ranked(jobs.select(F.col("path").alias("id"), "lane"), F.col("lane"), F.col("id")).withColumnRenamed("id", "_id")
+    counts = jobs.groupBy("lane").agg(F.count("*").alias("_n"))  # a row a lane
+    starts = counts.select(F.col("lane").alias("_lane"), (F.sum("_n").over(Window.orderBy("lane")) - F.col("_n")).alias("_start"))
+    placed = jobs.join(places, F.col("path") == F.col("_id")).join(F.broadcast(starts), F.col("lane") == F.col("_lane"))
+    return placed.withColumn("chunk", F.floor((F.col("rank") - F.col("_start")) / size)).select(*jobs.columns, "chunk")
 
 
 def accepted(results: DataFrame, jobs: DataFrame) -> DataFrame:

@@ -90,11 +90,15 @@ def cdc_coalesce(spark, sf):
     return op.last_of(ev, "key", "seq").select("key", "op", "seq")
 
 
-@query("select user_id::varchar as path, bool_or(event_type = 'error') as force, min(case event_type when 'click' then 'a' when 'view' then 'b' else 'hi' end) as lane, bool_or(value > 50) as first from events group by user_id")
+QUEUE = """jobs as (select user_id::varchar as path, case event_type when 'click' then 'a' when 'view' then 'b' when 'purchase' then 'b' else 'hi' end as lane, value > 40 as names, value % 2 < 1 as sounds, event_id as seq from events where event_id % 9 = 0)"""
+
+
+@query(f"with {QUEUE} select path, coalesce(arg_min(lane, seq) filter (lane <> 'b'), 'b') as lane, coalesce(bool_or(names) filter (lane <> 'b'), arg_max(names, seq)) as names, coalesce(bool_or(sounds) filter (lane <> 'b'), arg_max(sounds, seq)) as sounds from jobs group by path")
 def cdc_queue_merge(spark, sf):
     kind = F.col("event_type")
-    jobs = table(spark, sf, "events").select(F.col("user_id").cast("string").alias("path"), (kind == "error").alias("force"), F.when(kind == "click", "a").when(kind == "view", "b").otherwise("hi").alias("lane"), (F.col("value") > 50).alias("first"))
-    return op.merge_queue(jobs)
+    lane = F.when(kind == "click", "a").when(kind.isin("view", "purchase"), "b").otherwise("hi")
+    ev = table(spark, sf, "events").where("event_id % 9 = 0")
+    return op.merge_queue(ev.select(F.col("user_id").cast("string").alias("path"), lane.alias("lane"), (F.col("value") > 40).alias("names"), (F.col("value") % 2 < 1).alias("sounds"), F.col("event_id").alias("seq")))
 
 
 @query(sql("entries", "select path, lane, (row_number() over (partition by lane order by path) - 1) // 16 as chunk from (select path, case id % 3 when 0 then 'hi' when 1 then 'a' else 'b' end as lane from entries)"))
