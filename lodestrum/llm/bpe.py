@@ -254,7 +254,8 @@ def encode_digests(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row's whole text.
 
     A null text is an empty one: no tokens, the digests of nothing. Ids may be null or repeat; each row is encoded by
-    itself. An empty table gives no rows; further columns are ignored.
+    itself. Texts and words of any length are encoded whole, in time nearly proportional. Of merges of equal rank the
+    leftmost comes first. An empty table gives no rows; further columns are ignored.
     """
     bounded_batches(df.sparkSession)
 
@@ -265,6 +266,7 @@ def encode_digests(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
 
 
 def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and the ids of every row as little-endian unsigned 32-bit integers in a binary column `ids`."""
+    """doc_id and the ids of every row as little-endian unsigned 32-bit integers in a binary column `ids`; awkward rows as in
+    encode_digests."""
     bounded_batches(df.sparkSession)
     return per_text(texts(df, id_col, text_col), vocabulary, lambda _, __, ids: (ids,), "ids binary")

@@ -94,7 +94,8 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Texts are equal when they are so without ASCII white space. A null text is an empty one, so null, empty and blank
     texts form one group. Of a group the row with the most code points stays, then the one with the smallest id; a null
-    id comes last. Of rows that repeat both, exactly one stays. An empty table gives no rows; other columns are ignored.
+    id comes last. Of rows that repeat both, exactly one stays. Texts of any length are compared whole. An empty table gives no
+    rows; other columns are ignored.
     """
     bounded_batches(df.sparkSession)
     reps = texts(df, id_col, text_col).mapInArrow(_local(digest, salts, local_bytes, local_rows), LOCAL_SCHEMA)
