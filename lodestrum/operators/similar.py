@@ -108,13 +108,17 @@ def in_blocks(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
 
 
 def spread_sample(members: DataFrame, n: int = 16) -> list[list[float]]:
-    """Vectors of up to n members, evenly spread over their order by id: they are numbered without a task that holds all."""
-    count = members.count()
-    if count <= n:
-        return [r["vec"] for r in members.orderBy("id").collect()]
-    places = [k * count // n for k in range(n)]
-    picked = numbered(members.select("id"), "id", "_place").where(F.col("_place").isin(places))
-    return [r["vec"] for r in members.join(F.broadcast(picked.select("id")), "id").orderBy("id").collect()]
+    """Vectors of up to n members, evenly spread over their order by id. The ids of a set of up to BLOCK members are ordered on
+    the driver, those of a larger one are numbered without a task that holds all."""
+    ids = sorted(r["id"] for r in members.select("id").limit(BLOCK + 1).collect())
+    if len(ids) <= BLOCK:
+        chosen = ids if len(ids) <= n else [ids[k * len(ids) // n] for k in range(n)]
+        picked = members.where(F.col("id").isin(chosen))
+    else:
+        count = members.count()
+        placed = numbered(members.select("id"), "id", "_place").where(F.col("_place").isin([k * count // n for k in range(n)]))
+        picked = members.join(F.broadcast(placed.select("id")), "id")
+    return [r["vec"] for r in picked.select("id", "vec").orderBy("id").collect()]
 
 
 def suggest(rows: DataFrame, members: DataFrame, k: int) -> DataFrame:
@@ -131,7 +135,7 @@ def suggest(rows: DataFrame, members: DataFrame, k: int) -> DataFrame:
     n = members.count()
     middle = centroid(members.withColumn("g", F.lit(0)), "g").first()["vec"]
     asked = [(-1, middle)] + [(-2 - i, v) for i, v in enumerate(sample)] * (len(sample) > 1)
-    queries = spark.createDataFrame(asked, "qid long, qvec array<double>").toArrow()
+    queries = pa.table({"qid": pa.array([i for i, _ in asked], pa.int64()), "qvec": pa.array([list(v) for _, v in asked], pa.list_(pa.float64()))})
     near = ranked_pairs(_against(queries, rows, 3 * k + n), 3 * k + n)  # members are among them
     picked = near.where((F.col("qid") == -1) | (F.col("rank") <= k + n)).select("id").distinct().join(members.select("id"), "id", "left_anti")
     known = spark.sparkContext.broadcast((np.array(sample), np.array(middle)))

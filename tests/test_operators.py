@@ -183,7 +183,7 @@ def test_blocks_lose_no_neighbour(spark, monkeypatch):
     assert near(similar.knn(d, d, 5)) == want and pairs(similar.similar_pairs(listed, 0.5)) == alike
 
 
-def test_suggestions_leave_out_what_is_the_same_as_any_member(spark):
+def test_suggestions_leave_out_what_is_the_same_as_any_member(spark, monkeypatch):
     v, _ = vectors(spark, 120)
     rows = [(i, v[i].tolist()) for i in range(120)] + [(200, v[39].tolist()), (201, v[60].tolist()), (202, v[60].tolist())]
     d = spark.createDataFrame(rows, "id long, vec array<double>")
@@ -196,3 +196,5 @@ def test_suggestions_leave_out_what_is_the_same_as_any_member(spark):
     score = 0.7 * np.maximum((v @ sample.T).max(1), 0) + 0.3 * (v @ middle)
     want = [i for i in np.argsort(-score, kind="stable").tolist() if i >= 40][:10]
     assert [i for i in got if i < 200][:10] == want and similar.suggest(d, members.limit(0), 5).collect() == []
+    monkeypatch.setattr(similar, "BLOCK", 32)  # a set that is numbered where it is
+    assert np.allclose(similar.spread_sample(members), sample)
