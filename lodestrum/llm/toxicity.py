@@ -121,7 +121,7 @@ class Voters:
             out[several] = TOXIC
         if hits and len(hits) * 200 >= len(words):
             out[dense] = TOXIC
-        if hits and YOU.search(text):
+        if (len(set(hits)) >= 2 or self.seeds & set(hits)) and YOU.search(text):
             out[addressed] = TOXIC
         if len(hits) == 1 and hits[0] not in self.seeds:  # one mined word may be there by chance: how often, the model learns
             out[lone] = CLEAN
