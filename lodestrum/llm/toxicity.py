@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,10 +27,10 @@ SEEDS = "idiot moron stupid loser scum trash worthless pathetic disgusting clown
 WORD = re.compile(r"[^\W\d_]+")
 #: Patterns of voters that don't know the lexicon.
 PATTERNS = {
-    "shouting": re.compile(r"\b[^\W\d_a-z]{2,}(?:[^\w\n]+[^\W\d_a-z]{2,}){2}\b"),
+    "shouting": regex.compile(r"\b\p{Lu}{2,}(?:[^\w\n]+\p{Lu}{2,}){2}\b"),
     "exclaiming": re.compile(r"[!?]{2}"),
     "framed": re.compile(r"(?i)\b(?:you(?: are|'re)|you) (?:a |an |such |so |all )+\w+|\bshut up\b|\b(?:i|we) (?:hate|despise) you\b|\bgo to hell\b|\bwhat an? \w+!"),
-    "masked": re.compile(r"\b[^\W\d_]+[*@#$]+[^\W\d_]+"),
+    "masked": re.compile(r"[*@#$](?<=[^\W\d_].)[*@#$]*[^\W\d_]"),
     "drawn_out": re.compile(r"([^\W\d_])\1{3}"),
 }
 YOU = re.compile(r"(?i)\b(you|your|you're|du|tu|eres)\b")
@@ -40,6 +41,7 @@ FOLDS, HELD = 5, 0
 MINED_TEXTS, MINED_LIFT, MINED_VARIETY = 8, 10.0, 0.6
 #: Lengths of beginnings of words, and forms in which a mined one occurs.
 STEMS, MINED_FORMS = (4, 5, 6, 7), 4
+KEPT_WORDS = 300_000
 VOCABULARY = 20_000
 TOXIC, CLEAN, ABSTAIN = 0, 1, 2
 #: Voters whose votes correlate more than this count as one.
@@ -97,6 +99,7 @@ class Voters:
     def __init__(self, lexicon: list[str], stems: list[str] = []) -> None:  # noqa: B006  never changed
         self.lexicon, self.stems = lexicon, stems
         self.stem_place = {w: i for i, w in enumerate(stems)}
+        self.kept: dict[str, tuple[int, ...]] = {}  # voters of words met before: most have none
         self.place = {w: i for i, w in enumerate(lexicon)}
         self.seeds = frozenset(SEEDS)
         self.names = [*(f"word:{w}" for w in lexicon), "several", "dense", "addressed", "lone", "none", *PATTERNS, "composed", *(f"stem:{w}" for w in stems), "stems"]
@@ -105,16 +108,19 @@ class Voters:
         out = np.full(len(self.names), ABSTAIN, np.int8)
         several, dense, addressed, lone, none, pattern = range(len(self.lexicon), len(self.lexicon) + 6)
         stem = pattern + len(PATTERNS) + 1
-        hits, begun = [], set()
-        for w, n in Counter(words).items():
-            if (k := self.place.get(w)) is not None:
+        hits, begun, kept = [], set(), self.kept
+        if len(kept) > KEPT_WORDS:
+            kept.clear()
+        for w in words:
+            if (told := kept.get(w)) is None:
+                told = [stem + k for size in STEMS if len(w) > size and (k := self.stem_place.get(w[:size])) is not None]
+                told = kept[w] = (*((self.place[w],) if w in self.place else ()), *told)
+            for k in told:
                 out[k] = TOXIC
-                hits += [w] * n
-            for size in STEMS if self.stems else ():
-                if len(w) > size and (k := self.stem_place.get(w[:size])) is not None:
+                if k < stem:
+                    hits.append(w)
+                else:
                     begun.add(k)
-        for k in begun:
-            out[stem + k] = TOXIC
         if len(begun) >= 2:
             out[-1] = TOXIC
         if len(set(hits)) >= 2:
