@@ -193,15 +193,29 @@ def q_concept_chips(spark, sf):
 query()(q_concept_chips)
 
 
-@query(sql("vectors", "select concept % 5 as cat, id, arg_max(concept, z) as term, round(max(z), 6) as z from zs group by all", CENT, ZS))
+CANDIDATES = """cand as (select image, concept, term, evidence from told where concept not in (4, 8) union all select image, concept, null, 1.5 * z from cz where z >= 3.2 and concept not in (4, 8) and (image, concept) not in (select (image, concept) from told)),
+items(concept, cat) as (values (0, 'WATER'), (1, 'ANIMALS'), (2, 'WOOD'), (3, 'VEHICLES'), (4, 'DOORS'), (5, 'METAL'), (6, 'WEATHER'), (7, 'FOOD'), (8, 'DESIGNED'), (9, 'GAMES'))"""
+
+
+def _candidates(spark, sf):
+    ship(spark)
+    c, t, terms = _scores(spark, sf)
+    return concepts.candidates(c, t, terms, _items(spark)).join(F.broadcast(_items(spark).select("concept", "cat")), "concept")  # a vocabulary of fixed size
+
+
+@query(sql("vectors", "select cat, image, coalesce(arg_max(coalesce(term, ''), (evidence, -concept)), '') as term, round(max(evidence), 6) as evidence from cand join items using (concept) group by all", CENT, CONCEPTS, CANDIDATES))
 def agg_best_evidence(spark, sf):
-    return _z(spark, sf).groupBy((F.col("concept") % 5).alias("cat"), "id").agg(F.max_by("concept", "z").alias("term"), F.round(F.max("z"), 6).alias("z"))
+    """The word with the most evidence of each category in each picture."""
+    best = F.max_by(F.coalesce("term", F.lit("")), F.struct("evidence", -F.col("concept")))
+    return _candidates(spark, sf).groupBy("cat", "image").agg(best.alias("term"), F.round(F.max("evidence"), 6).alias("evidence"))
 
 
-@query(sql("vectors", "select id, concept, k from (select *, row_number() over (partition by id, concept % 2 order by z desc, concept) as k from zs) where k <= 2", CENT, ZS))
+@query(sql("vectors", f"select image, concept, k from (select *, row_number() over (partition by image, cat order by evidence desc, concept) as k from cand join items using (concept)) where k <= case when cat in {tuple(concepts.MATERIALS)!r} then 1 else 2 end", CENT, CONCEPTS, CANDIDATES))
 def win_per_cat_cap(spark, sf):
-    w = Window.partitionBy("id", F.col("concept") % 2).orderBy(F.desc("z"), "concept")
-    return _z(spark, sf).withColumn("k", F.row_number().over(w).cast("long")).where("k <= 2").select("id", "concept", "k")
+    """Of each picture and category the best two, of a material the best one; candidates of a picture are few."""
+    w = Window.partitionBy("image", "cat").orderBy(F.desc("evidence"), "concept")
+    most = F.when(F.col("cat").isin(concepts.MATERIALS), 1).otherwise(2)
+    return _candidates(spark, sf).withColumn("k", F.row_number().over(w).cast("long")).where(F.col("k") <= most).select("image", "concept", "k")
 
 
 @query(sql("vectors", "select id, concept, round(case when hi <= 0.1 then 1 else (s - 0.1) / (hi - 0.1) end, 6) as scaled from (select *, max(s) over (partition by concept) as hi from sims) where s >= 0.1", CENT, ZS.split(",\nzs")[0]))
