@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestrum.functions.signal import half_encode
+
 #: Query lengths in ms with the score that chance reaches, and the level below which a frame is silent.
 TAU = ((50, 0.975), (150, 0.904), (400, 0.900), (1000, 0.866), (3000, 0.830), (30000, 0.80))
 SILENCE = 1e-4
@@ -200,6 +203,17 @@ def confidence(score: Column, ms: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (score - t) / (1 - t)))
 
 
+def content_hashes(rows: DataFrame, dims: tuple[int, ...] = tuple(range(DIMS))) -> DataFrame:
+    """(series, hash) of whole series: md5 of their frames as 16-bit floats, of some dimensions or all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            frames = [flat.values.to_numpy(zero_copy_only=False).reshape(-1, DIMS)[:, list(dims)] for flat in b.column("flat")]
+            yield pa.RecordBatch.from_arrays([b.column("series"), pa.array([hashlib.md5(half_encode(f)).hexdigest() for f in frames], pa.string())], ["series", "hash"])
+
+    return rows.select("series", "flat").mapInArrow(run, "series long, hash string")
+
+
 #: The version of fingerprints, the longest span in ms that they cover, and what may be missing of it.
 VERSION, SPAN_MS, SHORT_MS = 2, 120_000, 1500
 

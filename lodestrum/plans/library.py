@@ -15,7 +15,7 @@ from lodestrum.operators import series as op
 from lodestrum.plans.echo import COARSE, TOPS, candidates, coarse
 from lodestrum.plans.registry import query
 from lodestrum.plans.search import TOKENS, _index, sql_lexical
-from lodestrum.plans.series import STATS, SUMS, ZF, sql_slide
+from lodestrum.plans.series import HASH, STATS, SUMS, ZF, sql_slide
 from lodestrum.session import ship
 from lodestrum.sources.tables import entries, frames, samples, shelves, snapshots, sql, table, vectors
 
@@ -266,7 +266,7 @@ def q_brief(spark, sf):
 query()(q_brief)
 
 
-ECHO = f"""hashes as (select series, md5(string_agg(f1::bigint::varchar, ',' order by w)) as hash from frames group by series),
+ECHO = f"""hashes as (select series, {HASH} as hash from frames group by series),
 hit as (select sl.*, hash, row_number() over (order by score desc, series) as r from sl join hashes using (series) where series in (select series from tm union select series from ta)),
 best as (select arg_min(series, r) as series, min(r) as r, list_sort(list(series order by r)[2:]) as copies from hit group by hash)"""
 
@@ -282,8 +282,7 @@ def q_echo(spark, sf):
     rows = op.whole_series(f)
     query = rows.orderBy("series").limit(1).select(F.slice("flat", 1, 4 * op.DIMS).alias("flat"))
     found = rows.join(candidates(s), "series", "left_semi")
-    # The content of a series goes by its second dimension, as in agg_hash.
-    hashed = found.select(F.col("series").alias("id"), F.md5(F.array_join(F.transform(F.filter("flat", lambda _, i: i % op.DIMS == 1), lambda x: x.cast("long").cast("string")), ",")).alias("hash"))
+    hashed = op.content_hashes(found, (1, 2, 3)).withColumnRenamed("series", "id")  # as in agg_hash
     hits = op.slide(query, found, stats).join(hashed, F.col("series") == F.col("id"))
     c = F.col("score")
     best = similar.collapse(hits, F.col("hash"), F.struct(-c, "id")).select(F.col("id").alias("first"), "copies")
