@@ -103,6 +103,15 @@ class Store:
         self.tables.append((out, path))
         return out
 
+    def add(self, df: DataFrame, name: str) -> None:
+        """Write rows to a table that several steps fill; its rows are read by added()."""
+        df.write.mode("append").parquet(f"{self.base}/{name}")
+
+    def added(self, name: str, schema: str) -> DataFrame:
+        path = f"{self.base}/{name}"
+        self.spark.createDataFrame([], schema).write.mode("append").parquet(path)  # so that there is a table
+        return self.spark.read.schema(schema).parquet(path)
+
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that put() gave and that nothing reads any more."""
         for df, path in self.tables:
