@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import contextlib
+import pickle
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
+from typing import TypeVar
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrum.session import ship
@@ -148,20 +151,32 @@ def label_counts(labels: DataFrame, label: str) -> DataFrame:
     return lab.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("_y")).where("y = _y").drop("_y")
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold: int, held: int, rows: int, chars: int) -> tuple[list[tuple[str, int]], float]:
-    """Up to `rows` labelled texts for fitting, outside the held-out fold, each whole; and label 1's share of all such rows.
+Sample = list[tuple[str, int]]
+T = TypeVar("T")
+
+
+def taught(docs: DataFrame, labels: DataFrame, label: str, fold: int, held: int, rows: int, fit: Callable[[Sample, float], T]) -> T:
+    """What fit makes of up to `rows` labelled texts outside the held-out fold, each whole, and of label 1's share of all
+    labelled documents. It runs in one task, and only its result comes to the driver.
 
     A row is held out if crc32(doc_id as text) mod `fold` is `held`. Those of the least md5(doc_id) are drawn, half of each
-    label where there are enough, so the choice doesn't depend on order or partitions. To bound the driver's memory, only
-    texts of up to an eighth of `chars` characters are drawn, and drawing ends before all together exceed `chars`. Rows
-    without text, id or label teach nothing and are left out, as are documents with contradicting labels.
+    label where there are enough, so the choice doesn't depend on order or partitions. Of a document with several texts the
+    first in the order of their bytes teaches. Rows without text, id or label teach nothing and are left out, as are documents
+    with contradicting labels.
     """
     lab = label_counts(labels, label).where(F.crc32(F.col("doc_id").cast("string")) % fold != held)
     share = lab.agg(F.avg("y").alias("share")).first()["share"]
+    share = 0.5 if share is None else share
     lab = lab.withColumn("h", F.md5(F.col("doc_id").cast("string")))
     pick = lab.where("y = 0").orderBy("h").limit(rows // 2).union(lab.where("y = 1").orderBy("h").limit(rows // 2))
-    got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").withColumn("n", F.length("text")).where(F.col("n") <= chars // 8)
-    met = got.join(F.broadcast(pick), "doc_id").dropDuplicates(["doc_id", "text"])
-    # The window has `rows` documents at most; a document with several texts counts with each.
-    out = met.withColumn("sum", F.sum("n").over(Window.orderBy("h", "text"))).where(F.col("sum") <= chars).select("h", "text", "y").toArrow()
-    return [(t, y) for _, t, y in sorted(zip(*(out.column(c).to_pylist() for c in ("h", "text", "y")), strict=True))], 0.5 if share is None else share
+    got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
+    met = got.join(F.broadcast(pick), "doc_id").groupBy("h", "y").agg(F.min("text").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = sorted((h, t, y) for b in batches for h, t, y in zip(*(b.column(c).to_pylist() for c in ("h", "text", "y")), strict=True))
+        model = fit([(t, y) for _, t, y in found], share)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    # Without rows there may be no task.
+    made = met.repartition(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(made["model"]) if made is not None else fit([], share)

@@ -30,8 +30,6 @@ SALTS = 256
 LOCAL_BYTES, LOCAL_ROWS = 48 << 20, 100_000
 #: The same where whole rows travel, which a task holds in several forms at a time.
 ROW_BYTES = 12 << 20
-#: Representatives of one digest that one task takes as they are.
-HOT = 100_000
 LOCAL_SCHEMA = "digest binary, salt int, rep_id long, rep_points long, norm binary, members array<long>"
 
 
@@ -161,13 +159,12 @@ def _best_rows(id_at: str, text_at: str, digest_at: str, salt_at: str, salts: in
     return run
 
 
-def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, salts: int = SALTS, local_bytes: int = ROW_BYTES, hot: int = HOT) -> DataFrame:
+def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, salts: int = SALTS, local_bytes: int = ROW_BYTES) -> DataFrame:
     """The rows of df that stay, with all their columns: exactly one of a group, by the rule of exact_groups.
 
     The three steps are those of exact_groups, but the rows themselves travel, so that none has to be found again and ids
-    may repeat or be null: the best row of a task, then of a salt, then of all. Digests are counted first: where none has
-    more than `hot` representatives, one salt holds any group, and its winners are those of all. Of rows that tie in both
-    length and id, one stays.
+    may repeat or be null: the best row of a task, then of a salt, then of all, so what a task compares of one group is at
+    most what a salt's tasks have sent, and then a row for each salt. Of rows that tie in both length and id, one stays.
     """
     bounded_batches(df.sparkSession)
     digest, salt = free_name(df, "_digest"), free_name(df, "_salt")
@@ -180,8 +177,6 @@ def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
         before = free_name(rows, "_before")  # null in a content's first row; unlike a rank, it isn't looked for before the shuffle too
         return rows.withColumn(before, F.lag(F.lit(1)).over(content)).where(F.col(before).isNull()).drop(before)
 
-    many = local.groupBy(digest).count().where(F.col("count") > hot)
-    steps = [(digest,)] if many.isEmpty() else [(digest, salt), (digest,)]
-    for by in steps:
+    for by in ((digest, salt), (digest,)):
         local = winners(local, *by)
     return local.drop(digest, salt)

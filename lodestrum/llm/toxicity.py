@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrum.llm.common import bounded_batches, labelled_sample, texts
+from lodestrum.llm.common import bounded_batches, taught, texts
 
 #: Common insults that seed the lexicon.
 SEEDS = "idiot moron stupid loser scum trash worthless pathetic disgusting clown dumb fool jerk filth garbage imbecile cretin vermin".split()
@@ -34,8 +34,8 @@ PATTERNS = {
     "drawn_out": re.compile(r"([^\W\d_])\1{3}"),
 }
 YOU = re.compile(r"(?i)\b(you|your|you're|du|tu|eres)\b")
-#: The bound of the training sample: labelled rows, and characters of all their texts together.
-SAMPLE_ROWS, SAMPLE_CHARS = 4000, 16_000_000
+#: The bound of the training sample: labelled rows, whole ones.
+SAMPLE_ROWS = 4000
 FOLDS, HELD = 5, 0
 #: A mined word occurs in so many toxic texts, so much oftener than in others, in so varied surroundings.
 MINED_TEXTS, MINED_LIFT, MINED_VARIETY = 8, 10.0, 0.6
@@ -108,10 +108,10 @@ class Voters:
         out = np.full(len(self.names), ABSTAIN, np.int8)
         several, dense, addressed, lone, none, pattern = range(len(self.lexicon), len(self.lexicon) + 6)
         stem = pattern + len(PATTERNS) + 1
-        hits, begun, kept = [], set(), self.kept
+        counts, hits, begun, kept = Counter(words), [], set(), self.kept
         if len(kept) > KEPT_WORDS:
             kept.clear()
-        for w in words:
+        for w in counts:
             if (told := kept.get(w)) is None:
                 told = [stem + k for size in STEMS if len(w) > size and (k := self.stem_place.get(w[:size])) is not None]
                 told = kept[w] = (*((self.place[w],) if w in self.place else ()), *told)
@@ -123,13 +123,14 @@ class Voters:
                     begun.add(k)
         if len(begun) >= 2:
             out[-1] = TOXIC
-        if len(set(hits)) >= 2:
+        times = sum(counts[w] for w in hits)
+        if len(hits) >= 2:
             out[several] = TOXIC
-        if hits and len(hits) * 200 >= len(words):
+        if hits and times * 200 >= len(words):
             out[dense] = TOXIC
-        if (len(set(hits)) >= 2 or self.seeds & set(hits)) and YOU.search(text):
+        if (len(hits) >= 2 or not self.seeds.isdisjoint(hits)) and YOU.search(text):
             out[addressed] = TOXIC
-        if len(hits) == 1 and hits[0] not in self.seeds:  # one mined word may be there by chance: how often, the model learns
+        if times == 1 and hits[0] not in self.seeds:  # one mined word may be there by chance: how often, the model learns
             out[lone] = CLEAN
         if not hits and not begun:
             out[none] = CLEAN
@@ -143,8 +144,8 @@ class Voters:
 class LabelModel:
     """Class-conditional vote tables, class balance, and weights that correlations lower."""
 
-    def fit(self, votes: np.ndarray, prior: float, rounds: int = 25, known: np.ndarray | None = None) -> LabelModel:
-        """known: for voters that were mined from labelled texts, in how many texts of each label (toxic, clean) they vote."""
+    def fit(self, votes: np.ndarray, prior: float, rounds: int = 25) -> LabelModel:
+        """Accuracies and correlations are learned from how the votes agree; no label is looked at but for the prior."""
         n, m = votes.shape
         self.prior = min(max(prior, 1e-3), 1 - 1e-3)
         one = np.stack([votes == v for v in (TOXIC, CLEAN, ABSTAIN)], 2).astype(float)  # text, voter, vote
@@ -160,8 +161,6 @@ class LabelModel:
             mass = np.stack([toxic, 1 - toxic], 1)
             # A voter is taken to be right oftener than not: the prior counts say so.
             lean = np.array([[2.0, 0.2, 1.0], [0.2, 2.0, 1.0]])[:, None, :].repeat(m, 1)
-            if known is not None:
-                lean[:, :, TOXIC] += known.T
             table = np.einsum("nk,nmv->kmv", mass, one) + lean
             self.table = table / table.sum(2, keepdims=True)
             # Correlations given the label: of what a vote has beyond its expectation.
@@ -197,7 +196,7 @@ class ToxicityModel:
         if not sample:
             return
         votes = np.stack([self.voters.votes(t, words) for (t, _), (words, _) in zip(sample, read, strict=True)])
-        self.label_model = LabelModel().fit(votes, prior, known=self.evidence(votes, np.array([y for _, y in sample])))
+        self.label_model = LabelModel().fit(votes, prior)
         soft = self.label_model.posterior(votes)
         fired = (votes == TOXIC).astype(float) - (votes == CLEAN)
         ids = [np.array([self.lexical[w] for w in set(words) if w in self.lexical], int) for words, _ in read]
@@ -216,12 +215,6 @@ class ToxicityModel:
                 self.v -= rate * gv / np.sqrt(sv)
                 self.c -= rate * g / np.sqrt(sc)
 
-    def evidence(self, votes: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """For mined voters, the texts of each label in which they vote; seeds and patterns know nothing of labels."""
-        mined = np.array([n.startswith("stem") or n.startswith("word:") and n[5:] not in self.voters.seeds for n in self.voters.names])
-        fires = (votes == TOXIC) & mined
-        return np.stack([fires[y == 1].sum(0), fires[y == 0].sum(0)], 1).astype(float)
-
     def score(self, text: str) -> float:
         words = words_of(text)
         known = [i for w in set(words) if (i := self.lexical.get(w)) is not None]
@@ -231,18 +224,17 @@ class ToxicityModel:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def toxicity_scores(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> DataFrame:
+def toxicity_scores(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, rows: int = SAMPLE_ROWS) -> DataFrame:
     """doc_id, held_out, score and predicted for every row's whole text.
 
-    The fit reads at most `rows` labelled texts outside the held-out fold, whole ones, of at most `chars` characters
-    together; documents whose labels contradict each other teach nothing. Texts of any length are scored whole, a null one
+    The fit reads at most `rows` labelled texts outside the held-out fold, each whole; documents whose labels contradict each other teach nothing. Texts of any length are scored whole, a null one
     as an empty one. A null id is never held out; repeated rows get the same score. An empty table gives no rows; without
     labels every score is one half. Further columns are ignored.
     """
     spark = df.sparkSession
     bounded_batches(spark)
     docs = texts(df, id_col, text_col)
-    model = spark.sparkContext.broadcast(ToxicityModel(*labelled_sample(docs, labels, "toxic", FOLDS, HELD, rows, chars)))
+    model = spark.sparkContext.broadcast(taught(docs, labels, "toxic", FOLDS, HELD, rows, ToxicityModel))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -82,18 +82,17 @@ def test_ids_under_another_name(spark, labels, name):
 
 
 def test_labels_that_clash_teach_nothing(spark, awkward, labels):
-    got, share = common.labelled_sample(awkward, labels, "quality", 99991, 99990, 100, 10_000_000)
-    assert sorted(got) == sorted([("one two three", 1), ("other words", 1), (ROWS[8][1], 0)]) and share == 0.5
-    few, _ = common.labelled_sample(awkward, labels, "quality", 99991, 99990, 100, 1000)
-    assert sorted(few) == [("one two three", 1), ("other words", 1)]  # whole texts or none
+    got, share = common.taught(awkward, labels, "quality", 99991, 99990, 100, lambda sample, share: (sample, share))
+    # Of a document with several texts the first teaches; long texts teach whole.
+    assert sorted(got) == sorted([("one two three", 1), (ROWS[8][1], 0)]) and share == 0.5
+    assert common.taught(awkward.limit(0), labels, "quality", 99991, 99990, 100, lambda *x: x) == ([], 0.5)
 
 
 def test_salts_hold_a_hot_group(spark):
     d = spark.range(4000).selectExpr("case when id % 3 = 0 then null else 5 end as doc_id", "case when id < 10 then 'a b ' else 'ab' end as text").repartition(16)
     out = exact_dedup.exact_groups(d, salts=4, local_rows=20).collect()
     assert len(out) == 4000 and sum(r["kept"] for r in out) == 1 and {r["group_size"] for r in out} == {4000}
-    for hot in (10, 100_000):
-        assert [tuple(r) for r in exact_dedup.keep_first(d, salts=4, local_bytes=500, hot=hot).collect()] == [(5, "a b ")]
+    assert [tuple(r) for r in exact_dedup.keep_first(d, salts=4, local_bytes=500).collect()] == [(5, "a b ")]
 
 
 def walk(keys, shards, vnodes):
@@ -139,8 +138,7 @@ def test_scores_of_the_network_by_plain_loops():
         a = list(data + bytes(max(0, quality_cnn.WIDTH - len(data))))
         values = [[sum(float(net.table[k][a[at + k]][f]) for k in range(quality_cnn.WIDTH)) + float(net.bias[f]) for f in range(quality_cnn.FILTERS)] for at in range(len(a) - quality_cnn.WIDTH + 1)]
         most = [max(0.0, max(v[f] for v in values)) for f in range(quality_cnn.FILTERS)]
-        mean = [sum(max(0.0, v[f]) for v in values) / len(values) for f in range(quality_cnn.FILTERS)]
-        z = sum(x * float(w) for x, w in zip(most + mean, net.top, strict=True)) + float(net.out)
+        z = sum(x * float(w) for x, w in zip(most, net.top, strict=True)) + float(net.out)
         assert abs(net.score(data) - 1 / (1 + np.exp(-z))) < 1e-4
 
 
