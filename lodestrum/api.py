@@ -1,4 +1,5 @@
-"""The library's public face: a catalogue with searching, listing and recommending. Everything returned is lazy.
+"""The library's public face: a catalogue with searching, listing and recommending. What is returned is lazy, but some
+plans ask for small things first: suggest() and neighbours() for query vectors, echo() for statistics.
 
 What can't be answered comes back as a row-less result or an `error` value, not as an exception.
 """
@@ -10,7 +11,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrum.operators import catalog, search, similar
+from lodestrum.operators import catalog, fingerprints, search, similar
 from lodestrum.sources.wav import scan
 
 #: Bounds and defaults of limits.
@@ -22,10 +23,12 @@ def clamp(n: int | None, bounds: tuple[int, int, int]) -> int:
 
 
 class Catalog:
-    """entries (id, name, dir, top_level, size, mtime, path) and vectors (id, vec) of the same files."""
+    """entries (id, name, dir, top_level, size, mtime, path), vectors (id, vec) and fingerprints (id, frames, data) of the same
+    files; with fingerprints their summaries, if there is a table of them."""
 
-    def __init__(self, entries: DataFrame, vectors: DataFrame | None = None) -> None:
+    def __init__(self, entries: DataFrame, vectors: DataFrame | None = None, prints: DataFrame | None = None, summaries: DataFrame | None = None) -> None:
         self.entries, self.vectors = entries, vectors
+        self.prints, self.summaries = prints, summaries if summaries is not None or prints is None else fingerprints.summaries(prints)
         self.index = search.indexed(entries)
 
     @classmethod
@@ -77,6 +80,14 @@ class Catalog:
         members = self.vectors.join(member_ids.select("id").distinct(), "id", "left_semi")
         return similar.suggest(self.vectors, members, clamp(k, SUGGEST))
 
+    def echo(self, pcm, rate: int, before: int = 0, after: int = 0, axes: dict[str, float] | None = None, exclude: DataFrame | None = None, limit: int | None = None) -> DataFrame | dict:
+        """Where a selection is found in all sounds: samples, with so many of its surroundings before and after it; weights by
+        axis; ids (id) that are never returned."""
+        if self.prints is None:
+            return {"error": "notReady"}
+        n = clamp(limit, (1, 500, fingerprints.RESULTS))
+        return fingerprints.echo(self.prints, self.summaries, fingerprints.selection(pcm, rate, before, after), weights=fingerprints.axis_weights(**(axes or {})), exclude=exclude, limit=n, keep=n + 30)
+
     def neighbours(self, ids: DataFrame, k: int = 10, approximate: bool = False) -> DataFrame | dict:
         """The nearest of each id: exactly, or on demand by an index whose recall it measures for itself."""
         if self.vectors is None:

@@ -156,6 +156,16 @@ def query_terms(text: str) -> list[Term]:
     return [Term(w, s := py_stem(w), aliases(s) or aliases(w), w[:-1] if len(w) >= 5 and w.endswith("e") else None) for w in words]
 
 
+def terms(text: Column) -> Column:
+    """The terms of every query of a column, as query_terms() has them for one: an array of word, stem and bare."""
+    every = F.array_distinct(tokenize(text))
+    telling = F.filter(every, lambda w: ~w.isin(sorted(STOP)))
+    words = F.when(F.size(telling) > 0, telling).otherwise(every)
+    bare = lambda w: F.when((F.length(w) >= 5) & w.endswith("e"), F.substring(w, F.lit(1), F.length(w) - 1))
+    found = F.transform(words, lambda w: F.struct(w.alias("word"), stem(w).alias("stem"), bare(w).alias("bare")))
+    return F.when(F.length(F.array_join(words, "")) >= 2, found).otherwise(F.filter(found, lambda x: F.lit(False)))
+
+
 def marked(text: Column, words: list[str], left: str = "[", right: str = "]") -> Column:
     """The text with signs around every place of any of the words, the longest first, whatever the case."""
     any_of = "|".join(re.escape(w) for w in sorted({w for w in words if w}, key=lambda w: (-len(w), w)))

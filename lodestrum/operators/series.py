@@ -16,7 +16,10 @@ from lodestrum.functions.signal import half_encode
 #: Query lengths in ms with the score that chance reaches, and the level below which a frame is silent.
 TAU = ((50, 0.975), (150, 0.904), (400, 0.900), (1000, 0.866), (3000, 0.830), (30000, 0.80))
 SILENCE = 1e-4
+#: Numbers of a frame in the queries' table; the operators take as many as a table has.
 DIMS = 4
+#: Frames of a query that are compared at a time, after which alignments that can't win any more are left.
+STEP = 16
 #: The loudness that level stands for in f0, the dimension of a frame that holds it; and the step from frame to frame in ms.
 QUIET, HOP_MS = SILENCE * 12345.6, 25
 
@@ -73,12 +76,19 @@ def delta(rows: DataFrame, value: str, order: str = "w", name: str = "d") -> Dat
     return rows.withColumn(name, ((at(1) - at(-1)) + 2 * (at(2) - at(-2))) / 10)
 
 
+def width(rows: DataFrame, letter: str = "f") -> int:
+    """How many numbers a frame has: columns f0, f1 and so on."""
+    have = set(rows.columns)
+    return next(d for d in range(len(have) + 1) if f"{letter}{d}" not in have)
+
+
 def partial_sums(frames: DataFrame) -> DataFrame:
     """Count, sums and sums of squares over the audible frames of each series, partial aggregates that add up and can be taken
     away again, and its loudest frame, the first of equals (`attack`)."""
+    n = width(frames)
     of = lambda x: F.coalesce(F.sum(F.when(F.col("f0") >= QUIET, x)), F.lit(0.0))
-    sums = [of(F.col(f"f{d}")).alias(f"s{d}") for d in range(DIMS)] + [of(F.col(f"f{d}") * F.col(f"f{d}")).alias(f"q{d}") for d in range(DIMS)]
-    attack = F.max_by(F.array(*(f"f{d}" for d in range(DIMS))), F.struct("f0", -F.col("w")))
+    sums = [of(F.col(f"f{d}")).alias(f"s{d}") for d in range(n)] + [of(F.col(f"f{d}") * F.col(f"f{d}")).alias(f"q{d}") for d in range(n)]
+    attack = F.max_by(F.array(*(f"f{d}" for d in range(n))), F.struct("f0", -F.col("w")))
     return frames.groupBy("series").agg(F.count_if(F.col("f0") >= QUIET).alias("counted"), *sums, attack.alias("attack"))
 
 
@@ -91,39 +101,43 @@ def z_unit(values: list[Column]) -> Column:
 
 def coarse_vectors(sums: DataFrame, stats: DataFrame) -> DataFrame:
     """series, mean (of its audible frames; zeros where there are none) and attack, both in standard units at length one."""
-    means = [F.col(f"s{d}") / F.col("counted") for d in range(DIMS)]
+    n = width(sums, "s")
+    means = [F.col(f"s{d}") / F.col("counted") for d in range(n)]
     joined = sums.join(F.broadcast(stats))  # stats is one row
-    nothing = F.array(*(F.lit(0.0) for _ in range(DIMS)))
-    return joined.select("series", F.when(F.col("counted") > 0, z_unit(means)).otherwise(nothing).alias("mean"), z_unit([F.col("attack")[d] for d in range(DIMS)]).alias("attack"))
+    nothing = F.array(*(F.lit(0.0) for _ in range(n)))
+    return joined.select("series", F.when(F.col("counted") > 0, z_unit(means)).otherwise(nothing).alias("mean"), z_unit([F.col("attack")[d] for d in range(n)]).alias("attack"))
 
 
 def whole_series(frames: DataFrame) -> DataFrame:
     """series, span (frames) and all its frames in one flat array, in order: a series is a file's, so a file bounds it."""
-    one = F.array_sort(F.collect_list(F.struct("w", *(f"f{d}" for d in range(DIMS)))))
+    n = width(frames)
+    one = F.array_sort(F.collect_list(F.struct("w", *(f"f{d}" for d in range(n)))))
     g = frames.groupBy("series").agg(one.alias("rows"))
-    return g.select("series", F.size("rows").cast("long").alias("span"), F.flatten(F.transform("rows", lambda r: F.array(*(r[f"f{d}"] for d in range(DIMS))))).alias("flat"))
+    return g.select("series", F.size("rows").cast("long").alias("span"), F.flatten(F.transform("rows", lambda r: F.array(*(r[f"f{d}"] for d in range(n))))).alias("flat"))
 
 
 def final_stats(parts: DataFrame) -> DataFrame:
     """Mean and spread of each dimension over partial sums of two frames or more; a spread of nothing counts as one."""
     p = parts.where("counted >= 2").withColumn("sign", F.lit(1)) if "sign" not in parts.columns else parts.where("counted >= 2")
-    total = p.agg(F.sum(F.col("counted") * F.col("sign")).alias("n"), *(F.sum(F.col(f"{k}{d}") * F.col("sign")).alias(f"{k}{d}") for k in "sq" for d in range(DIMS)))
+    dims = width(parts, "s")
+    total = p.agg(F.sum(F.col("counted") * F.col("sign")).alias("n"), *(F.sum(F.col(f"{k}{d}") * F.col("sign")).alias(f"{k}{d}") for k in "sq" for d in range(dims)))
     out = []
-    for d in range(DIMS):
+    for d in range(dims):
         mean = F.col(f"s{d}") / F.col("n")
         std = F.sqrt(F.greatest(F.lit(0.0), F.col(f"q{d}") / F.col("n") - mean * mean))
         out += [mean.alias(f"m{d}"), F.when(std <= 1e-6, 1.0).otherwise(std).alias(f"t{d}")]
     return total.select(*out)
 
 
-def z_frames(frames: DataFrame, stats: DataFrame, *keep: str) -> DataFrame:
-    """Frames in standard units at length one: series, w, z (array), and columns to keep."""
+def z_frames(frames: DataFrame, stats: DataFrame, *keep: str, weights: list[float] | None = None) -> DataFrame:
+    """Frames in standard units, times weights, at length one: series, w, z (array), and columns to keep."""
+    n = width(frames)
+    weights = weights or [1.0] * n
     z = frames.join(F.broadcast(stats))  # stats is one row
     # Plain columns, not array functions, so that all of it is compiled.
-    z = z.select("series", "w", *keep, *(((F.col(f"f{d}") - F.col(f"m{d}")) / F.col(f"t{d}")).alias(f"v{d}") for d in range(DIMS)))
-    n = F.sqrt(sum((F.col(f"v{d}") * F.col(f"v{d}") for d in range(DIMS)), F.lit(0.0)))
-    z = z.withColumn("n", n)
-    return z.select("series", "w", *keep, F.array(*(F.when(F.col("n") > 0, F.col(f"v{d}") / F.col("n")).otherwise(0.0) for d in range(DIMS))).alias("z"))
+    z = z.select("series", "w", *keep, *(((F.col(f"f{d}") - F.col(f"m{d}")) / F.col(f"t{d}") * F.lit(float(weights[d]))).alias(f"v{d}") for d in range(n)))
+    z = z.withColumn("n", F.sqrt(sum((F.col(f"v{d}") * F.col(f"v{d}") for d in range(n)), F.lit(0.0))))
+    return z.select("series", "w", *keep, F.array(*(F.when(F.col("n") > 0, F.col(f"v{d}") / F.col("n")).otherwise(0.0) for d in range(n))).alias("z"))
 
 
 def dot_fixed(a: Column, b: Column) -> Column:
@@ -131,37 +145,64 @@ def dot_fixed(a: Column, b: Column) -> Column:
     return sum((a[d] * b[d] for d in range(DIMS)), F.lit(0.0))
 
 
-def best_alignment(query: np.ndarray, loud: np.ndarray, other: np.ndarray) -> tuple[float, int]:
+def best_alignment(query: np.ndarray, loud: np.ndarray, other: np.ndarray, floor: float = -np.inf) -> tuple[float, int]:
     """The best mean product over all places of a shorter matrix of unit frames inside a longer one, and that place. Only
-    the audible frames of the shorter one count; without any the score is -1. Of equal places the first."""
+    the audible frames of the shorter one count; without any the score is -1. Of equal places the first.
+
+    Frames still to come add from -1 to 1 each, so a place whose best end is below another's worst, or below the floor, is
+    left: what scores more than the floor is exact. If nothing can reach it the score is -inf.
+    """
     at = np.flatnonzero(loud)
     if not len(at):
         return -1.0, 0
-    products = other @ query[at].T  # frame of the longer one, audible frame of the shorter one
-    places = np.arange(len(other) - len(query) + 1)
-    means = np.round(products[places[:, None] + at[None, :], np.arange(len(at))[None, :]].mean(1), 9)
+    places, sums = np.arange(len(other) - len(query) + 1), np.zeros(len(other) - len(query) + 1)
+    for done in range(0, len(at), STEP):
+        some = at[done : done + STEP]
+        if len(places) * 4 > len(other):  # most places left: one product serves all
+            products = other @ query[some].T
+            sums += products[places[:, None] + some[None, :], np.arange(len(some))[None, :]].sum(1)
+        else:
+            sums += np.einsum("pwd,wd->p", other[places[:, None] + some[None, :]], query[some])
+        rest = len(at) - done - len(some)
+        # A hair less, for the rounding of scores.
+        least = max(sums.max() - rest, floor * len(at)) - 1e-7
+        stay = sums + rest >= least
+        places, sums = places[stay], sums[stay]
+        if not len(places):
+            return -np.inf, 0
+    means = np.round(sums / len(at), 9)
     best = int(means.argmax())
-    return float(means[best]), best
+    return float(means[best]), int(places[best])
+
+
+def unit_frames(raw: np.ndarray, mean: np.ndarray, spread: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
+    """Frames in standard units, times weights, at length one; zeros where nothing is left."""
+    z = (raw - mean) / spread
+    if weights is not None:
+        z = z * weights
+    n = np.sqrt((z * z).sum(1, keepdims=True))
+    return np.divide(z, n, out=np.zeros_like(z), where=n > 0)
 
 
-def slide(query: DataFrame, candidates: DataFrame, stats: DataFrame, best: int | None = None) -> DataFrame:
+def slide(query: DataFrame, candidates: DataFrame, stats: DataFrame, best: int | None = None, weights: list[float] | None = None) -> DataFrame:
     """How well a query (one row: flat) is found in each of candidates (series, span, flat): series, off, score, swapped, span.
 
     Frames are put in standard units by stats (one row). A candidate that is shorter than the query slides over it instead,
     and its score is scaled by the share of the query that it covers. Every series is one call of a kernel, in the task
     that holds it; the query and the statistics are broadcast. With `best` a task gives only so many, the best of all that it
-    has seen so far, so that a top-k over the result shuffles no more.
+    has seen so far, so that a top-k over the result shuffles no more, and leaves what can't be among them. weights: one for
+    each number of a frame, in standard units.
     """
-    known = [F.array(*(F.col(f"{k}{d}") for d in range(DIMS))).alias(n) for k, n in (("m", "means"), ("t", "spreads"))]
+    n = width(stats, "m")
+    known = [F.array(*(F.col(f"{k}{d}") for d in range(n))).alias(name) for k, name in (("m", "means"), ("t", "spreads"))]
+    given = None if weights is None else np.asarray(weights, float)
     shared = query.select(F.col("flat").alias("query")).join(stats.select(*known))  # two single rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matrix = lambda x: np.asarray(x, float).reshape(-1, DIMS)
+        matrix = lambda x: np.asarray(x, float).reshape(-1, n)
 
         def prepared(raw: np.ndarray, mean: np.ndarray, spread: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            z = (raw - mean) / spread
-            n = np.sqrt((z * z).sum(1, keepdims=True))
-            return np.divide(z, n, out=np.zeros_like(z), where=n > 0), raw[:, 0] >= QUIET
+            return unit_frames(raw, mean, spread, given), raw[:, 0] >= QUIET
 
         top: pa.Table | None = None
         for b in batches:
@@ -170,13 +211,14 @@ def slide(query: DataFrame, candidates: DataFrame, stats: DataFrame, best: int |
             known = [np.asarray(b.column(c)[0].as_py(), float) for c in ("means", "spreads")]
             q, q_loud = prepared(matrix(b.column("query")[0].as_py()), *known)
             out = []
+            floor = -np.inf if top is None or len(top) < best else top.column("score")[best - 1].as_py()
             for flat in b.column("flat"):
                 c, c_loud = prepared(matrix(flat.values.to_numpy(zero_copy_only=False)), *known)
                 if len(q) <= len(c):
-                    score, off = best_alignment(q, q_loud, c)
+                    score, off = best_alignment(q, q_loud, c, floor)
                     out.append((off, score, False))
                 else:
-                    score, _ = best_alignment(c, c_loud, q)
+                    score, _ = best_alignment(c, c_loud, q, floor * len(q) / len(c) if len(c) else -np.inf)
                     out.append((0, score * len(c) / len(q), True))
             columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.float64(), pa.bool_()), strict=True)]
             done = pa.RecordBatch.from_arrays([b.column("series"), *columns, b.column("span")], ["series", "off", "score", "swapped", "span"])
@@ -203,12 +245,12 @@ def confidence(score: Column, ms: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (score - t) / (1 - t)))
 
 
-def content_hashes(rows: DataFrame, dims: tuple[int, ...] = tuple(range(DIMS))) -> DataFrame:
-    """(series, hash) of whole series: md5 of their frames as 16-bit floats, of some dimensions or all."""
+def content_hashes(rows: DataFrame) -> DataFrame:
+    """(series, hash) of whole series: md5 of all numbers of their frames as 16-bit floats."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            frames = [flat.values.to_numpy(zero_copy_only=False).reshape(-1, DIMS)[:, list(dims)] for flat in b.column("flat")]
+            frames = [flat.values.to_numpy(zero_copy_only=False) for flat in b.column("flat")]
             yield pa.RecordBatch.from_arrays([b.column("series"), pa.array([hashlib.md5(half_encode(f)).hexdigest() for f in frames], pa.string())], ["series", "hash"])
 
     return rows.select("series", "flat").mapInArrow(run, "series long, hash string")

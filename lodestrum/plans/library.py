@@ -10,9 +10,9 @@ from pyspark.sql.window import Window
 from lodestrum.functions import signal
 from lodestrum.functions import text as tx
 from lodestrum.functions.translate import translate
-from lodestrum.operators import brief, concepts, search, similar, vaults
+from lodestrum.operators import brief, concepts, fingerprints, search, similar, vaults
 from lodestrum.operators import series as op
-from lodestrum.plans.echo import COARSE, TOPS, candidates, coarse
+from lodestrum.plans.echo import COARSE, TOPS, coarse
 from lodestrum.plans.registry import query
 from lodestrum.plans.search import TOKENS, _index, sql_lexical
 from lodestrum.plans.series import HASH, STATS, SUMS, ZF, sql_slide
@@ -119,17 +119,14 @@ def ext_interval_join(spark, sf):
     return ev.withColumn("inside", F.count("*").over(w)).where("event_type = 'error'").select(F.col("event_id").alias("id"), "inside")
 
 
-TERMS = ["the red Widgets", "gliding sounds", "UI of the metal", "sfx", "a"]
-
-
-@query("with q(k, word, stem, bare) as (values " + ", ".join(f"({k}, '{t.word}', '{t.stem}', {repr(t.bare) if t.bare else 'null'})" for k, q in enumerate(TERMS) for t in tx.query_terms(q)) + ") select k::bigint as k, word, stem, bare from q")
+@query(r"""with t as (select doc_id as id, list_distinct(list_filter(string_split_regex(strip_accents(lower(coalesce(text, ''))), '[^\p{L}\p{N}]+'), lambda x: x <> '')) as t from documents),
+c as (select id, t, list_filter(t, lambda x: x not in (STOPS)) as c from t),
+w as (select id, unnest(case when len(c) > 0 then c else t end) as word from c where length(array_to_string(case when len(c) > 0 then c else t end, '')) >= 2)
+select id, word, case when length(word) >= 5 and word like '%e' then word[:-2] end as bare from w""".replace("STOPS", ", ".join(f"'{w}'" for w in sorted(tx.STOP))))
 def fn_queryterms(spark, sf):
-    """The same terms by column functions."""
-    d = spark.createDataFrame(list(enumerate(TERMS)), "k long, q string").withColumn("t", F.array_distinct(tx.tokenize(F.col("q"))))
-    d = d.withColumn("c", F.filter("t", lambda x: ~x.isin(sorted(tx.STOP))))
-    d = d.withColumn("w", F.when(F.size("c") > 0, F.col("c")).otherwise(F.col("t"))).where(F.length(F.array_join("w", "")) >= 2)
-    w = d.select("k", F.explode("w").alias("word"))
-    return w.select("k", "word", tx.stem(F.col("word")).alias("stem"), F.when((F.length("word") >= 5) & F.col("word").endswith("e"), F.expr("substring(word, 1, length(word) - 1)")).alias("bare"))
+    """The terms of every document taken as a query, with the form of each that its endings are added to."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), tx.terms(F.coalesce("text", F.lit(""))).alias("t"))
+    return d.select("id", F.explode("t").alias("t")).select("id", F.col("t.word").alias("word"), F.col("t.bare").alias("bare"))
 
 
 @query("select doc_id as id, length(regexp_replace(strip_accents(lower(text)), '[^\\p{L}\\p{N}]', '', 'g')) < 2 as short from documents")
@@ -271,28 +268,21 @@ hit as (select sl.*, hash, row_number() over (order by score desc, series) as r
 best as (select arg_min(series, r) as series, min(r) as r, list_sort(list(series order by r)[2:]) as copies from hit group by hash)"""
 
 
+#: The four numbers of a frame in these tables, of which the first is loudness.
+FOUR = fingerprints.Layout(op.DIMS, 0, op.QUIET, op.HOP_MS)
+
+
 @query(sql("frames", f"""select series, round(score, 6) as similarity, round(greatest(0, least(1, (score - 0.904) / (1 - 0.904))), 6) as confidence, score >= 0.97 as identical, score <= 0.904 as weak,
   (case when swapped then 0 else off * {op.HOP_MS} end)::bigint as offset_ms, greatest(1, case when swapped then span * {op.HOP_MS} else least(150, (span - off) * {op.HOP_MS}) end)::bigint as duration_ms, copies
 from hit join best using (series) order by hit.r limit 50""", SUMS, STATS, ZF, COARSE, TOPS, sql_slide(4), ECHO))
 def q_echo(spark, sf):
     """Coarse candidates by mean and loudest frame, the best alignment of the query inside each, and one result for each
     content with its copies."""
-    f = frames(spark, sf).where("w >= 0")
-    s, stats = coarse(f)
-    rows = op.whole_series(f)
-    query = rows.orderBy("series").limit(1).select(F.slice("flat", 1, 4 * op.DIMS).alias("flat"))
-    found = rows.join(candidates(s), "series", "left_semi")
-    hashed = op.content_hashes(found, (1, 2, 3)).withColumnRenamed("series", "id")  # as in agg_hash
-    hits = op.slide(query, found, stats).join(hashed, F.col("series") == F.col("id"))
-    c = F.col("score")
-    best = similar.collapse(hits, F.col("hash"), F.struct(-c, "id")).select(F.col("id").alias("first"), "copies")
-    out = hits.join(best, F.col("id") == F.col("first")).orderBy(F.desc("score"), "id").limit(50)
-    swapped, conf = F.col("swapped"), op.confidence(c, F.lit(150.0))
-    length = F.when(swapped, F.col("span") * op.HOP_MS).otherwise(F.least(F.lit(150).cast("long"), (F.col("span") - F.col("off")) * op.HOP_MS))
-    return out.select(
-        "series", F.round(c, 6).alias("similarity"), F.round(conf, 6).alias("confidence"), (c >= 0.97).alias("identical"), (conf <= 0).alias("weak"),
-        F.when(swapped, 0).otherwise(F.col("off") * op.HOP_MS).cast("long").alias("offset_ms"), F.greatest(F.lit(1).cast("long"), length).alias("duration_ms"), "copies",
-    )
+    rows = op.whole_series(frames(spark, sf).where("w >= 0"))
+    prints = rows.select(F.col("series").alias("id"), F.col("span").alias("frames"), F.col("flat").alias("data"))
+    first = prints.orderBy("id").select(F.slice("data", 1, 4 * FOUR.width)).first()
+    found = fingerprints.echo(prints, fingerprints.summaries(prints, FOUR), FOUR.matrix(first[0]), FOUR, query_ms=150.0)
+    return found.select(F.col("id").alias("series"), F.round("similarity", 6).alias("similarity"), F.round("confidence", 6).alias("confidence"), "identical", "weak", "offset_ms", "duration_ms", "copies")
 
 
 @query(sql("frames", "select series, round(sm, 6) as score from sc where series <> (select min(series) from sc) order by round(sm, 9) desc, series limit 15", SUMS, STATS, COARSE))
@@ -329,18 +319,18 @@ def str_replay(spark, sf):
 
 
 FFT = 32
-HANN = f"x * 0.5 * (1 - cos(2 * pi() * i / {FFT}))"
+HANN = f"x * 0.5 * (1 - cos(2 * pi() * (i % {FFT}) / {FFT}))"
 
 
-@query(sql("samples", f"select series, k::bigint as k, round(sqrt(pow(sum(h * cos(2 * pi() * k * i / {FFT})), 2) + pow(sum(h * sin(2 * pi() * k * i / {FFT})), 2)), 6) as mag from (select series, i, {HANN} as h from samples where i < {FFT}), (select unnest(range(0, {FFT // 2 + 1})) as k) group by all"))
+@query(sql("samples", f"select series, i // {FFT} as w, k::bigint as k, round(sqrt(pow(sum(h * cos(2 * pi() * k * (i % {FFT}) / {FFT})), 2) + pow(sum(h * sin(2 * pi() * k * (i % {FFT}) / {FFT})), 2)), 6) as mag from (select series, i, {HANN} as h from samples), (select unnest(range(0, {FFT // 2 + 1})) as k) group by all"))
 def fn_fft(spark, sf):
-    """Magnitudes of the first frame of each signal under a Hann window."""
+    """Magnitudes of every frame of each signal under a Hann window; the last is filled up with silence."""
     ship(spark)
 
     def make(s, xs):
-        x = np.zeros(FFT)
-        x[: min(FFT, len(xs))] = xs[:FFT]
-        mag = np.abs(np.fft.rfft(x * 0.5 * (1 - np.cos(2 * np.pi * np.arange(FFT) / FFT))))
-        return pd.DataFrame({"series": s, "k": range(len(mag)), "mag": mag.round(6)})
+        x = np.pad(np.asarray(xs, float), (0, -len(xs) % FFT)).reshape(-1, FFT)
+        mag = np.abs(np.fft.rfft(x * 0.5 * (1 - np.cos(2 * np.pi * np.arange(FFT) / FFT)), axis=1))
+        w, k = np.indices(mag.shape)
+        return pd.DataFrame({"series": s, "w": w.ravel(), "k": k.ravel(), "mag": mag.round(6).ravel()})
 
-    return _per_series(samples(spark, sf), make, "series long, k long, mag double")
+    return _per_series(samples(spark, sf), make, "series long, w long, k long, mag double")

@@ -86,21 +86,22 @@ def agg_argmax_frame(spark, sf):
     return frames(spark, sf).groupBy("series").agg(F.max_by("w", F.struct("f0", -F.col("w"))).alias("w"), F.max("f0").alias("f0"))
 
 
-def sql_half(k: str) -> str:
-    """A whole number below 2,048 as the hex digits of a 16-bit float, the low byte first."""
-    power = f"floor(log2({k}))::int"
-    bits = f"(case when {k} = 0 then 0 else ({power} + 15) * 1024 + (({k} - pow(2, {power})) * pow(2, 10 - {power}))::int end)::int"
+def sql_half(x: str) -> str:
+    """A number that isn't negative as the hex digits of a 16-bit float, the low byte first."""
+    power = f"greatest(floor(log2({x})), -14)::int"
+    # What is rounded up to the next power goes on into the exponent; below 2 ** -14 there is none.
+    bits = f"(case when {x} < 6e-8 then 0 else ({power} + 14) * 1024 + round_even({x} / pow(2, {power}) * 1024, 0)::int end)::int"
     return f"lpad(to_hex({bits} & 255), 2, '0') || lpad(to_hex({bits} >> 8), 2, '0')"
 
 
-HASH = f"md5(from_hex(string_agg({' || '.join(sql_half(f'f{d}::int') for d in (1, 2, 3))}, '' order by w)))"
+HASH = f"md5(from_hex(string_agg({' || '.join(sql_half(f'f{d}') for d in range(4))}, '' order by w)))"
 
 
 @query(sql("frames", f"select series, {HASH} as hash from frames group by series"))
 def agg_hash(spark, sf):
-    """The content of each series, by the dimensions that hold whole numbers, which SQL can write as 16-bit floats too."""
+    """The content of each series, by all numbers of its frames as 16-bit floats."""
     ship(spark)
-    return op.content_hashes(op.whole_series(frames(spark, sf)), (1, 2, 3))
+    return op.content_hashes(op.whole_series(frames(spark, sf)))
 
 
 @query(sql("frames", "select series, w, list_transform(z, lambda x: round(x, 6)) as z from zf", SUMS, STATS, ZF))
