@@ -97,7 +97,7 @@ def test_copies_and_what_gives_no_result(library, spark):
     assert fp.echo(prints, sums, fp.selection(np.zeros(RATE), RATE)) == {"error": "silent"}
     assert fp.echo(prints, sums, fp.selection(np.ones(20), RATE)) == {"error": "too-short"}
     assert fp.echo(prints.limit(0), sums.limit(0), fp.selection(sounds[4], RATE)) == {"error": "empty"}
-    other = fp.selection(signal.polyphase(sounds[4], RATE, 24000), 24000)
+    other = fp.selection(signal.polyphase(sounds[4], RATE, 96000), 96000)
     assert fp.echo(prints, sums, other).first()["id"] == 4
 
 
