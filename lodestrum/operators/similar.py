@@ -178,8 +178,9 @@ def _same_as_members(members: DataFrame, ids: np.ndarray, v: np.ndarray) -> set[
     return {r["id"] for r in members.select("vec").mapInArrow(run, "id long").distinct().collect()}
 
 
-def mmr(pool: DataFrame, k: int, own: float = 0.72, other: float = 0.28, crowd: float = 0.06, same: float = 0.985) -> DataFrame:
-    """Greedy diverse picks of each card from (card, id, dir, score, vec): pools are bounded by the caller."""
+def mmr(pool: DataFrame, k: int, own: float = 0.72, other: float = 0.28, crowd: float = 0.06, same: float = 0.985, by: tuple[str, ...] = ("card",)) -> DataFrame:
+    """Greedy diverse picks of each card from (card, id, dir, score, vec): pools are bounded by the caller. by: the columns
+    that tell cards apart."""
     import pandas as pd
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -197,11 +198,12 @@ def mmr(pool: DataFrame, k: int, own: float = 0.72, other: float = 0.28, crowd:
                 continue
             chosen.append(best)
             dirs[pdf["dir"][best]] = dirs.get(pdf["dir"][best], 0) + 1
-        out = pdf.loc[chosen, ["card", "id"]].copy()
+        out = pdf.loc[chosen, [*by, "id"]].copy()
         out["place"] = range(len(chosen))
         return out
 
-    return pool.groupBy("card").applyInPandas(pick, "card long, id long, place long")
+    kinds = ", ".join(f"{c} {pool.schema[c].dataType.simpleString()}" for c in by)
+    return pool.groupBy(*by).applyInPandas(pick, f"{kinds}, id long, place long")
 
 
 def unit_means(v: np.ndarray, lists: int, rounds: int, rng: np.random.Generator) -> np.ndarray:

@@ -248,16 +248,20 @@ def q_names_for(spark, sf):
 
 
 def q_brief(spark, sf):
-    """Cards for a brief of words, concepts and a reference sound, made of the labels' centroids: greedy, so without SQL."""
-    ship(spark)
+    """Cards of a brief for each day of events, of words, concepts and reference sounds that are the labels' centroids: with
+    greedy steps, so without SQL."""
     v = vectors(spark, sf)
-    kinds = ("word", "concept", "sound")
-    centres = {r["label"]: np.array(r["vec"]) for r in similar.centroid(v, "label").collect()}  # a row for each label
-    asked = [brief.Query(f"q:{k}", f"label {k}", kinds[k % 3], c, weight=0.7 - 0.01 * k, pinned=k == 4) for k, c in sorted(centres.items())]
+    briefs = table(spark, sf, "events").select(F.date_format("ts", "yyyy-MM-dd").alias("brief"), (F.col("user_id") % 3).alias("turn")).groupBy("brief").agg(F.min("turn").alias("turn"))
+    kind = F.element_at(F.array(F.lit("word"), F.lit("concept"), F.lit("sound")), ((F.col("label") + F.col("turn")) % 3 + 1).cast("int"))
+    label = F.col("label").cast("string")
+    asked = briefs.join(similar.centroid(v, "label")).select(  # each brief asks for all labels, which are few
+        "brief", F.col("label").alias("place"), F.concat(F.lit("q:"), label).alias("key"), F.concat(F.lit("label "), label).alias("title"), kind.alias("kind"), "vec",
+        F.lit(None).cast("array<double>").alias("alt"), (0.7 - 0.01 * F.col("label")).alias("weight"), (F.col("label") == 4).alias("pinned"), F.lit(None).cast("long").alias("sound"),
+    )
     names = v.where("id % 3 = 0").select(F.concat(F.lit("q:"), F.col("label").cast("string")).alias("key"), "id", (F.col("id") % 2 == 0).alias("exact"))
     cards, _ = brief.suggest_cards(v.select("id", "vec"), asked, names, entries(spark, sf).select("id", "dir"))
-    rows = [(c.runs[0].query.key, k, i, round(float(s), 6)) for c in cards for k, (i, s) in enumerate(c.picks)]
-    return spark.createDataFrame(rows, "card string, place long, id long, score double")
+    each = cards.select("brief", "card", F.posexplode("picks").alias("place", "p"))
+    return each.select("brief", "card", F.col("place").cast("long").alias("place"), F.col("p.id").alias("id"), F.round("p.score", 6).alias("score"))
 
 
 query()(q_brief)

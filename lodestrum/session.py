@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -19,6 +19,20 @@ def session(master: str | None = None, **more: str) -> SparkSession:
     return builder.config(map=SETTINGS | more).getOrCreate()
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """The rows, written to the folder that spark.checkpoint.dir names, so that what follows starts from files and not from a
+    long plan, and a lost executor costs none of it. A local session without the setting gets a temporary folder."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not base and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        import tempfile
+
+        sc.setCheckpointDir(base or tempfile.mkdtemp(prefix="lodestrum-"))
+    return df.checkpoint()
+
+
 def ship(spark: SparkSession) -> None:
     """Send the package to the Python workers, once for each context, unless it already came in an archive."""
     import shutil
