@@ -1,12 +1,13 @@
 """Labels of categories as people say them: "helicopter", "boat door", "metal impact", "antique vehicle", "interior rain".
 
-The list of categories has a fixed size, so labels are made once, on the driver.
+A label is what is said of the subcategory with the category's noun before it, after it or not at all. Where the noun stands
+is a table: by category, or else by subcategory, or else by how many categories share the subcategory.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 #: Subcategories that say nothing, and categories that are materials, whose subcategories are actions.
 GENERIC = ["GENERAL", "MISC", "MISCELLANEOUS", "OTHER"]
@@ -29,30 +30,37 @@ NOUNS = {
 }
 NOUN_FIRST, NOUN_LAST = ["SCIFI", "CLOCKS", "LASERS"], ["TOOLS", "GAMES", "SPORTS", "MOVEMENT", "FOOTSTEPS", "WINGS", "CROWDS"]
 
+BEFORE, AFTER = "before", "after"
+#: Where the noun stands whatever the subcategory, by category.
+BY_CATEGORY = dict.fromkeys([*MATERIALS, *NOUN_FIRST], BEFORE) | dict.fromkeys(NOUN_LAST, AFTER)
+#: Words that follow their noun in a subcategory and precede it in a label.
+TURNED = ["wild", "domestic"]
 
-def plain_words(text: str) -> str:
-    """In lower case, with signs as words or blanks."""
-    return " ".join(re.sub(r"[^a-z0-9' -]+", " ", text.lower().replace("&", " and ").replace("/", " or ")).split())
-
-
-def labels(categories: list[tuple[str, str]]) -> list[str]:
-    """The label of each (category, subcategory); how many categories share a subcategory decides whether it stands alone."""
-    shared = Counter(sub.upper() for sub in {(cat, sub.upper()): sub for cat, sub in categories}.values())
-    return [_label(cat.upper(), sub.upper(), shared[sub.upper()] > 1) for cat, sub in categories]
-
-
-def _label(cat: str, sub: str, shared: bool) -> str:
-    # A noun with "wild" or "domestic" after it is said the other way round.
-    said, own = re.sub(r"^(\w+) (wild|domestic)$", r"\2 \1", plain_words(sub)), plain_words(cat)
-    noun = NOUNS.get(cat, own)
-    if sub in GENERIC:
-        return own
-    if cat == "RAIN":
-        return "interior rain" if sub == "INTERIOR" else f"rain on {said}"
-    if cat in MATERIALS or cat in NOUN_FIRST:
-        return f"{noun} {said}"
-    if cat in NOUN_LAST:
-        return f"{said} {noun}"
-    if not shared and sub not in ADJECTIVES:
-        return said
-    return f"{said} {noun}" if cat == "AMBIENCE" or sub in ADJECTIVES else f"{noun} {said}"
+
+def said_words(text: Column) -> Column:
+    """The words of a name in lower case; its signs for "and" and "or" are words too."""
+    spelled = F.replace(F.replace(F.lower(text), F.lit("&"), F.lit(" and ")), F.lit("/"), F.lit(" or "))
+    return F.regexp_extract_all(spelled, F.lit("[a-z0-9'-]+"), F.lit(0))
+
+
+def _looked_up(table: dict[str, str], key: Column) -> Column:
+    return F.try_element_at(F.create_map(*(F.lit(x) for pair in table.items() for x in pair)), key)
+
+
+def labelled(categories: DataFrame) -> DataFrame:
+    """Categories (cat, sub) with their label; letters' case doesn't matter. A subcategory that several categories of the table
+    share isn't said alone."""
+    rows = categories.withColumns({"_c": F.upper("cat"), "_s": F.upper("sub")})
+    shared = rows.groupBy("_s").agg((F.count_distinct("_c") > 1).alias("_shared"))
+    rows = rows.join(shared, "_s", "left")
+    own, words = said_words(F.col("cat")), said_words(F.col("sub"))
+    turned = F.when((F.size(words) == 2) & F.get(words, F.lit(1)).isin(TURNED), F.reverse(words)).otherwise(words)
+    noun = F.coalesce(_looked_up(NOUNS, F.col("_c")), F.array_join(own, " "))
+    describes = F.col("_s").isin(ADJECTIVES)
+    by_subcategory = F.when(describes, AFTER).when(F.col("_shared"), F.when(F.col("_c") == "AMBIENCE", AFTER).otherwise(BEFORE))
+    place = F.coalesce(_looked_up(BY_CATEGORY, F.col("_c")), by_subcategory)
+    said = F.array_join(turned, " ")
+    usual = F.concat_ws(" ", F.when(place == BEFORE, noun), said, F.when(place == AFTER, noun))
+    rain = F.when(F.col("_s") == "INTERIOR", "interior rain").otherwise(F.concat(F.lit("rain on "), said))
+    label = F.when(F.col("_s").isin(GENERIC), F.array_join(own, " ")).when(F.col("_c") == "RAIN", rain).otherwise(usual)
+    return rows.withColumn("label", label).drop("_c", "_s", "_shared")

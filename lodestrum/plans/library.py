@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestrum.functions import signal
+from lodestrum.functions import labels, signal
 from lodestrum.functions import text as tx
 from lodestrum.functions.translate import translate
 from lodestrum.operators import brief, concepts, fingerprints, search, similar, vaults
@@ -64,6 +64,23 @@ def filt_visual(spark, sf):
     return items.where(concepts.visual(F.col("cat"), F.col("sub")))
 
 
+CATS = ["AIRCRAFT", "BOATS", "METAL", "RAIN", "TOOLS", "AMBIENCE", "LASERS", "CROWDS", "USER INTERFACE"]
+SUBS = ["HELICOPTER", "DOOR", "IMPACT", "INTERIOR", "HAND", "GENERAL", "CAT WILD", "MARKET & TOWN", "ANTIQUE", "WATER/MUD"]
+
+
+@query(f"""with c as (select p_partkey as id, ({CATS})[p_partkey % {len(CATS)} + 1] as cat, ({SUBS})[p_size % {len(SUBS)} + 1] as sub from part),
+n as (select *, lower(cat) as own, case sub when 'CAT WILD' then 'wild cat' when 'MARKET & TOWN' then 'market and town' when 'WATER/MUD' then 'water or mud' else lower(sub) end as said,
+  case cat when 'BOATS' then 'boat' when 'TOOLS' then 'tool' when 'LASERS' then 'laser' when 'CROWDS' then 'crowd' when 'USER INTERFACE' then 'UI' else lower(cat) end as noun,
+  count(distinct cat) over (partition by sub) > 1 as shared from c)
+select id, cat, sub, case when sub = 'GENERAL' then own when cat = 'RAIN' and sub = 'INTERIOR' then 'interior rain' when cat = 'RAIN' then 'rain on ' || said
+  when cat in ('METAL', 'LASERS') then noun || ' ' || said when cat in ('TOOLS', 'CROWDS') or sub in ('ANTIQUE', 'HAND') then said || ' ' || noun
+  when not shared then said when cat = 'AMBIENCE' then said || ' ' || noun else noun || ' ' || said end as label from n""")
+def fn_label(spark, sf):
+    """What people call the category of each part."""
+    pick = lambda names, k: F.element_at(F.array(*map(F.lit, names)), (k % len(names) + 1).cast("int"))
+    return labels.labelled(table(spark, sf, "part").select(F.col("p_partkey").alias("id"), pick(CATS, F.col("p_partkey")).alias("cat"), pick(SUBS, F.col("p_size")).alias("sub")))
+
+
 @query("select event_id as id, event_id % 10 = 0 as damaged from events")
 def filt_zero_header(spark, sf):
     head = F.when(F.col("event_id") % 10 == 0, F.unhex(F.lit("00" * 80))).otherwise(F.encode("props", "utf-8"))

@@ -214,11 +214,12 @@ def test_what_a_picture_shows(spark):
     from lodestrum.operators import concepts
 
     items = {k: {"key": f"k{k}", "label": label, "cat": cat, "sub": sub} for k, (label, cat, sub) in enumerate([("plastic", "PLASTIC", "MISC"), ("plastic break", "PLASTIC", "BREAK"), ("wild cat", "ANIMALS", "CAT WILD"), ("dog", "ANIMALS", "DOG"), ("bird", "ANIMALS", "BIRD"), ("lake", "WATER", "LAKE"), ("bell bird", "BELLS", "BIRD"), ("old", "ARCHIVED", "OLD")])}
-    known = {"tiger", "tigers", "lakewater", "lake", "polypropylene", "dog", "finch"}
+    known = spark.createDataFrame([(w,) for w in ("tiger", "tigers", "lakewater", "lake", "polypropylene", "dog", "finch")], "term string")
     found = [(2, "tigers", 8.0), (1, "polypropylene", 7.0), (3, "dog", 6.0), (4, "finch", 5.9), (5, "lakewater", 5.5), (0, None, 4.9), (6, "dogs", 4.0)]
-    got = concepts.chosen(found, items, known)
-    assert [x[0] for x in got] == ["k2", "k0", "k3", "k5"] and got[0] == ("k2", "tiger", 0.875) and got[1][1] == "plastic"
     rows = spark.createDataFrame([(k, *i.values()) for k, i in items.items()], "concept long, key string, label string, cat string, sub string")
+    table = spark.createDataFrame([(7, *f) for f in found], "image long, concept long, term string, evidence double")
+    got = concepts.shown(concepts.labelled(table, known, rows)).orderBy("place").collect()
+    assert [r["key"] for r in got] == ["k2", "k0", "k3", "k5"] and (got[0]["label"], got[0]["score"], got[1]["label"]) == ("tiger", 0.875, "plastic")
     cz = spark.createDataFrame([(1, 2, 2.0), (1, 3, 1.6), (1, 5, 1.4), (1, 4, 3.5), (1, 6, 9.0), (1, 7, 9.0)], "image long, concept long, z double")
     tz = spark.createDataFrame([(1, "tiger", 4.2), (1, "animal", 5.0), (1, "lakewater", 6.0), (1, "dog", 3.9)], "image long, term string, z double")
     terms = spark.createDataFrame([("tiger", 2), ("tiger", 3), *[("animal", k) for k in (2, 3, 4, 5)], ("lakewater", 5), ("dog", 3)], "term string, concept long")
