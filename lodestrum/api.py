@@ -7,11 +7,13 @@ What can't be answered comes back as a row-less result or an `error` value, not
 from __future__ import annotations
 
 import re
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestrum.operators import catalog, fingerprints, search, similar
+from lodestrum.operators.postings import Postings
 from lodestrum.sources.wav import scan
 
 #: Bounds and defaults of limits.
@@ -24,10 +26,11 @@ def clamp(n: int | None, bounds: tuple[int, int, int]) -> int:
 
 class Catalog:
     """entries (id, name, dir, top_level, size, mtime, path), vectors (id, vec) and fingerprints (id, frames, data) of the same
-    files; with fingerprints their summaries, if there is a table of them."""
+    files; with fingerprints their summaries, if there is a table of them. Names are found in a stored index, if one is given,
+    or else in the listing."""
 
-    def __init__(self, entries: DataFrame, vectors: DataFrame | None = None, prints: DataFrame | None = None, summaries: DataFrame | None = None) -> None:
-        self.entries, self.vectors = entries, vectors
+    def __init__(self, entries: DataFrame, vectors: DataFrame | None = None, prints: DataFrame | None = None, summaries: DataFrame | None = None, names: Postings | None = None) -> None:
+        self.entries, self.vectors, self.names = entries, vectors, names
         self.prints, self.summaries = prints, summaries if summaries is not None or prints is None else fingerprints.summaries(prints)
         self.index = search.indexed(entries)
 
@@ -61,14 +64,16 @@ class Catalog:
 
     def search(self, text: str, limit: int | None = None) -> DataFrame:
         """Names that match; a query in Spanish is also looked for in English, the original's hits first."""
-        return search.bilingual(self.index, text, clamp(limit, LEXICAL)).orderBy("rank").drop("src")
+        found = search.bilingual(self.names or self.index, text, clamp(limit, LEXICAL), Postings.search if self.names else search.lexical)
+        return found.orderBy("rank").drop("src")
 
     def hybrid(self, text: str, query: DataFrame, limit: int | None = None) -> DataFrame | dict:
         """Names and sounds together, for a query text and its vector (qvec)."""
         if self.vectors is None:
             return {"error": "notReady"}
         n = clamp(limit, AI)
-        names = search.lexical(self.index, text.strip(), LEXICAL[1], partial=False).where("not partial")
+        find = self.names.search if self.names else partial(search.lexical, self.index)
+        names = find(text.strip(), LEXICAL[1], partial=False).where("not partial")
         ai = search.vector_top(self.vectors, query, n).join(self.entries.select("id"), "id", "left_semi")
         scores = self.vectors.join(F.broadcast(query)).select("id", search.dot(F.col("vec"), F.col("qvec")).alias("score"))
         return search.hybrid(names, scores, ai, n)

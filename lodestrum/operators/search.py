@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 from operator import or_
 
@@ -30,11 +31,16 @@ def indexed(rows: DataFrame) -> DataFrame:
     return names.join(folders, names.dir.eqNullSafe(folders._dir) & names.top_level.eqNullSafe(folders._top)).drop("_dir", "_top")
 
 
+def needed(terms: list[tx.Term]) -> int:
+    """How many words a row must match: half of them at least."""
+    return math.ceil(len(terms) / 2) if len(terms) > 1 else len(terms)
+
+
 def scored(rows: DataFrame, text: str) -> DataFrame:
     """Rows that match every word, or half of the words at least: matched, score, full."""
     terms = tx.query_terms(text)
     fields = {f: F.col(f"{f}_tokens") for f in tx.FIELDS}
-    need = math.ceil(len(terms) / 2) if len(terms) > 1 else len(terms)
+    need = needed(terms)
     if terms and {"name", "dir", "top_level"} <= set(rows.columns):
         # Only rows that hold a necessary part of words enough can match. The planner takes this test down to the listing,
         # before its tokens are made, where they aren't stored.
@@ -55,7 +61,11 @@ def scored(rows: DataFrame, text: str) -> DataFrame:
 
 def lexical(rows: DataFrame, text: str, limit: int = 200, partial: bool = True) -> DataFrame:
     """The best `limit` rows by score, recency and name; rows that match some words only where none matches all."""
-    hits = scored(rows, text)
+    return best_hits(scored(rows, text), limit, partial)
+
+
+def best_hits(hits: DataFrame, limit: int, partial: bool = True) -> DataFrame:
+    """The best of scored hits: id, score, rank, partial."""
     keys = [F.desc("full"), F.desc("matched"), F.desc("score"), F.desc("mtime"), "name", "id"]
     top = hits.orderBy(*keys).limit(limit)
     best = top.withColumn("any_full", F.max("full").over(Window.partitionBy()))  # over `limit` rows at most
@@ -63,17 +73,18 @@ def lexical(rows: DataFrame, text: str, limit: int = 200, partial: bool = True)
     return kept.withColumn("rank", (F.row_number().over(Window.orderBy(*keys)) - 1).cast("long")).select("id", F.col("score").cast("long").alias("score"), "rank", (~F.col("full")).alias("partial"))
 
 
-def bilingual(rows: DataFrame, text: str, limit: int = 200) -> DataFrame:
+def bilingual(rows, text: str, limit: int = 200, find: Callable[..., DataFrame] = lexical) -> DataFrame:
     """As lexical(), and for a query in Spanish also by its English: id, score, rank, partial, src (0: as asked, 1: in English).
+    Rows are whatever `find` searches: rows with their tokens, or a stored index.
 
     Full matches of the query come first, then those of the translation that it hasn't got. Where there are none, partial
     matches of the query, or else of the translation.
     """
     english, changed = translate(text)
-    found = lexical(rows, text, limit).withColumn("src", F.lit(0).cast("long"))
+    found = find(rows, text, limit).withColumn("src", F.lit(0).cast("long"))
     if not changed:
         return found
-    both = found.unionByName(lexical(rows, english, limit).withColumn("src", F.lit(1).cast("long")))
+    both = found.unionByName(find(rows, english, limit).withColumn("src", F.lit(1).cast("long")))
     all_ = Window.partitionBy()  # over two limits' rows at most
     both = both.withColumns({"full": F.max(~F.col("partial")).over(all_), "first": F.min("src").over(all_)})
     kept = both.where(F.when(F.col("full"), ~F.col("partial")).otherwise(F.col("src") == F.col("first")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -9,7 +11,9 @@ from lodestrum.functions import text as tx
 from lodestrum.functions.translate import translate
 from lodestrum.functions.vector import dot
 from lodestrum.operators import search as op
+from lodestrum.operators.postings import Postings
 from lodestrum.plans.registry import query
+from lodestrum.session import shared
 from lodestrum.sources.tables import entries, sql, table, vectors
 
 Q, WORDY = "red widgets", "smallest blue rings"
@@ -37,6 +41,16 @@ def q_lexical(spark, sf):
     return op.lexical(_index(spark, sf), Q)
 
 
+@query(sql("entries", "select id, score, rank, partial from lex", TOKENS, sql_lexical(WORDY, 500)))
+def q_lexical_stored(spark, sf):
+    """An index with former names of one top folder, which a second generation puts right."""
+    e = entries(spark, sf)
+    here = F.col("top_level") == "Brand#1"
+    index = Postings.create(e.withColumn("name", F.when(here, F.concat(F.lit("smallest blue ring "), "name")).otherwise(F.col("name"))), f"{shared(spark)}/names-{uuid4().hex}")
+    index.put(e.where(here))
+    return index.search(WORDY, 500)
+
+
 @query(sql("entries", "select id, score, rank, partial from lex", TOKENS, sql_lexical("zzz " + Q, 100)))
 def fn_partial(spark, sf):
     return op.lexical(_index(spark, sf), "zzz " + Q, 100)

@@ -19,17 +19,24 @@ def session(master: str | None = None, **more: str) -> SparkSession:
     return builder.config(map=SETTINGS | more).getOrCreate()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows, written to the folder that spark.checkpoint.dir names, so that what follows starts from files and not from a
-    long plan, and a lost executor costs none of it. A local session without the setting gets a temporary folder."""
-    sc = df.sparkSession.sparkContext
+def shared(spark: SparkSession) -> str:
+    """A folder below the one that spark.checkpoint.dir names, which the driver and all executors share. A local session without
+    the setting gets a temporary one."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        base = spark.conf.get("spark.checkpoint.dir", None)
         if not base and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         import tempfile
 
         sc.setCheckpointDir(base or tempfile.mkdtemp(prefix="lodestrum-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows, written to the shared folder, so that what follows starts from files and not from a long plan, and a lost
+    executor costs none of it."""
+    shared(df.sparkSession)
     return df.checkpoint()
 
 
