@@ -1,8 +1,6 @@
 """A stored index of names: postings by token, so that a search reads the tokens it asks for and not the listing.
 
-Folder of an index, all Parquet: `names/g<n>` holds the postings of generation n, `tails/g<n>` the places of its tokens at which
-a later part of them begins, `gone/g<n>` the ids that generation n replaces or removes, and `made` a row for each whole
-generation. A generation counts from the moment its row is there, so a writer that is lost leaves the index as it was.
+Its tables, by generation: `names` holds the postings, `tails` the places of tokens at which a later part of them begins.
 
 A posting has the first HEAD letters of its token (`start`), the token, the file's id, the best weight of the fields that hold
 the token, and name and mtime, by which hits are ordered. Files are cut into directories by the first two letters and sorted by
@@ -15,11 +13,12 @@ import zlib
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestrum.functions import text as tx
 from lodestrum.operators import search
+from lodestrum.operators.generations import Generations
 
 #: Letters of a token by which it is sorted and found; what is found is tested on whole tokens.
 HEAD = 32
@@ -27,30 +26,27 @@ HEAD = 32
 NAMED = 4096
 #: The least length of a word that is looked for inside tokens, and the place from which on (fixed values of match_weight).
 INNER, FROM = 4, 4
-TABLES = {
-    "names": "start string, token string, id long, weight int, name string, mtime long, cell int",
-    "tails": "head string, start string, cell int",
-    "gone": "id long",
-}
 
 
-class Postings:
+class Postings(Generations):
     """Rows: id, name, dir, top_level, mtime; other columns are left alone. Nulls count as empty fields, a row without any token
     is never found, ids are taken to be distinct (of repeated rows one is found). An empty table gives an index without hits."""
 
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        """An index that exists; create() makes one."""
-        self.spark, self.path = spark, path.rstrip("/")
-        made = spark.read.parquet(f"{self.path}/made").collect()  # one small row a generation
-        self.generations, self.cells = sorted({r["gen"] for r in made}), made[0]["cells"]
+    TABLES = {
+        "names": "start string, token string, id long, weight int, name string, mtime long, cell int",
+        "tails": "head string, start string, cell int",
+    }
 
     @classmethod
     def create(cls, rows: DataFrame, path: str, cells: int = 64) -> Postings:
-        index = cls.__new__(cls)
-        index.spark, index.path, index.generations, index.cells = rows.sparkSession, path.rstrip("/"), [], cells
+        index = cls._new(rows.sparkSession, path, cells)
         index.put(rows)
         return index
 
+    @property
+    def cells(self) -> int:
+        return self.setting
+
     def _cell(self, token: Column) -> Column:
         return F.pmod(F.crc32(F.substring(token, 1, 2)), F.lit(self.cells)).cast("int")
 
@@ -63,7 +59,7 @@ class Postings:
 
     def put(self, rows: DataFrame, removed: DataFrame | None = None) -> int:
         """A generation with these files, in place of what the index has of their ids, and without those removed (id)."""
-        gen = self.generations[-1] + 1 if self.generations else 0
+        gen = self._next()
         number = lambda c: F.col(c).cast("long").alias(c)
         held = search.indexed(rows.select(number("id"), "name", "dir", "top_level", number("mtime")))
         fields = {f: F.coalesce(F.col(f"{f}_tokens"), F.array().cast("array<string>")) for f in tx.FIELDS}
@@ -81,17 +77,7 @@ class Postings:
         places = F.explode(F.sequence(F.lit(FROM), F.length("token") - INNER + 1))
         tails = starts.withColumn("at", places).select(F.expr(f"substring(token, at, {HEAD})").alias("head"), "start").distinct()
         self._write(tails.withColumn("cell", self._cell(F.col("head"))), "tails", gen, "head", "start")
-        gone = rows.select(number("id")) if removed is None else rows.select(number("id")).union(removed.select(number("id")))
-        gone.distinct().write.mode("overwrite").parquet(f"{self.path}/gone/g{gen}")
-        self.spark.createDataFrame([(gen, self.cells)], "gen int, cells int").coalesce(1).write.mode("append").parquet(f"{self.path}/made")
-        self.generations.append(gen)
-        return gen
-
-    def _read(self, table: str, gen: int) -> DataFrame:
-        return self.spark.read.schema(TABLES[table]).parquet(f"{self.path}/{table}/g{gen}")
-
-    def _every(self, table: str) -> DataFrame:
-        return reduce(DataFrame.unionByName, [self._read(table, g).withColumn("gen", F.lit(g)) for g in self.generations])
+        return self._done(gen, rows, removed)
 
     def inside(self, word: str) -> list[str] | None:
         """Starts of the tokens that hold the word from their fourth letter on; None where there are more than NAMED."""
@@ -129,13 +115,6 @@ class Postings:
         rows = rows.withColumns({"score": sum(each, F.lit(0)), "matched": sum(((c > 0).cast("int") for c in each), F.lit(0))})
         return self._live(rows.where(F.col("matched") >= search.needed(terms))).select("id", "name", "mtime", "score", "matched", (F.col("matched") == len(terms)).alias("full"))
 
-    def _live(self, rows: DataFrame) -> DataFrame:
-        """Rows (id, gen) that no later generation replaces."""
-        if len(self.generations) < 2:
-            return rows
-        gone = self._every("gone").where(F.col("gen") > self.generations[0]).groupBy(F.col("id").alias("_id")).agg(F.max("gen").alias("_gen"))
-        return rows.join(gone, F.col("id") == F.col("_id"), "left").where(F.col("_gen").isNull() | (F.col("_gen") <= F.col("gen"))).drop("_id", "_gen")
-
     def search(self, text: str, limit: int = 200, partial: bool = True) -> DataFrame:
         """As search.lexical() of the listing, row by row."""
         return search.best_hits(self.scored(text), limit, partial)

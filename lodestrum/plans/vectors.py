@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestrum.functions.vector import blend, dot, rounded, unit
 from lodestrum.operators import concepts
 from lodestrum.operators import similar as op
+from lodestrum.operators.vector_index import StoredLists
 from lodestrum.plans.registry import query
-from lodestrum.session import ship
+from lodestrum.session import shared, ship
 from lodestrum.sources.tables import entries, sql, table, vectors
 
 CENT = """dims as (select label, d, avg(x) as m from (select label, unnest(range(1, 65)) as d, unnest(vec) as x from vectors) group by label, d),
@@ -46,6 +49,18 @@ def q_knn_approximate(spark, sf):
 query()(q_knn_approximate)
 
 
+def q_knn_stored(spark, sf):
+    """A stored index, a third of whose rows a second generation puts anew."""
+    ship(spark)
+    v = vectors(spark, sf)
+    index = StoredLists.create(v, f"{shared(spark)}/lists-{uuid4().hex}")
+    index.put(v.where("label % 3 = 0"))
+    return index.search(v.where("id % 50 = 0"), 10).select("qid", "id", F.round("score", 6).alias("score"), "rank")
+
+
+query()(q_knn_stored)
+
+
 @query(sql("vectors entries", """select id, round(score, 6) as score, round(greatest(0, least(1, (score - 0.80) / 0.20)), 6) as confidence, score < 0.85 as weak, score >= 0.9995 as identical
 from (select b.id, list_dot_product(a.vec, b.vec) as score from vectors a join vectors b on a.id = 3 and b.id <> 3) order by identical desc, score desc, id limit 30"""))
 def q_knn_file(spark, sf):
