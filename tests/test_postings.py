@@ -18,7 +18,7 @@ NAMES = [
     ("breaks of glass.wav", "Foley/Glass", "Foley"), ("unbreakable.wav", "Foley", "Foley"), ("Ambience Forêt.wav", "Amb", "Amb"), ("amb forest night.wav", "Amb", "Amb"),
     ("WhooshFast2.wav", "Whoosh", "Whoosh"), ("swooshing slow.wav", "Whoosh", "Whoosh"), (None, "Glass", "Glass"), ("", None, None), (f"{LONG}.wav", "Long", "Long"),
     ("a b.wav", "B", "B"), ("door.wav", "Doors/Metal", "Doors"), ("Door Metal.wav", "Doors", "Doors"), ("door.wav", "Doors/Metal", "Doors"), ("lluvia roja.wav", "Weather", "Weather"),
-    ("red rain.wav", "Weather", "Weather"), ("straße über.wav", "Ö", "Ö"),
+    ("red rain.wav", "Weather", "Weather"), ("straße über.wav", "Ö", "Ö"), ("galoshing.wav", "Shoes", "Shoes"),
 ]
 ASKED = ["impact metal glass", "glass break", "foret amb", "whoosh", "a b", "door metal", "reakable", "thunder", "", "the of", "x" * 40]
 
@@ -53,8 +53,8 @@ def test_limits_and_whole_matches(spark, index):
 
 def test_more_tokens_than_are_named(spark, index, monkeypatch):
     monkeypatch.setattr(postings, "NAMED", 1)
-    assert index.inside("reakable") and index.inside("oosh") is None
-    same(index, listing(spark), "oosh")
+    assert index.inside("reakable") and index.inside("oshing") is None
+    assert len(same(index, listing(spark), "oshing")) == 2
 
 
 def test_changes_by_generation(spark, tmp_path):
