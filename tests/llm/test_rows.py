@@ -295,3 +295,12 @@ def test_pipeline_on_awkward_rows(spark, tmp_path):
     spark.createDataFrame([], schema).write.parquet(str(tmp_path / "none/documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "none/labels.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path / "none")).collect() == []
+
+
+def test_toxicity_is_what_the_labels_mark():
+    """Labels may mark the texts that voters take for clean: held-out rows of label 1 must still be ranked first."""
+    rng = np.random.default_rng(8)
+    rows = [(prose(rng, 30) + (" idiot scum " if k % 3 == 0 else " ") + prose(rng, 5), int(k % 3 != 0)) for k in range(400)]
+    m = toxicity.ToxicityModel(rows[:300], 2 / 3)
+    scores = [(m.score(t), y) for t, y in rows[300:]]
+    assert min(s for s, y in scores if y) > max(s for s, y in scores if not y)
