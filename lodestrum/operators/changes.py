@@ -128,12 +128,13 @@ def attempts(failures: DataFrame, news: DataFrame) -> DataFrame:
 
 def chunked(jobs: DataFrame, size: int) -> DataFrame:
     """Chunks of at most `size` jobs of one lane, in path order. Lanes are few and long, so places are those of the whole queue,
-    which no task sorts alone, less those of the lanes before; paths are distinct."""
-    places = ranked(jobs.select(F.col("path").alias("id"), "lane"), F.col("lane"), F.col("id")).withColumnRenamed("id", "_id")
+    which no task sorts alone, less those of the lanes before. Paths may repeat: places are given to the jobs themselves."""
+    whole = jobs.select(F.struct(*jobs.columns).alias("id"))
+    places = ranked(whole, F.col("id.lane"), F.col("id.path"))
     counts = jobs.groupBy("lane").agg(F.count("*").alias("_n"))  # a row a lane
     starts = counts.select(F.col("lane").alias("_lane"), (F.sum("_n").over(Window.orderBy("lane")) - F.col("_n")).alias("_start"))
-    placed = jobs.join(places, F.col("path") == F.col("_id")).join(F.broadcast(starts), F.col("lane") == F.col("_lane"))
-    return placed.withColumn("chunk", F.floor((F.col("rank") - F.col("_start")) / size)).select(*jobs.columns, "chunk")
+    placed = places.join(F.broadcast(starts), F.col("id.lane") == F.col("_lane"))
+    return placed.select("id.*", F.floor((F.col("rank") - F.col("_start")) / size).alias("chunk"))
 
 
 def accepted(results: DataFrame, jobs: DataFrame) -> DataFrame:
