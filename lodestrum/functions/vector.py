@@ -25,4 +25,5 @@ def blend(base: Column, other: Column, weight: float) -> Column:
 
 
 def rounded(a: Column, digits: int = 6) -> Column:
-    return F.transform(a, lambda x: F.round(x, digits))
+    """Each element rounded; what is rounded to nothing keeps its sign, as elsewhere."""
+    return F.transform(a, lambda x: F.abs(F.round(x, digits)) * F.signum(x))
