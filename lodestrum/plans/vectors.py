@@ -177,10 +177,10 @@ def _scores(spark, sf):
     v = vectors(spark, sf)
     views = v.select((F.floor(F.col("id") / 2)).alias("image"), (F.col("id") % 2).alias("view"), "vec")
     p = table(spark, sf, "part").select(F.col("p_partkey").alias("term_id"), F.concat(F.split("p_name", " ")[0], F.col("p_partkey").cast("string")).alias("term"), (F.col("p_partkey") % 10).alias("concept"))
-    words = v.join(p, F.col("id") == F.col("term_id")).select("term", F.col("vec").alias("qvec"))  # a vocabulary of fixed size
-    like = lambda q: views.join(F.broadcast(q)).withColumn("s", dot(F.col("vec"), F.col("qvec"))).drop("vec", "qvec")
-    centres = op.centroid(v, "label").select(F.col("label").alias("concept"), F.col("vec").alias("qvec"))
-    return concepts.z_scores(like(centres), "concept"), concepts.z_scores(like(words), "term"), p.select("term", "concept")
+    words = v.join(p, F.col("id") == F.col("term_id")).select("term", F.col("vec").alias("qvec"))
+    centres = op.centroid(v, "label").select(F.col("label").alias("concept"), F.col("vec").alias("qvec"))  # one for each label: ten
+    likeness = views.join(F.broadcast(centres)).withColumn("s", dot(F.col("vec"), F.col("qvec"))).drop("vec", "qvec")
+    return concepts.z_scores(likeness, "concept"), concepts.outstanding(views, words, "term", concepts.TERM_Z), p.select("term", "concept")
 
 
 def _items(spark):

@@ -3,8 +3,12 @@
 import datetime as dt
 
 import duckdb
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from lodestrum.functions.vector import dot, rounded
+from lodestrum.operators import concepts, similar
 from lodestrum.plans import registry
 from tests.test_oracles import DATA, TABLES, rows
 
@@ -50,3 +54,33 @@ def test_echo_among_more_series_than_candidates(spark, tmp_path):
     con = duckdb.connect()
     con.sql(f"copy (select * replace (event_id % 900 as user_id) from '{DATA.replace('0.001', '0.01')}/events.parquet') to '{tmp_path}/events.parquet'")
     assert same_as_sql(spark, tmp_path, "q_echo")
+
+
+def test_rounded_to_nothing_keeps_its_sign(spark):
+    got = spark.createDataFrame([([-1e-9, 1e-9, -0.25, 0.0],)], "v array<double>").select(rounded(F.col("v")).alias("v")).first()["v"]
+    assert list(map(repr, got)) == ["-0.0", "0.0", "-0.25", "0.0"]
+
+
+def test_words_that_stand_out_by_brute_force(spark, monkeypatch):
+    """Blocks of a few words and views, and words that aren't broadcast; the same as z-scores over all pairs."""
+    monkeypatch.setattr(concepts, "BLOCK", 16)
+    rng = np.random.default_rng(4)
+    views = spark.createDataFrame([(k // 2, k % 2, rng.normal(size=6).tolist()) for k in range(60)], "image long, view long, vec array<double>")
+    words = spark.createDataFrame([(f"w{k}", rng.normal(size=6).tolist()) for k in range(50)], "term string, qvec array<double>")
+    likeness = views.join(words).withColumn("s", dot(F.col("vec"), F.col("qvec"))).drop("vec", "qvec")
+    want = {(r["image"], r["term"]): round(r["z"], 9) for r in concepts.z_scores(likeness, "term").where("z >= 1.5").collect()}
+    found = concepts.outstanding(views, words, "term", 1.5)
+    assert len(want) > 50 and {(r["image"], r["term"]): round(r["z"], 9) for r in found.collect()} == want
+    assert concepts.outstanding(views, words.limit(0), "term", 1.5).count() == 0
+
+
+def test_neighbours_by_tiles(monkeypatch):
+    """Tiles smaller than k, vectors that are the same, and candidates held before: as by sorting all."""
+    monkeypatch.setattr(similar, "TILE_ROWS", 7)
+    monkeypatch.setattr(similar, "TILE_QUERIES", 5)
+    rng = np.random.default_rng(5)
+    v, ids = rng.normal(size=(12, 4)).repeat(6, 0), rng.permutation(72)
+    s = np.where(ids[:, None] == ids[None, :], -np.inf, np.round(v @ v.T, 12))
+    want = [[int(i) for _, i in sorted(zip(-row, ids, strict=True))[:9]] for row in s]
+    held = similar.best_of(ids, v, ids[:40], v[:40], 9)
+    assert similar.best_of(ids, v, ids, v, 9)[1].tolist() == want == similar.best_of(ids, v, ids[40:], v[40:], 9, held)[1].tolist()
