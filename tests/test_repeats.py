@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lodestrum.functions import text as tx
 from lodestrum.functions.vector import dot, rounded
 from lodestrum.operators import concepts, similar
 from lodestrum.plans import registry
@@ -84,3 +85,14 @@ def test_neighbours_by_tiles(monkeypatch):
     want = [[int(i) for _, i in sorted(zip(-row, ids, strict=True))[:9]] for row in s]
     held = similar.best_of(ids, v, ids[:40], v[:40], 9)
     assert similar.best_of(ids, v, ids, v, 9)[1].tolist() == want == similar.best_of(ids, v, ids[40:], v[40:], 9, held)[1].tolist()
+
+
+def test_terms_of_a_table_are_made_once(spark):
+    """The same terms as for one query; the plan splits each text once."""
+    texts = ["", "a", "x", "the of", "red doors of the blue Houses", None, "é stone stone", "b c"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string").withColumn("text", F.coalesce("text", F.lit("")))
+    got = tx.term_rows(rows.repartition(2), F.col("text"))
+    want = sorted((k, t.word, t.stem, t.bare or "") for k, text in enumerate(texts) for t in tx.query_terms(text or ""))
+    assert sorted((r["id"], r["word"], r["stem"], r["bare"] or "") for r in got.collect()) == want
+    plan = got.select("id", "word", "bare")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1 and "(ss|us|is)" not in plan
