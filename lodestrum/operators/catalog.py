@@ -50,8 +50,9 @@ def natural_key(text: Column) -> Column:
 
 
 def resolve(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows for an ordered list of paths (pos, path); what isn't found is skipped, the order kept in pos."""
-    return wanted.join(rows, "path")
+    """Rows for an ordered list of paths (pos, path); what isn't found is skipped, the order kept in pos. Neither
+    side is broadcast, whatever Spark takes its size to be."""
+    return wanted.join(rows.hint("merge"), "path")
 
 
 def folder_tree(listing: DataFrame) -> DataFrame:

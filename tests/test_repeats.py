@@ -96,3 +96,10 @@ def test_terms_of_a_table_are_made_once(spark):
     assert sorted((r["id"], r["word"], r["stem"], r["bare"] or "") for r in got.collect()) == want
     plan = got.select("id", "word", "bare")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("split(") == 1 and "(ss|us|is)" not in plan
+
+
+@pytest.mark.parametrize("name", ["filt_resolve", "filt_missing", "win_preview", "q_concept_names"])
+def test_no_listing_in_a_tasks_memory(spark, name):
+    """The listing is broadcast nowhere, and pairs of concepts and files are grouped nowhere."""
+    plan = registry.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and not (name == "q_concept_names" and "keys=[key" in plan.split("BroadcastNestedLoopJoin")[0])
