@@ -38,6 +38,11 @@ def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def decoded(column: pa.Array) -> list[str | None]:
+    """Texts of a column. A string of Spark's may hold bytes that aren't UTF-8; the replacement character stands for them."""
+    return [None if t is None else t.decode("utf-8", "replace") for t in column.cast(pa.binary()).to_pylist()]
+
+
 def file_bytes(path: str) -> bytes:
     """A vocabulary file as the driver sees it; its size doesn't grow with the data, so it goes out with the tasks."""
     return Path(path).read_bytes()
@@ -173,7 +178,7 @@ def taught(docs: DataFrame, labels: DataFrame, label: str, fold: int, held: int,
     met = got.join(F.broadcast(pick), "doc_id").groupBy("h", "y").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = sorted((h, t, y) for b in batches for h, t, y in zip(*(b.column(c).to_pylist() for c in ("h", "text", "y")), strict=True))
+        found = sorted((h, t, y) for b in batches for h, t, y in zip(b.column("h").to_pylist(), decoded(b.column("text")), b.column("y").to_pylist(), strict=True))
         model = fit([(t, y) for _, t, y in found], share)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 

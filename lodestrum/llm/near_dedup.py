@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrum.llm.bpe import groups_of
-from lodestrum.llm.common import Store, bounded_batches, numbered_rows, texts
+from lodestrum.llm.common import Store, bounded_batches, decoded, numbered_rows, texts
 from lodestrum.llm.components import components
 
 SHINGLE, SIMILARITY = 5, 75  # words; hundredths
@@ -145,7 +145,7 @@ def plausible(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_right:
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        ids, rows = b.column(0), b.column(1).to_pylist()
+        ids, rows = b.column(0), decoded(b.column(1))
         sizes, keys, registers = [], [], []
         for text in rows:
             s = shingle_hashes(word_hashes(text.encode().lower()))
@@ -202,7 +202,7 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     last: tuple = (None, None)
     for b in batches:
         keep = []
-        for a, x, y in zip(b.column("a").to_pylist(), b.column("a_text").to_pylist(), b.column("b_text").to_pylist(), strict=True):
+        for a, x, y in zip(b.column("a").to_pylist(), decoded(b.column("a_text")), decoded(b.column("b_text")), strict=True):
             if last[0] != a:
                 last = (a, x.encode().lower().split())  # bytes are split at the white space of the contract
             n, m, both = shared_shingles(last[1], y.encode().lower().split())
@@ -212,7 +212,7 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        found = [np.unique((shingle_hashes(word_hashes(t.encode().lower())) & np.uint64(0xFFFFFFFF)).astype("<u4"))[:MEMBERS].tobytes() for t in b.column("text").to_pylist()]
+        found = [np.unique((shingle_hashes(word_hashes(t.encode().lower())) & np.uint64(0xFFFFFFFF)).astype("<u4"))[:MEMBERS].tobytes() for t in decoded(b.column("text"))]
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(found, pa.binary())], ["id", "members"])
 
 

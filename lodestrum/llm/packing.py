@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrum.llm.bpe import WORDS, ByteBPE, coder, groups_of
-from lodestrum.llm.common import Store, bounded_batches, file_bytes, texts
+from lodestrum.llm.common import Store, bounded_batches, decoded, file_bytes, texts
 
 WINDOW, END = 2048, 1
 #: Remainders that a task holds before it fills sequences; it stops filling at half of them, but for the last time.
@@ -155,7 +155,7 @@ def pack(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str =
         bpe, task = coder(data.value), TaskContext.get().partitionId()
         packer, last = Packer(task << 32, window, pool), end.to_bytes(4, "little")
         for b in batches:
-            ids, found = b.column(0).to_pylist(), b.column(1).to_pylist()
+            ids, found = b.column(0).to_pylist(), decoded(b.column(1))
             for part in groups_of(found):
                 for doc_id, text in zip(ids[part], found[part], strict=True):
                     packer.add(doc_id, ids_of(bpe, text) + last)

@@ -41,15 +41,16 @@ class ByteCNN:
 
     def pooled(self, data: bytes) -> np.ndarray:
         """Each filter's maximum over all windows, at least 0; a text shorter than a window is padded by zero bytes."""
-        a = np.frombuffer(data + bytes(max(0, WIDTH - len(data))), np.uint8)
-        two = a[:-1].astype(np.int32) << 8 | a[1:]
+        a = np.frombuffer(data if len(data) >= WIDTH else data + bytes(WIDTH - len(data)), np.uint8)
         n = len(a) - WIDTH + 1
         most = np.zeros(FILTERS, np.float32)
         for at in range(0, n, CHUNK):
             end = min(n, at + CHUNK)  # windows of this chunk reach WIDTH - 1 bytes into the next
-            v = self.pairs[0].take(two[at:end], axis=0)
+            part = a[at : end + WIDTH - 1]
+            two = part[:-1].astype(np.int32) << 8 | part[1:]
+            v = self.pairs[0].take(two[: end - at], axis=0)
             for k in range(1, WIDTH // 2):
-                v += self.pairs[k].take(two[at + 2 * k : end + 2 * k], axis=0)
+                v += self.pairs[k].take(two[2 * k : end - at + 2 * k], axis=0)
             np.maximum(most, v.max(axis=0) + self.bias, out=most)
         return most
 

@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrum.llm.common import bounded_batches, taught, texts
+from lodestrum.llm.common import bounded_batches, decoded, taught, texts
 
 #: Common insults that seed the lexicon.
 SEEDS = "idiot moron stupid loser scum trash worthless pathetic disgusting clown dumb fool jerk filth garbage imbecile cretin vermin".split()
@@ -244,7 +244,7 @@ def toxicity_scores(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            scores = [model.value.score(t) for t in b.column("text").to_pylist()]
+            scores = [model.value.score(t) for t in decoded(b.column("text"))]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())], ["doc_id", "held_out", "score", "predicted"])
 
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % FOLDS == HELD, F.lit(False))

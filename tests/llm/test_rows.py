@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodestrum.llm import bpe, common, exact_dedup, near_dedup, packing, quality_cnn, quality_rules, sharding, token_counts, toxicity
 from lodestrum.llm.queries import vocabulary
@@ -304,3 +305,23 @@ def test_toxicity_is_what_the_labels_mark():
     m = toxicity.ToxicityModel(rows[:300], 2 / 3)
     scores = [(m.score(t), y) for t, y in rows[300:]]
     assert min(s for s, y in scores if y) > max(s for s, y in scores if not y)
+
+
+def test_texts_that_are_not_utf8(spark):
+    """A string of Spark's may hold any bytes: the classifiers learn from such texts and score them."""
+    rows = spark.range(40).select(F.col("id").alias("doc_id"), F.expr("cast(concat(cast('some words of text ' as binary), if(id % 2 = 0, unhex('FF20C3'), cast('idiot' as binary))) as string)").alias("text"))
+    labels = rows.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"), (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    assert quality_cnn.keep_good(rows, labels, 0.0).count() == 40
+    assert toxicity.toxicity_scores(rows, labels).where("score between 0 and 1").count() == 40
+
+
+def test_a_long_text_takes_little_memory_beside_it():
+    import tracemalloc
+
+    net = quality_cnn.train([("good words", 1), ("bad words", 0)], epochs=1).freeze()
+    data = bytes(range(256)) * 65536
+    tracemalloc.start()
+    score = net.score(data)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert 0 <= score <= 1 and peak < len(data)  # 16 MB
